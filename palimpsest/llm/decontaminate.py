@@ -24,7 +24,7 @@ from .common import batches, documents, load
 #: Words of the windows in one automaton: some 200 MB in each Python worker.
 SHARD_WORDS = 2_000_000
 _SPACE = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_SCHEMA = "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+_SCHEMA = ", n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -78,8 +78,8 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": int(chars[start[a]]), "end": int(chars[end[b - 1]])} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items (sorted ids of the items with occurring windows), spans (hit words, as character offsets)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, *more: str) -> DataFrame:
+    """doc_id, text, the columns `more`, n_words, n_hit, items (sorted ids of the items with occurring windows), spans (hit words, as character offsets)."""
     spark = docs.sparkSession
     items = [(str(r[0]) if r[0] is not None else "null", r[1]) for r in benchmark.select("item_id", "text").distinct().toLocalIterator()]
     shards = spark.sparkContext.broadcast(_automata(items, size))
@@ -111,11 +111,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
                 for column, value in zip(out, (n, 0 if hit is None else int(hit.sum()), sorted(who), [] if hit is None else _spans(text, hit)), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                ["doc_id", "text", "n_words", "n_hit", "items", "spans"],
+                [*part.columns, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                [*part.schema.names, "n_words", "n_hit", "items", "spans"],
             )
 
-    return batches(documents(docs)).mapInArrow(scan, _SCHEMA)
+    docs = batches(documents(docs, *more))
+    return docs.mapInArrow(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + _SCHEMA)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup, substring_dedup, token_count, topk
+import corpus_pipeline
+
+from . import decontaminate, language_id, language_model, near_dedup, pieces, quality, substring_dedup, token_count, topk, toxicity
 
 QUERIES = {
-    f.__name__: f
-    for f in (topk.op1_exact_top_k, decontaminate.op6_decontaminate, token_count.op8_token_counts, near_dedup.op9_near_dedup, substring_dedup.op10_substring_dedup)
+    "op1_exact_top_k": topk.op1_exact_top_k,
+    "op2_language_model": language_model.op2_language_model,
+    "op3_quality": quality.op3_quality,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_token_counts": token_count.op8_token_counts,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = topk.SQL | decontaminate.SQL | near_dedup.SQL | substring_dedup.SQL
