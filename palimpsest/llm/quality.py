@@ -1,8 +1,8 @@
 """Quality classifier by a weak-label model.
 
-1. Seven overlapping heuristic labellers vote on every text: bad, good or no vote. Votes are counted by pattern over all
-   texts (3 ** 7 patterns at most, so the counts are bounded).
-2. Expectation-maximisation over the pattern counts estimates each labeller's vote rates in either class, with the labellers
+1. Eight overlapping heuristic labellers vote on every text: bad, good or no vote. Votes are counted by pattern over all
+   texts (3 ** 8 patterns at most, so the counts are bounded).
+2. Expectation-maximisation over the pattern counts estimates each labeller's accuracy where it votes, with the labellers
    independent given the class; a pattern's posterior is the weak label of its texts.
 3. The posteriors of a bounded sample (the first `SAMPLE` texts by a hash of doc_id and text) train a logistic scorer over hashed
    word shapes, which scores every text. Texts that score below 0.5 are rejected.
@@ -21,15 +21,18 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, batches, documents, load, mix
 
-SAMPLE, SAMPLE_BYTES, ROWS, EM_STEPS, FIT_STEPS, KEEP = 4000, 200_000, 1024, 60, 300, 0.5
-LABELLERS = ("symbols", "capitals", "repeats", "bare", "doubled", "variety", "short")
+SAMPLE, SAMPLE_BYTES, ROWS, EM_STEPS, FIT_STEPS, KEEP, FEW = 4000, 200_000, 1024, 60, 300, 0.5, 30.0
+LABELLERS = ("symbols", "capitals", "repeats", "bare", "doubled", "variety", "short", "echo")
+#: Labellers that vote on nearly every text start as less accurate than those that know one kind of bad text.
+BROAD = ("variety", "echo")
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#$%&*|!<>{}[]\\/=_^~@+", np.uint8))
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _LETTER = _UPPER | ((np.arange(256) >= 97) & (np.arange(256) <= 122)) | (np.arange(256) >= 128)
 _KIND = np.where(_UPPER, 1, np.where(_LETTER, 2, np.where((np.arange(256) >= 48) & (np.arange(256) <= 57), 3, np.where(_SYMBOL, 4, 5))))
 
 
-def _vote(x: np.ndarray, bad_from: float, good_to: float) -> np.ndarray:
+def _vote(x: np.ndarray, bad_from: float, good_to: float = -np.inf) -> np.ndarray:
+    """1: bad, 2: good, 0: no vote. Most labellers know bad texts only."""
     return np.where(x >= bad_from, 1, np.where(x <= good_to, 2, 0))
 
 
@@ -50,17 +53,18 @@ class Seen:
         doubled = (size > 2) & (last == before) & (_KIND[last] >= 4)
         by_bytes = lambda a: np.bincount(doc, weights=a, minlength=n_texts)
         total = np.maximum(by_bytes(size), 1)
-        kinds = np.zeros(n_texts)
-        if len(h):
-            order = np.lexsort((h, doc))
-            new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])))
-            kinds = np.bincount(doc[order][new], minlength=n_texts)
+
+        def distinct(h: np.ndarray) -> np.ndarray:
+            return np.bincount(doc[np.unique(mix(h + doc.astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)[1]], minlength=n_texts)
+
+        kinds, pairs = distinct(h), distinct(h ^ (np.roll(h, 1) << U64(1)))
         # Distinct words against what texts of this length have: of natural texts about n ** 0.8.
         variety = kinds / np.maximum(self.n, 1) ** 0.8
         votes = [
-            _vote(by_bytes(symbols) / total, 0.07, 0.02), _vote(by_bytes(upper) / np.maximum(by_bytes(letters), 1), 0.6, 0.25), _vote(share(again), 0.25, 0.08),
-            _vote(share(letters == 0), 0.25, 0.08), _vote(share(doubled), 0.3, 0.08), np.where(self.n >= 30, _vote(-variety, -0.45, -0.8), 0),
-            np.where(self.n >= 20, _vote(-share((size <= 3) & (letters > 0)), -0.1, -0.2), 0),  # natural texts have short function words
+            _vote(by_bytes(symbols) / total, 0.07), _vote(by_bytes(upper) / np.maximum(by_bytes(letters), 1), 0.6), _vote(share(again), 0.25),
+            _vote(share(letters == 0), 0.25), _vote(share(doubled), 0.3), np.where(self.n >= 30, _vote(-variety, -0.45, -0.8), 0),
+            np.where(self.n >= 20, _vote(-share((size <= 3) & (letters > 0)), -0.1), 0),  # natural texts have short function words
+            np.where(self.n >= 20, _vote(-pairs / np.maximum(self.n, 1) ** 0.95, -0.4, -0.7), 0),
         ]
         self.pattern = sum(np.where(self.n > 0, v, 0).astype(np.int64) * 3**i for i, v in enumerate(votes))
         crowd = np.minimum(2 * upper // np.maximum(letters, 1), 2)
@@ -68,30 +72,26 @@ class Seen:
         self.row, self.doc, self.n_texts = (mix(shape.astype(U64)) % U64(ROWS)).astype(np.int64), doc, n_texts
 
     def features(self) -> np.ndarray:
-        """A row of hashed shape frequencies for each text, of length 1, and the intercept."""
+        """A row of hashed shape frequencies for each text, and the intercept; its length nears 1 with the number of words."""
         x = np.bincount(self.doc * ROWS + self.row, minlength=self.n_texts * ROWS).reshape(self.n_texts, ROWS).astype(np.float32)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x /= np.sqrt((x * x).sum(1, keepdims=True) + FEW)
         return np.concatenate((x, np.ones((self.n_texts, 1), np.float32)), 1)
 
 
 def vote_posteriors(counts: dict[int, int]) -> tuple[dict[int, float], np.ndarray, float]:
-    """The chance that a pattern's texts are good, the labellers' vote rates (class, labeller, vote), and the share of good texts.
-
-    Starts from labellers that rarely call a good text bad.
-    """
+    """The chance that a pattern's texts are good, the labellers' accuracies where they vote, and the share of good texts."""
     pattern = np.array(sorted(counts), np.int64)
     weight = np.array([counts[int(p)] for p in pattern], float)
     votes = np.stack([pattern // 3**i % 3 for i in range(len(LABELLERS))], 1) if len(pattern) else np.empty((0, len(LABELLERS)), np.int64)
-    rates = np.tile(np.array([[0.2, 0.4, 0.4], [0.15, 0.02, 0.83]])[:, None, :], (1, len(LABELLERS), 1))
-    good, post = 0.8, np.full(len(pattern), 0.5)
+    right, good, post = np.where(np.isin(LABELLERS, BROAD), 0.7, 0.9), 0.8, np.full(len(pattern), 0.5)
+    sign = np.array([0.0, -1.0, 1.0])[votes]
     for _ in range(EM_STEPS):
-        like = np.stack([np.log(rates[c][np.arange(len(LABELLERS)), votes]).sum(1) for c in (0, 1)], 1) + np.log([1 - good, good])
-        post = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -50, 50)))
-        for c, p in ((0, 1 - post), (1, post)):
-            mass = np.stack([[(weight * p)[votes[:, i] == v].sum() for v in range(3)] for i in range(len(LABELLERS))]) + np.array([0.2, 0.4, 0.4] if c == 0 else [0.2, 0.02, 0.78])
-            rates[c] = mass / mass.sum(1, keepdims=True)
-        good = float(np.clip((weight * post).sum() / max(weight.sum(), 1), 0.01, 0.99))
-    return dict(zip(pattern.tolist(), post.tolist(), strict=True)), rates, good
+        post = 1 / (1 + np.exp(-np.clip(sign @ np.log(right / (1 - right)) + np.log(good / (1 - good)), -50, 50)))
+        mass = weight[:, None] * (sign != 0)
+        agree = (mass * np.where(sign > 0, post[:, None], 1 - post[:, None])).sum(0)
+        right = np.clip((agree + 8) / (mass.sum(0) + 10), 0.55, 0.995)
+        good = float(np.clip((weight * post).sum() / max(weight.sum(), 1), 0.05, 0.95))
+    return dict(zip(pattern.tolist(), post.tolist(), strict=True)), right, good
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -113,7 +113,7 @@ def quality_scores(docs: DataFrame, *more: str) -> DataFrame:
         for part in parts:
             yield pa.RecordBatch.from_arrays([pa.array(Seen(part.column("text").to_pylist()).pattern, pa.int64())], ["pattern"])
 
-    counts = {r[0]: r[1] for r in batches(docs.select("text")).mapInArrow(votes, "pattern long").groupBy("pattern").count().collect()}  # 3 ** 7 rows at most
+    counts = {r[0]: r[1] for r in batches(docs.select("text")).mapInArrow(votes, "pattern long").groupBy("pattern").count().collect()}  # 3 ** 8 rows at most
     weak, _, _ = vote_posteriors(counts)
     taken = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(SAMPLE).collect()
     seen = Seen([r["text"] for r in taken])
@@ -127,7 +127,7 @@ def quality_scores(docs: DataFrame, *more: str) -> DataFrame:
             norm = np.zeros(s.n_texts)
             cell, n = np.unique(s.doc * ROWS + s.row, return_counts=True)
             np.add.at(norm, cell // ROWS, n.astype(float) ** 2)
-            z = np.bincount(cell // ROWS, weights=n * weights[cell % ROWS], minlength=s.n_texts) / np.maximum(np.sqrt(norm), 1e-9) + weights[-1]
+            z = np.bincount(cell // ROWS, weights=n * weights[cell % ROWS], minlength=s.n_texts) / np.sqrt(norm + FEW) + weights[-1]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.n, pa.int64()), pa.array(s.pattern, pa.int64()), pa.array([weak.get(int(x), 0.5) for x in s.pattern], pa.float64()), pa.array(p, pa.float64()), pa.array(p >= KEEP)], [*part.schema.names, "n_words", "pattern", "weak", "score", "keep"])
 
