@@ -5,7 +5,7 @@
 2. Expectation-maximisation over the pattern counts estimates each labeller's accuracy where it votes, with the labellers
    independent given the class; a pattern's posterior is the weak label of its texts.
 3. The posteriors of a bounded sample (the first `SAMPLE` texts by a hash of doc_id and text) train a logistic scorer over hashed
-   word shapes, which scores every text. Texts that score below 0.5 are rejected.
+   word shapes, which scores every text. Texts that score below 0.3 are rejected, so that doubtful short texts stay.
 
 Null and empty texts, and texts without words, get no votes and a score from the intercept alone. Without any text the result is empty.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, batches, documents, load, mix
 
-SAMPLE, SAMPLE_BYTES, ROWS, EM_STEPS, FIT_STEPS, KEEP, FEW = 4000, 200_000, 1024, 60, 300, 0.5, 30.0
+SAMPLE, SAMPLE_BYTES, ROWS, EM_STEPS, FIT_STEPS, KEEP, FEW = 4000, 200_000, 1024, 60, 300, 0.3, 30.0
 LABELLERS = ("symbols", "capitals", "repeats", "bare", "doubled", "variety", "short", "echo")
 #: Labellers that vote on nearly every text start as less accurate than those that know one kind of bad text.
 BROAD = ("variety", "echo")
