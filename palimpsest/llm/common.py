@@ -19,7 +19,7 @@ U64 = np.uint64
 #: Rows of an Arrow batch: with texts of up to some 100 KB this keeps a Python worker below 100 MB.
 BATCH_ROWS = 500
 #: Most ids that are broadcast to pick rows before a shuffle; beyond it the rows are shuffled.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 400_000
 _BLOCK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _STEP = U64(0xD6E8FEB86659FD93)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, Words, batches, documents, load, materialize, ngrams, picked, signed
 
-RUN, SHARD_WORDS, STREAM_WORDS, BROADCAST_SPANS = 6, 40_000, 400_000, 2_000_000
+RUN, SHARD_WORDS, STREAM_WORDS, BROADCAST_SPANS = 6, 40_000, 400_000, 400_000
 _STRETCH = "owner long, reference boolean, rid long, doc_id long, start int, n int, words binary"
 
 
