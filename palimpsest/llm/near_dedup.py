@@ -6,10 +6,11 @@
 2. Bands of 4 registers are keys, packed without loss into one long. Two sets of similarity 0.75 miss all 48 bands with a
    chance of 1e-8. Sets of up to 7 shingles also take each shingle as a key, which is exact where bands are weakest.
 3. In every key's group the members are compared with the group's smallest member. Collision-corrected Jaccard
-   estimation with a margin of 5.5 standard deviations drops what cannot reach the threshold; the rest is confirmed on full sets.
-4. Groups whose members are then in one component are done: a group of thousands of near copies costs one comparison each.
-   In the others, members of different components are compared in blocks of bounded size, so no link between different
-   components is lost and no task holds a whole group.
+   estimation with a margin of 4.5 standard deviations drops what cannot reach the threshold; the rest is confirmed on full sets.
+4. Groups whose members are then in one component are done: a group of thousands of near copies costs a few comparisons each.
+   In the others, members outside the largest component are confirmed with the likeliest 12 partners by estimate.
+   In what is then still split, the sets of all members of different components are compared in blocks of bounded size, so no
+   link between different components is lost, no task holds a whole group, and only pairs that link leave it.
 
 Null texts and texts without words are empty: linked with nothing, each its own component. Rows with a null doc_id link with nothing,
 have no component and are kept. Rows that share a doc_id are told apart by their sets; equal sets are one class.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, batches, documents, load, materialize, mix, ngrams, picked, signed
 from .components import components
 
-REGISTERS, BAND, MANTISSA, TINY, BLOCK, MARGIN = 192, 4, 8, 7, 512, 5.5
+REGISTERS, BAND, MANTISSA, TINY, BLOCK, MARGIN, BEST = 192, 4, 8, 7, 512, 4.5, 12
 _SALT = U64(0xA5A5B4B4C3C3D2D2)
 
 
@@ -60,11 +61,15 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(empty, 0, (zeros + 1) * (1 << MANTISSA) + mantissa.astype(np.int64)).astype(np.uint16).reshape(len(sets), REGISTERS)
 
 
-def _chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The chance that registers of unrelated sets of n and m shingles agree: over leading-zero classes, cells of 2**-MANTISSA each."""
+def _classes_of(n: np.ndarray) -> np.ndarray:
+    """For sets of n shingles, the chance of each leading-zero class of a register."""
     edge = 2.0 ** -np.arange(0, 40)
-    inside = lambda x: -np.diff((1 - (1 - edge[None, :]) ** (x[:, None] / REGISTERS)), axis=1)
-    return (inside(np.maximum(n, 1.0)) * inside(np.maximum(m, 1.0))).sum(1) / (1 << MANTISSA)
+    return -np.diff(1 - (1 - edge[None, :]) ** (np.maximum(n, 1.0)[:, None] / REGISTERS), axis=1)
+
+
+def _chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The chance that registers of unrelated sets of n and m shingles agree: over classes, cells of 2**-MANTISSA each."""
+    return (_classes_of(n) * _classes_of(m)).sum(1) / (1 << MANTISSA)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,10 +80,11 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     return (same - chance) / (1 - chance), filled
 
 
-def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+def _may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The estimates, and whether sizes and estimates leave a link possible."""
     sized = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
     found, filled = estimate(a, b, n, m)
-    return sized & ((found >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1))) | (filled < 24))
+    return found, sized & ((found >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1))) | (filled < 24))
 
 
 def _as_registers(column: pa.Array) -> np.ndarray:
@@ -121,27 +127,32 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ok = _may_link(_as_registers(part.column("ra")), _as_registers(part.column("rb")), part.column("na").to_numpy(), part.column("nb").to_numpy(), threshold)
+            ok = _may_link(_as_registers(part.column("ra")), _as_registers(part.column("rb")), part.column("na").to_numpy(), part.column("nb").to_numpy(), threshold)[1]
             yield part.select(["a", "b"]).filter(pa.array(ok))
 
     side = lambda s: classes.select(F.col("vid").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(keep, "a long, b long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs whose full sets reach the threshold: 100 * intersection >= 75 * union for 0.75."""
-    percent = round(100 * threshold)
-    need = materialize(pairs.select(F.col("a").alias("vid")).union(pairs.select(F.col("b").alias("vid"))).distinct().join(classes.select("vid", "rep", "sig2"), "vid"))
+def _sets(vids: DataFrame, classes: DataFrame, docs: DataFrame, k: int, cut: bool = False) -> DataFrame:
+    """vid, items: the sorted hashes of these classes' sets, made again from a text of each; cut: their upper 32 bits."""
+    need = materialize(vids.join(classes.select("vid", "rep"), "vid"))
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             found = shingles(part.column("text").to_pylist(), k)
             with np.errstate(over="ignore"):
                 vid = np.array([mix(s).sum(dtype=U64) for s in found], U64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(vid)), pa.array([s.tobytes() for s in found], pa.binary())], ["vid", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(vid)), pa.array([((s >> U64(32)).astype(np.uint32) if cut else s).tobytes() for s in found], pa.binary())], ["vid", "items"])
 
     items = picked(docs, need.select(F.col("rep").alias("doc_id")), "doc_id").mapInArrow(sets, "vid long, items binary")
-    items = materialize(items.join(need.select("vid"), "vid", "left_semi").dropDuplicates(["vid"]))
+    return materialize(items.join(need.select("vid"), "vid", "left_semi").dropDuplicates(["vid"]))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The pairs whose full sets reach the threshold: 100 * intersection >= 75 * union for 0.75."""
+    percent = round(100 * threshold)
+    items = _sets(pairs.select(F.col("a").alias("vid")).union(pairs.select(F.col("b").alias("vid"))).distinct(), classes, docs, k)
 
     def confirm(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -156,19 +167,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, thr
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirm, "a long, b long")
 
 
-def _across(threshold: float):
-    """Rows (cell, vid, comp, n, regs, home) sorted by cell: the pairs of different components within each cell that may link."""
-
-    def cell(t: pa.Table) -> pa.RecordBatch:
-        vid, comp, n = (t.column(c).to_numpy() for c in ("vid", "comp", "n"))
-        regs, out = _as_registers(t.column("regs").combine_chunks()), []
-        for i in range(len(vid) - 1):
-            j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (vid[i + 1 :] != vid[i])) + i + 1
-            if len(j):
-                j = j[_may_link(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], threshold)]
-                out.append(np.stack([np.minimum(vid[i], vid[j]), np.maximum(vid[i], vid[j])]))
-        pairs = np.unique(np.concatenate(out, 1), axis=1) if out else np.empty((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+def _by_cell(cell):
+    """Applies a function to the rows of each cell; the rows come sorted by cell."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -186,16 +186,73 @@ def _across(threshold: float):
     return run
 
 
-def _residual(members: DataFrame, linked: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may link."""
+def _likeliest(threshold: float, best: int):
+    """Rows (cell, vid, comp, n, regs): for each member (a) outside its cell's largest component the `best` partners (b) of other components by estimate."""
+
+    def cell(t: pa.Table) -> pa.RecordBatch:
+        vid, comp, n = (t.column(c).to_numpy() for c in ("vid", "comp", "n"))
+        regs, out = _as_registers(t.column("regs").combine_chunks()), []
+        kinds, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        cells, size, filled = _classes_of(n), n.astype(float), regs != 0
+        for i in np.flatnonzero(inverse != counts.argmax()) if len(kinds) > 1 else ():
+            j = np.flatnonzero((comp != comp[i]) & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]) - 1e-9))
+            if not len(j):
+                continue
+            on = np.maximum((filled[j] | filled[i]).sum(1), 1)
+            chance = cells[j] @ cells[i] / (1 << MANTISSA)
+            est = (((regs[j] == regs[i]) & filled[i]).sum(1) / on - chance) / (1 - chance)
+            top = np.flatnonzero((est >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / on)) | (on < 24))
+            top = top[np.argsort(-est[top], kind="stable")[:best]]
+            out.append((np.full(len(top), vid[i]), vid[j[top]], est[top]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "est"])
+
+    return _by_cell(cell)
+
+
+def _linking(threshold: float):
+    """Rows (cell, vid, comp, n, items: the set's hashes cut to 32 bits): all pairs of different components whose sets, so cut, come within 1 % of the threshold."""
+
+    def cell(t: pa.Table) -> pa.RecordBatch:
+        vid, comp, n = (t.column(c).to_numpy() for c in ("vid", "comp", "n"))
+        kinds, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        out = [np.empty((2, 0), np.int64)]
+        if len(kinds) > 1:
+            items = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("items")]
+            at = np.concatenate(([0], np.cumsum([len(x) for x in items])[:-1]))
+            place = np.unique(np.concatenate(items), return_inverse=True)[1]
+            own = np.split(place, at[1:])
+            for i in np.flatnonzero(inverse != counts.argmax()):
+                on = np.zeros(place.max() + 1, np.int64)
+                on[own[i]] = 1
+                both = np.add.reduceat(on[place], at)
+                j = np.flatnonzero((comp != comp[i]) & (both >= (threshold - 0.01) * (n + n[i] - both)))
+                out.append(np.stack([np.full(len(j), vid[i]), vid[j]]))
+        pairs = np.concatenate(out, 1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return _by_cell(cell)
+
+
+def _residual(members: DataFrame, linked: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: float, best: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a key: the `best` likeliest of each member outside its group's largest component; best = 0: all that link."""
     m = members.join(linked.select(F.col("u").alias("vid"), "component"), "vid", "left").select("key", "vid", F.coalesce("component", "vid").alias("comp"))
-    m = materialize(m)
     mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("vid").cast("decimal(38,0)")).alias("all")).where("lo < hi")
-    mixed = mixed.groupBy("size", "all").agg(F.min("key").alias("key"))  # keys with the same members need one look
+    mixed = mixed.groupBy("size", "all").agg(F.min("key").alias("key"))  # of keys with the same members one is enough
     blocks = mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    m = m.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = m.withColumn("cell", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).select("cell", "vid", "comp").join(classes.select("vid", "n", "regs"), "vid")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_across(threshold), "a long, b long").distinct()
+    mine = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
+    m = m.join(blocks, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = m.withColumn("cell", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).select("cell", "vid", "comp")
+    dealt = lambda df: batches(df.repartition("cell").sortWithinPartitions("cell"), 2000)
+    if best:
+        found = dealt(cells.join(classes.select("vid", "n", "regs"), "vid")).mapInArrow(_likeliest(threshold, best), "a long, b long, est double")
+        top = found.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("est", "b")), False), 1, best).alias("top"))  # at most `best` from each of its groups
+        found = top.select("a", F.inline("top").alias("est", "b"))
+    else:
+        cells = materialize(cells)
+        items = _sets(cells.select("vid").distinct(), classes, docs, k, cut=True)
+        found = dealt(cells.join(classes.select("vid", "n"), "vid").join(items, "vid")).mapInArrow(_linking(threshold), "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
@@ -207,15 +264,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> Dat
     keys = batches(classes.select("vid", "regs", "tiny"), 2000).mapInArrow(_keys, "key long, vid long")
     groups = keys.groupBy("key").agg(F.min("vid").alias("centre"), F.count("*").alias("size")).where("size > 1")
     members = materialize(keys.join(groups.drop("size"), "key"))
-    star = members.where("vid <> centre").select(F.col("centre").alias("a"), F.col("vid").alias("b")).distinct()
-    star = materialize(_estimated(star, classes, threshold))
-    links = materialize(_verified(star, classes, docs, k, threshold))
-    linked = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rest = _residual(members.select("key", "vid"), linked, classes, threshold)
-    rest = materialize(rest.join(star, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = materialize(_verified(rest, classes, docs, k, threshold))
-        linked = components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    star = members.where("vid <> centre").select(F.least("centre", "vid").alias("a"), F.greatest("centre", "vid").alias("b")).distinct()
+    tried = materialize(_estimated(star, classes, threshold))
+    links = materialize(_verified(tried, classes, docs, k, threshold))
+    linked = components(edges(links))
+    members = members.select("key", "vid")
+    for best in (BEST, 0):
+        rest = materialize(_residual(members, linked, classes, docs, k, threshold, best).join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            links, tried = links.union(materialize(_verified(rest, classes, docs, k, threshold))), tried.union(rest)
+            linked = components(edges(links))
     of = classes.select("vid", "rep").join(linked.select(F.col("u").alias("vid"), "component"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = of.join(least, "component").select(F.col("vid").alias("sig"), "component_id")

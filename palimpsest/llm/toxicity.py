@@ -252,10 +252,11 @@ def text_scores(p: dict, texts: list) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels: of each class the first `most` rows by a hash of doc_id; texts of up to MOST_BYTES bytes."""
-    marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = documents(docs).where(F.octet_length("text") <= MOST_BYTES).join(marks, "doc_id")
-    found = [r for y in (0, 1) for r in rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    """Texts and 0/1 labels: of each class the first `most` labelled ids by their hash; their texts of up to MOST_BYTES bytes."""
+    marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = [r for y in (0, 1) for r in marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")  # 2 * most rows at most
+    found = documents(docs).where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).collect()
     found.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
     return [r["text"] for r in found], np.array([r["toxic"] for r in found], np.int64)
 
@@ -274,5 +275,6 @@ def toxicity(docs: DataFrame, model: dict) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    model = train(*labelled_sample(docs.where(~held), load(spark, sf_dir, "labels")))
+    labels = load(spark, sf_dir, "labels")
+    model = train(*labelled_sample(docs, labels.where(~held)))
     return toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
