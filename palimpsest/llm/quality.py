@@ -23,7 +23,8 @@ from .common import U64, Words, batches, documents, load, mix
 
 SAMPLE, SAMPLE_BYTES, ROWS, EM_STEPS, FIT_STEPS, KEEP, FEW = 4000, 200_000, 1024, 60, 300, 0.3, 30.0
 LABELLERS = ("symbols", "capitals", "repeats", "bare", "doubled", "variety", "short", "echo")
-#: Labellers that vote on nearly every text start as less accurate than those that know one kind of bad text.
+#: Labellers that vote on nearly every text start as less accurate than those that know one
+#: kind of bad text, and are never trusted beyond 0.85: else two of them outvote every specialist on small tables.
 BROAD = ("variety", "echo")
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#$%&*|!<>{}[]\\/=_^~@+", np.uint8))
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
@@ -83,13 +84,14 @@ def vote_posteriors(counts: dict[int, int]) -> tuple[dict[int, float], np.ndarra
     pattern = np.array(sorted(counts), np.int64)
     weight = np.array([counts[int(p)] for p in pattern], float)
     votes = np.stack([pattern // 3**i % 3 for i in range(len(LABELLERS))], 1) if len(pattern) else np.empty((0, len(LABELLERS)), np.int64)
-    right, good, post = np.where(np.isin(LABELLERS, BROAD), 0.7, 0.9), 0.8, np.full(len(pattern), 0.5)
+    broad = np.isin(LABELLERS, BROAD)
+    right, good, post = np.where(broad, 0.7, 0.9), 0.8, np.full(len(pattern), 0.5)
     sign = np.array([0.0, -1.0, 1.0])[votes]
     for _ in range(EM_STEPS):
         post = 1 / (1 + np.exp(-np.clip(sign @ np.log(right / (1 - right)) + np.log(good / (1 - good)), -50, 50)))
         mass = weight[:, None] * (sign != 0)
         agree = (mass * np.where(sign > 0, post[:, None], 1 - post[:, None])).sum(0)
-        right = np.clip((agree + 8) / (mass.sum(0) + 10), 0.55, 0.995)
+        right = np.clip((agree + 8) / (mass.sum(0) + 10), np.where(broad, 0.55, 0.7), np.where(broad, 0.85, 0.995))
         good = float(np.clip((weight * post).sum() / max(weight.sum(), 1), 0.05, 0.95))
     return dict(zip(pattern.tolist(), post.tolist(), strict=True)), right, good
 

@@ -26,7 +26,7 @@ from .common import U64, Words, batches, documents, load, mix
 
 LABELLED, MOST_BYTES = 1500, 200_000
 LONG, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 32, 24, 8, 8, 12
-WORD_ROWS, CHAR_ROWS, EPOCHS, BATCH, RATE, ODDS_ROWS = 4096, 8192, 9, 128, 0.01, 1 << 18
+WORD_ROWS, CHAR_ROWS, EPOCHS, STEPS, BATCH, RATE, ODDS_ROWS = 4096, 8192, 9, 400, 128, 0.01, 1 << 18
 
 
 class Texts:
@@ -212,8 +212,9 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> dict:
     now = _first_choice(t, places, of, toxic)
     mean, var = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
-    for epoch in range(EPOCHS):
-        if epoch and epoch % 3 == 0:
+    epochs = max(EPOCHS, -(-STEPS * BATCH // (len(texts) + 2 * int((toxic == 0).sum()))))  # small samples go round more often
+    for epoch in range(epochs):
+        if epoch and epoch % (epochs // 3) == 0:
             now = _logits(p, t, places)
         worst = np.array([edge[i] + int(np.argmax(now[edge[i] : edge[i + 1]])) for i in range(len(texts))])
         clean = np.flatnonzero(toxic == 0)

@@ -2,7 +2,6 @@
 
 import collections
 import math
-import zlib
 
 import numpy as np
 import pytest
@@ -119,9 +118,9 @@ def test_decontamination_spans(spark, odd):
 def test_toxicity_on_held_out(spark):
     sf = SF.replace("0.001", "0.1")
     marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 4000"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    model = toxicity.train(*toxicity.labelled_sample(docs, labels.where(~held), 400))
+    model = toxicity.train(*toxicity.labelled_sample(docs, labels.where(~held)))
     rows = [r for r in toxicity.toxicity(docs.where(held), model).collect() if r["doc_id"] in marks]
     right = [marks[r["doc_id"]] for r in rows if r["score"] >= 0.7]
     assert np.mean(right) > 0.8 and sum(right) > 0.8 * sum(marks[r["doc_id"]] for r in rows)
@@ -219,6 +218,3 @@ def test_pipeline(spark):
     first = {int(c) for d, n, c in brute_components(docs) if n}
     assert kept <= first and len(kept) > 0.8 * len(first)
 
-
-def test_folds():
-    assert zlib.crc32(b"1") % 7 == 4
