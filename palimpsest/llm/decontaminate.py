@@ -63,7 +63,7 @@ def _hits(form: str, automaton) -> Iterator[tuple[int, int, list[str]]]:
     edges = None
     for end, (n, who) in automaton.iter(form):
         if edges is None:
-            edges = np.flatnonzero(np.array([c == " " for c in form]))
+            edges = np.flatnonzero(np.frombuffer(form.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
         last = int(np.searchsorted(edges, end))
         yield last - n, n, who
 
