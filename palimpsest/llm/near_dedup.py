@@ -202,7 +202,7 @@ def _likeliest(threshold: float, best: int):
             chance = cells[j] @ cells[i] / (1 << MANTISSA)
             est = (((regs[j] == regs[i]) & filled[i]).sum(1) / on - chance) / (1 - chance)
             top = np.flatnonzero((est >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / on)) | (on < 24))
-            top = top[np.argsort(-est[top], kind="stable")[:best]]
+            top = top[np.argsort(-est[top], kind="stable")[: -(-best // 4)]]  # a member is in many cells
             out.append((np.full(len(top), vid[i]), vid[j[top]], est[top]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "est"])
