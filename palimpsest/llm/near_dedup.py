@@ -8,9 +8,10 @@
 3. In every key's group the members are compared with the group's smallest member. Collision-corrected Jaccard
    estimation with a margin of 4.5 standard deviations drops what cannot reach the threshold; the rest is confirmed on full sets.
 4. Groups whose members are then in one component are done: a group of thousands of near copies costs a few comparisons each.
-   In the others, members outside the largest component are confirmed with the likeliest 12 partners by estimate.
-   In what is then still split, the sets of all members of different components are compared in blocks of bounded size, so no
-   link between different components is lost, no task holds a whole group, and only pairs that link leave it.
+   The sets in the others are joined exactly, by prefix filtering: shingles that only one component has come first in the order, so a set
+   with many of its own drops out at once, however many sets it resembles. Each is first compared with the set of fewest own shingles
+   among those that share a prefix shingle; then, between what is still apart, all pairs that length and place leave possible.
+   Long lists of one shingle are compared in blocks of bounded size: no link between components is lost, no task holds a whole list.
 
 Null texts and texts without words are empty: linked with nothing, each its own component. Rows with a null doc_id link with nothing,
 have no component and are kept. Rows that share a doc_id are told apart by their sets; equal sets are one class.
@@ -23,12 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import U64, Words, batches, documents, load, materialize, mix, ngrams, picked, signed
 from .components import components
 
-REGISTERS, BAND, MANTISSA, TINY, BLOCK, MARGIN, BEST = 192, 4, 8, 7, 512, 4.5, 12
+REGISTERS, BAND, MANTISSA, TINY, BLOCK, MARGIN = 192, 4, 8, 7, 512, 4.5
 _SALT = U64(0xA5A5B4B4C3C3D2D2)
 
 
@@ -134,8 +136,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(keep, "a long, b long")
 
 
-def _sets(vids: DataFrame, classes: DataFrame, docs: DataFrame, k: int, cut: bool = False) -> DataFrame:
-    """vid, items: the sorted hashes of these classes' sets, made again from a text of each; cut: their upper 32 bits."""
+def _sets(vids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """vid, items: the sorted hashes of these classes' sets, made again from a text of each."""
     need = materialize(vids.join(classes.select("vid", "rep"), "vid"))
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,16 +145,18 @@ def _sets(vids: DataFrame, classes: DataFrame, docs: DataFrame, k: int, cut: boo
             found = shingles(part.column("text").to_pylist(), k)
             with np.errstate(over="ignore"):
                 vid = np.array([mix(s).sum(dtype=U64) for s in found], U64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(vid)), pa.array([((s >> U64(32)).astype(np.uint32) if cut else s).tobytes() for s in found], pa.binary())], ["vid", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(vid)), pa.array([s.tobytes() for s in found], pa.binary())], ["vid", "items"])
 
     items = picked(docs, need.select(F.col("rep").alias("doc_id")), "doc_id").mapInArrow(sets, "vid long, items binary")
     return materialize(items.join(need.select("vid"), "vid", "left_semi").dropDuplicates(["vid"]))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs whose full sets reach the threshold: 100 * intersection >= 75 * union for 0.75."""
-    percent = round(100 * threshold)
-    items = _sets(pairs.select(F.col("a").alias("vid")).union(pairs.select(F.col("b").alias("vid"))).distinct(), classes, docs, k)
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("vid")).union(pairs.select(F.col("b").alias("vid"))).distinct()
+
+
+def _verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold: 100 * intersection >= 75 * union for 75 percent."""
 
     def confirm(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -167,8 +171,52 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, thr
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirm, "a long, b long")
 
 
-def _by_cell(cell):
-    """Applies a function to the rows of each cell; the rows come sorted by cell."""
+def _postings(items: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """s, vid, n, pos, comp, alone: the shingles s in the prefixes of these sets, as prefix filtering has them.
+
+    Shingles are in one order for all sets: those that only one component has come first, since they are in no link between
+    components; then by the number of sets that have them. A set of n shingles that links to another component shares one of its first
+    n - ceil(percent % of n) + 1 with it. pos is the place in that order, alone the share of shingles that no other component has.
+    """
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("items")]
+            sizes = np.array([len(x) for x in sets])
+            vid, comp = (np.repeat(part.column(c).to_numpy(), sizes) for c in ("vid", "comp"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(vid), pa.array(np.repeat(sizes, sizes)), pa.array(comp)], ["s", "vid", "n", "comp"])
+
+    of = items.join(linked.select(F.col("u").alias("vid"), "component"), "vid", "left").select("vid", "items", F.coalesce("component", "vid").alias("comp"))
+    every = batches(of).mapInArrow(rows, "s long, vid long, n long, comp long")
+    shared = every.groupBy("s").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s", "df")
+    own = W.partitionBy("vid")
+    live = every.join(shared, "s").withColumn("live", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "s")))
+    live = live.withColumn("pos", F.col("n") - F.col("live") + F.col("rank")).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    return materialize(live.select("s", "vid", "n", "pos", "comp", (1 - F.col("live") / F.col("n")).alias("alone")))
+
+
+def _typical(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each posting with that of its shingle whose set has the smallest share of own shingles."""
+    centre = postings.groupBy("s").agg(F.min(F.struct("alone", F.col("vid").alias("v"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("of"))).alias("c"))
+    pairs = postings.join(centre.select("s", "c.*").drop("alone"), "s").where("comp <> of").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    pairs = pairs.where((100 + percent) * (1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))) >= percent * (F.col("n") + F.col("m")))
+    return pairs.select(F.least("vid", "v").alias("a"), F.greatest("vid", "v").alias("b")).distinct()
+
+
+def _crossing(percent: int):
+    """Rows (cell, vid, n, pos, comp), sorted by cell: the pairs (a, b) of different components whose sizes and places leave a link possible."""
+
+    def cell(t: pa.Table) -> pa.RecordBatch:
+        vid, n, pos, comp = (t.column(c).to_numpy() for c in ("vid", "n", "pos", "comp"))
+        out = [np.empty((2, 0), np.int64)]
+        kinds, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        for i in np.flatnonzero(inverse != counts.argmax()) if len(kinds) > 1 else ():
+            most = 1 + np.minimum(n - pos, n[i] - pos[i])
+            ok = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((100 + percent) * most >= percent * (n + n[i]))
+            j = np.flatnonzero(ok)
+            out.append(np.sort(np.stack([np.full(len(j), vid[i]), vid[j]]), 0))
+        pairs = np.unique(np.concatenate(out, 1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -186,73 +234,13 @@ def _by_cell(cell):
     return run
 
 
-def _likeliest(threshold: float, best: int):
-    """Rows (cell, vid, comp, n, regs): for each member (a) outside its cell's largest component the `best` partners (b) of other components by estimate."""
-
-    def cell(t: pa.Table) -> pa.RecordBatch:
-        vid, comp, n = (t.column(c).to_numpy() for c in ("vid", "comp", "n"))
-        regs, out = _as_registers(t.column("regs").combine_chunks()), []
-        kinds, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        cells, size, filled = _classes_of(n), n.astype(float), regs != 0
-        for i in np.flatnonzero(inverse != counts.argmax()) if len(kinds) > 1 else ():
-            j = np.flatnonzero((comp != comp[i]) & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]) - 1e-9))
-            if not len(j):
-                continue
-            on = np.maximum((filled[j] | filled[i]).sum(1), 1)
-            chance = cells[j] @ cells[i] / (1 << MANTISSA)
-            est = (((regs[j] == regs[i]) & filled[i]).sum(1) / on - chance) / (1 - chance)
-            top = np.flatnonzero((est >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / on)) | (on < 24))
-            top = top[np.argsort(-est[top], kind="stable")[: -(-best // 4)]]  # a member is in many cells
-            out.append((np.full(len(top), vid[i]), vid[j[top]], est[top]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "est"])
-
-    return _by_cell(cell)
-
-
-def _linking(threshold: float):
-    """Rows (cell, vid, comp, n, items: the set's hashes cut to 32 bits): all pairs of different components whose sets, so cut, come within 1 % of the threshold."""
-
-    def cell(t: pa.Table) -> pa.RecordBatch:
-        vid, comp, n = (t.column(c).to_numpy() for c in ("vid", "comp", "n"))
-        kinds, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        out = [np.empty((2, 0), np.int64)]
-        if len(kinds) > 1:
-            items = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("items")]
-            at = np.concatenate(([0], np.cumsum([len(x) for x in items])[:-1]))
-            place = np.unique(np.concatenate(items), return_inverse=True)[1]
-            own = np.split(place, at[1:])
-            for i in np.flatnonzero(inverse != counts.argmax()):
-                on = np.zeros(place.max() + 1, np.int64)
-                on[own[i]] = 1
-                both = np.add.reduceat(on[place], at)
-                j = np.flatnonzero((comp != comp[i]) & (both >= (threshold - 0.01) * (n + n[i] - both)))
-                out.append(np.stack([np.full(len(j), vid[i]), vid[j]]))
-        pairs = np.concatenate(out, 1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return _by_cell(cell)
-
-
-def _residual(members: DataFrame, linked: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: float, best: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a key: the `best` likeliest of each member outside its group's largest component; best = 0: all that link."""
-    m = members.join(linked.select(F.col("u").alias("vid"), "component"), "vid", "left").select("key", "vid", F.coalesce("component", "vid").alias("comp"))
-    mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("vid").cast("decimal(38,0)")).alias("all")).where("lo < hi")
-    mixed = mixed.groupBy("size", "all").agg(F.min("key").alias("key"))  # of keys with the same members one is enough
-    blocks = mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
-    m = m.join(blocks, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = m.withColumn("cell", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).select("cell", "vid", "comp")
-    dealt = lambda df: batches(df.repartition("cell").sortWithinPartitions("cell"), 2000)
-    if best:
-        found = dealt(cells.join(classes.select("vid", "n", "regs"), "vid")).mapInArrow(_likeliest(threshold, best), "a long, b long, est double")
-        top = found.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("est", "b")), False), 1, best).alias("top"))  # at most `best` from each of its groups
-        found = top.select("a", F.inline("top").alias("est", "b"))
-    else:
-        cells = materialize(cells)
-        items = _sets(cells.select("vid").distinct(), classes, docs, k, cut=True)
-        found = dealt(cells.join(classes.select("vid", "n"), "vid").join(items, "vid")).mapInArrow(_linking(threshold), "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _joined(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a posting's shingle, from cells of two blocks of at most some BLOCK postings."""
+    sizes = postings.groupBy("s").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    m = postings.join(sizes.select("s", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "s")
+    m = m.withColumn("mine", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = m.select(F.xxhash64("s", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "vid", "n", "pos", "comp")
+    return batches(cells.repartition("cell").sortWithinPartitions("cell"), 2000).mapInArrow(_crossing(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
@@ -266,15 +254,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> Dat
     members = materialize(keys.join(groups.drop("size"), "key"))
     edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     star = members.where("vid <> centre").select(F.least("centre", "vid").alias("a"), F.greatest("centre", "vid").alias("b")).distinct()
-    tried = materialize(_estimated(star, classes, threshold))
-    links = materialize(_verified(tried, classes, docs, k, threshold))
+    tried, percent = materialize(_estimated(star, classes, threshold)), round(100 * threshold)
+    links = materialize(_verified(tried, _sets(_ends(tried), classes, docs, k), percent))
     linked = components(edges(links))
-    members = members.select("key", "vid")
-    for best in (BEST, 0):
-        rest = materialize(_residual(members, linked, classes, docs, k, threshold, best).join(tried, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            links, tried = links.union(materialize(_verified(rest, classes, docs, k, threshold))), tried.union(rest)
-            linked = components(edges(links))
+    members = members.join(linked.select(F.col("u").alias("vid"), "component"), "vid", "left").select("key", "vid", F.coalesce("component", "vid").alias("comp"))
+    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key")
+    open_ = materialize(members.join(mixed, "key", "left_semi").select("vid").distinct())
+    if not open_.isEmpty():
+        items = _sets(open_, classes, docs, k)
+        for candidates in (_typical, _joined):
+            rest = materialize(candidates(_postings(items, linked, percent), percent).join(tried, ["a", "b"], "left_anti"))
+            if not rest.isEmpty():
+                rest = materialize(_estimated(rest, classes, threshold))
+                links, tried = links.union(materialize(_verified(rest, items, percent))), tried.union(rest)
+                linked = components(edges(links))
     of = classes.select("vid", "rep").join(linked.select(F.col("u").alias("vid"), "component"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
     of = of.join(least, "component").select(F.col("vid").alias("sig"), "component_id")
