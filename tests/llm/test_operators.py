@@ -218,3 +218,17 @@ def test_pipeline(spark):
     first = {int(c) for d, n, c in brute_components(docs) if n}
     assert kept <= first and len(kept) > 0.8 * len(first)
 
+
+
+def test_near_duplicates_of_a_family_against_brute_force(spark, monkeypatch):
+    """One text with up to a fifth of its words changed: links, near misses and members without any link share bands."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(160):
+        words = [f"w{j}" for j in range(150)]
+        for j in rng.choice(150, rng.integers(0, 14), replace=False):
+            words[j] = f"x{i}y{j}"
+        rows.append((1000 - i, " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows)
