@@ -89,3 +89,19 @@ def smallest_cover(events: DataFrame, group: str, order: str, key: str, anchors:
 def profile(edges: DataFrame) -> DataFrame:
     """edge_type, n_edges, n_sources, n_targets for each type."""
     return edges.groupBy("edge_type").agg(F.count("*").alias("n_edges"), F.count_distinct("source").alias("n_sources"), F.count_distinct("target").alias("n_targets"))
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """node, parent, previous, next, n_children: what INCLUSION and MAINLINE edges say of each node; one pass over the edges."""
+    kind = lambda k, c: F.when(F.col("edge_type") == k, F.col(c))
+    none = F.lit(None).cast("string")
+    ahead = edges.select(F.col("source").alias("node"), none.alias("parent"), none.alias("previous"), kind("MAINLINE", "target").alias("next"), kind("INCLUSION", "target").alias("child"))
+    behind = edges.select(F.col("target").alias("node"), kind("INCLUSION", "source").alias("parent"), kind("MAINLINE", "source").alias("previous"), none.alias("next"), none.alias("child"))
+    return ahead.unionByName(behind).groupBy("node").agg(F.max("parent").alias("parent"), F.max("previous").alias("previous"), F.max("next").alias("next"), F.count("child").alias("n_children"))
+
+
+def group_chain(rows: DataFrame, group: str, date: str, id_col: str, doc: str) -> DataFrame:
+    """group, source, target: consecutive rows of groups with several documents, where the document changes."""
+    w = Window.partitionBy(group).orderBy(date, id_col)
+    out = rows.select(group, F.col(id_col).alias("source"), F.lead(id_col).over(w).alias("target"), F.col(doc).alias("d"), F.lead(doc).over(w).alias("e"))
+    return out.where("d <> e").select(group, "source", "target")

@@ -60,3 +60,35 @@ def holm(tests: DataFrame, family: str, name: str, p: str) -> DataFrame:
     m = F.count("*").over(Window.partitionBy(family))
     stepped = tests.select(family, name, F.col(p).alias("p"), F.least(F.lit(1.0), (m - F.row_number().over(w) + 1) * F.col(p)).alias("x"))
     return stepped.select(family, name, F.round(F.max("x").over(Window.partitionBy(family).orderBy("p", name).rowsBetween(Window.unboundedPreceding, 0)), 9).alias("adjusted"))
+
+
+def round_rates(rows: DataFrame, by: str, round_col: str, score: Column) -> DataFrame:
+    """by, mean, spread: mean and population deviation, over rounds, of each round's mean score."""
+    rounds = rows.groupBy(by, round_col).agg(F.avg(score).alias("r"))
+    return rounds.groupBy(by).agg(F.round(F.avg("r"), 9).alias("mean"), F.round(F.stddev_pop("r"), 9).alias("spread"))
+
+
+def amortised(builds: DataFrame, questions: DataFrame, key: str, cost: str, own: str) -> DataFrame:
+    """key, n, per_question: each build's cost counted once and shared by its questions, plus their own mean cost."""
+    q = questions.groupBy(key).agg(F.count("*").alias("n"), F.sum(own).alias("own"))
+    return builds.select(key, cost).join(q, key).select(key, "n", F.round((F.col(cost) + F.col("own")) / F.col("n"), 6).alias("per_question"))
+
+
+def breakdown(rows: DataFrame, dims: list[str], value: str) -> DataFrame:
+    """dimension, level, n, mean: every dimension's levels and the total in one pass."""
+    pairs = F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("level")), *[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("level")) for d in dims])
+    return rows.select(F.inline(pairs), F.col(value).alias("v")).groupBy("dimension", "level").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"))
+
+
+def macro_difference(rows: DataFrame, stratum: str, first: str, second: str) -> DataFrame:
+    """n_strata, difference: the mean over strata of each stratum's mean paired difference."""
+    each = rows.groupBy(stratum).agg(F.avg(F.col(first) - F.col(second)).alias("d"))
+    return each.agg(F.count("d").alias("n_strata"), F.round(F.avg("d"), 9).alias("difference"))
+
+
+def strongest(rows: DataFrame, by: str, name: str, value: str) -> DataFrame:
+    """by, best, mean, lead: the name of the highest mean, and how far it is ahead of the second; ties to the smaller name."""
+    w = Window.partitionBy(by).orderBy(F.desc("mean"), name)
+    means = rows.groupBy(by, name).agg(F.round(F.avg(value), 6).alias("mean"))
+    out = means.select(by, F.col(name).alias("best"), "mean", F.round(F.col("mean") - F.lead("mean").over(w), 6).alias("lead"), F.row_number().over(w).alias("rn"))
+    return out.where("rn = 1").drop("rn")

@@ -45,3 +45,9 @@ def adjacent_excerpts(items: DataFrame, group: str, order: str, text: str, tail:
     """The end of each item's predecessor beside the item's own beginning."""
     before = F.lag(text).over(Window.partitionBy(group).orderBy(order))
     return items.select(group, order, F.expr(f"right(lag({text}) over (partition by {group} order by {order}), {tail})").alias("tail"), F.substring(text, 1, head).alias("head"), before.alias("b")).where("b is not null").drop("b")
+
+
+def kept_order(rows: DataFrame, group: str, order: str, value: str, sep: str = "|") -> DataFrame:
+    """group, kept: each group's distinct trimmed non-empty values by first place, joined. Grouped by value first."""
+    first = rows.select(group, F.trim(value).alias("v"), order).where("v <> ''").groupBy(group, "v").agg(F.min(order).alias("at"))
+    return first.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]), sep).alias("kept"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import audits as A
 from ..operators import graphs as G
 from ..operators import retrieval as R
 from ..operators import scoring as K
@@ -389,3 +390,78 @@ def n7_incremental(spark, sf_dir):
     old = docs.where("doc_id % 5 <> 0").select("doc_id", F.sha2("text", 256).alias("h"))
     new = docs.where("doc_id % 3 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("h"))
     return N.changed(old, new, "doc_id", "h")
+
+
+@_query("SELECT conv_id, string_agg(v, '|' ORDER BY place, v) AS kept FROM (SELECT conv_id, trim(role) AS v, min(turn) AS place FROM conversations WHERE trim(role) <> '' GROUP BY ALL) GROUP BY conv_id")
+def b14_kept_order(spark, sf_dir):
+    return C.kept_order(_TURNS(spark, sf_dir), "conv_id", "turn", "role")
+
+
+@_query("""SELECT CAST(o_custkey AS BIGINT) AS o_custkey, source, target FROM (SELECT o_custkey, o_orderkey AS source, lead(o_orderkey) OVER w AS target, o_orderpriority AS d, lead(o_orderpriority) OVER w AS e FROM orders
+  WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE d <> e""")
+def e21_group_chain(spark, sf_dir):
+    return G.group_chain(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority")
+
+
+@_query("""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS parent, conv_id || ':' || turn AS node, conv_id, turn FROM conversations)
+  SELECT node, parent, lag(node) OVER w AS previous, lead(node) OVER w AS next, 0 AS n_children FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+  UNION ALL SELECT parent, NULL, NULL, NULL, count(*) FROM t GROUP BY parent""")
+def f1_neighbours(spark, sf_dir):
+    turns = _TURNS(spark, sf_dir).select(F.col("conv_id").cast("string").alias("parent"), F.concat_ws(":", "conv_id", "turn").alias("node"), "turn")
+    return G.neighbours(G.ordered_children(turns, "parent", "node", "turn"))
+
+
+@_query("SELECT source, round(avg(r), 9) AS mean, round(stddev_pop(r), 9) AS spread FROM (SELECT source, lang, avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN quality = 1 THEN 0.5 ELSE 0.0 END) AS r FROM documents JOIN labels USING (doc_id) GROUP BY ALL) GROUP BY source")
+def k9_round_rates(spark, sf_dir):
+    rows = _DOCS(spark, sf_dir).select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    return K.round_rates(rows, "source", "lang", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.0).when(F.col("quality") == 1, 0.5).otherwise(0.0))
+
+
+@_query("SELECT o_orderkey, n, round((o_totalprice + own) / n, 6) AS per_question FROM orders JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n, sum(l_quantity) AS own FROM lineitem GROUP BY l_orderkey) USING (o_orderkey)")
+def k15_amortised(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
+    return K.amortised(table(spark, sf_dir, "orders"), items, "o_orderkey", "o_totalprice", "l_quantity")
+
+
+@_query("""SELECT 'all' AS dimension, 'all' AS level, count(n_chars) AS n, round(avg(n_chars), 6) AS mean FROM documents
+  UNION ALL SELECT 'source', source, count(n_chars), round(avg(n_chars), 6) FROM documents GROUP BY source UNION ALL SELECT 'lang', lang, count(n_chars), round(avg(n_chars), 6) FROM documents GROUP BY lang""")
+def l2_breakdown(spark, sf_dir):
+    return K.breakdown(_DOCS(spark, sf_dir), ["source", "lang"], "n_chars")
+
+
+@_query("SELECT user_id, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 9) AS failed, round(avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END), 9) AS missing FROM events GROUP BY user_id")
+def l3_rates(spark, sf_dir):
+    return A.rates(_EVENTS(spark, sf_dir), "user_id", failed=F.col("event_type") == "error", missing=F.col("value").isNull())
+
+
+@_query("SELECT count(d) AS n_strata, round(avg(d), 9) AS difference FROM (SELECT avg(quality - toxic) AS d FROM documents JOIN labels USING (doc_id) GROUP BY source)")
+def l8_macro_difference(spark, sf_dir):
+    return K.macro_difference(_DOCS(spark, sf_dir).select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id"), "source", "quality", "toxic")
+
+
+@_query("""WITH m AS (SELECT lang, source AS best, round(avg(n_chars), 6) AS mean FROM documents GROUP BY ALL),
+  r AS (SELECT *, round(mean - lead(mean) OVER w, 6) AS lead, row_number() OVER w AS rn FROM m WINDOW w AS (PARTITION BY lang ORDER BY mean DESC, best)) SELECT lang, best, mean, lead FROM r WHERE rn = 1""")
+def l10_strongest(spark, sf_dir):
+    return K.strongest(_DOCS(spark, sf_dir), "lang", "source", "n_chars")
+
+
+@_query("SELECT source, count(*) AS n, count(DISTINCT doc_id) AS n_ids, CASE WHEN count(*) <> count(DISTINCT doc_id) THEN 'repeated' WHEN count(*) < 30 THEN 'short' ELSE 'ok' END AS verdict FROM documents GROUP BY source")
+def m1_protocol(spark, sf_dir):
+    return A.protocol(_DOCS(spark, sf_dir), "source", "doc_id", 30)
+
+
+@_query("""WITH x AS (SELECT event_type, user_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS d FROM events), s AS (SELECT event_type, user_id, CAST(sum(d) AS BIGINT) AS d FROM x GROUP BY ALL)
+  SELECT event_type, user_id, CASE WHEN d > 0 THEN 'left' ELSE 'right' END AS side, abs(d) AS surplus FROM s WHERE d <> 0""")
+def m3_multiset_difference(spark, sf_dir):
+    rows = _EVENTS(spark, sf_dir)
+    return A.multiset_difference(rows.where("event_id % 2 = 0").select("event_type", "user_id"), rows.where("event_id % 2 <> 0").select("event_type", "user_id"))
+
+
+@_query("SELECT doc_id, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id")
+def m4_dangling(spark, sf_dir):
+    return A.dangling(_DOCS(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id", "doc_id")
+
+
+@_query("SELECT conv_id, count(*) AS n, max(turn) AS last, count(*) = count(DISTINCT turn) AND max(turn) - min(turn) + 1 = count(*) AS closed FROM conversations GROUP BY conv_id")
+def m10_ledger(spark, sf_dir):
+    return A.ledger(_TURNS(spark, sf_dir), "conv_id", "turn")
