@@ -2,7 +2,8 @@
 
 1. Each document's set of distinct 5-word shingles is hashed to 64 bits; equal sets form one class (a grouped count), so
    copies never meet in pairs. A class has 192 registers: the smallest hash of each bucket as leading-zero count
-   plus 8 mantissa bits.
+   plus 8 mantissa bits. Buckets that a small set leaves empty are filled from further rounds of hashing, so that keys of short
+   texts are as selective as those of long ones.
 2. Bands of 4 registers are keys, packed without loss into one long. Two sets of similarity 0.75 miss all 48 bands with a
    chance of 1e-8. Sets of up to 7 shingles also take each shingle as a key, which is exact where bands are weakest.
 3. In every key's group the members are compared with the group's smallest member. Collision-corrected Jaccard
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, batches, documents, load, materialize, mix, ngrams, picked, signed
 from .components import components
 
-REGISTERS, BAND, MANTISSA, TINY, BLOCK, MARGIN = 192, 4, 8, 7, 512, 4.5
+REGISTERS, BAND, MANTISSA, ROUNDS, TINY, BLOCK, MARGIN = 192, 4, 8, 32, 7, 512, 4.5
 _SALT = U64(0xA5A5B4B4C3C3D2D2)
 
 
@@ -50,23 +51,39 @@ def shingles(texts: list, k: int = 5, lower: bool = True) -> list[np.ndarray]:
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """HyperMinHash registers, one row per set: 256 * (leading zeros + 1) + mantissa of each bucket's smallest hash; 0: empty."""
-    sizes = np.array([len(s) for s in sets])
-    h = np.concatenate(sets) if len(sets) else np.empty(0, U64)
-    bucket = ((h >> U64(32)) * U64(REGISTERS)) >> U64(32)
-    low = np.full(len(sets) * REGISTERS, np.iinfo(np.uint64).max, U64)
-    np.minimum.at(low, np.repeat(np.arange(len(sets)), sizes) * REGISTERS + bucket.astype(np.int64), mix(h ^ _SALT) >> U64(1))
-    empty = low == np.iinfo(np.uint64).max
-    low = np.maximum(low, U64(1))
+    """HyperMinHash registers, one row per set: 256 * (leading zeros + 1) + mantissa of each bucket's smallest hash; 0: the set is empty.
+
+    A bucket that a set leaves empty takes its hash from the next of ROUNDS rounds, each of which deals the shingles anew; what
+    is still empty then takes the smallest hash of all the set's shingles. So all registers of a small set tell as much as a large set's.
+    """
+    sizes, top = np.array([len(s) for s in sets], np.int64), np.iinfo(np.uint64).max
+    low = np.full((len(sets), REGISTERS), top, U64)
+    todo = np.flatnonzero(sizes)
+    for turn in range(ROUNDS):
+        if not len(todo):
+            break
+        h = np.concatenate([sets[i] for i in todo])
+        h = mix(h ^ U64(turn * 0x9E3779B97F4A7C15 % (1 << 64))) if turn else h
+        place = np.repeat(np.arange(len(todo)), sizes[todo]) * REGISTERS + (((h >> U64(32)) * U64(REGISTERS)) >> U64(32)).astype(np.int64)
+        now = np.full(len(todo) * REGISTERS, top, U64)
+        np.minimum.at(now, place, np.maximum(mix(h ^ _SALT) >> U64(1), U64(1)))
+        old = low[todo]
+        low[todo] = np.where(old == top, now.reshape(-1, REGISTERS), old)
+        todo = todo[(low[todo] == top).any(1)]
+    for i in todo:
+        at = np.flatnonzero(low[i] == top)
+        each = mix(sets[i][:, None] ^ mix(_SALT + at.astype(U64))[None, :]) >> U64(1)
+        low[i, at] = np.maximum(each.min(0), U64(1))
+    empty = low == top
     zeros = np.minimum(63 - np.frexp(low.astype(np.float64))[1], 61).clip(0)
     mantissa = (low << (zeros.astype(U64) + U64(2))) >> U64(64 - MANTISSA)
-    return np.where(empty, 0, (zeros + 1) * (1 << MANTISSA) + mantissa.astype(np.int64)).astype(np.uint16).reshape(len(sets), REGISTERS)
+    return np.where(empty, 0, (zeros + 1) * (1 << MANTISSA) + mantissa.astype(np.int64)).astype(np.uint16)
 
 
 def _classes_of(n: np.ndarray) -> np.ndarray:
     """For sets of n shingles, the chance of each leading-zero class of a register."""
     edge = 2.0 ** -np.arange(0, 40)
-    return -np.diff(1 - (1 - edge[None, :]) ** (np.maximum(n, 1.0)[:, None] / REGISTERS), axis=1)
+    return -np.diff(1 - (1 - edge[None, :]) ** np.maximum(n / REGISTERS, 1.0)[:, None], axis=1)
 
 
 def _chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
