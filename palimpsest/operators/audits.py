@@ -34,3 +34,12 @@ def ledger(rows: DataFrame, group: str, order: str) -> DataFrame:
 def rates(rows: DataFrame, by: str, **conditions: Column) -> DataFrame:
     """by, n and the share of rows that meet each condition; a null condition is not met."""
     return rows.groupBy(by).agg(F.count("*").alias("n"), *[F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 9).alias(k) for k, c in conditions.items()])
+
+
+def reconciled(expected: DataFrame, found: DataFrame, id_col: str, subset: str) -> DataFrame:
+    """subset, n_expected, n_found, n_missing, n_extra, complete: ids of two tables compared in each subset."""
+    one = lambda df, flag: df.select(subset, id_col).distinct().withColumn(flag, F.lit(True))
+    both = one(expected, "_e").join(one(found, "_f"), [subset, id_col], "full")
+    e, f = F.col("_e").isNotNull(), F.col("_f").isNotNull()
+    out = both.groupBy(subset).agg(F.count_if(e).alias("n_expected"), F.count_if(f).alias("n_found"), F.count_if(e & ~f).alias("n_missing"), F.count_if(f & ~e).alias("n_extra"))
+    return out.withColumn("complete", (F.col("n_missing") == 0) & (F.col("n_extra") == 0))

@@ -105,3 +105,24 @@ def group_chain(rows: DataFrame, group: str, date: str, id_col: str, doc: str) -
     w = Window.partitionBy(group).orderBy(date, id_col)
     out = rows.select(group, F.col(id_col).alias("source"), F.lead(id_col).over(w).alias("target"), F.col(doc).alias("d"), F.lead(doc).over(w).alias("e"))
     return out.where("d <> e").select(group, "source", "target")
+
+
+def timeline(rows: DataFrame, parent: str, speaker: str, order: str) -> DataFrame:
+    """source, target, edge_type: SPOKE from each speaker of a parent to its rows, NEXT between a speaker's rows in order."""
+    row, who = F.concat_ws(":", parent, order), F.concat_ws(":", parent, speaker)
+    rows = rows.select(who.alias("who"), row.alias("target"), F.lag(row).over(Window.partitionBy(parent, speaker).orderBy(order)).alias("before"))
+    kinds = F.array(F.struct(F.col("who").alias("source"), "target", F.lit("SPOKE").alias("edge_type")), F.struct(F.col("before").alias("source"), "target", F.lit("NEXT").alias("edge_type")))
+    return rows.select(F.inline(kinds)).where(F.col("source").isNotNull())
+
+
+def category_tree(chunks: DataFrame, category: str, doc: str, chunk: str) -> DataFrame:
+    """source, target, edge_type: CATEGORY to each document, CHUNK to each of a document's chunks. chunks has a row for each chunk."""
+    of = chunks.select(F.col(category).cast("string").alias("source"), F.col(doc).cast("string").alias("target")).distinct().withColumn("edge_type", F.lit("CATEGORY"))
+    return of.union(chunks.select(F.col(doc).cast("string"), F.concat_ws(":", doc, chunk), F.lit("CHUNK")))
+
+
+def temporal_chain(rows: DataFrame, source: str, date: str, id_col: str) -> DataFrame:
+    """source, earlier, later: neighbours among the dated rows of a source. Names of sources are compared by their lower-case letters and digits; rows without date take no part."""
+    key = F.regexp_replace(F.lower(F.col(source).cast("string")), r"[^\p{L}\p{N}]", "")
+    rows = rows.where(F.col(date).isNotNull()).select(key.alias("source"), date, F.col(id_col).alias("earlier"))
+    return rows.withColumn("later", F.lead("earlier").over(Window.partitionBy("source").orderBy(date, "earlier"))).where(F.col("later").isNotNull()).drop(date)

@@ -74,3 +74,16 @@ def contained_in(claims: DataFrame, sources: DataFrame, c_id: str, s_id: str, te
     grams = s.select("source", F.explode(F.array_distinct(F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(words)])))).alias("head"))
     pairs = c.join(grams, "head").select("claim", "c", "source").join(s, "source")
     return pairs.where(F.expr("contains(concat(' ', s, ' '), concat(' ', c, ' '))")).select("claim", "source").distinct()
+
+
+def group_rank(rows: DataFrame, group: str, id_col: str, score: str) -> DataFrame:
+    """group, best, mean_top, total: the best fragment's score plus a fifth of the mean of the three best; ties go to the smaller id."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), id_col))
+    top = rows.where(F.col(score).isNotNull()).withColumn("r", rank).where("r <= 3").groupBy(group).agg(F.max(score).alias("best"), F.round(F.avg(score), 6).alias("mean_top"))
+    return top.withColumn("total", F.round(F.col("best") + 0.2 * F.col("mean_top"), 6))
+
+
+def scheduled(items: DataFrame, positions: DataFrame, key: str, at: str, opens: int, closes: int) -> DataFrame:
+    """key, at, origin: for each position, the items of its key that were planted `opens` to `closes` positions before it."""
+    due = items.select(key, F.col(at).alias("origin"), F.explode(F.sequence(F.col(at) + opens, F.col(at) + closes)).alias(at)).distinct()
+    return positions.select(key, at).distinct().join(due, [key, at])

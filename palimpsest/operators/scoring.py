@@ -92,3 +92,25 @@ def strongest(rows: DataFrame, by: str, name: str, value: str) -> DataFrame:
     means = rows.groupBy(by, name).agg(F.round(F.avg(value), 6).alias("mean"))
     out = means.select(by, F.col(name).alias("best"), "mean", F.round(F.col("mean") - F.lead("mean").over(w), 6).alias("lead"), F.row_number().over(w).alias("rn"))
     return out.where("rn = 1").drop("rn")
+
+
+def judged(judgments: DataFrame, rows: DataFrame, id_col: str, digest: str, group: str, correct: str) -> DataFrame:
+    """group (null: all), n, n_stale, accuracy: over judgments whose digest is still that of the row; the others are counted as stale."""
+    now = rows.select(id_col, group, F.col(digest).alias("_now"))
+    seen = judgments.join(now, id_col).withColumn("_fresh", F.coalesce(F.col(digest) == F.col("_now"), F.lit(False)))
+    fresh = F.when(F.col("_fresh"), F.col(correct))
+    return seen.rollup(group).agg(F.count(fresh).alias("n"), F.count_if(~F.col("_fresh")).alias("n_stale"), F.round(F.avg(fresh), 6).alias("accuracy"))
+
+
+def unit_costs(rows: DataFrame, method: str, cost: str, progress: Column) -> DataFrame:
+    """method, n, n_progress, rate, unit_cost: cost of a step of progress; null where a method made none."""
+    n, made = F.count(F.lit(1)), F.count_if(progress)
+    out = rows.groupBy(method).agg(n.alias("n"), made.alias("n_progress"), F.sum(cost).alias("_cost"))
+    return out.select(method, "n", "n_progress", F.round(F.col("n_progress") / F.col("n"), 6).alias("rate"), F.round(F.col("_cost") / F.nullif(F.col("n_progress"), F.lit(0)), 4).alias("unit_cost"))
+
+
+def deltas(rows: DataFrame, run: str, method: str, value: str, baseline: str) -> DataFrame:
+    """run, method, mean, delta: each method's mean less the baseline's in the same run; null where the run has no baseline."""
+    means = rows.groupBy(run, method).agg(F.avg(value).alias("_mean"))
+    base = means.where(F.col(method) == baseline).select(run, F.col("_mean").alias("_base"))
+    return means.join(base, run, "left").select(run, method, F.round("_mean", 6).alias("mean"), F.round(F.col("_mean") - F.col("_base"), 6).alias("delta"))

@@ -69,3 +69,10 @@ def trimmed(docs: DataFrame, id_col: str, text: str, most: int, marker: str) ->
     n, head = F.length(text), most // 2
     cut = F.concat(F.substring(text, 1, head), F.lit(marker), F.substring(F.col(text), n - (most - head) + 1, F.lit(most - head)))
     return docs.select(id_col, (n > most).alias("cut"), F.when(n > most, cut).otherwise(F.col(text)).alias("body"))
+
+
+def split_at_marker(text: Column, marker: str) -> tuple[Column, Column]:
+    """What comes before the first marker, and what comes after; without a marker all of it comes before and nothing after."""
+    at = F.locate(marker, text)
+    head = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
+    return head, F.when(at > 0, F.substring(text, at + len(marker), F.length(text))).otherwise(F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,13 @@ def kept_order(rows: DataFrame, group: str, order: str, value: str, sep: str = "
     """group, kept: each group's distinct trimmed non-empty values by first place, joined. Grouped by value first."""
     first = rows.select(group, F.trim(value).alias("v"), order).where("v <> ''").groupBy(group, "v").agg(F.min(order).alias("at"))
     return first.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]), sep).alias("kept"))
+
+
+def first_ids(parents: DataFrame, dependents: DataFrame, id_col: str, n: int, offset: int = 0) -> DataFrame:
+    """The dependents of the n parents that follow the first `offset` in order of their distinct ids."""
+    return dependents.join(parents.select(id_col).distinct().orderBy(id_col).offset(offset).limit(n), id_col, "left_semi")
+
+
+def first_text(*columns: Column) -> Column:
+    """The first column that is not empty when trimmed; null if all are."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])

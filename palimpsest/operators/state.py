@@ -38,3 +38,11 @@ def reconciled(expected: DataFrame, found: DataFrame, id_col: str, value: str) -
     e, f = expected.select(id_col, F.col(value).alias("e"), F.lit(1).alias("in_e")), found.select(id_col, F.col(value).alias("f"), F.lit(1).alias("in_f"))
     both = e.join(f, id_col, "full_outer")
     return both.select(id_col, F.when(F.col("in_f").isNull(), "missing").when(F.col("in_e").isNull(), "extra").when(F.col("e").eqNullSafe(F.col("f")), "match").otherwise("mismatch").alias("verdict"))
+
+
+def batch_ledger(rows: DataFrame, id_col: str, size: int, text: str) -> DataFrame:
+    """batch, n, digest: `size` places of ids to a batch, with a digest of its ids and texts in order, by which a later run knows what is done."""
+    line = F.concat_ws(":", F.col(id_col).cast("string"), F.sha2(F.coalesce(text, F.lit("")), 256))
+    ordered = F.array_sort(F.collect_list(F.struct(id_col, line.alias("x"))))
+    out = rows.groupBy(F.floor(F.col(id_col) / size).alias("batch")).agg(F.count("*").alias("n"), ordered.alias("_rows"))
+    return out.select("batch", "n", F.sha2(F.array_join(F.transform("_rows", lambda r: r["x"]), "\n"), 256).alias("digest"))

@@ -465,3 +465,83 @@ def m4_dangling(spark, sf_dir):
 @_query("SELECT conv_id, count(*) AS n, max(turn) AS last, count(*) = count(DISTINCT turn) AND max(turn) - min(turn) + 1 = count(*) AS closed FROM conversations GROUP BY conv_id")
 def m10_ledger(spark, sf_dir):
     return A.ledger(_TURNS(spark, sf_dir), "conv_id", "turn")
+
+
+@_query("SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE lang END), ''), nullif(trim(source), '')) AS value FROM documents")
+def b1_first_text(spark, sf_dir):
+    return _DOCS(spark, sf_dir).select("doc_id", C.first_text(F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.col("lang")), F.col("source")).alias("value"))
+
+
+@_query("SELECT doc_id, quality, toxic FROM labels WHERE doc_id IN (SELECT DISTINCT doc_id FROM documents ORDER BY doc_id LIMIT 300 OFFSET 50)")
+def c3_first_ids(spark, sf_dir):
+    return C.first_ids(_DOCS(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id", 300, 50)
+
+
+@_query("""SELECT conv_id, turn, CASE WHEN strpos(text, '. ') > 0 THEN substr(text, 1, strpos(text, '. ') - 1) ELSE text END AS head, CASE WHEN strpos(text, '. ') > 0 THEN substr(text, strpos(text, '. ') + 2) ELSE '' END AS rest FROM conversations""")
+def d7_split_at_marker(spark, sf_dir):
+    head, rest = D.split_at_marker(F.col("text"), ". ")
+    return _TURNS(spark, sf_dir).select("conv_id", "turn", head.alias("head"), rest.alias("rest"))
+
+
+@_query("""SELECT conv_id || ':' || role AS source, conv_id || ':' || turn AS target, 'SPOKE' AS edge_type FROM conversations UNION ALL
+  SELECT * FROM (SELECT lag(conv_id || ':' || turn) OVER (PARTITION BY conv_id, role ORDER BY turn) AS source, conv_id || ':' || turn AS target, 'NEXT' AS edge_type FROM conversations) WHERE source IS NOT NULL""")
+def e6_timeline(spark, sf_dir):
+    return G.timeline(_TURNS(spark, sf_dir), "conv_id", "role", "turn")
+
+
+@_query(f"""WITH t AS (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), {_TOKEN}) AS t FROM documents), s AS (SELECT doc_id, source, unnest(range(0, len(t), 512)) // 512 AS w FROM t)
+  SELECT DISTINCT source, CAST(doc_id AS VARCHAR) AS target, 'CATEGORY' AS edge_type FROM s UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id || ':' || w, 'CHUNK' FROM s""")
+def e8_category_tree(spark, sf_dir):
+    docs = _DOCS(spark, sf_dir)
+    return G.category_tree(D.token_windows(docs, 512).select("doc_id", "window").join(docs.select("doc_id", "source"), "doc_id"), "source", "doc_id", "window")
+
+
+@_query("""SELECT * FROM (SELECT regexp_replace(lower(CAST(o_custkey AS VARCHAR)), '[^\\pL\\pN]', '', 'g') AS source, o_orderkey AS earlier, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS later FROM orders WHERE o_orderdate IS NOT NULL) WHERE later IS NOT NULL""")
+def e11_temporal_chain(spark, sf_dir):
+    return G.temporal_chain(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
+
+
+@_query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE value IS NOT NULL),
+  t AS (SELECT user_id, max(value) AS best, round(avg(value), 6) AS mean_top FROM r WHERE r <= 3 GROUP BY user_id) SELECT *, round(best + 0.2 * mean_top, 6) AS total FROM t""")
+def g15_group_rank(spark, sf_dir):
+    return R.group_rank(_EVENTS(spark, sf_dir), "user_id", "event_id", "value")
+
+
+@_query("""SELECT DISTINCT p.conv_id, p.turn, i.turn AS origin FROM conversations p JOIN conversations i ON p.conv_id = i.conv_id AND p.turn BETWEEN i.turn + 2 AND i.turn + 4 WHERE i.role = 'user'""")
+def g21_scheduled(spark, sf_dir):
+    turns = _TURNS(spark, sf_dir)
+    return R.scheduled(turns.where("role = 'user'"), turns, "conv_id", "turn", 2, 4)
+
+
+@_query("""WITH d AS (SELECT doc_id, lang, sha256(coalesce(text, '')) AS digest FROM documents), j AS (SELECT l.doc_id, l.quality, CASE WHEN l.doc_id % 5 = 0 THEN 'old' ELSE sha256(coalesce(d.text, '')) END AS digest FROM labels l JOIN documents d USING (doc_id)),
+  s AS (SELECT d.lang, quality, j.digest = d.digest AS fresh FROM j JOIN d USING (doc_id))
+  SELECT lang, count(*) FILTER (fresh) AS n, count(*) FILTER (NOT fresh) AS n_stale, round(avg(quality) FILTER (fresh), 6) AS accuracy FROM s GROUP BY ROLLUP (lang)""")
+def k10_judged(spark, sf_dir):
+    docs = _DOCS(spark, sf_dir).select("doc_id", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    judgments = table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "quality", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("digest")).alias("digest"))
+    return K.judged(judgments, docs, "doc_id", "digest", "lang", "quality")
+
+
+@_query("""SELECT event_type, count(*) AS n, count(*) FILTER (value > 90) AS n_progress, round(count(*) FILTER (value > 90) / count(*), 6) AS rate, round(sum(value) / nullif(count(*) FILTER (value > 90), 0), 4) AS unit_cost FROM events GROUP BY event_type""")
+def k16_unit_costs(spark, sf_dir):
+    return K.unit_costs(_EVENTS(spark, sf_dir), "event_type", "value", F.col("value") > 90)
+
+
+@_query("""WITH m AS (SELECT user_id, event_type, avg(value) AS mean FROM events GROUP BY ALL)
+  SELECT m.user_id, m.event_type, round(m.mean, 6) AS mean, round(m.mean - b.mean, 6) AS delta FROM m LEFT JOIN (SELECT user_id, mean FROM m WHERE event_type = 'purchase') b USING (user_id)""")
+def l11_deltas(spark, sf_dir):
+    return K.deltas(_EVENTS(spark, sf_dir), "user_id", "event_type", "value", "purchase")
+
+
+@_query("""WITH e AS (SELECT DISTINCT lang, doc_id FROM documents), f AS (SELECT DISTINCT CASE WHEN doc_id % 50 = 0 THEN 'other' ELSE lang END AS lang, doc_id FROM documents SEMI JOIN labels USING (doc_id)),
+  x AS (SELECT lang, doc_id, e.doc_id IS NOT NULL AS e, f.doc_id IS NOT NULL AS f FROM e FULL JOIN f USING (lang, doc_id))
+  SELECT lang, count(*) FILTER (e) AS n_expected, count(*) FILTER (f) AS n_found, count(*) FILTER (e AND NOT f) AS n_missing, count(*) FILTER (f AND NOT e) AS n_extra, count(*) FILTER (e <> f) = 0 AS complete FROM x GROUP BY lang""")
+def m2_reconciled(spark, sf_dir):
+    docs = _DOCS(spark, sf_dir)
+    found = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("lang", F.when(F.col("doc_id") % 50 == 0, "other").otherwise(F.col("lang")))
+    return A.reconciled(docs, found, "doc_id", "lang")
+
+
+@_query("""SELECT doc_id // 64 AS batch, count(*) AS n, sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY batch""")
+def n8_batch_ledger(spark, sf_dir):
+    return N.batch_ledger(_DOCS(spark, sf_dir), "doc_id", 64, "text")
