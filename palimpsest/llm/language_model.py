@@ -11,8 +11,8 @@ Bigrams are not rows: a task hands each shard packed arrays (64-bit keys, the te
 Words are 64-bit hashes; a bigram's key holds 32 bits of the context besides the shard, and 32 of the word.
 
 1. Unigram counts, added up in each task before the shuffle; the `TOP` most frequent words are broadcast (a fixed size).
-   The words below take part in the interpolation as one class, with its mean count; n_known and base_score are
-   exact for all words, as the rest meets the counts in a shuffle.
+   The bigrams of the words below meet the counts in a shuffle by word, which sends the counts on to the bigrams' shards: every
+   word has its own count, and unseen words have the floor alone.
 2. One shuffle brings bigrams to their context's shard. A context above a quarter of a shard's share is split by its words,
    with its total from step 1.
 3. Partial sums meet again by text.
@@ -39,6 +39,7 @@ END = U64(0x5DEECE66D1234567)
 _LEVELS = np.unique(np.round(2.0 ** np.arange(0, 44, 0.5))).astype(np.int64)
 _UNIGRAMS = "kind int, bucket int, keys binary, counts binary, levels array<long>, n long, n_kept long"
 _PACKED = "kind int, bucket int, base long, keys binary, at binary, n binary, code binary, more binary"
+_COUNTS = "kind int, bucket int, base long, keys binary, code binary"
 _PART = "bucket int, kind int, rows binary, ids binary, n binary, known binary, base binary, score binary"
 
 
@@ -113,26 +114,90 @@ def _look(top: dict, words: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == words, at, -1)
 
 
+def _near(c: np.ndarray, exact: bool) -> np.ndarray:
+    """The counts, or where they have too many values for codes of 16 bits, those nearest at 1024 steps an octave."""
+    return c if exact else np.where(c > 0, np.round(2.0 ** (np.round(np.log2(np.maximum(c, 1)) * 1024) / 1024)), 0).astype(np.int64)
+
+
+def _codes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some counts, 0 first, and each count's place among them."""
+    values = np.unique(np.append(c, 0))
+    exact = len(values) <= 1 << 16
+    values = np.unique(_near(values, exact))
+    return values, np.searchsorted(values, _near(c, exact)).astype(np.uint16)
+
+
+def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for i in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+        yield i, order[edge[i] : edge[i + 1]]
+
+
+def _bigrams(part: pa.RecordBatch, top: dict, buckets: int) -> tuple:
+    """Tokens, text offsets, each token's row of the broadcast counts, and its bigram's context, key, shard and whether that is split."""
+    tok, off = _tokens(part.column("text").to_pylist())
+    word, inverse = np.unique(tok, return_inverse=True)
+    row = _look(top, word)[inverse]
+    c = np.append(top["total"], 0)[row]
+    # the end token stands before each text too
+    before, left = np.concatenate(([END], tok[:-1])), np.concatenate(([0], c[:-1]))
+    left[off[:-1]] = top["end"]
+    before[off[:-1]] = END
+    key = (before & U64(0xFFFFFFFF00000000)) | (tok >> U64(32))
+    parts_of = np.maximum(1, np.ceil(left * (4.0 * buckets / max(1, top["n"])))).astype(U64)
+    hot = parts_of > 1
+    shard = np.where(hot, mix(before + (tok >> U64(7)) % parts_of), before & U64(0xFFFFFFFF)) % U64(buckets)
+    return tok, off, row, before, key, shard.astype(np.int32), hot
+
+
+def _emit_rare(shared, buckets: int):
+    """The bigrams of words outside the broadcast ones, by the word's bucket: words, upper halves of contexts, shards."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            tok, _, row, _, key, shard, _ = _bigrams(part, shared.value, buckets)
+            rare = np.flatnonzero(row < 0)
+            rare = rare[np.unique(key[rare] ^ mix(tok[rare] + shard[rare].astype(U64)), return_index=True)[1]]
+            out = [(1, i, 0, tok[rare[o]].tobytes(), np.stack([(key[rare[o]] >> U64(32)).astype(np.uint32), shard[rare[o]].astype(np.uint32)]).tobytes()) for i, o in _split((tok[rare] % U64(buckets)).astype(np.int32), buckets)]
+            yield _rows(out, ["kind", "bucket", "base", "keys", "code"], [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])
+
+    return run
+
+
+def _counts_for(buckets: int):
+    """The counts (all, kept) of these bigrams' words, by shard."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        model, g = g[g["base"] < 0], g[g["base"] >= 0]
+        if not len(model) or not len(g):
+            return pd.DataFrame({"kind": [], "bucket": [], "base": [], "keys": [], "code": []})
+        keys, count = np.frombuffer(model["keys"].iloc[0], U64), np.frombuffer(model["code"].iloc[0], np.int64).reshape(-1, 2)
+        word = np.concatenate([np.frombuffer(x, U64) for x in g["keys"]])
+        context, shard = np.concatenate([np.frombuffer(x, np.uint32).reshape(2, -1) for x in g["code"]], 1)
+        at = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
+        seen = np.flatnonzero(keys[at] == word)
+        key = context[seen].astype(U64) << U64(32) | word[seen] >> U64(32)
+        first = np.unique(key ^ mix(word[seen] + shard[seen].astype(U64)), return_index=True)[1]
+        key, at, shard = key[first], at[seen[first]], shard[seen[first]].astype(np.int32)
+        counts = np.stack([count[at].sum(1), count[at, 0]], 1).astype(np.uint32)
+        rows = [(0, i, -1, key[o].tobytes(), counts[o].tobytes()) for i, o in _split(shard, buckets)]
+        return pd.DataFrame(rows, columns=["kind", "bucket", "base", "keys", "code"])
+
+    return run
+
+
 def _emit(shared, buckets: int):
-    """Rows (kind 0: bigrams, 1: words outside the broadcast ones, 2: the texts themselves) by bucket."""
+    """Rows (kind 0: bigrams, 2: the texts themselves) by bucket; code holds the words' counts, more those without the deleted fold for bigrams of that fold."""
     names, types = ["kind", "bucket", "base", "keys", "at", "n", "code", "more"], [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
-    def split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for i in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-            yield i, order[edge[i] : edge[i + 1]]
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, base = shared.value, TaskContext.get().partitionId() << 40
         for part in parts:
-            tok, off = _tokens(part.column("text").to_pylist())
+            tok, off, row, before, key, shard, hot = _bigrams(part, top, buckets)
             lengths = np.diff(off)
             doc = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
-            word, inverse = np.unique(tok, return_inverse=True)
-            row = _look(top, word)
-            count = np.where(row >= 0, top["total"][row] if len(top["total"]) else 0, 0)
-            c = count[inverse]
+            c = np.append(top["total"], 0)[row]
             out = []
             # the texts
             known = np.bincount(doc[c > 0], minlength=len(lengths))
@@ -141,15 +206,6 @@ def _emit(shared, buckets: int):
             fold = part.column("fold").to_numpy()
             more = np.concatenate([lengths.astype(np.int64), known.astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64)])
             out.append((2, int(mix(np.array([base >> 12], U64))[0] % U64(buckets)), base, ids.fill_null(0).to_numpy().tobytes(), b"", score.tobytes(), b"", more.tobytes()))
-            # words outside the broadcast ones
-            rare = np.flatnonzero(c == 0)
-            for i, o in split((tok[rare] % U64(buckets)).astype(np.int32)):
-                out.append((1, i, base, tok[rare[o]].tobytes(), doc[rare[o]].astype(np.uint16).tobytes(), b"", b"", b""))
-            # bigrams; the end token stands before each text too
-            before, left = np.concatenate(([END], tok[:-1])), np.concatenate(([0], c[:-1]))
-            left[off[:-1]] = top["end"]
-            before[off[:-1]] = END
-            key = (before & U64(0xFFFFFFFF00000000)) | (tok >> U64(32))
             own = key ^ mix(before + doc.astype(U64) * U64(0x9E3779B97F4A7C15))
             _, first, n = np.unique(own, return_index=True, return_counts=True)
             if n.max(initial=0) > 255:
@@ -157,15 +213,13 @@ def _emit(shared, buckets: int):
                 first, spread = np.repeat(first, times), np.repeat(n, times)
                 lead = np.concatenate(([True], first[1:] != first[:-1]))
                 n = np.where(lead, spread - 255 * (np.repeat(times, times) - 1), 255)
-            key, left, before = key[first], left[first], before[first]
-            parts_of = np.maximum(1, np.ceil(left * (4.0 * buckets / max(1, top["n"])))).astype(U64)
-            hot = parts_of > 1
-            shard = np.where(hot, mix(before + (tok[first] >> U64(7)) % parts_of), before & U64(0xFFFFFFFF)) % U64(buckets)
-            at = (doc[first] | (fold[doc[first]].astype(np.int64) << FOLD_ROWS) | (hot.astype(np.int64) << 15)).astype(np.uint16)
-            code = np.where(c[first] > 0, np.round(1024 * np.log2(np.maximum(c[first], 1)) + 1), 0).astype(np.uint16)
+            key, row = key[first], row[first]
+            deleted = fold[doc[first]] == 2
+            at = (doc[first] | (fold[doc[first]].astype(np.int64) << FOLD_ROWS) | (hot[first].astype(np.int64) << 15)).astype(np.uint16)
+            code, less = (np.append(top[x], np.uint16(0))[row] for x in ("code", "kept_code"))
             n = n.astype(np.uint8)
-            for i, o in split(shard.astype(np.int32)):
-                out.append((0, i, base, key[o].tobytes(), at[o].tobytes(), n[o].tobytes(), code[o].tobytes(), b""))
+            for i, o in _split(shard[first], buckets):
+                out.append((0, i, base, key[o].tobytes(), at[o].tobytes(), n[o].tobytes(), code[o].tobytes(), less[o[deleted[o]]].tobytes()))
             base += 1 << FOLD_ROWS
             yield _rows(out, names, types)
 
@@ -200,13 +254,18 @@ def _reduce(shared, buckets: int):
         return pd.DataFrame({"bucket": at, "kind": kind, "rows": pick(rows), **{k: pick(columns[k]) if k in columns else b"" for k in ("ids", "n", "known", "base", "score")}})
 
     def bigrams(g: pd.DataFrame, top: dict) -> pd.DataFrame:
+        rare, g = g[g["base"] < 0], g[g["base"] >= 0]
+        if not len(g):
+            return dealt(0, np.empty(0, np.int64), score=np.empty(0, np.float32))
         key = np.concatenate([np.frombuffer(x, U64) for x in g["keys"]])
         at = np.concatenate([np.frombuffer(x, np.uint16) for x in g["at"]])
         n = np.concatenate([np.frombuffer(x, np.uint8) for x in g["n"]]).astype(np.float64)
         code = np.concatenate([np.frombuffer(x, np.uint16) for x in g["code"]])
+        less = np.zeros(len(key), np.uint16)
+        less[(at >> FOLD_ROWS) & 3 == 2] = np.concatenate([np.frombuffer(x, np.uint16) for x in g["more"]])
         base = np.repeat(g["base"].to_numpy(), [len(x) // 8 for x in g["keys"]])
         order = np.argsort(key)
-        key, at, n, code, base = key[order], at[order], n[order], code[order], base[order]
+        key, at, n, code, less, base = key[order], at[order], n[order], code[order], less[order], base[order]
         fold = (at >> FOLD_ROWS) & 3
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         kept, deleted = (np.add.reduceat(n * (fold == f), first) for f in (1, 2))
@@ -219,34 +278,30 @@ def _reduce(shared, buckets: int):
             row = np.searchsorted(top["hot"], context[lead[hot]])
             of_kept[hot], of_all[hot] = top["hot_kept"][row], top["hot_all"][row]
         of_kept, of_all = np.repeat(of_kept, size), np.repeat(of_all, size)
-        c1 = code[first]
-        p1 = np.where(c1 > 0, 2.0 ** ((c1 - 1.0) / 1024), top["rare"]) / max(1, top["n"])
+        c1, c1_kept = top["values"][code[first]], top["values"][np.maximum.reduceat(less, first)]
+        outside = code[first] == 0
+        if outside.any() and len(rare):
+            their, count = _counted([np.frombuffer(x, U64) for x in rare["keys"]], [np.frombuffer(x, np.uint32).reshape(-1, 2).astype(np.int64) for x in rare["code"]])
+            found = np.minimum(np.searchsorted(their, key[first]), len(their) - 1)
+            found = np.where((their[found] == key[first]) & outside, found, -1)
+            c1, c1_kept = (np.where(found >= 0, count[found, j], x) for j, x in ((0, c1), (1, c1_kept)))
+        p1, p1_kept = c1 / max(1, top["n"]), c1_kept / max(1, top["kept"])
         p0 = np.full(len(p1), top["uniform"])
         bucket = lambda c: np.minimum(np.log2(c + 1), CLASSES - 1).astype(np.int64)
         share = lambda a, c: np.divide(a, c, out=np.zeros(len(a)), where=c > 0)
         use = np.flatnonzero(deleted > 0)
-        weights = _learn(bucket(of_kept[use]), np.stack([share(kept[use], of_kept[use]), p1[use], p0[use]], 1), deleted[use])
+        weights = _learn(bucket(of_kept[use]), np.stack([share(kept[use], of_kept[use]), p1_kept[use], p0[use]], 1), deleted[use])
         w = weights[bucket(of_all)]
         value = np.log10(w[:, 0] * share(kept + deleted, of_all) + w[:, 1] * p1 + w[:, 2] * p0)
         each = np.repeat(value, np.diff(np.append(first, len(key)))) * n
         rows, inverse = np.unique(base + (at & 0xFFF), return_inverse=True)
-        return dealt(0, rows, score=np.bincount(inverse, weights=each).astype(np.float32))
-
-    def rare(g: pd.DataFrame, top: dict) -> pd.DataFrame:
-        model = g[g["base"] < 0]
-        if len(model):
-            keys, count = np.frombuffer(model["keys"].iloc[0], U64), np.frombuffer(model["code"].iloc[0], np.int64).reshape(-1, 2).sum(1)
-        else:
-            keys, count = np.empty(0, U64), np.empty(0, np.int64)
-        g = g[g["base"] >= 0]
-        if not len(g):
-            return dealt(1, np.empty(0, np.int64), known=np.empty(0, np.int64), base=np.empty(0))
-        word = np.concatenate([np.frombuffer(x, U64) for x in g["keys"]])
-        rows = np.repeat(g["base"].to_numpy(), [len(x) // 8 for x in g["keys"]]) + np.concatenate([np.frombuffer(x, np.uint16) for x in g["at"]])
-        at = np.minimum(np.searchsorted(keys, word), max(0, len(keys) - 1))
-        c = np.where(keys[at] == word, count[at], 0) if len(keys) else np.zeros(len(word), np.int64)
+        scored = dealt(0, rows, score=np.bincount(inverse, weights=each).astype(np.float32))
+        # what the texts lack: words outside the broadcast ones
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        on = np.flatnonzero(outside[of])
+        c, rows = c1[of[on]], base[on] + (at[on] & 0xFFF)
         rows, inverse = np.unique(rows, return_inverse=True)
-        return dealt(1, rows, known=np.bincount(inverse, weights=c > 0).astype(np.int64), base=np.bincount(inverse, weights=np.log10(c + 1.0) - top["floor"]))
+        return pd.concat([scored, dealt(1, rows, known=np.bincount(inverse, weights=n[on] * (c > 0)).astype(np.int64), base=np.bincount(inverse, weights=n[on] * (np.log10(c + 1.0) - top["floor"])))])
 
     def texts(g: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -257,7 +312,7 @@ def _reduce(shared, buckets: int):
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         kind = int(g["kind"].iloc[0])
-        return texts(g) if kind == 2 else rare(g, shared.value) if kind == 1 else bigrams(g, shared.value)
+        return texts(g) if kind == 2 else bigrams(g, shared.value)
 
     return run
 
@@ -306,14 +361,17 @@ def log_scores(docs: DataFrame) -> DataFrame:
     hot = np.ceil(total * (4.0 * buckets / max(1, n))) > 1
     order = np.argsort(key[hot] >> U64(32), kind="stable")
     end = total[np.flatnonzero(key == END)]
+    values, codes = _codes(np.concatenate([total, c[:, 0]]))
     top = {
         "keys": key, "total": total, "n": n, "end": int(end[0]) if len(end) else 0, "uniform": 1.0 / (v + 1), "floor": float(np.log10(n + v + 1.0)),
-        "rare": max(0.5, (n - int(total.sum())) / (v - len(key) + 1)), "hot": (key[hot] >> U64(32))[order], "hot_kept": c[hot, 0][order].astype(float), "hot_all": total[hot][order].astype(float),
+        "kept": kept, "values": values, "code": codes[: len(key)], "kept_code": codes[len(key) :], "hot": (key[hot] >> U64(32))[order], "hot_kept": c[hot, 0][order].astype(float), "hot_all": total[hot][order].astype(float),
     }
     shared = spark.sparkContext.broadcast(top)
-    packed = batches(docs).mapInArrow(_emit(shared, buckets), _PACKED)
-    known = counts.select("kind", "bucket", F.lit(-1).cast("long").alias("base"), "keys", F.lit(b"").alias("at"), F.lit(b"").alias("n"), F.col("counts").alias("code"), F.lit(b"").alias("more"))
-    parts = packed.union(known).groupBy("kind", "bucket").applyInPandas(_reduce(shared, buckets), _PART)
+    known = counts.select("kind", "bucket", F.lit(-1).cast("long").alias("base"), "keys", F.col("counts").alias("code"))
+    rare = batches(docs).mapInArrow(_emit_rare(shared, buckets), _COUNTS).union(known).groupBy("bucket").applyInPandas(_counts_for(buckets), _COUNTS)
+    nothing = F.lit(b"")
+    packed = batches(docs).mapInArrow(_emit(shared, buckets), _PACKED).union(rare.select("kind", "bucket", "base", "keys", nothing.alias("at"), nothing.alias("n"), "code", nothing.alias("more")))
+    parts = packed.groupBy("kind", "bucket").applyInPandas(_reduce(shared, buckets), _PART)
     out = parts.groupBy("bucket").applyInPandas(_gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -51,6 +51,44 @@ def test_language_model_against_brute_force(spark, odd, monkeypatch):
     assert language_model.log_scores(docs.limit(0)).count() == 0
 
 
+def brute_interpolation(rows):
+    """Scores by the formula of the module, with weights from expectation-maximisation over all deleted bigrams together."""
+    texts = [(d, f, [None, *(t or "").encode().lower().split(), None]) for d, t, f in rows]
+    pairs, words, contexts = ([collections.Counter(x for _, f, t in texts if f in folds for x in kind(t)) for folds in ((1,), (2,), (1, 2))] for kind in (lambda t: zip(t[:-1], t[1:], strict=True), lambda t: t[1:], lambda t: t[:-1]))
+    uniform, bucket = 1 / (len(words[2]) + 1), lambda c: int(math.log2(c + 1))
+
+    def parts(h, w, of):
+        return [pairs[of][h, w] / contexts[of][h] if contexts[of][h] else 0.0, words[of][w] / words[of].total(), uniform]
+
+    events = [(bucket(contexts[0][h]), parts(h, w, 0), n) for (h, w), n in pairs[1].items()]
+
+    def em(events, start):
+        weights = start = np.array(start)
+        for _ in range(language_model.STEPS):
+            mixed = [n * weights * p / (weights @ p) for p, n in events]
+            weights = np.sum([*mixed, 0.5 * start], 0)
+            weights = weights / weights.sum()
+        return weights
+
+    overall = em([(np.array(p), n) for _, p, n in events], [0.3, 0.5, 0.2])
+    weights = [em([(np.array(p), n) for b, p, n in events if b == i], overall) for i in range(language_model.CLASSES)]
+    return {d: sum(math.log10(weights[bucket(contexts[2][h])] @ parts(h, w, 2)) for h, w in zip(t[:-1], t[1:], strict=True)) for d, _, t in texts}
+
+
+def zipf_texts(n=140):
+    rng = np.random.default_rng(11)
+    return [(i, " ".join(f"z{x}" for x in rng.zipf(1.3, rng.integers(5, 80)) % 5000), (1, 1, 2, 0)[i % 4]) for i in range(n)]
+
+
+def test_language_model_interpolates_every_word_count(spark, monkeypatch):
+    """Words below the broadcast ones have their own counts, unseen words the floor alone."""
+    monkeypatch.setattr(language_model, "TOP", 20)
+    rows = zipf_texts()
+    want = brute_interpolation(rows)
+    got = {r["doc_id"]: r["score"] for r in language_model.log_scores(spark.createDataFrame(rows, "doc_id long, text string, fold int")).collect()}
+    assert got == {d: pytest.approx(x, rel=1e-3) for d, x in want.items()}
+
+
 def test_language_model_beats_base_on_held_out(spark):
     rows = [r for r in language_model.op2_language_model(spark, SF).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
