@@ -4,8 +4,8 @@
 
 The counts are those of all training texts. The weights of each context-frequency bucket b are learned by
 expectation-maximisation: a seventh of all rows, all of them training rows, is deleted from the counts, and the weights maximise its
-likelihood under what is left. Contexts are dealt over shards by hash and every shard ties its own weights,
-so that one pass over the bigrams counts, learns and scores.
+likelihood under what is left. Contexts are dealt over shards by hash. Each shard bins its deleted bigrams by (b, estimates); the
+bins' sums over all shards give one set of weights, with which a second pass over the same shuffle scores.
 
 Bigrams are not rows: a task hands each shard packed arrays (64-bit keys, the text's number, a count), which numpy sorts.
 Words are 64-bit hashes; a bigram's key holds 32 bits of the context besides the shard, and 32 of the word.
@@ -40,6 +40,7 @@ _LEVELS = np.unique(np.round(2.0 ** np.arange(0, 44, 0.5))).astype(np.int64)
 _UNIGRAMS = "kind int, bucket int, keys binary, counts binary, levels array<long>, n long, n_kept long"
 _PACKED = "kind int, bucket int, base long, keys binary, at binary, n binary, code binary, more binary"
 _COUNTS = "kind int, bucket int, base long, keys binary, code binary"
+_BINS = "b int, cells binary, sums binary"
 _PART = "bucket int, kind int, rows binary, ids binary, n binary, known binary, base binary, score binary"
 
 
@@ -226,10 +227,28 @@ def _emit(shared, buckets: int):
     return run
 
 
-def _learn(b: np.ndarray, parts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """EM over (bucket, the three estimates, held-out count): weights of each bucket, those without data from all together."""
+def _cells(estimate: np.ndarray) -> np.ndarray:
+    """Bins of a quarter of an octave each; 0: the estimate is 0."""
+    return np.where(estimate > 0, 1 + np.floor(-4 * np.log2(np.where(estimate > 0, estimate, 1.0))), 0).astype(np.int64)
 
-    def em(b: np.ndarray, buckets: int, start: np.ndarray) -> np.ndarray:
+
+def _binned(b: np.ndarray, p2: np.ndarray, p1: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """Deleted bigrams of each frequency bucket, as cells of equal bins: their count and the sums of both estimates."""
+    cells, sums = _counted([(b << 32 | _cells(p2) << 16 | _cells(p1)).astype(U64)], [np.stack([n, n * p2, n * p1], 1)])
+    of = (cells >> U64(32)).astype(np.int64)
+    rows = [(i, cells[o].tobytes(), sums[o].tobytes()) for i, o in _split(of, CLASSES)]
+    return pd.DataFrame(rows, columns=["b", "cells", "sums"])
+
+
+def _summed(g: pd.DataFrame) -> pd.DataFrame:
+    cells, sums = _counted([np.frombuffer(x, U64) for x in g["cells"]], [np.frombuffer(x).reshape(-1, 3) for x in g["sums"]])
+    return pd.DataFrame({"b": [g["b"].iloc[0]], "cells": [cells.tobytes()], "sums": [sums.tobytes()]})
+
+
+def _learn(uniform: float):
+    """EM over the cells of all shards: weights of each frequency bucket, those without data from all together."""
+
+    def em(b: np.ndarray, parts: np.ndarray, n: np.ndarray, buckets: int, start: np.ndarray) -> np.ndarray:
         weights = start.copy()
         for _ in range(STEPS):
             mixed = weights[b] * parts
@@ -238,11 +257,20 @@ def _learn(b: np.ndarray, parts: np.ndarray, n: np.ndarray) -> np.ndarray:
             weights /= weights.sum(1, keepdims=True)
         return weights
 
-    overall = em(np.zeros(len(b), np.int64), 1, np.array([[0.3, 0.5, 0.2]]))
-    return em(b, CLASSES, np.repeat(overall, CLASSES, 0))
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g[g["b"] >= 0].sort_values("b")
+        sums = np.concatenate([np.empty((0, 3)), *[np.frombuffer(x).reshape(-1, 3) for x in g["sums"]]])
+        b = np.repeat(g["b"].to_numpy().astype(np.int64), [len(x) // 8 for x in g["cells"]])
+        n = sums[:, 0]
+        parts = np.stack([sums[:, 1] / n, sums[:, 2] / n, np.full(len(n), uniform)], 1)
+        overall = em(np.zeros(len(b), np.int64), parts, n, 1, np.array([[0.3, 0.5, 0.2]]))
+        return pd.DataFrame({"weights": [em(b, parts, n, CLASSES, np.repeat(overall, CLASSES, 0)).tobytes()]})
+
+    return run
 
 
 def _reduce(shared, buckets: int):
+    """The two passes over a group of the shuffle: the first bins its deleted bigrams, the second scores with the weights."""
     home = lambda base: (mix((base >> 12).astype(U64)) % U64(buckets)).astype(np.int64)
 
     def dealt(kind: int, rows: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
@@ -253,10 +281,10 @@ def _reduce(shared, buckets: int):
         pick = lambda x: [x[order[edge[i] : edge[i + 1]]].tobytes() for i in at]
         return pd.DataFrame({"bucket": at, "kind": kind, "rows": pick(rows), **{k: pick(columns[k]) if k in columns else b"" for k in ("ids", "n", "known", "base", "score")}})
 
-    def bigrams(g: pd.DataFrame, top: dict) -> pd.DataFrame:
+    def bigrams(g: pd.DataFrame, top: dict, weights: np.ndarray | None) -> pd.DataFrame:
         rare, g = g[g["base"] < 0], g[g["base"] >= 0]
         if not len(g):
-            return dealt(0, np.empty(0, np.int64), score=np.empty(0, np.float32))
+            return dealt(0, np.empty(0, np.int64), score=np.empty(0, np.float32)) if weights is not None else pd.DataFrame({"b": [], "cells": [], "sums": []})
         key = np.concatenate([np.frombuffer(x, U64) for x in g["keys"]])
         at = np.concatenate([np.frombuffer(x, np.uint16) for x in g["at"]])
         n = np.concatenate([np.frombuffer(x, np.uint8) for x in g["n"]]).astype(np.float64)
@@ -286,13 +314,13 @@ def _reduce(shared, buckets: int):
             found = np.where((their[found] == key[first]) & outside, found, -1)
             c1, c1_kept = (np.where(found >= 0, count[found, j], x) for j, x in ((0, c1), (1, c1_kept)))
         p1, p1_kept = c1 / max(1, top["n"]), c1_kept / max(1, top["kept"])
-        p0 = np.full(len(p1), top["uniform"])
         bucket = lambda c: np.minimum(np.log2(c + 1), CLASSES - 1).astype(np.int64)
         share = lambda a, c: np.divide(a, c, out=np.zeros(len(a)), where=c > 0)
-        use = np.flatnonzero(deleted > 0)
-        weights = _learn(bucket(of_kept[use]), np.stack([share(kept[use], of_kept[use]), p1_kept[use], p0[use]], 1), deleted[use])
+        if weights is None:
+            use = np.flatnonzero(deleted > 0)
+            return _binned(bucket(of_kept[use]), share(kept[use], of_kept[use]), p1_kept[use], deleted[use])
         w = weights[bucket(of_all)]
-        value = np.log10(w[:, 0] * share(kept + deleted, of_all) + w[:, 1] * p1 + w[:, 2] * p0)
+        value = np.log10(w[:, 0] * share(kept + deleted, of_all) + w[:, 1] * p1 + w[:, 2] * top["uniform"])
         each = np.repeat(value, np.diff(np.append(first, len(key)))) * n
         rows, inverse = np.unique(base + (at & 0xFFF), return_inverse=True)
         scored = dealt(0, rows, score=np.bincount(inverse, weights=each).astype(np.float32))
@@ -310,11 +338,15 @@ def _reduce(shared, buckets: int):
             out.append((g["bucket"].iloc[0], 2, (base + np.arange(m)).tobytes(), ids, more[: 8 * m], more[8 * m : 16 * m], score, more[16 * m :]))
         return pd.DataFrame(out, columns=["bucket", "kind", "rows", "ids", "n", "known", "base", "score"])
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        kind = int(g["kind"].iloc[0])
-        return texts(g) if kind == 2 else bigrams(g, shared.value)
+    def learn(g: pd.DataFrame) -> pd.DataFrame:
+        return bigrams(g[g["kind"] == 0], shared.value, None)
 
-    return run
+    def score(g: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        if not len(g) or g["kind"].iloc[0] == 2:
+            return texts(g)
+        return bigrams(g, shared.value, np.frombuffer(weights["weights"].iloc[0]).reshape(-1, 3))
+
+    return learn, score
 
 
 def _gather(g: pd.DataFrame) -> pd.DataFrame:
@@ -371,7 +403,12 @@ def log_scores(docs: DataFrame) -> DataFrame:
     rare = batches(docs).mapInArrow(_emit_rare(shared, buckets), _COUNTS).union(known).groupBy("bucket").applyInPandas(_counts_for(buckets), _COUNTS)
     nothing = F.lit(b"")
     packed = batches(docs).mapInArrow(_emit(shared, buckets), _PACKED).union(rare.select("kind", "bucket", "base", "keys", nothing.alias("at"), nothing.alias("n"), "code", nothing.alias("more")))
-    parts = packed.groupBy("kind", "bucket").applyInPandas(_reduce(shared, buckets), _PART)
+    learn, score = _reduce(shared, buckets)
+    none = spark.createDataFrame([(-1, b"", b"")], _BINS)
+    bins = packed.groupBy("kind", "bucket").applyInPandas(learn, _BINS).groupBy("b").applyInPandas(_summed, _BINS)
+    weights = bins.union(none).groupBy().applyInPandas(_learn(top["uniform"]), "weights binary")  # CLASSES rows at most
+    weights = spark.range(buckets).select(F.lit(0).alias("kind"), F.col("id").cast("int").alias("bucket")).crossJoin(F.broadcast(weights))
+    parts = packed.groupBy("kind", "bucket").cogroup(weights.groupBy("kind", "bucket")).applyInPandas(score, _PART)
     out = parts.groupBy("bucket").applyInPandas(_gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

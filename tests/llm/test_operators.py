@@ -89,6 +89,16 @@ def test_language_model_interpolates_every_word_count(spark, monkeypatch):
     assert got == {d: pytest.approx(x, rel=1e-3) for d, x in want.items()}
 
 
+def test_language_model_weights_are_those_of_all_shards(spark, monkeypatch):
+    """The shards' number changes no score, and the most frequent context, split over many of them, has the formula's too."""
+    rows = zipf_texts()
+    want = {d: pytest.approx(x, rel=1e-3) for d, x in brute_interpolation(rows).items()}
+    for tokens in (50, 1_200_000):
+        monkeypatch.setattr(language_model, "SHARD_TOKENS", tokens)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, fold int")
+        assert {r["doc_id"]: r["score"] for r in language_model.log_scores(docs).collect()} == want
+
+
 def test_language_model_beats_base_on_held_out(spark):
     rows = [r for r in language_model.op2_language_model(spark, SF).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
