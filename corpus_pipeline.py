@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import load, materialize
 from palimpsest.llm.decontaminate import contamination
-from palimpsest.llm.near_dedup import near_duplicates
+from palimpsest.llm.near_dedup import near_duplicates, with_set_ids
 from palimpsest.llm.pieces import encoded, read_pieces
 from palimpsest.llm.quality import quality_scores
 from palimpsest.llm.substring_dedup import without_repeats
@@ -23,14 +23,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id stays; of rows that repeat it, one.
 
+    Rows that share a doc_id are told apart by their sets of shingles: those in different groups do not displace each other.
     Documents without words and rows without doc_id are in no group and stay.
     """
     docs = docs.select(*COLUMNS)
-    found = near_duplicates(docs).where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id", "set_id").distinct()
+    found = near_duplicates(docs).where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0))
+    first = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "set_id")).alias("first")).select("first.doc_id", "first.set_id")
     alone = docs.where(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     rest = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    kept = rest.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(alone).select(*COLUMNS)
+    kept = with_set_ids(rest).join(first, ["doc_id", "set_id"], "left_semi")
+    return kept.dropDuplicates(["doc_id", "set_id"]).select(*COLUMNS).unionByName(alone).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

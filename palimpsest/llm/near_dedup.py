@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import U64, Words, batches, documents, load, materialize, mix, ngrams, picked, signed
 from .components import components
@@ -110,6 +111,18 @@ def _as_registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
 
 
+def with_set_ids(docs: DataFrame, k: int = 5) -> DataFrame:
+    """The rows with the set_id that near_duplicates gives their text."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            with np.errstate(over="ignore"):
+                sig = np.array([mix(s).sum(dtype=U64) for s in shingles(part.column("text").to_pylist(), k)], U64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(sig))], [*part.schema.names, "set_id"])
+
+    return batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField("set_id", LongType())]))
+
+
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n, sig, sig2 (the set's hash of 128 bits), regs, tiny (the shingles of small sets)."""
 
@@ -261,7 +274,10 @@ def _joined(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, set_id (equal sets share it), component_id (smallest doc_id that links reach, the own included)."""
+    """doc_id, n_shingles, set_id (equal sets share it), component_id (smallest doc_id that links reach, the own included), group_id.
+
+    Components whose smallest doc_id is the same, as rows that share a doc_id can have it, differ in group_id.
+    """
     docs = documents(docs)
     signed_docs = materialize(_signatures(docs, k))
     real = signed_docs.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
@@ -287,9 +303,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> Dat
                 linked = components(edges(links))
     of = classes.select("vid", "rep").join(linked.select(F.col("u").alias("vid"), "component"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = of.join(least, "component").select(F.col("vid").alias("sig"), "component_id")
+    of = of.join(least, "component").select(F.col("vid").alias("sig"), "component_id", F.col("component").alias("group_id"))
     out = signed_docs.select("doc_id", "n", "sig").join(of, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("sig").alias("set_id"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("sig").alias("set_id"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"), "group_id")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

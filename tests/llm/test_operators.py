@@ -280,3 +280,16 @@ def test_near_duplicates_of_a_family_against_brute_force(spark, monkeypatch):
         rows.append((1000 - i, " ".join(words)))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows)
+
+
+def test_pipeline_near_dedup_tells_rows_of_one_id_apart(spark):
+    import corpus_pipeline
+
+    text = lambda name, *changed: " ".join(f"{name}{'x' if i in changed else ''}{i}" for i in range(80))
+    rows = [(1, text("a")), (5, text("a", 3)), (5, text("u")), (6, text("v")), (6, text("v", 70)), (7, text("p")), (7, text("q")), (7, text("q")), (8, text("q", 5)), (None, text("a")), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    one = [(d, t) for d, t in kept if d == 6]
+    assert len(one) == 1 and one[0] in rows
+    assert sorted(map(str, set(kept) - set(one))) == sorted(map(str, [(1, text("a")), (5, text("u")), (7, text("p")), (7, text("q")), (None, text("a")), (9, ""), (9, None)]))
+    assert len(kept) == 8
