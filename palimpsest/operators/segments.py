@@ -64,6 +64,28 @@ def newest_first(items: DataFrame, group: str, order: str, text: str, budget: in
     return t.withColumn("used", used).where(F.col("used") <= budget)
 
 
+def newest_as_of(items: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:
+    """For each item as_of: the newest whole items before its predecessor that fit the budget together, and the tokens used from the newest on.
+
+    The newest of them with tokens always stays, cut to its last `budget` tokens if it alone has more; items without tokens are left out.
+    Items meet by cells of running token sums as wide as the budget, so that a cell holds a bounded number of items of a group.
+    """
+    w = Window.partitionBy(group).orderBy(order)
+    t = items.select(group, order, tokens(F.col(text)).alias("t")).withColumn("end", F.sum(F.size("t")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("begin", F.col("end") - F.size("t")).withColumn("newest", F.last(F.when(F.size("t") > 0, F.col("begin")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -2)))
+    t = t.withColumn("total", F.lag("end", 2).over(w))
+    cell = lambda c: F.floor(F.col(c) / (budget + 1))
+    # from the newest item's cell, or the first that the budget reaches, on
+    reach = F.least(F.col("newest"), F.greatest(F.col("total") - budget, F.lit(0)))
+    asked = t.where("newest IS NOT NULL").select(group, F.col(order).alias("as_of"), "total", "newest", reach.alias("reach"))
+    asked = asked.withColumn("cell", F.explode(F.array_distinct(F.array(cell("reach"), cell("newest")))))
+    have = t.where(F.size("t") > 0).select(group, order, "t", "begin", cell("begin").alias("cell"))
+    near = asked.join(have, [group, "cell"]).where((F.col("begin") <= F.col("newest")) & ((F.col("begin") == F.col("newest")) | (F.col("total") - F.col("begin") <= budget)))
+    cut = F.size("t") > budget
+    body = F.array_join(F.when(cut, F.slice("t", F.greatest(F.size("t") - budget + 1, F.lit(1)), budget)).otherwise(F.col("t")), " ")
+    return near.select(group, "as_of", order, F.least(F.size("t"), F.lit(budget)).alias("n_tokens"), cut.alias("cut"), F.least(F.col("total") - F.col("begin"), F.lit(budget)).cast("long").alias("used"), body.alias("body"))
+
+
 def trimmed(docs: DataFrame, id_col: str, text: str, most: int, marker: str) -> DataFrame:
     """Texts of more than `most` characters as head, marker and tail."""
     n, head = F.length(text), most // 2

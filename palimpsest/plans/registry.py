@@ -273,6 +273,13 @@ def i3_newest_first(spark, sf_dir):
     return D.newest_first(_TURNS(spark, sf_dir), "conv_id", "turn", "text", 120)
 
 
+@_query(f"""WITH t AS (SELECT conv_id, turn, {_CONV_TOKENS} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
+  j AS (SELECT a.conv_id, a.turn AS as_of, b.turn, b.t, row_number() OVER w AS rn, sum(len(b.t)) OVER w AS used FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.p <= a.p - 2 AND len(b.t) > 0 WINDOW w AS (PARTITION BY a.conv_id, a.turn ORDER BY b.p DESC))
+  SELECT conv_id, as_of, turn, CAST(least(len(t), 120) AS INTEGER) AS n_tokens, len(t) > 120 AS cut, CAST(least(used, 120) AS BIGINT) AS used, array_to_string(t[greatest(len(t) - 119, 1):], ' ') AS body FROM j WHERE rn = 1 OR used <= 120""")
+def i3_newest_as_of(spark, sf_dir):
+    return D.newest_as_of(_TURNS(spark, sf_dir), "conv_id", "turn", "text", 120)
+
+
 @_query("""SELECT doc_id, length(text) > 400 AS cut, CASE WHEN length(text) > 400 THEN substr(text, 1, 200) || ' [...] ' || substr(text, length(text) - 199, 200) ELSE text END AS body FROM documents""")
 def i4_trimmed(spark, sf_dir):
     return D.trimmed(_DOCS(spark, sf_dir), "doc_id", "text", 400, " [...] ")

@@ -12,3 +12,10 @@ def test_query(same, name):
 
 def test_all_have_sql():
     assert set(registry.QUERIES) == set(registry.SQL)
+
+
+def test_newest_item_beyond_the_budget_is_cut_not_dropped(spark):
+    long = " ".join(f"t{i}" for i in range(9))
+    rows = [(1, 1, "a b"), (1, 2, long), (1, 3, ""), (1, 4, "x y"), (1, 5, "z"), (1, 6, "last")]
+    got = registry.D.newest_as_of(spark.createDataFrame(rows, "conv_id long, turn long, text string"), "conv_id", "turn", "text", 4).collect()
+    assert sorted((r["as_of"], r["turn"], r["n_tokens"], r["cut"], r["used"], r["body"]) for r in got) == [(3, 1, 2, False, 2, "a b"), (4, 2, 4, True, 4, "t5 t6 t7 t8"), (5, 2, 4, True, 4, "t5 t6 t7 t8"), (6, 4, 2, False, 2, "x y")]
