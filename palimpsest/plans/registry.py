@@ -52,6 +52,11 @@ def a7_wide_matrix(spark, sf_dir):
     return wide.fillna(0)
 
 
+@_query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
+def a7_source_counts(spark, sf_dir):
+    return _DOCS(spark, sf_dir).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query("""SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn_index, role, trim(text) AS content FROM conversations WHERE trim(coalesce(text, '')) <> ''""")
 def b2_messages(spark, sf_dir):
     from pyspark.sql import Window
@@ -399,6 +404,15 @@ def n7_incremental(spark, sf_dir):
     return N.changed(old, new, "doc_id", "h")
 
 
+@_query("""WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 <> 0)
+  SELECT doc_id, CASE WHEN n.h IS NULL THEN 'drop' WHEN n.h = o.h THEN 'reuse' ELSE 'process' END AS action FROM n FULL JOIN o USING (doc_id)""")
+def n7_every_document(spark, sf_dir):
+    docs = _DOCS(spark, sf_dir)
+    old = docs.where("doc_id % 5 <> 0").select("doc_id", F.sha2("text", 256).alias("h"))
+    new = docs.where("doc_id % 5 = 0 OR doc_id % 3 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("h"))
+    return N.changed(old, new, "doc_id", "h")
+
+
 @_query("SELECT conv_id, string_agg(v, '|' ORDER BY place, v) AS kept FROM (SELECT conv_id, trim(role) AS v, min(turn) AS place FROM conversations WHERE trim(role) <> '' GROUP BY ALL) GROUP BY conv_id")
 def b14_kept_order(spark, sf_dir):
     return C.kept_order(_TURNS(spark, sf_dir), "conv_id", "turn", "role")

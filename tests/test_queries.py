@@ -3,6 +3,7 @@
 import pytest
 
 from palimpsest.plans import registry
+from tests.conftest import SF
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
@@ -19,3 +20,9 @@ def test_newest_item_beyond_the_budget_is_cut_not_dropped(spark):
     rows = [(1, 1, "a b"), (1, 2, long), (1, 3, ""), (1, 4, "x y"), (1, 5, "z"), (1, 6, "last")]
     got = registry.D.newest_as_of(spark.createDataFrame(rows, "conv_id long, turn long, text string"), "conv_id", "turn", "text", 4).collect()
     assert sorted((r["as_of"], r["turn"], r["n_tokens"], r["cut"], r["used"], r["body"]) for r in got) == [(3, 1, 2, False, 2, "a b"), (4, 2, 4, True, 4, "t5 t6 t7 t8"), (5, 2, 4, True, 4, "t5 t6 t7 t8"), (6, 4, 2, False, 2, "x y")]
+
+
+def test_every_document_is_counted_and_has_a_verdict(spark):
+    ids = sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+    assert sum(r["n"] for r in registry.QUERIES["a7_source_counts"](spark, SF).collect()) == len(ids)
+    assert sorted(r["doc_id"] for r in registry.QUERIES["n7_every_document"](spark, SF).collect()) == ids
