@@ -6,10 +6,13 @@ prefix sum, so that no Python code runs per word.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from ..shipping import ship
 U64 = np.uint64
 #: Rows of an Arrow batch: with texts of up to some 100 KB this keeps a Python worker below 100 MB.
 BATCH_ROWS = 500
+#: Bytes of a piece of a batch that is worked on at once.
+SLICE_BYTES = 1 << 25
 #: Most ids that are broadcast to pick rows before a shuffle; beyond it the rows are shuffled.
 BROADCAST_IDS = 400_000
 _BLOCK = 1 << 17
@@ -31,21 +36,38 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def documents(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id as long and text as string, plus the named columns; others, whatever their names, are left out."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[docs[c] for c in more])
+def documents(docs: DataFrame, *more: str, made: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id as long and text as string, plus the named columns; others, whatever their names, are left out.
+
+    A named column that is called like doc_id, text or a column that the operator makes (`made`) gets the suffix `_in`.
+    """
+    taken = {"doc_id", "text", *made}
+    named = [docs[c].alias(f"{c}_in" if c.lower() in taken else c) for c in more]
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *named)
 
 
 def batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
-    """The same frame; from now on the session hands Python so many rows at a time."""
-    ship(df.sparkSession).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """The same frame; from now on the session hands Python so many rows at a time, to bound memory. Results do not rest on it: see `slices`."""
+    conf = ship(df.sparkSession).conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 2 * SLICE_BYTES)
     return df
 
 
+def slices(parts: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows and about SLICE_BYTES bytes (one row at least), whatever the session's batch size is."""
+    for part in parts:
+        step = max(1, min(rows, SLICE_BYTES * part.num_rows // max(1, part.nbytes)))
+        for i in range(0, part.num_rows, step):
+            yield part.slice(i, step)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where the setting is missing."""
+    """The folder that spark.checkpoint.dir names. In local mode alone a temporary one stands in for it; on a cluster that would be lost."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -92,7 +114,7 @@ class Words:
     """
 
     def __init__(self, texts: list, lower: bool = False):
-        raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = [b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
         buf = b" ".join([*raw, b""]) if raw else b" "
         self.buf = buf.lower() if lower else buf
         self.at = np.zeros(len(raw) + 1, np.int64)

@@ -5,9 +5,10 @@
 2. Expectation-maximisation over the pattern counts estimates each labeller's accuracy where it votes, with the labellers
    independent given the class; a pattern's posterior is the weak label of its texts.
 3. The posteriors of a bounded sample (the first `SAMPLE` texts by a hash of doc_id and text) train a logistic scorer over hashed
-   word shapes, which scores every text. Texts that score below 0.3 are rejected, so that doubtful short texts stay.
+   word shapes, which scores every text. Texts that score below 0.3 are rejected, so that doubtful short texts stay. The sample is
+   picked by hash and turned into sparse counts in the tasks, so the driver gets `SAMPLE` small rows at any size of the input.
 
-Null and empty texts, and texts without words, get no votes and a score from the intercept alone. Without any text the result is empty.
+Repeated rows are scored each and are one row of the sample. Null and empty texts, and texts without words, get no votes and a score from the intercept alone. Without any text the result is empty.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, batches, documents, load, mix
+from .common import U64, Words, batches, documents, load, mix, slices
 
 SAMPLE, SAMPLE_BYTES, ROWS, EM_STEPS, FIT_STEPS, KEEP, FEW = 4000, 200_000, 1024, 60, 300, 0.3, 30.0
 LABELLERS = ("symbols", "capitals", "repeats", "bare", "doubled", "variety", "short", "echo")
@@ -70,13 +71,7 @@ class Seen:
         self.pattern = sum(np.where(self.n > 0, v, 0).astype(np.int64) * 3**i for i, v in enumerate(votes))
         crowd = np.minimum(2 * upper // np.maximum(letters, 1), 2)
         shape = _KIND[first] + 6 * (_KIND[last] + 6 * (doubled + 2 * (np.minimum(size, 15) // 4 + 4 * (crowd + 3 * (again + 2 * np.minimum(symbols, 3))))))
-        self.row, self.doc, self.n_texts = (mix(shape.astype(U64)) % U64(ROWS)).astype(np.int64), doc, n_texts
-
-    def features(self) -> np.ndarray:
-        """A row of hashed shape frequencies for each text, and the intercept; its length nears 1 with the number of words."""
-        x = np.bincount(self.doc * ROWS + self.row, minlength=self.n_texts * ROWS).reshape(self.n_texts, ROWS).astype(np.float32)
-        x /= np.sqrt((x * x).sum(1, keepdims=True) + FEW)
-        return np.concatenate((x, np.ones((self.n_texts, 1), np.float32)), 1)
+        self.row, self.doc, self.n_texts, self.off = (mix(shape.astype(U64)) % U64(ROWS)).astype(np.int64), doc, n_texts, w.off
 
 
 def vote_posteriors(counts: dict[int, int]) -> tuple[dict[int, float], np.ndarray, float]:
@@ -106,32 +101,80 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+MADE = ("n_words", "pattern", "weak", "score", "keep")
+_ROW = "hash long, pattern long, cells binary, counts binary"
+
+
+def _least_by_hash(docs: DataFrame, n_texts: int) -> list:
+    """The first SAMPLE different texts by hash, as (hash, pattern, cells, counts): what the driver gets is bounded and holds no text.
+
+    Only texts whose hash lies in the share that should hold them are looked at; where repeated rows leave too few, the share grows.
+    """
+    hashed = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.xxhash64("doc_id", "text").alias("hash"), "text")
+
+    def shapes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(parts):
+            s = Seen(part.column("text").to_pylist())
+            found = [np.unique(s.row[a:b], return_counts=True) for a, b in zip(s.off[:-1], s.off[1:], strict=True)]
+            cells, counts = (pa.array([f[i].astype(kind).tobytes() for f in found], pa.binary()) for i, kind in ((0, np.int16), (1, np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column("hash"), pa.array(s.pattern, pa.int64()), cells, counts], ["hash", "pattern", "cells", "counts"])
+
+    share = 1.25 * SAMPLE / max(1, n_texts)
+    while True:
+        within = hashed if share >= 1 else hashed.where(F.col("hash") < int(-(2**63) + share * 2**64))
+        rows = batches(within).mapInArrow(shapes, _ROW).dropDuplicates(["hash"]).orderBy("hash").limit(SAMPLE).collect()
+        if len(rows) == SAMPLE or share >= 1:
+            return rows
+        share *= 4
+
+
+def _dense(rows: list) -> np.ndarray:
+    """The features of sampled texts: hashed shape frequencies and the intercept; a row's length nears 1 with the number of words."""
+    x = np.zeros((len(rows), ROWS + 1), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["cells"], np.int16)] = np.frombuffer(r["counts"], np.int32)
+    x /= np.sqrt((x * x).sum(1, keepdims=True) + FEW)
+    x[:, ROWS] = 1
+    return x
+
+
 def quality_scores(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text, the columns `more`, n_words, pattern (votes), weak (posterior of its votes), score (chance of a good text), keep."""
-    docs = documents(docs, *more)
+    """doc_id, text, the columns `more`, n_words, pattern (votes), weak (posterior of its votes), score (chance of a good text), keep.
+
+    Columns of `more` that are called like one of these get the suffix `_in`.
+    """
+    docs = documents(docs, *more, made=MADE)
     spark = docs.sparkSession
 
     def votes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(Seen(part.column("text").to_pylist()).pattern, pa.int64())], ["pattern"])
+        for part in slices(parts):
+            pattern = Seen(part.column("text").to_pylist()).pattern
+            yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.int64())], ["pattern"])
 
-    counts = {r[0]: r[1] for r in batches(docs.select("text")).mapInArrow(votes, "pattern long").groupBy("pattern").count().collect()}  # 3 ** 8 rows at most
+    by_pattern = batches(docs.select("text")).mapInArrow(votes, "pattern long").groupBy("pattern").count()
+    counts = {r[0]: r[1] for r in by_pattern.collect()}  # 3 ** 8 rows at most
     weak, _, _ = vote_posteriors(counts)
-    taken = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(SAMPLE).collect()
-    seen = Seen([r["text"] for r in taken])
-    weights = fit(seen.features(), np.array([weak[int(p)] for p in seen.pattern]))
+    sample = _least_by_hash(docs, sum(counts.values()))
+    weights = fit(_dense(sample), np.array([weak[r["pattern"]] for r in sample]))
     shared = spark.sparkContext.broadcast((weak, weights))
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weak, weights = shared.value
-        for part in parts:
+        for part in slices(parts):
             s = Seen(part.column("text").to_pylist())
             norm = np.zeros(s.n_texts)
             cell, n = np.unique(s.doc * ROWS + s.row, return_counts=True)
             np.add.at(norm, cell // ROWS, n.astype(float) ** 2)
             z = np.bincount(cell // ROWS, weights=n * weights[cell % ROWS], minlength=s.n_texts) / np.sqrt(norm + FEW) + weights[-1]
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.n, pa.int64()), pa.array(s.pattern, pa.int64()), pa.array([weak.get(int(x), 0.5) for x in s.pattern], pa.float64()), pa.array(p, pa.float64()), pa.array(p >= KEEP)], [*part.schema.names, "n_words", "pattern", "weak", "score", "keep"])
+            made = [
+                pa.array(s.n, pa.int64()),
+                pa.array(s.pattern, pa.int64()),
+                pa.array([weak.get(int(x), 0.5) for x in s.pattern], pa.float64()),
+                pa.array(p, pa.float64()),
+                pa.array(p >= KEEP),
+            ]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *MADE])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return batches(docs).mapInArrow(score, f"{fields}, n_words long, pattern long, weak double, score double, keep boolean")
