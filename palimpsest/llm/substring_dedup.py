@@ -3,17 +3,20 @@
 Broadcasting automata of the whole corpus to every task would cost the corpus times its shards. Here each stretch of text
 meets only the shards that can match it:
 
-1. Each window of 13 words has an anchor: the smallest hash among its 8 runs of 6 words. Equal windows have equal anchors.
+1. Each window of 13 words has an anchor: the smallest hash among its runs of RUN words. Equal windows have equal anchors.
    A grouped minimum gives every anchor's owner, the smallest doc_id that has it, and drops anchors of one document only.
 2. Stretches of windows whose anchor the document owns are references; stretches owned by a smaller doc_id are streams.
-   Both go to the owner's shard. A shard's automaton is bounded, as it holds its own owners' stretches; streams of a hot
-   shard are dealt over salts, for each of which the (bounded) references are repeated.
+   Both go to the owner's shard. The anchors of a very long owner are dealt over parts, each with stretches and a shard of its own, so
+   a shard's automaton is bounded; streams of a hot shard are dealt over salts, for each of which the references are repeated.
 3. A task builds the automaton of its shard and streams the rest: wherever the longest match ending at a word reaches
    13 words, these words go. That is exact on words, not on hashes.
-4. A window whose anchor occurs in the owner in another context only stays unmatched; such windows get their own hash as anchor
-   and go through 2 and 3 once more, now with the smallest doc_id that has the whole window as owner.
+4. A window whose anchor occurs in the owner in another context only stays unmatched. Runs of such windows go through 1 to 3 once
+   more, each window now being its own anchor, so that its owner is the smallest doc_id that has the whole window.
 
-Null texts have no words. Rows with a null doc_id are neither references nor changed. Rows that share a doc_id are not smaller than each other.
+The same plan runs at every size: texts are joined with their owners and with their spans by shuffles, never by a broadcast.
+
+Null texts have no words. Rows with a null doc_id are neither references nor changed. Rows that share a doc_id are not smaller than each
+other; equal rows are changed alike.
 """
 
 from __future__ import annotations
@@ -26,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Words, batches, documents, load, materialize, ngrams, picked, signed
+from .common import Words, batches, documents, load, materialize, ngrams, signed, slices
 
-RUN, SHARD_WORDS, STREAM_WORDS, BROADCAST_SPANS = 6, 40_000, 400_000, 400_000
-_STRETCH = "owner long, reference boolean, rid long, doc_id long, start int, n int, words binary"
+#: Words of a run; of a shard's references; of the streams of one salt; windows of an owner's part.
+RUN, SHARD_WORDS, STREAM_WORDS, PART_WINDOWS = 6, 40_000, 400_000, 30_000
+MADE = ("rid", "spans", "n_words", "n_removed", "kept", "kept_sha256")
+_STRETCH = "owner long, part int, reference boolean, rid long, doc_id long, start int, n int, words binary"
+_FOUND = "matched boolean, rid long, doc_id long, start int, n int, words binary"
 
 
 def _anchors(grams: np.ndarray, size: int, run: int) -> np.ndarray:
@@ -108,36 +114,55 @@ class Automaton:
         return out
 
 
+def _anchor_rows(size: int, run: int):
+    """Rows (key, doc_id, text) to each row's different anchors, with the parts into which its windows would be dealt."""
+
+    def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(parts):
+            w, anchors = _of_texts(part, size, run)
+            n = np.maximum(np.diff(w.off) - size + 1, 0)
+            found = [np.unique(anchors[a : a + m]) for a, m in zip(w.off[:-1].tolist(), n.tolist(), strict=True)]
+            each = [len(f) for f in found]
+            columns = [pa.array(signed(np.concatenate(found)))] if found else [pa.array([], pa.int64())]
+            columns += [pa.array(np.repeat(part.column(c).to_numpy(), each)) for c in ("key", "doc_id")]
+            columns.append(pa.array(np.repeat(1 + n // PART_WINDOWS, each).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "key", "doc_id", "parts"])
+
+    return emit
+
+
 def _stretches(size: int, run: int):
-    """Rows (rid, doc_id, text, owners) to stretches: runs of windows with one owner."""
+    """Rows (rid, doc_id, at, text, owners) to stretches: runs of windows with one owner and part."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             w, anchors = _of_texts(part, size, run)
             rows: list[tuple] = []
-            for i, (rid, doc, owners) in enumerate(zip(part.column("rid").to_pylist(), part.column("doc_id").to_pylist(), part.column("owners"), strict=True)):
+            ids = (part.column(c).to_pylist() for c in ("rid", "doc_id", "at"))
+            for i, (rid, doc, at, owners) in enumerate(zip(*ids, part.column("owners"), strict=True)):
                 a, b = int(w.off[i]), int(w.off[i + 1]) - size + 1
-                known, owner = (owners.values.field(k).to_numpy() for k in ("anchor", "owner"))
+                known, owner, piece = (owners.values.field(k).to_numpy() for k in ("anchor", "owner", "part"))
                 if b <= a or not len(known):
                     continue
                 order = np.argsort(known)
-                known, owner = known[order], owner[order]
+                known, owner, piece = known[order], owner[order], piece[order]
                 mine = signed(anchors[a:b])
-                at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                found = known[at] == mine
-                who = np.where(found, owner[at], -1)
-                edge = np.concatenate(([0], np.flatnonzero((who[1:] != who[:-1]) | (found[1:] != found[:-1])) + 1, [b - a]))
+                place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                found = known[place] == mine
+                turn = (found[1:] != found[:-1]) | (owner[place[1:]] != owner[place[:-1]]) | (piece[place[1:]] != piece[place[:-1]])
+                edge = np.concatenate(([0], np.flatnonzero(turn) + 1, [b - a]))
                 for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     if found[s]:
-                        to = int(who[s])
-                        rows.append((to, to == doc, rid, doc, s, e - s + size - 1, w.buf[w.start[a + s] : w.end[a + e + size - 2]]))
+                        to, words = int(owner[place[s]]), w.buf[w.start[a + s] : w.end[a + e + size - 2]]
+                        rows.append((to, int(piece[place[s]]), to == doc, rid, doc, at + s, e - s + size - 1, words))
             yield _batch(rows, _STRETCH_ARROW)
 
     return cut
 
 
-_STRETCH_ARROW = pa.schema([("owner", pa.int64()), ("reference", pa.bool_()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
-_FOUND_ARROW = pa.schema([("matched", pa.bool_()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
+_IDS = [("rid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())]
+_STRETCH_ARROW = pa.schema([("owner", pa.int64()), ("part", pa.int32()), ("reference", pa.bool_()), *_IDS])
+_FOUND_ARROW = pa.schema([("matched", pa.bool_()), *_IDS])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -145,23 +170,27 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _runs(on: list[bool]) -> list[tuple[int, int]]:
+def _runs(on: np.ndarray | list[bool]) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], np.array(on, np.int8), [0]))))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
 def _streamed(stretches: DataFrame, size: int) -> DataFrame:
-    """matched, rid, doc_id, start, n, words: covered spans of the streams, and the windows (matched is false) that no reference of their owner has."""
+    """matched, rid, doc_id, start, n, words: covered spans of the streams, and spans of windows (matched is false) that no reference of their owner has."""
     total = stretches.where("reference").agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_WORDS))
-    dealt = stretches.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
-    salts = dealt.groupBy("shard").agg(F.ceil(F.sum(F.when(~F.col("reference"), F.col("n")).otherwise(0)) / STREAM_WORDS).cast("int").alias("salts")).where("salts > 0")
-    dealt = dealt.join(salts, "shard").withColumn("salt", F.explode(F.when(F.col("reference"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rid", "start"), F.col("salts")).cast("int")))))
-    dealt = dealt.select("shard", "salt", (~F.col("reference")).alias("stream"), "rid", "doc_id", "start", "words").repartition("shard", "salt").sortWithinPartitions("shard", "salt", "stream")
+    dealt = stretches.withColumn("shard", F.pmod(F.xxhash64("owner", "part"), F.lit(shards)))
+    streamed = F.sum(F.when(~F.col("reference"), F.col("n")).otherwise(0))
+    salts = dealt.groupBy("shard").agg(F.ceil(streamed / STREAM_WORDS).cast("int").alias("salts")).where("salts > 0")
+    own = F.array(F.pmod(F.xxhash64("rid", "start"), F.col("salts")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("salts") - 1)
+    dealt = dealt.join(salts, "shard").withColumn("salt", F.explode(F.when(F.col("reference"), every).otherwise(own)))
+    dealt = dealt.select("shard", "salt", (~F.col("reference")).alias("stream"), "rid", "doc_id", "start", "words")
+    dealt = dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "stream")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, automaton = None, Automaton()
-        for part in parts:
+        for part in slices(parts, 2000):
             rows: list[tuple] = []
             for shard, salt, stream, rid, doc, start, text in zip(*(part.column(i).to_pylist() for i in range(7)), strict=True):
                 if (shard, salt) != at:
@@ -170,55 +199,49 @@ def _streamed(stretches: DataFrame, size: int) -> DataFrame:
                 if not stream:
                     automaton.add(words)
                     continue
-                whole = [n >= size for n in automaton.matches(words)][size - 1 :]
+                whole = np.array(automaton.matches(words)[size - 1 :]) >= size
                 rows += [(True, rid, doc, start + a, b - a + size - 1, None) for a, b in _runs(whole)]
-                rows += [(False, rid, doc, start + a, size, b" ".join(words[a : a + size])) for a, ok in enumerate(whole) if not ok]
+                rows += [(False, rid, doc, start + a, b - a + size - 1, b" ".join(words[a : b + size - 1])) for a, b in _runs(~whole)]
             yield _batch(rows, _FOUND_ARROW)
 
-    return batches(dealt, 2000).mapInArrow(run, "matched boolean, rid long, doc_id long, start int, n int, words binary")
+    return batches(dealt, 2000).mapInArrow(run, _FOUND)
 
 
-def repeated_spans(docs: DataFrame, size: int = 13) -> DataFrame:
-    """rid, start, n: spans of words (numbered from 0) that windows cover which also start in a document of a smaller doc_id.
+def _searched(texts: DataFrame, size: int, run: int) -> DataFrame:
+    """Steps 1 to 3 of the module over rows (rid, doc_id, at, text): text begins at word `at` of the document."""
+    # Equal keys of different rows would do no harm: an anchor's owner is looked up by the anchor.
+    texts = texts.withColumn("key", F.xxhash64("doc_id", "rid", "at"))
+    anchors = batches(texts.select("key", "doc_id", "text")).mapInArrow(_anchor_rows(size, run), "anchor long, key long, doc_id long, parts int")
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.max("parts").alias("parts"))
+    shared = shared.where("owner < top").select("anchor", "owner", F.pmod(F.xxhash64("anchor"), F.col("parts")).cast("int").alias("part"))
+    owners = anchors.select("anchor", "key").join(shared, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "owner", "part")).alias("owners"))
+    with_owners = texts.join(owners, "key").select("rid", "doc_id", "at", "text", "owners")
+    return materialize(_streamed(materialize(batches(with_owners).mapInArrow(_stretches(size, run), _STRETCH)), size))
 
-    docs: rid (an id for each different row), doc_id, text.
-    """
-    run = min(RUN, size)
 
-    def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            w, anchors = _of_texts(part, size, run)
-            found, who = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for a, b, doc in zip(w.off[:-1].tolist(), w.off[1:].tolist(), part.column("doc_id").to_pylist(), strict=True):
-                if b - a >= size:
-                    one = anchors[a : b - size + 1]
-                    found.append(signed(np.unique(one)))
-                    who.append(np.full(len(found[-1]), doc, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(who))], ["anchor", "doc_id"])
+def repeated_spans(docs: DataFrame, size: int = 13) -> DataFrame:
+    """doc_id, rid, start, n: spans of words (numbered from 0) that windows cover which also start in a document of a smaller doc_id.
 
+    docs: rid (an id for each different row of a doc_id), doc_id, text.
+    """
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    anchors = batches(usable.select("doc_id", "text")).mapInArrow(emit, "anchor long, doc_id long")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top").drop("top")
-    owners = materialize(anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "owner")).alias("owners")))
-    stretches = materialize(batches(picked(usable, owners, "doc_id").join(owners, "doc_id").select("rid", "doc_id", "text", "owners")).mapInArrow(_stretches(size, run), _STRETCH))
-    first = materialize(_streamed(stretches, size))
-    left = first.where("not matched").withColumn("anchor", F.xxhash64("words")).drop("matched")
-    shared = left.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top").drop("top")
-    left = left.join(shared, "anchor").withColumn("reference", F.col("doc_id") == F.col("owner"))
-    again = left.where("reference").dropDuplicates(["anchor"]).unionByName(left.where("not reference")).withColumn("owner", F.col("anchor")).select("owner", "reference", "rid", "doc_id", "start", "n", "words")
-    second = _streamed(materialize(again), size)
-    return first.where("matched").select("rid", "start", "n").union(second.where("matched").select("rid", "start", "n")).distinct()
+    first = _searched(usable.select("rid", "doc_id", F.lit(0).alias("at"), F.encode("text", "UTF-8").alias("text")), size, min(RUN, size))
+    left = first.where("not matched").select("rid", "doc_id", F.col("start").alias("at"), F.col("words").alias("text"))
+    second = _searched(left, size, size)
+    return first.where("matched").union(second.where("matched")).select("doc_id", "rid", "start", "n")
 
 
 def without_repeats(docs: DataFrame, size: int = 13, *more: str) -> DataFrame:
-    """doc_id, text, n_words, n_removed, kept (the text without the removed words, its other bytes as they were), kept_sha256, and the columns `more`."""
-    docs = documents(docs, *more).withColumn("rid", F.xxhash64("doc_id", "text"))
-    spans = materialize(repeated_spans(docs.select("rid", "doc_id", "text"), size).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
-    total = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    bounded = total[0] <= BROADCAST_IDS and (total[1] or 0) <= BROADCAST_SPANS
+    """doc_id, text, n_words, n_removed, kept (the text without the removed words, its other bytes as they were), kept_sha256, and the columns `more`.
+
+    Columns of `more` that are called like one of these, rid or spans get the suffix `_in`.
+    """
+    docs = documents(docs, *more, made=MADE).withColumn("rid", F.xxhash64("doc_id", "text"))
+    spans = repeated_spans(docs.select("rid", "doc_id", "text"), size)
+    spans = spans.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
     def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             texts = part.column("text").to_pylist()
             w = Words(texts)
             out: list[list] = [[], [], [], []]
@@ -241,9 +264,10 @@ def without_repeats(docs: DataFrame, size: int = 13, *more: str) -> DataFrame:
                 for column, value in zip(out, (b - a, int(gone.sum()), text, hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
                     column.append(value)
             names = [n for n in part.schema.names if n not in ("rid", "spans")]
-            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], [*names, "n_words", "n_removed", "kept", "kept_sha256"])
+            made = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *made], [*names, *MADE[2:]])
 
-    joined = batches(docs.join(F.broadcast(spans) if bounded else spans, "rid", "left").drop("rid"))
+    joined = batches(docs.join(spans, ["doc_id", "rid"], "left").drop("rid"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "spans")
     return joined.mapInArrow(keep, f"{fields}, n_words long, n_removed long, kept string, kept_sha256 string")
 
