@@ -11,7 +11,6 @@ n_items' count of distinct items. Repeated items count once for each id.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, documents, load
+from .common import batches, documents, load, slices
 
 #: Words of the windows in one automaton: some 200 MB in each Python worker.
 SHARD_WORDS = 2_000_000
 _SPACE = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+MADE = ("n_words", "n_hit", "items", "spans")
 _SCHEMA = ", n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
 
@@ -79,7 +79,10 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, *more: str) -> DataFrame:
-    """doc_id, text, the columns `more`, n_words, n_hit, items (sorted ids of the items with occurring windows), spans (hit words, as character offsets)."""
+    """doc_id, text, the columns `more`, n_words, n_hit, items (sorted ids of the items with occurring windows), spans (hit words, as character offsets).
+
+    Columns of `more` that are called like one of these get the suffix `_in`. Repeated rows of docs are scanned each.
+    """
     spark = docs.sparkSession
     items = [(str(r[0]) if r[0] is not None else "null", r[1]) for r in benchmark.select("item_id", "text").distinct().toLocalIterator()]
     shards = spark.sparkContext.broadcast(_automata(items, size))
@@ -94,7 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, *more:
                 a.add_word(pattern, value)
             a.make_automaton()
             built.append(a)
-        for part in parts:
+        for part in slices(parts):
             out: list[list] = [[], [], [], []]
             texts = part.column("text").to_pylist()
             for text in texts:
@@ -115,7 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, *more:
                 [*part.schema.names, "n_words", "n_hit", "items", "spans"],
             )
 
-    docs = batches(documents(docs, *more))
+    docs = batches(documents(docs, *more, made=MADE))
     return docs.mapInArrow(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + _SCHEMA)
 
 
@@ -124,10 +127,6 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-
-
 SQL: dict[str, str] = {
     "op6_decontaminate": """
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),

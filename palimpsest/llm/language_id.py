@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, load, materialize
+from .common import batches, load, materialize, slices
 
 CELLS, TEMPER, HOST_WEIGHT, SUFFIX_WEIGHT = 1 << 13, 60.0, 5.0, 20.0
 _OUT = re.compile(rb"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;")
@@ -49,7 +49,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for part in parts:
+        for part in slices(parts):
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                 sums.setdefault(lang, np.zeros(CELLS, np.int64))
                 sums[lang] += np.bincount(_cells(text.encode("utf-8", "surrogatepass")), minlength=CELLS)
@@ -79,7 +79,7 @@ def text_posteriors(pages: DataFrame, langs: list[str], model: np.ndarray) -> Da
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in parts:
+        for part in slices(parts):
             declared, post = [], np.empty((part.num_rows, len(langs)))
             for i, html in enumerate(part.column("html").to_pylist()):
                 found = _DECLARED.search((html or "").encode("utf-8", "surrogatepass"))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, batches, documents, load, materialize, mix
+from .common import U64, Words, batches, documents, load, materialize, mix, slices
 
 TOP, SHARD_TOKENS, FOLD_ROWS, STEPS, CLASSES, MERGE_AT = 1 << 20, 1_200_000, 12, 15, 48, 600_000
 END = U64(0x5DEECE66D1234567)
@@ -76,7 +76,7 @@ def _unigrams(buckets: int):
             rows = [(1, i, k[o].tobytes(), c[o].tobytes(), [], 0, 0) for i in range(buckets) if len(o := order[edge[i] : edge[i + 1]])]
             return _rows(rows, ["kind", "bucket", "keys", "counts", "levels", "n", "n_kept"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()])
 
-        for part in parts:
+        for part in slices(parts):
             tok, off = _tokens(part.column("text").to_pylist())
             fold = np.repeat(part.column("fold").to_numpy(), np.diff(off))
             k, inverse = np.unique(tok[fold > 0], return_inverse=True)
@@ -156,7 +156,7 @@ def _emit_rare(shared, buckets: int):
     """The bigrams of words outside the broadcast ones, by the word's bucket: words, upper halves of contexts, shards."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             tok, _, row, _, key, shard, _ = _bigrams(part, shared.value, buckets)
             rare = np.flatnonzero(row < 0)
             rare = rare[np.unique(key[rare] ^ mix(tok[rare] + shard[rare].astype(U64)), return_index=True)[1]]
@@ -194,7 +194,7 @@ def _emit(shared, buckets: int):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, base = shared.value, TaskContext.get().partitionId() << 40
-        for part in parts:
+        for part in slices(parts):
             tok, off, row, before, key, shard, hot = _bigrams(part, top, buckets)
             lengths = np.diff(off)
             doc = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import U64, Words, batches, documents, load, materialize, mix, ngrams, picked, signed
+from .common import U64, Words, batches, documents, load, materialize, mix, ngrams, picked, signed, slices
 from .components import components
 
 REGISTERS, BAND, MANTISSA, ROUNDS, TINY, BLOCK, MARGIN = 192, 4, 8, 32, 7, 512, 4.5
@@ -115,7 +115,7 @@ def with_set_ids(docs: DataFrame, k: int = 5) -> DataFrame:
     """The rows with the set_id that near_duplicates gives their text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             with np.errstate(over="ignore"):
                 sig = np.array([mix(s).sum(dtype=U64) for s in shingles(part.column("text").to_pylist(), k)], U64)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(sig))], [*part.schema.names, "set_id"])
@@ -127,7 +127,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n, sig, sig2 (the set's hash of 128 bits), regs, tiny (the shingles of small sets)."""
 
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             sets = shingles(part.column("text").to_pylist(), k)
             regs = registers(sets)
             with np.errstate(over="ignore"):
@@ -171,7 +171,7 @@ def _sets(vids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataF
     need = materialize(vids.join(classes.select("vid", "rep"), "vid"))
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             found = shingles(part.column("text").to_pylist(), k)
             with np.errstate(over="ignore"):
                 vid = np.array([mix(s).sum(dtype=U64) for s in found], U64)

@@ -13,6 +13,7 @@ Null texts are empty; empty texts have no pieces.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, documents, load
+from .common import batches, documents, load, slices
 
 MARK, CACHE, SHORT, UNKNOWN = "▁", 400_000, 48, 10.0
 
@@ -158,22 +159,25 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-_BUILT: dict[int, Codec] = {}
+_BUILT: dict[str, Codec] = {}
 
 
 def _codec(pieces: list[tuple[str, float, str]]) -> Codec:
-    key = hash((len(pieces), pieces[-1], pieces[len(pieces) // 2]))
+    key = hashlib.sha256(repr(pieces).encode()).hexdigest()
     return _BUILT.get(key) or _BUILT.setdefault(key, Codec(pieces))
 
 
 def encoded(docs: DataFrame, pieces: list[tuple[str, float, str]], *more: str) -> DataFrame:
-    """doc_id, text, the columns `more`, ids array<int>, n_bytes_fallback, round_trip (decoding gives the text back, markers read as spaces)."""
-    docs = documents(docs, *more)
+    """doc_id, text, the columns `more`, ids array<int>, n_bytes_fallback, round_trip (decoding gives the text back, markers read as spaces).
+
+    Columns of `more` that are called like one of these get the suffix `_in`. Repeated rows are encoded each.
+    """
+    docs = documents(docs, *more, made=("ids", "n_bytes_fallback", "round_trip"))
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
-        for part in parts:
+        for part in slices(parts):
             texts = part.column("text").to_pylist()
             ids = [codec.encode(t) for t in texts]
             same = [codec.decode(i) == (t or "").replace(MARK, " ") for i, t in zip(ids, texts, strict=True)]
@@ -190,7 +194,7 @@ def decoded(rows: DataFrame, pieces: list[tuple[str, float, str]]) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
-        for part in parts:
+        for part in slices(parts):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([None if i is None else codec.decode(i) for i in part.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
     return batches(rows.select(rows["doc_id"].cast("long").alias("doc_id"), rows["ids"].cast("array<int>").alias("ids"))).mapInArrow(run, "doc_id long, text string")

@@ -9,6 +9,7 @@ Null or empty texts count 0. A special token's string inside a text counts as on
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, documents, load
+from .common import batches, documents, load, slices
 
 #: Pieces whose counts a worker keeps; beyond it the dictionary starts anew.
 CACHE = 600_000
@@ -95,11 +96,14 @@ def read_vocabulary(path: str) -> tuple[list[tuple[str, str]], list[str]]:
     """Merges and special strings of a byte-level BPE file (.json); the driver reads it, the workers get its content."""
     with open(path, encoding="utf-8") as f:
         found = json.load(f)
+    cut = found.get("pre_tokenizer") or {}
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or found.get("normalizer"):
+        raise ValueError(f"{path} does not cut texts by the byte-level pattern alone: {cut}, {found.get('normalizer')}")
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in found["model"]["merges"]]
     return merges, [t["content"] for t in found.get("added_tokens", [])]
 
 
-_BUILT: dict[int, Merges] = {}
+_BUILT: dict[str, Merges] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -110,9 +114,9 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
         import regex
 
         pieces = regex.compile(PATTERN).findall
-        key = hash((len(shared.value[0]), shared.value[0][-1], tuple(shared.value[1])))
+        key = hashlib.sha256(repr(shared.value).encode()).hexdigest()
         merges = _BUILT.get(key) or _BUILT.setdefault(key, Merges(*shared.value))
-        for part in parts:
+        for part in slices(parts):
             texts = part.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], pa.int64()), pa.array([merges.tokens(t, pieces) if t else 0 for t in texts], pa.int64())], ["doc_id", "text", "n_bytes", "n_tokens"])
 
