@@ -1,6 +1,6 @@
 """LM scoring by deleted interpolation of bigrams, unigrams and a uniform floor.
 
-    P(w | h) = l2(b) c(h, w) / c(h) + l1(b) c(w) / N + l0(b) / (V + 1),    b = floor(log2(c(h) + 1))
+    P(w | h) = l2(b) c(h, w) / c(h) + l1(b) c(w) / N + l0(b) / (V + 1),    b = floor(log2(c(h) + 1)),    l2(0) = 0
 
 The counts are those of all training texts. The weights of each context-frequency bucket b are learned by
 expectation-maximisation: a seventh of all rows, all of them training rows, is deleted from the counts, and the weights maximise its
@@ -70,10 +70,7 @@ def _unigrams(buckets: int):
 
         def packed() -> pa.RecordBatch:
             k, c = _counted(keys, counts)
-            b = (k % U64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            edge = np.searchsorted(b[order], np.arange(buckets + 1))
-            rows = [(1, i, k[o].tobytes(), c[o].tobytes(), [], 0, 0) for i in range(buckets) if len(o := order[edge[i] : edge[i + 1]])]
+            rows = [(1, i, k[o].tobytes(), c[o].tobytes(), [], 0, 0) for i, o in _split((k % U64(buckets)).astype(np.int64))]
             return _rows(rows, ["kind", "bucket", "keys", "counts", "levels", "n", "n_kept"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()])
 
         for part in slices(parts):
@@ -128,11 +125,12 @@ def _codes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(values, _near(c, exact)).astype(np.uint16)
 
 
-def _split(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets that occur, and the places of each; its work does not grow with the number of buckets."""
     order = np.argsort(bucket, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for i in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-        yield i, order[edge[i] : edge[i + 1]]
+    found, first = np.unique(bucket[order], return_index=True)
+    for i, a, b in zip(found.tolist(), first.tolist(), np.append(first, len(order))[1:].tolist(), strict=True):
+        yield i, order[a:b]
 
 
 def _bigrams(part: pa.RecordBatch, top: dict, buckets: int) -> tuple:
@@ -160,7 +158,7 @@ def _emit_rare(shared, buckets: int):
             tok, _, row, _, key, shard, _ = _bigrams(part, shared.value, buckets)
             rare = np.flatnonzero(row < 0)
             rare = rare[np.unique(key[rare] ^ mix(tok[rare] + shard[rare].astype(U64)), return_index=True)[1]]
-            out = [(1, i, 0, tok[rare[o]].tobytes(), np.stack([(key[rare[o]] >> U64(32)).astype(np.uint32), shard[rare[o]].astype(np.uint32)]).tobytes()) for i, o in _split((tok[rare] % U64(buckets)).astype(np.int32), buckets)]
+            out = [(1, i, 0, tok[rare[o]].tobytes(), np.stack([(key[rare[o]] >> U64(32)).astype(np.uint32), shard[rare[o]].astype(np.uint32)]).tobytes()) for i, o in _split((tok[rare] % U64(buckets)).astype(np.int32))]
             yield _rows(out, ["kind", "bucket", "base", "keys", "code"], [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 
     return run
@@ -182,7 +180,7 @@ def _counts_for(buckets: int):
         first = np.unique(key ^ mix(word[seen] + shard[seen].astype(U64)), return_index=True)[1]
         key, at, shard = key[first], at[seen[first]], shard[seen[first]].astype(np.int32)
         counts = np.stack([count[at].sum(1), count[at, 0]], 1).astype(np.uint32)
-        rows = [(0, i, -1, key[o].tobytes(), counts[o].tobytes()) for i, o in _split(shard, buckets)]
+        rows = [(0, i, -1, key[o].tobytes(), counts[o].tobytes()) for i, o in _split(shard)]
         return pd.DataFrame(rows, columns=["kind", "bucket", "base", "keys", "code"])
 
     return run
@@ -219,7 +217,7 @@ def _emit(shared, buckets: int):
             at = (doc[first] | (fold[doc[first]].astype(np.int64) << FOLD_ROWS) | (hot[first].astype(np.int64) << 15)).astype(np.uint16)
             code, less = (np.append(top[x], np.uint16(0))[row] for x in ("code", "kept_code"))
             n = n.astype(np.uint8)
-            for i, o in _split(shard[first], buckets):
+            for i, o in _split(shard[first]):
                 out.append((0, i, base, key[o].tobytes(), at[o].tobytes(), n[o].tobytes(), code[o].tobytes(), less[o[deleted[o]]].tobytes()))
             base += 1 << FOLD_ROWS
             yield _rows(out, names, types)
@@ -236,7 +234,7 @@ def _binned(b: np.ndarray, p2: np.ndarray, p1: np.ndarray, n: np.ndarray) -> pd.
     """Deleted bigrams of each frequency bucket, as cells of equal bins: their count and the sums of both estimates."""
     cells, sums = _counted([(b << 32 | _cells(p2) << 16 | _cells(p1)).astype(U64)], [np.stack([n, n * p2, n * p1], 1)])
     of = (cells >> U64(32)).astype(np.int64)
-    rows = [(i, cells[o].tobytes(), sums[o].tobytes()) for i, o in _split(of, CLASSES)]
+    rows = [(i, cells[o].tobytes(), sums[o].tobytes()) for i, o in _split(of)]
     return pd.DataFrame(rows, columns=["b", "cells", "sums"])
 
 
@@ -264,7 +262,9 @@ def _learn(uniform: float):
         n = sums[:, 0]
         parts = np.stack([sums[:, 1] / n, sums[:, 2] / n, np.full(len(n), uniform)], 1)
         overall = em(np.zeros(len(b), np.int64), parts, n, 1, np.array([[0.3, 0.5, 0.2]]))
-        return pd.DataFrame({"weights": [em(b, parts, n, CLASSES, np.repeat(overall, CLASSES, 0)).tobytes()]})
+        weights = em(b, parts, n, CLASSES, np.repeat(overall, CLASSES, 0))
+        weights[0, 0] = 0.0  # after a context that no training text has, bigrams have no share: the other two take it
+        return pd.DataFrame({"weights": [(weights / weights.sum(1, keepdims=True)).tobytes()]})
 
     return run
 
@@ -274,12 +274,9 @@ def _reduce(shared, buckets: int):
     home = lambda base: (mix((base >> 12).astype(U64)) % U64(buckets)).astype(np.int64)
 
     def dealt(kind: int, rows: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
-        to = home(rows >> FOLD_ROWS << FOLD_ROWS)
-        order = np.argsort(to, kind="stable")
-        edge = np.searchsorted(to[order], np.arange(buckets + 1))
-        at = np.flatnonzero(edge[1:] > edge[:-1])
-        pick = lambda x: [x[order[edge[i] : edge[i + 1]]].tobytes() for i in at]
-        return pd.DataFrame({"bucket": at, "kind": kind, "rows": pick(rows), **{k: pick(columns[k]) if k in columns else b"" for k in ("ids", "n", "known", "base", "score")}})
+        groups = list(_split(home(rows >> FOLD_ROWS << FOLD_ROWS)))
+        pick = lambda x: [x[o].tobytes() for _, o in groups]
+        return pd.DataFrame({"bucket": [i for i, _ in groups], "kind": kind, "rows": pick(rows), **{k: pick(columns[k]) if k in columns else b"" for k in ("ids", "n", "known", "base", "score")}})
 
     def bigrams(g: pd.DataFrame, top: dict, weights: np.ndarray | None) -> pd.DataFrame:
         rare, g = g[g["base"] < 0], g[g["base"] >= 0]
