@@ -8,10 +8,12 @@
 3. Grouped sums of these posteriors give, smoothed level by level, P(language), P(language | address suffix) and P(language |
    host), and P(declared | language) for what the markup declares. A page's own posterior is taken off the sums of its host, suffix and
    declaration first, so that no evidence counts twice.
-4. Plain joins on host, suffix and declaration fuse them; hot hosts are pre-aggregated and left to skew-join splitting.
+4. Joins on host, suffix and declaration fuse them. The sums are written and counted: up to `BROADCAST_KEYS` of them are broadcast,
+   beyond that both sides are plain shuffles, of which the skew-join rule splits a hot host.
 
 Pages with null url have the host and suffix "", pages without a declaration the declaration "". Null html has no text; such
-pages go by the other evidence. Without training languages the result's language is null.
+pages go by the other evidence. Without training languages the result's language is null. Repeated pages are evidence each
+and are scored each; ties go to the first language in order.
 """
 
 from __future__ import annotations
@@ -20,20 +22,66 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, load, materialize, slices
 
-CELLS, TEMPER, HOST_WEIGHT, SUFFIX_WEIGHT = 1 << 13, 60.0, 5.0, 20.0
-_OUT = re.compile(rb"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;")
-_DECLARED = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})")
+CELLS, TEMPER, HOST_WEIGHT, SUFFIX_WEIGHT, FAN_IN = 1 << 13, 60.0, 5.0, 20.0, 100
+#: Most languages that are told apart: one array of counts of each goes to the driver.
+LANGUAGES = 2000
+#: Most hosts, suffixes or declarations whose sums are broadcast; beyond it the pages are shuffled to them.
+BROADCAST_KEYS = 10_000
+_BLOCK, _CLOSE = re.compile(rb"(?i)<(script|style|head)\b"), re.compile(rb"(?i)</(script|style|head)\s*>")
+_ENTITY, _HTML = re.compile(rb"&[#\w]+;"), re.compile(rb"(?i)<html\b")
+_LANG = re.compile(rb"(?i)\blang\s*=\s*[\"']?([A-Za-z]{2,3})")
 
 
 def visible(html: str | None) -> bytes:
-    """The text outside tags, scripts, styles, the head and comments."""
-    return b"" if html is None else _OUT.sub(b" ", html.encode("utf-8", "surrogatepass"))
+    """The text outside tags, scripts, styles, the head and comments; what is not closed counts as one tag. One pass over the page."""
+    if html is None:
+        return b""
+    raw, out, at = html.encode("utf-8", "surrogatepass"), [], 0
+    closed: dict[bytes, list[re.Match]] = {}
+    for m in _CLOSE.finditer(raw):
+        closed.setdefault(m[1].lower(), []).append(m)
+    for found in closed.values():
+        found.reverse()  # the next one is the last
+    comment = 0  # where the next end of a comment is; -1: there is none
+    while (i := raw.find(b"<", at)) >= 0:
+        out.append(raw[at:i])
+        end = -1
+        if raw.startswith(b"<!--", i) and comment >= 0:
+            comment = raw.find(b"-->", i + 4) if comment < i + 4 else comment
+            end = comment + 3 if comment >= 0 else -1
+        elif m := _BLOCK.match(raw, i):
+            ends = closed.get(m[1].lower(), [])
+            while ends and ends[-1].start() < m.end():
+                ends.pop()
+            end = ends[-1].end() if ends else -1
+        if end < 0:
+            end = raw.find(b">", i) + 1
+            if not end:
+                at = i
+                break
+        out.append(b" ")
+        at = end
+    return _ENTITY.sub(b" ", b"".join([*out, raw[at:]]))
+
+
+def declared_language(html: str | None) -> str:
+    """The first language that an html tag declares, in lower case; "" without one."""
+    raw, until = (html or "").encode("utf-8", "surrogatepass"), -1
+    for m in _HTML.finditer(raw):
+        if m.start() >= until:
+            until = raw.find(b">", m.end())
+            until = len(raw) if until < 0 else until
+            if found := _LANG.search(raw, m.end(), until):
+                return found[1].decode().lower()
+    return ""
 
 
 def _cells(raw: bytes) -> np.ndarray:
@@ -53,23 +101,24 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                 sums.setdefault(lang, np.zeros(CELLS, np.int64))
                 sums[lang] += np.bincount(_cells(text.encode("utf-8", "surrogatepass")), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "counts"])
-
-    def add(key: tuple, parts) -> Iterator:
-        import pandas as pd
+        task = pa.array([TaskContext.get().partitionId()] * len(sums), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), task, pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "task", "counts"])
 
+    def add(g: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CELLS, np.int64)
-        for frame in parts:
-            for c in frame["counts"]:
-                total += np.frombuffer(c, np.int64)
-        yield pd.DataFrame({"lang": [key[0]], "counts": [total.tobytes()]})
-
-    def whole(frame):
-        return next(add((frame["lang"].iloc[0],), [frame]))
+        for c in g["counts"]:
+            total += np.frombuffer(c, np.int64)
+        return pd.DataFrame({"lang": [g["lang"].iloc[0]], "task": [g["task"].iloc[0]], "counts": [total.tobytes()]})
 
     known = docs.select(docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")).where("lang is not null and text is not null")
-    rows = sorted(batches(known).mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInPandas(whole, "lang string, counts binary").collect(), key=lambda r: r[0])
-    counts = np.array([np.frombuffer(r[1], np.int64) for r in rows], float).reshape(len(rows), CELLS) + 0.5
+    kind = "lang string, task long, counts binary"
+    sums = batches(known).mapInArrow(count, kind)
+    for _ in range(3):  # a tree: no group has more than FAN_IN arrays for up to FAN_IN ** 3 tasks
+        sums = sums.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("lang", "task").applyInPandas(add, kind)
+    rows = sorted(sums.groupBy("lang").applyInPandas(add, kind).limit(LANGUAGES + 1).collect(), key=lambda r: r[0])
+    if len(rows) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    counts = np.array([np.frombuffer(r["counts"], np.int64) for r in rows], float).reshape(len(rows), CELLS) + 0.5
     return [r[0] for r in rows], np.log(counts / counts.sum(1, keepdims=True))
 
 
@@ -82,8 +131,7 @@ def text_posteriors(pages: DataFrame, langs: list[str], model: np.ndarray) -> Da
         for part in slices(parts):
             declared, post = [], np.empty((part.num_rows, len(langs)))
             for i, html in enumerate(part.column("html").to_pylist()):
-                found = _DECLARED.search((html or "").encode("utf-8", "surrogatepass"))
-                declared.append(found[1].decode().lower() if found else "")
+                declared.append(declared_language(html))
                 cells = _cells(visible(html))
                 like = model @ np.bincount(cells, minlength=CELLS)
                 like = like / max(1.0, len(cells) / TEMPER)
@@ -107,7 +155,10 @@ def identify(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame
     total = [float(x or 0) for x in whole[:n]]
     kinds = max(1, whole[n])
     all_of = sum(total)
-    joined = p.join(sums("host", "h_"), "host").join(sums("suffix", "s_"), "suffix").join(sums("declared", "d_"), "declared")
+    joined = p
+    for by, mark in (("host", "h_"), ("suffix", "s_"), ("declared", "d_")):
+        few = materialize(sums(by, mark))
+        joined = joined.join(F.broadcast(few) if few.count() <= BROADCAST_KEYS else few, by)
     own = lambda mark, j: F.greatest(F.col(f"{mark}{j}") - F.col(f"p_{j}"), F.lit(0.0))
     add = lambda cols: sum(cols[1:], cols[0])
     h_all, s_all = add([own("h_", j) for j in range(n)]), add([own("s_", j) for j in range(n)])
