@@ -213,7 +213,8 @@ def _searched(texts: DataFrame, size: int, run: int) -> DataFrame:
     texts = texts.withColumn("key", F.xxhash64("doc_id", "rid", "at"))
     anchors = batches(texts.select("key", "doc_id", "text")).mapInArrow(_anchor_rows(size, run), "anchor long, key long, doc_id long, parts int")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.max("parts").alias("parts"))
-    shared = shared.where("owner < top").select("anchor", "owner", F.pmod(F.xxhash64("anchor"), F.col("parts")).cast("int").alias("part"))
+    # Written first: both sides of the join are then plain shuffles, and an anchor that a third of all documents have is split.
+    shared = materialize(shared.where("owner < top").select("anchor", "owner", F.pmod(F.xxhash64("anchor"), F.col("parts")).cast("int").alias("part")))
     owners = anchors.select("anchor", "key").join(shared, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "owner", "part")).alias("owners"))
     with_owners = texts.join(owners, "key").select("rid", "doc_id", "at", "text", "owners")
     return materialize(_streamed(materialize(batches(with_owners).mapInArrow(_stretches(size, run), _STRETCH)), size))
