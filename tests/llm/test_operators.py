@@ -72,6 +72,7 @@ def brute_interpolation(rows):
 
     overall = em([(np.array(p), n) for _, p, n in events], [0.3, 0.5, 0.2])
     weights = [em([(np.array(p), n) for b, p, n in events if b == i], overall) for i in range(language_model.CLASSES)]
+    weights[0] = weights[0] * [0, 1, 1] / weights[0][1:].sum()
     return {d: sum(math.log10(weights[bucket(contexts[2][h])] @ parts(h, w, 2)) for h, w in zip(t[:-1], t[1:], strict=True)) for d, _, t in texts}
 
 
@@ -114,6 +115,66 @@ def test_quality(spark, odd):
     assert quality.quality_scores(odd.limit(0)).count() == 0
 
 
+def test_quality_posteriors_against_enumeration():
+    """The posterior of a vote pattern is Bayes' rule over the two classes with the learned accuracies."""
+    rng = np.random.default_rng(2)
+    counts = {int(p): int(n) for p, n in zip(rng.choice(3 ** len(quality.LABELLERS), 60, replace=False), rng.integers(1, 900, 60), strict=True)}
+    post, right, good = quality.vote_posteriors(counts)
+    again, right_2, good_2 = quality.vote_posteriors(counts)
+    assert post == again and np.array_equal(right, right_2) and good == good_2
+    for p, q in post.items():
+        like = {True: good, False: 1 - good}
+        for i in range(len(quality.LABELLERS)):
+            vote = p // 3**i % 3
+            for is_good in like:
+                like[is_good] *= 1 if not vote else right[i] if (vote == 2) == is_good else 1 - right[i]
+        assert q == pytest.approx(like[True] / (like[True] + like[False]), abs=2e-3)  # posteriors are one step behind the accuracies
+    assert quality.vote_posteriors({})[0] == {}
+
+
+def test_quality_sample_is_the_first_by_hash(spark, odd, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 5)
+    docs = odd.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    want = sorted(r[0] for r in docs.where(F.octet_length("text") <= quality.SAMPLE_BYTES).select(F.xxhash64("doc_id", "text")).distinct().collect())[:5]
+    assert [r["hash"] for r in quality._least_by_hash(docs, docs.count())] == want
+    x = quality._dense(quality._least_by_hash(docs, docs.count()))
+    assert x.shape == (5, quality.ROWS + 1) and (x[:, -1] == 1).all() and (np.linalg.norm(x[:, :-1], axis=1) < 1.001).all()
+
+
+def test_language_fusion_against_a_restatement(spark):
+    """Posteriors of text, host, suffix and declaration put together by hand, page by page, with each page's own share left out."""
+    langs = ["de", "en", "fr"]
+    rng = np.random.default_rng(4)
+    model = np.log(rng.dirichlet(np.ones(language_id.CELLS), 3))
+    pages = [(i, f"http://h{i % 4}.{'de' if i % 4 < 2 else 'org'}/x", f"<html lang={langs[i % 3]}>{'wort ' * (i % 5)}{'word ' * (i % 7)}</html>" if i % 6 else None) for i in range(40)]
+    text = []
+    for _, _, html in pages:
+        cells = language_id._cells(language_id.visible(html))
+        like = model @ np.bincount(cells, minlength=language_id.CELLS) / max(1.0, len(cells) / language_id.TEMPER)
+        like = np.exp(like - like.max())
+        text.append(like / like.sum())
+    text = np.array(text)
+    host, suffix, declared = [u.split("/")[2] for _, u, _ in pages], [u.split("/")[2].split(".")[-1] for _, u, _ in pages], [language_id.declared_language(h) for _, _, h in pages]
+    total, want = text.sum(0), {}
+    for i in range(len(pages)):
+        own = lambda keys: sum(text[j] for j in range(len(pages)) if keys[j] == keys[i] and j != i) + np.zeros(3)  # noqa: B023, E731
+        first = (total + 1) / (total.sum() + 3)
+        by_suffix = (own(suffix) + language_id.SUFFIX_WEIGHT * first) / (own(suffix).sum() + language_id.SUFFIX_WEIGHT)
+        prior = (own(host) + language_id.HOST_WEIGHT * by_suffix) / (own(host).sum() + language_id.HOST_WEIGHT)
+        said = (own(declared) + 0.5) / (total - text[i] + 0.5 * len(set(declared)))
+        p = text[i] * said * prior
+        want[i] = langs[int(p.argmax())], float(p.max() / p.sum())
+    rows = language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), langs, model).collect()
+    assert {r["page_id"]: (r["lang"], pytest.approx(r["posterior"], rel=1e-6)) for r in rows} == want
+
+
+def test_visible_text_in_one_pass():
+    pages = ["<p>a<b>c</p>", "<head>x</head>y", "<head >x</HEAD >y", "<script>1</style></script >z", "<!-- a -- > b -->c", "<!-- open <p>d", "e < f", "<header>g&amp;h</header>", "", None]
+    assert [language_id.visible(p).split() for p in pages] == [[b"a", b"c"], [b"y"], [b"y"], [b"z"], [b"c"], [b"d"], [b"e", b"<", b"f"], [b"g", b"h"], [], []]
+    assert [language_id.declared_language(p) for p in ("<HTML class=x lang = 'De-at'>", "<html><html lang=fr>", "<htmlx lang=fr>", "<html lang=en", None)] == ["de", "fr", "", "en", ""]
+    assert len(language_id.visible("<head " * 400_000)) and language_id.declared_language("<html " * 400_000) == ""
+
+
 def test_language_id(spark):
     rows = language_id.op4_language_id(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
@@ -163,6 +224,51 @@ def test_decontamination_spans(spark, odd):
     assert rows[9, ODD[10][1]]["items"] == ["3"] and rows[4, "one"]["items"] == ["null"] and rows[1, None]["n_words"] == 0
 
 
+def test_decontamination_in_several_passes(spark, odd, monkeypatch):
+    """Beyond SHARD_WORDS each shard of the items scans in a pass of its own; the rows are the same."""
+    items = spark.createDataFrame([(1, "W5 w6-w7"), (2, None), (3, "İstanbul"), (3, "absent"), (None, "one"), (4, "w6 w7 w8"), (5, "a a a a")], "item_id long, text string")
+    key = lambda r: (str(r["doc_id"]), str(r["text"]), r["n_words"], r["n_hit"], r["items"], str(r["spans"]))
+    want = sorted(map(key, decontaminate.contamination(odd, items, 3).collect()))
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 12)
+    assert sorted(map(key, decontaminate.contamination(odd, items, 3).collect())) == want
+    assert decontaminate.contamination(odd.limit(0), items, 3).count() == 0
+    assert decontaminate.contamination(odd, items.limit(0), 3).where("n_hit = 0").count() == len(ODD)
+
+
+def test_extra_columns_with_the_names_of_results(spark, odd):
+    """They are kept with the suffix _in, whatever they are called."""
+    made = ["score", "keep", "items", "spans", "kept", "n_removed", "ids", "round_trip", "rid", "text"]
+    docs = odd.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(made[:-1])])
+    items = spark.createDataFrame([(1, "w5 w6 w7")], "item_id long, text string")
+    for out, names in (
+        (quality.quality_scores(docs, "score", "keep"), ["score_in", "keep_in"]),
+        (decontaminate.contamination(docs, items, 3, "items", "spans"), ["items_in", "spans_in"]),
+        (substring_dedup.without_repeats(docs, 13, "kept", "n_removed", "rid"), ["kept_in", "n_removed_in", "rid_in"]),
+        (pieces.encoded(docs, [("<unk>", 0.0, "unknown"), ("a", -1.0, "normal")], "ids", "round_trip"), ["ids_in", "round_trip_in"]),
+    ):
+        assert {tuple(r) for r in out.select(*names).collect()} == {tuple(made.index(n[:-3]) for n in names)}
+        assert out.count() == len(ODD)
+
+
+def test_results_do_not_rest_on_the_sessions_batch_size(spark):
+    docs = spark.createDataFrame([(i, f"a{i % 50} b{i % 7} c", i % 3) for i in range(6000)], "doc_id long, text string, fold int").repartition(1)
+    frame = language_model.log_scores(docs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    got = sorted((r["doc_id"], r["score"]) for r in frame.collect())
+    want = sorted((r["doc_id"], r["score"]) for r in language_model.log_scores(docs).collect())
+    assert len(got) == 6000 and got == want
+
+
+def test_learned_weights_sum_to_one_and_unseen_contexts_have_no_bigrams():
+    import pandas as pd
+
+    b, p2, p1 = np.array([0, 1, 1, 3]), np.array([0.0, 0.5, 0.0, 0.9]), np.array([0.1, 0.2, 0.0, 0.3])
+    bins = language_model._binned(b, p2, p1, np.array([3.0, 5.0, 2.0, 9.0]))
+    for frame in (bins, bins[bins["b"] > 0], pd.DataFrame({"b": [-1], "cells": [b""], "sums": [b""]})):
+        w = np.frombuffer(language_model._learn(1e-3)(frame)["weights"].iloc[0]).reshape(-1, 3)
+        assert np.allclose(w.sum(1), 1) and w[0, 0] == 0 and (w[1:] > 0).all()
+
+
 def test_toxicity_on_held_out(spark):
     sf = SF.replace("0.001", "0.1")
     marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
