@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> Dat
                 links, tried = links.union(materialize(_verified(rest, items, percent))), tried.union(rest)
                 linked = components(edges(links))
     of = classes.select("vid", "sig2", "n", "rep").join(linked.select(F.col("u").alias("vid"), "component"), "vid", "left").withColumn("component", F.coalesce("component", "vid"))
-    least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = materialize(of.groupBy("component").agg(F.min("rep").alias("component_id")))
     of = of.join(least, "component").select(F.col("vid").alias("sig"), "sig2", "n", "component_id", F.col("component").alias("group_id"))
     out = signed_docs.select("doc_id", "n", "sig", "sig2").join(of, ["sig", "sig2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("sig").alias("set_id"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"), "group_id")
