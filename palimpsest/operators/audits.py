@@ -43,3 +43,23 @@ def reconciled(expected: DataFrame, found: DataFrame, id_col: str, subset: str)
     e, f = F.col("_e").isNotNull(), F.col("_f").isNotNull()
     out = both.groupBy(subset).agg(F.count_if(e).alias("n_expected"), F.count_if(f).alias("n_found"), F.count_if(e & ~f).alias("n_missing"), F.count_if(f & ~e).alias("n_extra"))
     return out.withColumn("complete", (F.col("n_missing") == 0) & (F.col("n_extra") == 0))
+
+
+def differing(rows: DataFrame, group: str, recorded: str, computed: str, tolerance: float) -> DataFrame:
+    """group, n, n_off: how many recorded values differ from the computed ones by more than the tolerance; one null of the two differs, two do not."""
+    r, c = F.col(recorded), F.col(computed)
+    off = (r.isNull() != c.isNull()) | (F.abs(r - c) > tolerance)
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.count(F.when(off, 1)).alias("n_off"))
+
+
+def writeback(accepted: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, accepted (rows), recorded (a count), closed: whether both agree; a side without the key counts 0."""
+    both = accepted.groupBy(*keys).agg(F.count("*").alias("accepted")).join(recorded, keys, "full_outer")
+    a, r = F.coalesce("accepted", F.lit(0)), F.coalesce("recorded", F.lit(0))
+    return both.select(*keys, a.alias("accepted"), r.alias("recorded"), (a == r).alias("closed"))
+
+
+def closed_from_one(ledger: DataFrame, owner: str, step: str) -> DataFrame:
+    """owner, n, first, last, closed: whether the steps are exactly 1 to n, each once or more."""
+    out = ledger.groupBy(owner).agg(F.count("*").alias("n"), F.min(step).alias("first"), F.max(step).alias("last"), F.count_distinct(step).alias("d"))
+    return out.select(owner, "n", "first", "last", ((F.col("first") == 1) & (F.col("last") == F.col("d"))).alias("closed"))

@@ -126,3 +126,34 @@ def temporal_chain(rows: DataFrame, source: str, date: str, id_col: str) -> Data
     key = F.regexp_replace(F.lower(F.col(source).cast("string")), r"[^\p{L}\p{N}]", "")
     rows = rows.where(F.col(date).isNotNull()).select(key.alias("source"), date, F.col(id_col).alias("earlier"))
     return rows.withColumn("later", F.lead("earlier").over(Window.partitionBy("source").orderBy(date, "earlier"))).where(F.col("later").isNotNull()).drop(date)
+
+
+def execution_graph(trace: DataFrame, stage: str, call: str, tool: str) -> DataFrame:
+    """source, target, relation: stages include calls, calls produce observations, an observation feeds the stage's next call, tools serve stages."""
+    prior = F.lag(call).over(Window.partitionBy(stage).orderBy(call))
+    rows = trace.select(stage, call, tool, prior.alias("prior"))
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    edge = lambda df, a, b, kind: df.select(a.alias("source"), b.alias("target"), F.lit(kind).alias("relation"))
+    out = edge(rows, name("stage", stage), name("call", call), "INCLUSION")
+    out = out.union(edge(rows, name("call", call), name("observation", call), "PRODUCES"))
+    out = out.union(edge(rows.where("prior is not null"), name("observation", "prior"), name("call", call), "DEPENDENCY"))
+    return out.union(edge(rows, name("tool", tool), name("stage", stage), "CAPABILITY").distinct())
+
+
+def edge_delta(old: DataFrame, new: DataFrame, declared: DataFrame) -> DataFrame:
+    """source, target, change (removed or added, as multisets), declared: whether the change is in the declared ones (source, target, change)."""
+    cols = ["source", "target"]
+    gone, made = old.select(cols).exceptAll(new.select(cols)), new.select(cols).exceptAll(old.select(cols))
+    changes = gone.withColumn("change", F.lit("removed")).union(made.withColumn("change", F.lit("added")))
+    known = declared.select(*cols, "change", F.lit(True).alias("d")).distinct()
+    return changes.join(known, [*cols, "change"], "left").select(*cols, "change", F.col("d").isNotNull().alias("declared"))
+
+
+def rollup(rows: DataFrame, group: str, id_col: str, title: str, most: int) -> DataFrame:
+    """group, n, first, last (ids) and the first `most` distinct titles by first id, joined; titles are grouped before they are listed."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(id_col).alias("first"), F.max(id_col).alias("last"))
+    titles = rows.groupBy(group, title).agg(F.min(id_col).alias("at"))
+    titles = titles.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy("at"))).where(F.col("rn") <= most)
+    ordered = F.array_sort(F.collect_list(F.struct("at", title)))
+    named = titles.groupBy(group).agg(F.array_join(F.transform(ordered, lambda s: s[title]), ",").alias(f"{title}s"))
+    return sizes.join(named, group)

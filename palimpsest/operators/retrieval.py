@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed, terms
@@ -63,16 +63,28 @@ def ranking_metrics(hits: DataFrame, gold: DataFrame) -> DataFrame:
     return out.select("query", F.coalesce((F.col("first") <= 4).cast("int"), F.lit(0)).alias("hit4"), F.coalesce((F.col("first") <= 10).cast("int"), F.lit(0)).alias("hit10"), F.round(zero(1 / F.col("first")), 9).alias("mrr10"), F.round(zero(F.col("s") / F.least("n_gold", F.lit(10))), 9).alias("ap10"))
 
 
-def contained_in(claims: DataFrame, sources: DataFrame, c_id: str, s_id: str, text: str, words: int = 6) -> DataFrame:
-    """claim, source: sources whose squeezed text contains the squeezed claim. Candidates share the claim's first `words` words, so no cross join is made."""
-    start = lambda x: F.slice(F.split(x, " "), 1, words)
+def contained_in(claims: DataFrame, sources: DataFrame, c_id: str, s_id: str, text: str, words: int = 6, most: int = 200_000) -> DataFrame:
+    """claim, source: sources whose squeezed text contains the squeezed claim as whole words. Empty claims are in none.
+
+    A claim and a source meet where the claim's head, its first `words` words (of a shorter claim: all), begins a run of the source.
+    Sources send hashes of runs only, of those lengths that some head has; the heads are counted and broadcast up to `most`.
+    """
     c = claims.select(F.col(c_id).alias("claim"), squeezed(F.col(text)).alias("c")).where("c <> ''")
-    c = c.withColumn("width", F.size(start(F.col("c")))).withColumn("head", F.array_join(start(F.col("c")), " ")).where(F.col("width") == words)
-    w = F.split(F.col("s"), " ")
-    s = sources.select(F.col(s_id).alias("source"), squeezed(F.col(text)).alias("s")).where(F.size(w) >= words)
-    shifted = F.arrays_zip(*[F.slice(w, i + 1, F.size(w) - words + 1).alias(f"w{i}") for i in range(words)])  # split once, not for each run
-    grams = s.select("source", F.explode(F.array_distinct(F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(words)])))).alias("head"))
-    pairs = c.join(grams, "head").select("claim", "c", "source").join(s, "source")
+    head = F.slice(F.split("c", " "), 1, words)
+    c = c.select("claim", "c", F.size(head).alias("width"), F.xxhash64(F.array_join(head, " ")).alias("head"))
+    widths = [r[0] for r in c.select("width").distinct().collect()]  # `words` values at most
+    heads = c.select("head").distinct()
+    w = F.split("s", " ")
+    s = sources.select(F.col(s_id).alias("source"), squeezed(F.col(text)).alias("s")).where("s <> ''")
+
+    def runs(n: int) -> Column:
+        shifted = F.arrays_zip(*[F.slice(w, i + 1, F.greatest(F.size(w) - n + 1, F.lit(0))).alias(f"w{i}") for i in range(n)])
+        return F.transform(shifted, lambda z: F.xxhash64(F.concat_ws(" ", *[z[f"w{i}"] for i in range(n)])))
+
+    none = F.array().cast("array<bigint>")
+    grams = s.select("source", F.explode(F.array_distinct(F.concat(none, *[runs(n) for n in widths]))).alias("head"))
+    met = grams.join(F.broadcast(heads) if heads.count() <= most else heads, "head", "left_semi")
+    pairs = c.join(met, "head").select("claim", "c", "source").join(s, "source")
     return pairs.where(F.expr("contains(concat(' ', s, ' '), concat(' ', c, ' '))")).select("claim", "source").distinct()
 
 
@@ -87,3 +99,25 @@ def scheduled(items: DataFrame, positions: DataFrame, key: str, at: str, opens:
     """key, at, origin: for each position, the items of its key that were planted `opens` to `closes` positions before it."""
     due = items.select(key, F.col(at).alias("origin"), F.explode(F.sequence(F.col(at) + opens, F.col(at) + closes)).alias(at)).distinct()
     return positions.select(key, at).distinct().join(due, [key, at])
+
+
+def anonymised(rows: DataFrame, keys: list[str], text: str, author: str, names: dict[str, str]) -> DataFrame:
+    """keys, body (names replaced in the listed order), digest of the body, reviewer (the first 8 digits of the author's digest)."""
+    body = F.coalesce(text, F.lit(""))
+    for name, cover in names.items():
+        body = F.replace(body, F.lit(name), F.lit(cover))
+    return rows.select(*keys, body.alias("body"), F.sha2(body, 256).alias("digest"), F.substring(F.sha2(author, 256), 1, 8).alias("reviewer"))
+
+
+def resolved_ids(cited: DataFrame, seen: DataFrame, query: str, ids: str, id_col: str, most: int) -> DataFrame:
+    """query, n_cited, n_grounded, n_rejected: of the first `most` cited ids those that the query's seen rows have."""
+    each = cited.select(query, F.explode(F.slice(ids, 1, most)).alias(id_col))
+    known = seen.select(query, id_col, F.lit(1).alias("known")).distinct()
+    out = each.join(known, [query, id_col], "left").groupBy(query).agg(F.count("*").alias("n_cited"), F.count("known").alias("n_grounded"))
+    return out.withColumn("n_rejected", F.col("n_cited") - F.col("n_grounded"))
+
+
+def safe_texts(rows: DataFrame, id_col: str, body: Column, rules: list[tuple[Column, str]]) -> DataFrame:
+    """id, reason (of the first rule that rejects the row, else null), body (null where rejected)."""
+    reason = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), name) for c, name in rules])
+    return rows.select(id_col, reason.alias("reason"), F.when(reason.isNull(), body).alias("body"))

@@ -44,13 +44,28 @@ def wilson(rows: DataFrame, by: str, hit: str, z: float = 1.96) -> DataFrame:
     return out.select(by, "n", F.round(p, 9).alias("rate"), F.round(centre - half, 9).alias("low"), F.round(centre + half, 9).alias("high"))
 
 
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series, to 1e-10 from x = 10 on."""
+    return (x - 0.5) * F.log(x) - x + 0.5 * F.log(F.lit(2 * 3.141592653589793)) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, 5))
+
+
 def mcnemar(pairs: DataFrame, by: str, first: str, second: str) -> DataFrame:
-    """by, only_first, only_second, p: the exact two-sided test on discordant pairs; p is 1 without any."""
-    out = pairs.groupBy(by).agg(F.sum(((F.col(first) == 1) & (F.col(second) == 0)).cast("long")).alias("only_first"), F.sum(((F.col(first) == 0) & (F.col(second) == 1)).cast("long")).alias("only_second"))
-    n, k = F.col("only_first") + F.col("only_second"), F.least("only_first", "only_second")
+    """by, only_first, only_second, p: the exact two-sided test on discordant pairs; p is 1 without any.
+
+    The binomial tail is added up from 12 standard deviations below its largest term on: what comes before is under 1e-30 of it, and a group's
+    work grows with the square root of its discordant pairs.
+    """
+    only = lambda x, y: F.sum(((F.col(x) == 1) & (F.col(y) == 0)).cast("long"))
+    out = pairs.groupBy(by).agg(only(first, second).alias("only_first"), only(second, first).alias("only_second"))
+    out = out.withColumn("n", F.col("only_first") + F.col("only_second")).withColumn("k", F.least("only_first", "only_second"))
+    start = F.col("k") - F.ceil(12 * F.sqrt("n")) - 50
+    out = out.withColumn("lo", F.when(start < 10, 0).otherwise(start).cast("long"))
+    n, k, lo = F.col("n"), F.col("k"), F.col("lo")
+    before = F.when(lo > 0, _log_gamma(n + 1.0) - _log_gamma(lo + 1.0) - _log_gamma(n - lo + 1.0)).otherwise(0.0) - n * F.log(F.lit(2.0))
     # Log binomials as a running sum, so that large counts neither overflow nor vanish.
-    step = lambda s, i: F.struct((s["t"] + F.when(i > 0, F.log((n - i + 1) / F.greatest(i, F.lit(1)))).otherwise(F.lit(0.0))).alias("t"), (s["p"] + F.exp(s["t"] + F.when(i > 0, F.log((n - i + 1) / F.greatest(i, F.lit(1)))).otherwise(F.lit(0.0)))).alias("p"))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.struct((-n * F.log(F.lit(2.0))).alias("t"), F.lit(0.0).alias("p")), step)
+    log_term = lambda s, i: s["t"] + F.when(i > lo, F.log((n - i + 1) / F.greatest(i, F.lit(1)))).otherwise(0.0)
+    step = lambda s, i: F.struct(log_term(s, i).alias("t"), (s["p"] + F.exp(log_term(s, i))).alias("p"))
+    tail = F.aggregate(F.sequence(lo, k), F.struct(before.alias("t"), F.lit(0.0).alias("p")), step)
     return out.select(by, "only_first", "only_second", F.round(F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail["p"])), 6).alias("p"))
 
 

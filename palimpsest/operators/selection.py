@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def round_robin(rows: DataFrame, stratum: str, id_col: str, n: int) -> DataFrame:
     """Rows by depth over strata: each stratum in order of its ids' digests, strata in their own order, the first n."""
     depth = F.row_number().over(Window.partitionBy(stratum).orderBy(F.sha2(F.col(id_col).cast("string"), 256), id_col))
-    return rows.select(id_col, stratum, depth.alias("depth")).orderBy("depth", stratum).limit(n)
+    # no stratum gives more than n rows: this lets the ranks be cut before the shuffle
+    return rows.select(id_col, stratum, depth.alias("depth")).where(F.col("depth") <= n).orderBy("depth", stratum).limit(n)
 
 
 def proportional(rows: DataFrame, stratum: str, order: str, n: int) -> DataFrame:
@@ -20,7 +21,7 @@ def proportional(rows: DataFrame, stratum: str, order: str, n: int) -> DataFrame
     shares = counts.crossJoin(total).select(stratum, F.floor(quota).alias("base"), (quota - F.floor(quota)).alias("over"))  # one row on the right
     left = F.lit(n) - F.sum("base").over(Window.partitionBy())
     shares = shares.select(stratum, (F.col("base") + F.when(F.row_number().over(Window.orderBy(F.desc(F.round("over", 9)), stratum)) <= left, 1).otherwise(0)).alias("quota"))  # a row for each stratum
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy(order)))
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy(order))).where(F.col("rn") <= n)  # no quota is above n
     return ranked.join(shares, stratum).where(F.col("rn") <= F.col("quota")).select(stratum, order, "rn")
 
 
@@ -38,7 +39,7 @@ def refill(old: DataFrame, allowed: DataFrame, pool: DataFrame, stratum: str, id
 def interleaved(rows: DataFrame, source: str, order: str, n: int) -> DataFrame:
     """The first n rows, one of each source in turn."""
     rn = F.row_number().over(Window.partitionBy(source).orderBy(order))
-    return rows.select(source, order, rn.alias("rn")).orderBy("rn", source).limit(n)
+    return rows.select(source, order, rn.alias("rn")).where(F.col("rn") <= n).orderBy("rn", source).limit(n)
 
 
 def adjacent_excerpts(items: DataFrame, group: str, order: str, text: str, tail: int, head: int) -> DataFrame:

@@ -46,3 +46,29 @@ def batch_ledger(rows: DataFrame, id_col: str, size: int, text: str) -> DataFram
     ordered = F.array_sort(F.collect_list(F.struct(id_col, line.alias("x"))))
     out = rows.groupBy(F.floor(F.col(id_col) / size).alias("batch")).agg(F.count("*").alias("n"), ordered.alias("_rows"))
     return out.select("batch", "n", F.sha2(F.array_join(F.transform("_rows", lambda r: r["x"]), "\n"), 256).alias("digest"))
+
+
+def grounded_versions(updates: DataFrame, scope: str, key: str, order: str, value: str, seen: str) -> DataFrame:
+    """scope, order, key, value, accepted, version: updates whose value occurs in what was seen, numbered within (scope, key); others have no version."""
+    ok = F.coalesce((F.col(value) != "") & F.contains(F.lower(seen), F.lower(value)), F.lit(False))
+    marked = updates.select(scope, order, key, value, ok.alias("accepted"))
+    count = F.sum(F.col("accepted").cast("int")).over(Window.partitionBy(scope, key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("version", F.when(F.col("accepted"), count).cast("int"))
+
+
+def validated_batches(rows: DataFrame, batch: list[str], key: str, ok: str, most: int) -> DataFrame:
+    """batch columns, n, verdict: too many (over `most` rows), repeated key, invalid (a row is not ok) or ok; the first that holds."""
+    out = rows.groupBy(*batch).agg(F.count("*").alias("n"), F.count_distinct(key).alias("d"), F.count(F.when(~F.coalesce(ok, F.lit(False)), 1)).alias("bad"))
+    verdict = F.when(F.col("n") > most, "too many").when(F.col("d") < F.col("n"), "repeated key").when(F.col("bad") > 0, "invalid").otherwise("ok")
+    return out.select(*batch, "n", verdict.alias("verdict"))
+
+
+def rolling_summaries(rows: DataFrame, group: str, order: str, volume: str, summary: str, last: int) -> DataFrame:
+    """group, order, rolling (the summary one step back), volumes (the last summary of each earlier volume), recent (the `last` summaries before), joined by |."""
+    w = Window.partitionBy(group).orderBy(order)
+    end = F.coalesce(F.lead(volume).over(w) != F.col(volume), F.lit(False))
+    marked = rows.withColumn("_end", end)
+    closed = F.collect_list(F.when(F.col("_end"), F.col(summary))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    recent = F.collect_list(summary).over(w.rowsBetween(-last, -1))
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, "|"))
+    return marked.select(group, order, F.lag(summary).over(w).alias("rolling"), joined(closed).alias("volumes"), joined(recent).alias("recent"))

@@ -36,6 +36,12 @@ def _query(sql: str):
     return register
 
 
+def _plain(f: Callable) -> Callable:
+    """Registers a query that SQL can't express; a brute-force test stands in for it."""
+    QUERIES[f.__name__] = f
+    return f
+
+
 _DOCS = lambda s, d: table(s, d, "documents")
 _TURNS = lambda s, d: table(s, d, "conversations")
 _EVENTS = lambda s, d: table(s, d, "events")
@@ -301,7 +307,7 @@ _SQUEEZE = "trim(regexp_replace(lower(coalesce(text, '')), '[ \\t\\n\\r]+', ' ',
 
 
 @_query(f"""WITH c AS (SELECT item_id AS claim, {_SQUEEZE} AS c FROM benchmark), s AS (SELECT doc_id AS source, {_SQUEEZE} AS s FROM documents)
-  SELECT claim, source FROM c JOIN s ON contains(' ' || s || ' ', ' ' || c || ' ') WHERE len(string_split(c, ' ')) >= 6""")
+  SELECT claim, source FROM c JOIN s ON contains(' ' || s || ' ', ' ' || c || ' ') WHERE c <> ''""")
 def j2_grounding(spark, sf_dir):
     return R.contained_in(table(spark, sf_dir, "benchmark"), _DOCS(spark, sf_dir), "item_id", "doc_id", "text")
 
@@ -324,7 +330,7 @@ def k1_answer_scores(spark, sf_dir):
 
 @_query(f"""WITH {_HITS}, h AS (SELECT query, doc, count(*) AS hits FROM q JOIN d USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
   c AS (SELECT item_id AS query, {_SQUEEZE} AS c FROM benchmark), s AS (SELECT doc_id AS doc, {_SQUEEZE} AS s FROM documents),
-  g AS (SELECT DISTINCT query, doc FROM c JOIN s ON contains(' ' || s || ' ', ' ' || c || ' ') WHERE len(string_split(c, ' ')) >= 6), n AS (SELECT query, count(*) AS n_gold FROM g GROUP BY query),
+  g AS (SELECT DISTINCT query, doc FROM c JOIN s ON contains(' ' || s || ' ', ' ' || c || ' ') WHERE c <> ''), n AS (SELECT query, count(*) AS n_gold FROM g GROUP BY query),
   f AS (SELECT query, rank, row_number() OVER (PARTITION BY query ORDER BY rank) AS nth FROM r JOIN g USING (query, doc) WHERE rank <= 10), x AS (SELECT query, min(rank) AS first, sum(nth / rank) AS s FROM f GROUP BY query)
   SELECT query, CAST(coalesce(first <= 4, false) AS INTEGER) AS hit4, CAST(coalesce(first <= 10, false) AS INTEGER) AS hit10, round(coalesce(1 / first, 0), 9) AS mrr10, round(coalesce(s / least(n_gold, 10), 0), 9) AS ap10 FROM n LEFT JOIN x USING (query)""")
 def k7_ranking_metrics(spark, sf_dir):

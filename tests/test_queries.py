@@ -2,17 +2,21 @@
 
 import pytest
 
-from palimpsest.plans import registry
+from palimpsest.plans import catalogue, registry
 from tests.conftest import SF
 
 
-@pytest.mark.parametrize("name", sorted(registry.SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query(same, name):
     same(registry.QUERIES[name], registry.SQL[name])
 
 
+#: These are held against brute force in test_operators.py.
+WITHOUT_SQL = {"g22_hashed_bigrams", "k1_best_of_answers", "k5_order_accuracy"}
+
+
 def test_all_have_sql():
-    assert set(registry.QUERIES) == set(registry.SQL)
+    assert set(catalogue.QUERIES) == set(catalogue.SQL) | WITHOUT_SQL
 
 
 def test_newest_item_beyond_the_budget_is_cut_not_dropped(spark):
