@@ -39,17 +39,6 @@ def salient_terms(docs: DataFrame, id_col: str, text: str, most: int = 18, share
     return exploded.join(df, "term").withColumn("rank", rank).where(F.col("rank") <= most).select(id_col, "term", "df", "rank")
 
 
-def non_local_neighbours(vectors: DataFrame, group: str, pos: str, vec: str, top: int = 2, least: float = 0.25) -> DataFrame:
-    """group, a, b, score: undirected edges to each vector's nearest ones in its group, more than one place away, the threshold after the top."""
-    v = vectors.select(group, F.row_number().over(Window.partitionBy(group).orderBy(pos)).alias("p"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
-    v = v.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    b = v.select(group, F.col("p").alias("q"), F.col("v").alias("w"), F.col("norm").alias("norm_w"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = v.join(b, group).where(F.abs(F.col("p") - F.col("q")) > 1).select(group, "p", "q", F.round(F.coalesce(dot / F.nullif(F.col("norm") * F.col("norm_w"), F.lit(0.0)), F.lit(0.0)), 9).alias("score"))
-    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy(group, "p").orderBy(F.desc("score"), "q"))).where((F.col("rn") <= top) & (F.col("score") >= least))
-    return best.groupBy(group, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.max("score").alias("score"))
-
-
 def prior_related(items: DataFrame, group: str, order: str, text: str, shared: int = 2, top: int = 2) -> DataFrame:
     """group, order, prior, overlap: the earlier items of the group that share most terms, at least `shared`."""
     t = items.select(group, order, F.explode(terms(F.col(text), 3)).alias("term"))
@@ -58,13 +47,21 @@ def prior_related(items: DataFrame, group: str, order: str, text: str, shared: i
     return counted.withColumn("rn", F.row_number().over(Window.partitionBy(group, order).orderBy(F.desc("overlap"), F.desc("prior")))).where(F.col("rn") <= top).drop("rn")
 
 
-def two_hop(edges: DataFrame, least: float = 0.0) -> DataFrame:
-    """source, target, middle, weight: the heaviest simple two-hop path over undirected weighted edges (source, target, weight); ties to the smaller middle."""
-    both = edges.select("source", "target", "weight").union(edges.select("target", "source", "weight")).groupBy("source", "target").agg(F.max("weight").alias("weight"))
-    second = both.select(F.col("source").alias("middle"), F.col("target").alias("leaf"), F.col("weight").alias("w2"))
-    paths = both.select("source", F.col("target").alias("middle"), "weight").join(second, "middle").where((F.col("leaf") != F.col("source")))
-    paths = paths.select("source", F.col("leaf").alias("target"), "middle", F.round(F.col("weight") * F.col("w2"), 9).alias("weight")).where(F.col("weight") >= least)
-    return paths.withColumn("rn", F.row_number().over(Window.partitionBy("source", "target").orderBy(F.desc("weight"), "middle"))).where("rn = 1").drop("rn")
+def two_hop(edges: DataFrame, seeds: DataFrame, relations: list[str], floor: float = 0.45) -> DataFrame:
+    """source, target, middle, weight: from each seed (node) the heaviest simple path of two undirected edges to each node it reaches so.
+
+    edges: source, target, relation, weight. Only edges of the given relations count, each with at least the floor as its weight (null
+    weights too); of parallel edges the heaviest stays. A path's weight is the product; ties go to the smaller middle. Loops and null ends
+    take no part, and repeated seeds count once.
+    """
+    kept = edges.where(F.col("relation").isin(relations) & (F.col("source") != F.col("target")))
+    weight = F.greatest(F.lit(floor), "weight").alias("weight")
+    both = kept.select("source", "target", weight).union(kept.select("target", "source", weight)).groupBy("source", "target").agg(F.max("weight").alias("weight"))
+    first = both.join(seeds.select(F.col("node").alias("source")).distinct(), "source", "left_semi").select("source", F.col("target").alias("middle"), F.col("weight").alias("w1"))
+    second = both.select(F.col("source").alias("middle"), "target", F.col("weight").alias("w2"))
+    paths = first.join(second, "middle").where(F.col("target") != F.col("source"))
+    best = paths.groupBy("source", "target").agg(F.min(F.struct((-F.round(F.col("w1") * F.col("w2"), 9)).alias("w"), "middle")).alias("m"))
+    return best.select("source", "target", "m.middle", (-F.col("m.w")).alias("weight"))
 
 
 def chain_neighbourhood(rows: DataFrame, seeds: DataFrame, group: str, order: str, k: int) -> DataFrame:

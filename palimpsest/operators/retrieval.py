@@ -1,49 +1,136 @@
-"""Retrieval: exact vector search within groups, lexical search, routing, dates and diversified lists."""
+"""Retrieval: lexical search, routing, dates and diversified lists."""
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed, terms
 
+#: Terms of queries that one pass over the documents looks for.
+BLOCK_TERMS = 100_000
+
+
+def _pooled_terms(queries: DataFrame, q_id: str, text: str) -> DataFrame:
+    """query, term: the distinct terms of each query id; rows without id or terms take no part."""
+    q = queries.where(F.col(q_id).isNotNull()).select(F.col(q_id).alias("query"), F.explode(terms(F.col(text))).alias("term"))
+    return q.distinct()
+
+
+def _blocks(weighted: DataFrame) -> Iterator[list]:
+    """The rows (query, term, weight) in lists of about BLOCK_TERMS, whole queries each, so that one list fits the driver and a worker."""
+    n = -(-weighted.count() // BLOCK_TERMS)
+    for i in range(n):
+        yield weighted.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i).collect()
+
+
+def _best_of_partition(block: list, k: int, whole: bool):
+    """A function over batches (doc, body) that keeps each query's k documents of highest summed term weight, ties to the smaller doc."""
+    ids = sorted({r["query"] for r in block})
+    place = {q: i for i, q in enumerate(ids)}
+    of_term: dict = {}
+    for r in block:
+        of_term.setdefault(r["term"], []).append((place[r["query"]], r["weight"]))
+    words = sorted(of_term)
+    columns = [np.array([i for i, _ in of_term[w]]) for w in words]
+    weights = [np.array([x for _, x in of_term[w]], dtype=float) for w in words]
+
+    def scan(batches):
+        number = {w: i for i, w in enumerate(words)}
+        automaton = ahocorasick.Automaton()
+        for w, i in number.items():
+            automaton.add_word(w, i)
+        automaton.make_automaton()
+        best: list = [[] for _ in ids]
+        for batch in batches:
+            scores = np.zeros((len(batch), len(ids)))
+            for row, body in enumerate(batch["body"]):
+                found = {number[w] for w in body if w in number} if whole else {i for _, i in automaton.iter(body)}
+                if found:
+                    at = sorted(found)
+                    scores[row] = np.bincount(np.concatenate([columns[i] for i in at]), np.concatenate([weights[i] for i in at]), len(ids))
+            scores, docs = np.round(scores, 9), batch["doc"].tolist()
+            for i in np.flatnonzero(scores.any(axis=0)):
+                rows = np.flatnonzero(scores[:, i])
+                if len(best[i]) == k:
+                    rows = rows[-scores[rows, i] <= best[i][-1][0]]
+                best[i] = heapq.nsmallest(k, best[i] + [(-scores[r, i], docs[r]) for r in rows])
+        out = [(ids[i], doc, -score) for i, top in enumerate(best) for score, doc in top]
+        yield pd.DataFrame(out, columns=["query", "doc", "score"])
+
+    return scan
+
+
+def _lexical(weighted: DataFrame, docs: DataFrame, d_id: str, body: Column, k: int, whole: bool) -> DataFrame:
+    """query, doc, score, rank. Documents are read once for each block of queries; a task sends k rows of a query, not one for each document."""
+    bodies = docs.where(F.col(d_id).isNotNull()).select(F.col(d_id).alias("doc"), body.alias("body"))
+    schema = f"query {dict(weighted.dtypes)['query']}, doc {dict(bodies.dtypes)['doc']}, score double"
+    found = docs.sparkSession.createDataFrame([], schema)
+    for block in _blocks(weighted):
+        found = found.union(bodies.mapInPandas(_best_of_partition(block, k, whole), schema))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
 
-def cosine_in_group(queries: DataFrame, rows: DataFrame, group: str, id_col: str, vec: str, k: int) -> DataFrame:
-    """query, id, score, rank: the k nearest rows of a query's own group by cosine; a zero norm scores 0, ties go to the smaller id."""
-    unit = lambda df, name: df.select(group, F.col(id_col).alias(name), F.transform(vec, lambda x: x.cast("double")).alias(f"{name}_v")).withColumn(f"{name}_n", F.sqrt(F.aggregate(f"{name}_v", F.lit(0.0), lambda s, x: s + x * x)))
-    pairs = unit(queries, "query").join(unit(rows, "id"), group).where("query <> id")
-    dot = F.aggregate(F.zip_with("query_v", "id_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("query", "id", F.round(F.coalesce(dot / F.nullif(F.col("query_n") * F.col("id_n"), F.lit(0.0)), F.lit(0.0)), 9).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
+def term_hits(queries: DataFrame, docs: DataFrame, q_id: str, d_id: str, text: str, k: int, fall_back: bool = False) -> DataFrame:
+    """query, doc, hits, rank: documents by the number of the query's terms that their lower-cased text holds, inside longer words too.
 
-def term_hits(queries: DataFrame, docs: DataFrame, q_id: str, d_id: str, text: str, k: int) -> DataFrame:
-    """query, doc, hits, rank: documents by the number of the query's terms that they have as words."""
-    q = queries.select(F.col(q_id).alias("query"), F.explode(terms(F.col(text))).alias("term"))
-    d = docs.select(F.col(d_id).alias("doc"), F.explode(terms(F.col(text))).alias("term"))
-    hits = q.join(d, "term").groupBy("query", "doc").agg(F.count("*").alias("hits"))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("hits"), "doc"))).where(F.col("rank") <= k)
+    With fall_back a query without any hit takes the last k documents, the last first, with 0 hits. Rows without id take no part;
+    repeated query ids pool their terms, repeated documents are rows of their own.
+    """
+    asked = _pooled_terms(queries, q_id, text)
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    found = _lexical(asked.withColumn("weight", F.lit(1.0)), docs, d_id, lowered, k, False)
+    found = found.select("query", "doc", F.col("score").cast("long").alias("hits"), "rank")
+    if not fall_back:
+        return found
+    last = docs.where(F.col(d_id).isNotNull()).orderBy(F.desc(d_id)).limit(k).select(F.col(d_id).alias("doc"))
+    last = last.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("doc"))))  # k rows
+    missed = queries.select(F.col(q_id).alias("query")).where("query is not null").distinct().join(found, "query", "left_anti")
+    return found.union(missed.join(F.broadcast(last)).select("query", "doc", F.lit(0).cast("long").alias("hits"), "rank"))
 
 
 def idf_routing(queries: DataFrame, docs: DataFrame, q_id: str, d_id: str, text: str, k: int) -> DataFrame:
-    """query, doc, score, rank: share of the query's idf mass, ln((N + 1) / (df + 1)) + 1 a term, that the document covers."""
+    """query, doc, score, rank: share of the query's idf mass, ln((N + 1) / (df + 1)) + 1 a term, that the document covers as words."""
     n = docs.agg(F.count("*").alias("n"))
-    q = queries.select(F.col(q_id).alias("query"), F.explode(terms(F.col(text))).alias("term"))
-    d = docs.select(F.col(d_id).alias("doc"), F.explode(terms(F.col(text))).alias("term"))
-    df = d.groupBy("term").agg(F.count("*").alias("df"))
+    asked = _pooled_terms(queries, q_id, text)
+    known = asked.select("term").distinct()
+    df = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(known, "term", "left_semi")
     weight = F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    q = q.join(df, "term", "left").crossJoin(n).withColumn("idf", weight).drop("df", "n")  # one row on the right
-    mass = q.groupBy("query").agg(F.sum("idf").alias("mass"))
-    found = q.join(d, "term").groupBy("query", "doc").agg(F.sum("idf").alias("hit")).join(mass, "query").select("query", "doc", F.round(F.col("hit") / F.col("mass"), 9).alias("score"))
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
+    asked = asked.join(df, "term", "left").crossJoin(n).withColumn("idf", weight).drop("df", "n")  # one row on the right
+    mass = asked.groupBy("query").agg(F.sum("idf").alias("mass"))
+    weighted = asked.join(mass, "query").select("query", "term", (F.col("idf") / F.col("mass")).alias("weight"))
+    return _lexical(weighted, docs, d_id, terms(F.col(text)), k, True)
 
 
 def nearest_dated(queries: DataFrame, rows: DataFrame, key: str, q_id: str, q_date: str, r_id: str, r_date: str) -> DataFrame:
-    """query, row, days: of the rows with the query's key the one of the nearest date; ties to the smaller id."""
-    q = queries.select(key, F.col(q_id).alias("query"), F.col(q_date).alias("qd"))
-    r = rows.select(key, F.col(r_id).alias("row"), F.col(r_date).alias("rd"))
-    pairs = q.join(r, key).where("query <> row").select("query", "row", F.abs(F.datediff("qd", "rd")).alias("days"))
-    return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("days", "row"))).where("rn = 1").drop("rn")
+    """query, row, days: of the rows with the query's key, other than its own id, the one of the nearest date; ties to the smaller id.
+
+    Rows and queries without key, id or date take no part; a row id repeated within a key counts at its first date. Each key's dates are
+    passed in order once each way: with the two smallest ids of the two nearest dates on each side the query's own id can be left out.
+    """
+    r = rows.select(key, F.col(r_id).alias("row"), F.to_date(r_date).alias("d")).dropna().groupBy(key, "row").agg(F.min("d").alias("d"))
+    r = r.withColumn("rn", F.row_number().over(Window.partitionBy(key, "d").orderBy("row"))).where("rn <= 2")
+    dates = r.groupBy(key, "d").agg(F.min("row").alias("a"), F.max("row").alias("b"))
+    along = Window.partitionBy(key).orderBy("d")
+    here = F.struct("d", "a", "b")
+    dates = dates.select(key, "d", F.array(here, F.lag(here).over(along)).alias("before"), F.array(here, F.lead(here).over(along)).alias("after"))
+    q = queries.select(key, F.to_date(q_date).alias("d"), F.col(q_id).alias("query")).dropna()
+    both = dates.unionByName(q, allowMissingColumns=True)
+    is_query = F.col("query").isNotNull()
+    latest = F.last("before", ignorenulls=True).over(Window.partitionBy(key).orderBy("d", is_query))
+    soonest = F.last("after", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("d"), is_query))
+    none = F.array().cast(both.schema["before"].dataType)
+    seen = both.withColumn("x", latest).withColumn("y", soonest).where(is_query)
+    other = lambda e: F.when(e["a"] != F.col("query"), e["a"]).otherwise(F.when(e["b"] != F.col("query"), e["b"]))
+    ranked = F.transform(F.concat(F.coalesce("x", none), F.coalesce("y", none)), lambda e: F.struct(F.abs(F.datediff(F.col("d"), e["d"])).alias("days"), other(e).alias("row")))
+    best = F.array_min(F.filter(ranked, lambda e: e["row"].isNotNull()))
+    return seen.select("query", best.alias("m")).where("m is not null").select("query", "m.row", "m.days")
 
 
 def capped(hits: DataFrame, query: str, item: str, group: str, rank: str, cap: int, k: int) -> DataFrame:

@@ -28,12 +28,12 @@ def vectors(rows: DataFrame, id_col: str, vec: str, group: str | None = None) ->
     return out.select(F.col(id_col).cast("long").alias("id"), unit.alias("vec"), (F.col(group) if group else F.lit(0)).cast("string").alias("group"))
 
 
-def _tile(k: int, rule: str):
+def _tile(k: int, rule: str, places: int):
     def best(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64"})]
         for d in sorted(set(queries["vec"].map(len)) & set(rows["vec"].map(len))):
             q, r = queries[queries["vec"].map(len) == d], rows[rows["vec"].map(len) == d].sort_values("id", kind="stable")
-            score = np.round(np.stack(q["vec"].to_numpy()) @ np.stack(r["vec"].to_numpy()).T, 6)
+            score = np.round(np.stack(q["vec"].to_numpy()) @ np.stack(r["vec"].to_numpy()).T, places) + 0.0
             ids, of = r["id"].to_numpy(), q["id"].to_numpy()
             allowed = ids[None, :] != of[:, None]
             if rule == "earlier":
@@ -49,21 +49,50 @@ def _tile(k: int, rule: str):
     return best
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, rule: str = "any") -> DataFrame:
-    """query, id, score, rank: the k rows of highest cosine (6 places), ties to the smaller id.
+def nearest(queries: DataFrame, rows: DataFrame, k: int, rule: str = "any", places: int = 6) -> DataFrame:
+    """query, id, score, rank: the k rows of highest cosine (rounded to `places`), ties to the smaller id.
 
-    queries and rows are frames as `vectors` makes them. rule: any; same or other (group); earlier (only rows of a smaller id).
+    queries and rows are frames as `vectors` makes them. rule: any; same or other (group; null is no group's name); earlier (only rows of a
+    smaller id). For same, tiles are cut inside groups: small groups share one, a large group has several.
     """
-    n_q, n_r = -(-max(1, queries.count()) // TILE_QUERIES), -(-max(1, rows.count()) // TILE_ROWS)
-    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    q = queries.withColumn("tile_q", block(n_q, 1)).withColumn("tile_r", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
-    r = rows.withColumn("tile_r", block(n_r, 2)).withColumn("tile_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    tiles = q.groupBy("tile_q", "tile_r").cogroup(r.groupBy("tile_q", "tile_r"))
-    found = tiles.applyInPandas(_tile(k, rule), "query long, id long, score double")
+    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+    if rule == "same":
+        sized = rows.groupBy("group").agg(F.count("*").alias("n")).where("group is not null")
+        asked = queries.groupBy("group").agg(F.count("*").alias("m"))
+        bins = F.lit(-(-max(1, rows.count()) // TILE_QUERIES))
+        small = (F.col("n") <= TILE_QUERIES) & (F.col("m") <= TILE_QUERIES)
+        home = F.when(small, F.pmod(F.xxhash64("group"), bins).cast("string")).otherwise(F.concat(F.lit("="), "group"))
+        blocks = lambda c, size: F.when(small, 1).otherwise(F.ceil(F.col(c) / size)).cast("int")
+        cut = sized.join(asked, "group").select("group", home.alias("home"), blocks("m", TILE_QUERIES).alias("n_q"), blocks("n", TILE_ROWS).alias("n_r"))
+        queries, rows = queries.join(cut, "group"), rows.join(cut, "group")
+    else:
+        n_q, n_r = -(-max(1, queries.count()) // TILE_QUERIES), -(-max(1, rows.count()) // TILE_ROWS)
+        cut = {"home": F.lit(""), "n_q": F.lit(n_q), "n_r": F.lit(n_r)}
+        queries, rows = queries.withColumns(cut), rows.withColumns(cut)
+    q = queries.withColumn("tile_q", block(F.col("n_q"), 1)).withColumn("tile_r", F.explode(F.sequence(F.lit(0), F.col("n_r") - 1)))
+    r = rows.withColumn("tile_r", block(F.col("n_r"), 2)).withColumn("tile_q", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)))
+    keys = ["home", "tile_q", "tile_r"]
+    cols = [F.col(c).alias(c) for c in [*keys, "id", "vec", "group"]]  # new names: both sides may be one frame
+    tiles = q.select(*cols).groupBy(*keys).cogroup(r.select(*cols).groupBy(*keys))
+    found = tiles.applyInPandas(_tile(k, rule, places), "query long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def non_local_neighbours(rows: DataFrame, top: int = 2, least: float = 0.25) -> DataFrame:
+    """group, a, b, score: undirected edges from each vector to its `top` nearest ones of its group, more than one place away in id order.
+
+    rows as `vectors` makes them, ids being unique. a and b are places from 1; the threshold applies after the top. A vector has at most
+    two rows beside it, so the nearest `top` + 2 hold all that count.
+    """
+    places = rows.select("id", "group", F.row_number().over(Window.partitionBy("group").orderBy("id")).alias("p")).where("group is not null")
+    found = nearest(rows, rows, top + 2, "same", 9).select("query", "id", "score")
+    found = found.join(places.select(F.col("id").alias("query"), "group", "p"), "query").join(places.select("id", F.col("p").alias("q")), "id")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "q"))
+    best = found.where(F.abs(F.col("p") - F.col("q")) > 1).withColumn("rank", rank).where((F.col("rank") <= top) & (F.col("score") >= least))
+    return best.groupBy("group", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.max("score").alias("score"))
+
+
 def undirected(pairs: DataFrame, least: float) -> DataFrame:
     """a, b, score: each pair once, with its highest score, where that is at least `least`."""
     return pairs.where(F.col("score") >= least).groupBy(F.least("query", "id").alias("a"), F.greatest("query", "id").alias("b")).agg(F.max("score").alias("score"))

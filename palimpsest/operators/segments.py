@@ -58,10 +58,11 @@ def prefix_pack(items: DataFrame, group: str, order: str, text: str, budget: int
 
 
 def newest_first(items: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:
-    """The newest whole items that fit the budget together, shown in time order with the tokens used up to each."""
+    """The newest whole items that fit the budget together, with the tokens used from the newest on; the newest with tokens is cut to the budget."""
     t = items.select(group, order, F.size(tokens(F.col(text))).alias("n_tokens"))
     used = F.sum("n_tokens").over(Window.partitionBy(group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0))
-    return t.withColumn("used", used).where(F.col("used") <= budget)
+    packed = t.withColumn("used", used).where((F.col("used") <= budget) | (F.col("used") == F.col("n_tokens")))
+    return packed.select(group, order, F.least("n_tokens", F.lit(budget)).alias("n_tokens"), F.least("used", F.lit(budget).cast("long")).alias("used"))
 
 
 def newest_as_of(items: DataFrame, group: str, order: str, text: str, budget: int) -> DataFrame:

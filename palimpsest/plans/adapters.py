@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import adapters as B
 from ..operators import retrieval as R
 from ..sources.records import table
-from .registry import _DOCS, _EVENTS, _HITS, _TURNS, _query
+from .registry import _DOCS, _EVENTS, _FOUND, _TURNS, _query
 
 
 @_query("""WITH a AS (SELECT *, lower(split_part(trim(max(CASE WHEN turn = 0 THEN coalesce(text, '') END) OVER (PARTITION BY conv_id)), ' ', 2)) AS answer FROM conversations),
@@ -134,7 +134,7 @@ def j4_anonymised(spark, sf_dir):
     return R.anonymised(_TURNS(spark, sf_dir), ["conv_id", "turn"], "text", "role", {"the": "METHOD_A", "and": "METHOD_B"})
 
 
-@_query(f"""WITH {_HITS}, h AS (SELECT query, doc, count(*) AS hits FROM q JOIN d USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
+@_query(f"""WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
   c AS (SELECT query, unnest([max(CASE WHEN rank = 2 THEN doc END), -1, max(CASE WHEN rank = 1 THEN doc END), max(CASE WHEN rank = 3 THEN doc END)][1:3]) AS cited FROM r GROUP BY query)
   SELECT c.query, count(*) AS n_cited, count(r.doc) AS n_grounded, count(*) - count(r.doc) AS n_rejected FROM c LEFT JOIN r ON r.query = c.query AND r.doc = c.cited AND rank <= 5 GROUP BY c.query""")
 def j3_cited_ids(spark, sf_dir):
@@ -154,7 +154,7 @@ def i8_safe_projection(spark, sf_dir):
     return R.safe_texts(_EVENTS(spark, sf_dir).withColumn("later", later), "event_id", body, rules)
 
 
-@_query(f"""WITH {_HITS}, h AS (SELECT query, doc, count(*) AS hits FROM q JOIN d USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
+@_query(f"""WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
   l AS (SELECT query, string_agg(doc, ',' ORDER BY rank) AS retrieved FROM r WHERE rank <= 5 GROUP BY query), g AS (SELECT query, string_agg(doc, ',' ORDER BY doc) AS gold, count(*) AS n_gold FROM r JOIN labels ON doc = doc_id WHERE rank <= 5 AND quality = 1 GROUP BY query)
   SELECT query, text AS question, retrieved, gold, coalesce(n_gold, 0) AS n_gold FROM l JOIN benchmark ON item_id = query LEFT JOIN g USING (query)""")
 def a10_audit_rows(spark, sf_dir):

@@ -9,7 +9,7 @@ from ..functions.text import squeezed, tokens
 from ..operators import folds
 from ..operators import retrieval as R
 from ..sources.records import table
-from .registry import _CONV_TOKENS, _DOCS, _HITS, _SQUEEZE, _TURNS, _query
+from .registry import _CONV_TOKENS, _DOCS, _FOUND, _SQUEEZE, _TURNS, _query
 
 
 def _greedy_sql(rows: str, group: str, order: str, target: int, most: int, tail: int, most_rows: int) -> str:
@@ -64,7 +64,7 @@ def f10_flat_history(spark, sf_dir):
     return rows.agg(F.array_join(F.transform(ordered, lambda s: s["x"]), "\n").alias("history"), F.count("*").alias("n_turns"))
 
 
-@_query(f"""WITH RECURSIVE {_HITS}, h AS (SELECT query, doc, count(*) AS hits FROM q JOIN d USING (term) GROUP BY ALL),
+@_query(f"""WITH RECURSIVE {_FOUND},
   r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
   t AS (SELECT query, doc, source, rank, {_SQUEEZE} AS t FROM r JOIN documents ON doc = doc_id WHERE rank <= 40),
   f AS (SELECT query, doc, source, rank, true AS take, [t] AS ts, [source] AS gs FROM t WHERE rank = 1 UNION ALL
@@ -143,7 +143,7 @@ def i6_subject_projection(spark, sf_dir):
     return t.select("conv_id", "role", "turn", F.least("n", "room").cast("int").alias("n_tokens"))
 
 
-@_query(f"""WITH {_HITS}, h AS (SELECT query, doc, count(*) AS hits FROM q JOIN d USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
+@_query(f"""WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
   e AS (SELECT query, rank, '[' || rank || '] ' || source || ' #' || doc AS line FROM r JOIN documents ON doc = doc_id WHERE rank <= 3)
   SELECT query, string_agg(line, chr(10) ORDER BY rank) AS context, count(*) AS n FROM e GROUP BY query""")
 def i5_context(spark, sf_dir):

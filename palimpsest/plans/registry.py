@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import squeezed
 from ..operators import audits as A
 from ..operators import graphs as G
 from ..operators import retrieval as R
 from ..operators import scoring as K
+from ..operators import search as S
 from ..operators import segments as D
 from ..operators import selection as C
 from ..operators import state as N
@@ -52,10 +54,10 @@ def a2_interleave(spark, sf_dir):
     return C.interleaved(_DOCS(spark, sf_dir), "source", "doc_id", 200)
 
 
-@_query("""SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2 FROM documents GROUP BY lang""")
+@_query("SELECT * FROM (PIVOT documents ON source USING count(*) GROUP BY lang)")
 def a7_wide_matrix(spark, sf_dir):
-    wide = _DOCS(spark, sf_dir).groupBy("lang").pivot("source", ["src0", "src1", "src2"]).agg(F.count(F.lit(1)))
-    return wide.fillna(0)
+    """A column for each source; Spark stops with an error beyond spark.sql.pivotMaxValues of them."""
+    return _DOCS(spark, sf_dir).where("source is not null").groupBy("lang").pivot("source").agg(F.count(F.lit(1))).fillna(0)
 
 
 @_query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
@@ -168,7 +170,8 @@ def e11_dated_chain(spark, sf_dir):
   r AS (SELECT *, row_number() OVER (PARTITION BY label, p ORDER BY score DESC, q) AS rn FROM s)
   SELECT label, CAST(least(p, q) AS INTEGER) AS a, CAST(greatest(p, q) AS INTEGER) AS b, max(score) AS score FROM r WHERE rn <= 2 AND score >= 0.25 GROUP BY ALL""")
 def e12_non_local_neighbours(spark, sf_dir):
-    return G.non_local_neighbours(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    rows = S.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return S.non_local_neighbours(rows).select(F.col("group").cast("int").alias("label"), "a", "b", "score")
 
 
 @_query(f"""WITH t AS (SELECT doc_id, unnest({_terms_sql('text')}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
@@ -193,13 +196,17 @@ def e25_profile(spark, sf_dir):
     return G.profile(e2_ordered_children(spark, sf_dir))
 
 
-@_query("""WITH e AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, round(least(1.0, sum(l_quantity) / 100), 6) AS weight FROM lineitem GROUP BY l_suppkey, l_partkey),
-  b AS (SELECT source, target, max(weight) AS weight FROM (SELECT source, target, weight FROM e UNION ALL SELECT target, source, weight FROM e) GROUP BY ALL),
-  p AS (SELECT x.source, y.target, x.target AS middle, round(x.weight * y.weight, 9) AS weight FROM b x JOIN b y ON x.target = y.source WHERE y.target <> x.source AND round(x.weight * y.weight, 9) >= 0.97),
+@_query("""WITH e AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_returnflag AS relation, round(least(1.0, sum(l_quantity) / 100), 6) AS weight FROM lineitem GROUP BY ALL),
+  k AS (SELECT source, target, greatest(0.45, weight) AS weight FROM e WHERE relation IN ('A', 'N')),
+  b AS (SELECT source, target, max(weight) AS weight FROM (SELECT source, target, weight FROM k UNION ALL SELECT target, source, weight FROM k) GROUP BY ALL),
+  p AS (SELECT x.source, y.target, x.target AS middle, round(x.weight * y.weight, 9) AS weight FROM b x JOIN b y ON x.target = y.source WHERE y.target <> x.source AND x.source IN (SELECT 'p' || p_partkey FROM part WHERE p_partkey % 50 = 0)),
   r AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY weight DESC, middle) AS rn FROM p) SELECT source, target, middle, weight FROM r WHERE rn = 1""")
 def f4_two_hop(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.round(F.least(F.lit(1.0), F.sum("l_quantity") / 100), 6).alias("weight"))
-    return G.two_hop(edges.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), "weight"), 0.97)
+    """From every part whose key 50 divides, over all edges of two relations."""
+    edges = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey", F.col("l_returnflag").alias("relation")).agg(F.round(F.least(F.lit(1.0), F.sum("l_quantity") / 100), 6).alias("weight"))
+    edges = edges.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), "relation", "weight")
+    seeds = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
+    return G.two_hop(edges, seeds, ["A", "N"])
 
 
 @_query("""WITH p AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
@@ -221,17 +228,20 @@ def f6_smallest_cover(spark, sf_dir):
   s AS (SELECT a.vec_id AS query, b.vec_id AS id, round(coalesce(list_inner_product(a.v, b.v) / nullif(sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)), 0), 0), 9) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
   r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s) SELECT query, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def g1_cosine_in_group(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    return R.cosine_in_group(rows, rows, "label", "vec_id", "embedding", 5)
+    rows = S.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return S.nearest(rows, rows, 5, "same", 9)
 
 
 _HITS = f"""q AS (SELECT item_id AS query, unnest({_terms_sql('text')}) AS term FROM benchmark), d AS (SELECT doc_id AS doc, unnest({_terms_sql('text')}) AS term FROM documents)"""
+#: query, doc, hits: how many of a query's terms a document's lower-cased text holds.
+_FOUND = f"""q AS (SELECT DISTINCT item_id AS query, unnest({_terms_sql('text')}) AS term FROM benchmark), b AS (SELECT doc_id AS doc, lower(coalesce(text, '')) AS body FROM documents),
+  m AS (SELECT term, doc FROM (SELECT DISTINCT term FROM q) JOIN b ON contains(body, term)), h AS (SELECT query, doc, count(*) AS hits FROM q JOIN m USING (term) GROUP BY ALL)"""
 
 
-@_query(f"""WITH {_HITS}, h AS (SELECT query, doc, count(*) AS hits FROM q JOIN d USING (term) GROUP BY ALL),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h) SELECT query, doc, hits, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+@_query(f"""WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h UNION ALL
+  SELECT item_id, doc_id, 0, row_number() OVER (PARTITION BY item_id ORDER BY doc_id DESC) FROM benchmark, documents WHERE item_id NOT IN (SELECT query FROM h)) SELECT query, doc, hits, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
 def g2_term_hits(spark, sf_dir):
-    return R.term_hits(table(spark, sf_dir, "benchmark"), _DOCS(spark, sf_dir), "item_id", "doc_id", "text", 10)
+    return R.term_hits(table(spark, sf_dir, "benchmark"), _DOCS(spark, sf_dir), "item_id", "doc_id", "text", 10, fall_back=True)
 
 
 @_query(f"""WITH {_HITS}, n AS (SELECT count(*) AS n FROM documents), f AS (SELECT term, count(*) AS df FROM d GROUP BY term),
@@ -249,7 +259,7 @@ def g7_nearest_dated(spark, sf_dir):
     return R.nearest_dated(orders, orders, "o_custkey", "o_orderkey", "o_orderdate", "o_orderkey", "o_orderdate")
 
 
-@_query(f"""WITH {_HITS}, h AS (SELECT query, doc, count(*) AS hits FROM q JOIN d USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
+@_query(f"""WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
   t AS (SELECT query, doc, source, rank FROM r JOIN documents ON doc = doc_id WHERE rank <= 40), g AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY rank) AS g FROM t),
   p AS (SELECT query, doc, source, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM g WHERE g <= 2) SELECT query, doc, source, CAST(place AS INTEGER) AS place FROM p WHERE place <= 10""")
 def g17_capped(spark, sf_dir):
@@ -279,7 +289,8 @@ def i1_prefix_pack(spark, sf_dir):
     return D.prefix_pack(_TURNS(spark, sf_dir), "conv_id", "turn", "text", 100)
 
 
-@_query(f"""WITH t AS (SELECT conv_id, turn, CAST(len({_CONV_TOKENS}) AS INTEGER) AS n_tokens FROM conversations), u AS (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS used FROM t) SELECT * FROM u WHERE used <= 120""")
+@_query(f"""WITH t AS (SELECT conv_id, turn, CAST(len({_CONV_TOKENS}) AS INTEGER) AS n_tokens FROM conversations), u AS (SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS used FROM t)
+  SELECT conv_id, turn, CAST(least(n_tokens, 120) AS INTEGER) AS n_tokens, least(used, 120) AS used FROM u WHERE used <= 120 OR used = n_tokens""")
 def i3_newest_first(spark, sf_dir):
     return D.newest_first(_TURNS(spark, sf_dir), "conv_id", "turn", "text", 120)
 
@@ -328,7 +339,7 @@ def k1_answer_scores(spark, sf_dir):
     return K.answer_scores(_pairs(spark, sf_dir), "id", "text", "gold")
 
 
-@_query(f"""WITH {_HITS}, h AS (SELECT query, doc, count(*) AS hits FROM q JOIN d USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
+@_query(f"""WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
   c AS (SELECT item_id AS query, {_SQUEEZE} AS c FROM benchmark), s AS (SELECT doc_id AS doc, {_SQUEEZE} AS s FROM documents),
   g AS (SELECT DISTINCT query, doc FROM c JOIN s ON contains(' ' || s || ' ', ' ' || c || ' ') WHERE c <> ''), n AS (SELECT query, count(*) AS n_gold FROM g GROUP BY query),
   f AS (SELECT query, rank, row_number() OVER (PARTITION BY query ORDER BY rank) AS nth FROM r JOIN g USING (query, doc) WHERE rank <= 10), x AS (SELECT query, min(rank) AS first, sum(nth / rank) AS s FROM f GROUP BY query)
@@ -401,12 +412,13 @@ def n4_usage_as_of(spark, sf_dir):
     return N.as_of_usage(_EVENTS(spark, sf_dir), "user_id", "event_type", "event_id")
 
 
-@_query("""WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0), n AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '.' ELSE text END) AS h FROM documents WHERE doc_id % 3 <> 0)
+@_query(f"""WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents SEMI JOIN labels USING (doc_id)), n AS (SELECT doc_id, sha256({_SQUEEZE}) AS h FROM documents WHERE {_SQUEEZE} <> '')
   SELECT doc_id, CASE WHEN n.h IS NULL THEN 'drop' WHEN n.h = o.h THEN 'reuse' ELSE 'process' END AS action FROM n FULL JOIN o USING (doc_id)""")
 def n7_incremental(spark, sf_dir):
+    """The labelled documents as first processed against all documents that hold text, squeezed."""
     docs = _DOCS(spark, sf_dir)
-    old = docs.where("doc_id % 5 <> 0").select("doc_id", F.sha2("text", 256).alias("h"))
-    new = docs.where("doc_id % 3 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("h"))
+    old = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("h"))
+    new = docs.withColumn("text", squeezed(F.col("text"))).where("text <> ''").select("doc_id", F.sha2("text", 256).alias("h"))
     return N.changed(old, new, "doc_id", "h")
 
 

@@ -10,7 +10,7 @@ from ..operators import retrieval as R
 from ..operators import search as S
 from ..operators.adapters import first_match
 from ..sources.records import table
-from .registry import _DOCS, _HITS, _TURNS, _WORD, _plain, _query
+from .registry import _DOCS, _FOUND, _TURNS, _WORD, _plain, _query
 
 _VECTORS = """v AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS g, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT id, g, e, sqrt(list_inner_product(e, e)) AS n FROM v)"""
 _COSINE = "round(coalesce(list_inner_product(a.e, b.e) / nullif(a.n * b.n, 0), 0), 6)"
@@ -70,7 +70,7 @@ def e14_centroid_neighbours(spark, sf_dir):
     return S.nearest(centres, centres, 4).withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
 
 
-_LEXICAL = f"""{_HITS}, h AS (SELECT query, doc, count(*) AS hits FROM q JOIN d USING (term) GROUP BY ALL), l AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS lex FROM h), {_VECTORS},
+_LEXICAL = f"""{_FOUND}, l AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS lex FROM h), {_VECTORS},
   p AS (SELECT query, doc, hits, lex, {_COSINE} AS dense FROM l JOIN u a ON a.id = query JOIN u b ON b.id = doc WHERE lex <= 20)"""
 
 
@@ -115,7 +115,7 @@ def g24_phrase_matches(spark, sf_dir):
     return S.phrase_matches(phrases, _DOCS(spark, sf_dir).select(F.col("doc_id").alias("doc"), words(F.col("text")).alias("w")))
 
 
-@_query(f"""WITH {_HITS}, h AS (SELECT query, doc, count(*) AS hits FROM q JOIN d USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
+@_query(f"""WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, doc) AS rank FROM h),
   t AS (SELECT query, doc, source, rank FROM r JOIN documents ON doc = doc_id WHERE rank <= 12), g AS (SELECT query, source, row_number() OVER (PARTITION BY query ORDER BY min(rank)) AS gr FROM t GROUP BY query, source)
   SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY CASE WHEN gr <= 3 THEN gr END NULLS LAST, doc) AS INTEGER) AS place FROM t JOIN g USING (query, source)""")
 def g25_presentation_order(spark, sf_dir):
