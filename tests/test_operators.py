@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import adapters, answers, folds, retrieval, scoring, search, selection, walks
+from palimpsest.operators import adapters, answers, folds, graphs, relations, retrieval, scoring, search, selection, walks
 from palimpsest.plans import catalogue
 from palimpsest.sources import artifacts, records
 
@@ -234,3 +234,79 @@ def test_wide_csv(spark, tmp_path):
     assert len(names) == docs.select("source").distinct().count() and sum(r[c] or 0 for r in back.collect() for c in names) == records.table(spark, SF, "documents").count()
     with pytest.raises(ValueError, match="more than 3"):
         records.write_wide_csv(docs, "lang", "source", "n", str(tmp_path / "n"), most=3)
+
+
+def test_term_hits_inside_words_and_the_last_documents(spark):
+    docs = spark.createDataFrame([(1, "Cathedral dog"), (2, None), (3, "cat"), (4, ""), (None, "cat dog")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "cat dog"), (8, "zebra"), (9, None), (None, "cat")], "item_id long, text string")
+    got = retrieval.term_hits(asked, docs, "item_id", "doc_id", "text", 2, fall_back=True)
+    assert rows_of(got, "query", "doc", "hits", "rank") == [(7, 1, 2, 1), (7, 3, 1, 2), (8, 3, 0, 2), (8, 4, 0, 1), (9, 3, 0, 2), (9, 4, 0, 1)]
+    assert retrieval.term_hits(asked.limit(0), docs, "item_id", "doc_id", "text", 2).count() == 0
+
+
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    run = lambda: rows_of(catalogue.QUERIES["g5_idf_routing"](spark, SF), "query", "doc", "score", "rank")
+    want = run()
+    monkeypatch.setattr(retrieval, "BLOCK_TERMS", 300)
+    assert run() == want
+
+
+def test_nearest_dated_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    days = [f"2020-01-{d:02d}" for d in rng.integers(1, 12, 40)]
+    rows = [(int(k), i, d) for i, (k, d) in enumerate(zip(rng.integers(0, 3, 40), days))]
+    table = spark.createDataFrame([*rows, (0, 90, None), (None, 91, "2020-01-01")], "k long, id long, d string")
+    want = []
+    for k, i, d in rows:
+        others = [(abs(int(d[-2:]) - int(e[-2:])), j) for g, j, e in rows if g == k and j != i]
+        want += [(i, min(others)[1], min(others)[0])] if others else []
+    assert rows_of(retrieval.nearest_dated(table, table, "k", "id", "d", "id", "d"), "query", "row", "days") == sorted(want, key=repr)
+
+
+def test_two_hop_has_floor_relations_and_no_loops(spark):
+    rows = [("a", "m", "x", 0.1), ("m", "b", "x", 0.9), ("a", "n", "x", 0.8), ("n", "b", "x", None), ("a", "z", "other", 1.0), ("m", "m", "x", 1.0), ("b", "m", "x", 0.5)]
+    edges = spark.createDataFrame(rows, "source string, target string, relation string, weight double")
+    seeds = spark.createDataFrame([("a",), ("a",)], "node string")
+    assert rows_of(graphs.two_hop(edges, seeds, ["x"]), "source", "target", "middle", "weight") == [("a", "b", "m", 0.405)]
+
+
+def test_same_group_search_in_small_tiles(spark, monkeypatch):
+    rows = search.vectors(records.table(spark, SF, "embeddings"), "vec_id", "embedding", "label")
+    run = lambda: rows_of(search.nearest(rows, rows, 3, "same", 9), "query", "id", "score", "rank")
+    want = run()
+    monkeypatch.setattr(search, "TILE_QUERIES", 16)
+    monkeypatch.setattr(search, "TILE_ROWS", 20)
+    assert run() == want
+
+
+def test_capped_edges_against_brute_force(spark):
+    rows = search.vectors(records.table(spark, SF, "embeddings"), "vec_id", "embedding", "label")
+    of = {r["id"]: r["group"] for r in rows.collect()}
+    pairs = [(r["a"], r["b"], r["score"]) for r in search.undirected(search.nearest(rows, rows, 5, "same"), 0.0).collect()]
+    degree, want = collections.Counter(), []
+    for a, b, score in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if degree[a] < 3 and degree[b] < 3:
+            degree.update((a, b))
+            want.append((of[a], a, b, score))
+    assert rows_of(catalogue.QUERIES["e18_capped_edges"](spark, SF), "group", "a", "b", "score") == sorted(want, key=repr)
+
+
+def test_sources_and_decisions_on_odd_rows(spark):
+    texts = spark.createDataFrame([(1, "In The Daily Post - today"), (2, None), (3, "daily, and post daily")], "id long, text string")
+    names = spark.createDataFrame([("The Daily Post | World",), ("Daily",), (None,), ("x",)], "name string")
+    assert rows_of(relations.mentioned_sources(texts, names, "id", "text", "name"), "query", "alias") == [(1, "the daily post"), (3, "daily")]
+    asked = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, True), (1, 4, None)], "t long, source long, same_key boolean")
+    made = [(1, 1, "c", 0.5, "r"), (1, 2, "d", 2.0, "r"), (1, 4, None, 0.5, "r"), (1, 9, "c", 0.5, "r"), (2, 2, "c", 0.1, " ")]
+    made = spark.createDataFrame(made, "t long, source long, kind string, confidence double, reason string")
+    want = [(1, 1, "accepted"), (1, 2, "confidence"), (1, 3, "missing"), (1, 4, "kind"), (1, 9, "unknown"), (2, 2, "unknown")]
+    assert rows_of(relations.checked_decisions(asked, made, ["t"], ["c", "d"], "c"), "t", "source", "verdict") == want
+    assert rows_of(relations.checked_decisions(asked, made.union(made), ["t"], ["c", "d"], "c").where("source = 1"), "verdict") == [("repeated",), ("repeated",)]
+
+
+def test_relations_of_near_pairs(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.7), (2, 3, 0.6), (1, 4, 0.9), (2, 4, 0.42), (3, 4, 0.43)], "a long, b long, score double")
+    names = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (3, "x"), (4, "y")], "id long, alias string")
+    salient = spark.createDataFrame([(1, "t"), (2, "t"), (4, "t")], "id long, term string")
+    want = [(1, 2, "same_entity_event", 1, 1), (1, 3, "same_entity_event", 1, 0), (1, 4, "same_attribute", 0, 1)]
+    assert rows_of(relations.related_pairs(pairs, names, salient), "a", "b", "relation", "n_entities", "n_terms") == want
+    assert relations.related_pairs(pairs, names.limit(0), salient.limit(0)).count() == 0
