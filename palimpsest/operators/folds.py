@@ -56,14 +56,14 @@ def greedy_groups(rows: DataFrame, group: str, order: str, size: Column, target:
     return rows.select(group, F.col("m.o").alias(order), unit.alias("unit"), F.col("m.size").alias("size"))
 
 
-def skip_pack(rows: DataFrame, group: str, order: list[Column], id_col: str, size: Column, budget: int) -> DataFrame:
-    """group, id, used: rows in order while they fit the budget; one that does not fit is left out and the next is tried."""
+def skip_pack(rows: DataFrame, group: str, order: list[Column], id_col: str, size: Column, budget: int, most_rows: int = 1 << 30) -> DataFrame:
+    """group, id, used: at most `most_rows` rows in order while they fit the budget; one that does not fit is left out and the next is tried."""
     kind = f"array<struct<id:{dict(rows.dtypes)[id_col]},used:bigint>>"
     zero = {"used": F.lit(0).cast("long"), "kept": F.array().cast(kind)}
 
     def step(s, r):
         used = s["used"] + r["v"]
-        fits = used <= budget
+        fits = (used <= budget) & (F.size(s["kept"]) < most_rows)
         row = F.struct(r["id"].alias("id"), used.alias("used"))
         return {"used": F.when(fits, used).otherwise(s["used"]), "kept": F.when(fits, F.concat(s["kept"], F.array(row))).otherwise(s["kept"]).cast(kind)}
 

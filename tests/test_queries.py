@@ -12,7 +12,7 @@ def test_query(same, name):
 
 
 #: These are held against brute force in test_operators.py.
-WITHOUT_SQL = {"e18_capped_edges", "g22_hashed_bigrams", "k1_best_of_answers", "k5_order_accuracy"}
+WITHOUT_SQL = {"e18_capped_edges", "e19_capped_components", "g22_hashed_bigrams", "k1_best_of_answers", "k5_order_accuracy"}
 
 
 def test_all_have_sql():
