@@ -19,7 +19,7 @@ def neighbourhood_search(queries: DataFrame, rows: DataFrame, links: DataFrame,
 
     queries and rows as `search.vectors` makes them, rows grouped by document; links: group, linked, edge. The nearest `seeds` rows have a
     bonus of 1 - (rank - 1) / 32; rows one or two places beside a seed 0.6 / distance; the best row of a document linked with a seed's half
-    the edge. The greatest bonus counts: score = 0.65 row + 0.20 document + 0.15 bonus, at most `cap` rows of a document, ties to the smaller id.
+    the edge. The greatest bonus counts: score = 0.65 row + 0.20 document + 0.15 bonus (9 places), at most `cap` rows of a document, ties to the smaller id.
     Linked documents are joined by document and cut to their best row in each task before the shuffle.
     """
     placed = rows.select("id", "group", F.row_number().over(Window.partitionBy("group").orderBy("id")).alias("p")).where("group is not null")
@@ -37,7 +37,7 @@ def neighbourhood_search(queries: DataFrame, rows: DataFrame, links: DataFrame,
     near = scored_pairs(pool, queries, rows).withColumnRenamed("dense", "row_score")
     near = near.join(placed.select(F.col("id").alias("doc"), "group"), "doc").select("query", F.col("doc").alias("id"), "group", "b", "row_score")
     near = scored_pairs(near.withColumn("doc", F.col("group").cast("long")), queries, centroids(rows))
-    score = F.round(0.65 * F.col("row_score") + 0.20 * F.col("dense") + 0.15 * F.col("b.bonus"), 6)
+    score = F.round(0.65 * F.col("row_score") + 0.20 * F.col("dense") + 0.15 * F.col("b.bonus"), 9)
     scored = near.select("query", "id", "group", F.col("b.origin").alias("origin"), score.alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     kept = capped(scored.withColumn("rank", rank), "query", "id", "group", "rank", cap, k)
@@ -64,9 +64,9 @@ def retrieval_audit(selected: DataFrame, dense: DataFrame) -> DataFrame:
 
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters of the lower-cased text without white space."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r]+", "")
-    n = F.length(t)
-    return F.array_distinct(F.transform(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(t, i, F.lit(2))))
+    chars = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r]+", ""), "")
+    pairs = F.zip_with(chars, F.slice(chars, 2, 1 << 30), lambda x, y: F.concat(x, y))  # the last has no second character: null
+    return F.array_distinct(F.filter(pairs, lambda x: x.isNotNull()))
 
 
 def bigram_overlap(a: Column, b: Column) -> Column:
@@ -79,7 +79,7 @@ def union_ranked(channels: dict[str, DataFrame], features: DataFrame, keys: list
     """keys, source, channels, fused, rank: sources that any channel proposes for a target, the first `limit` by fused score.
 
     channels: name to frame (keys, source); features of every pair that may occur: keys, source, semantic, task, gap, same_key.
-    fused = 0.5 semantic + 0.3 task + 0.2 / (1 + gap) + 0.5 for the same key, at most 1, 6 places. Ties: semantic, task, the smaller gap, source.
+    fused = 0.5 semantic + 0.3 task + 0.2 / (1 + gap) + 0.5 for the same key, at most 1, 9 places. Ties: semantic, task, the smaller gap, source.
     """
     pair = [*keys, "source"]
     named = None
@@ -89,7 +89,7 @@ def union_ranked(channels: dict[str, DataFrame], features: DataFrame, keys: list
     named = named.groupBy(*pair).agg(F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"))
     same = F.coalesce("same_key", F.lit(False))
     task = F.when(same, 1.0).otherwise(F.col("task"))
-    fused = F.round(F.least(F.lit(1.0), 0.5 * F.col("semantic") + 0.3 * task + 0.2 / (1 + F.col("gap")) + F.when(same, 0.5).otherwise(0.0)), 6)
+    fused = F.round(F.least(F.lit(1.0), 0.5 * F.col("semantic") + 0.3 * task + 0.2 / (1 + F.col("gap")) + F.when(same, 0.5).otherwise(0.0)), 9)
     both = named.join(features, pair).withColumn("task", task).withColumn("fused", fused)
     order = [F.desc("fused"), F.desc("semantic"), F.desc("task"), F.asc("gap"), F.asc("source")]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

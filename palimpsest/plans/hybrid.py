@@ -33,7 +33,7 @@ def _documents_of_eight(spark, sf_dir):
     SELECT query, id, 'linked', greatest(edge, 0) * 0.5 FROM (SELECT s.*, edge FROM k JOIN s ON s.query = k.query AND s.g = linked QUALIFY row_number() OVER (PARTITION BY k.query, linked ORDER BY s.score DESC, s.id) = 1)),
   b AS (SELECT query, id, CAST(bonus AS DOUBLE) AS bonus, origin FROM o QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY CAST(bonus AS DOUBLE) DESC, origin DESC) = 1),
   t AS (SELECT a.id AS query, b.id AS g, {_COSINE} AS score FROM u a JOIN w b ON a.id % 50 = 0),
-  f AS (SELECT query, s.id, s.g, origin, round(CAST(0.65 AS DOUBLE) * s.score + CAST(0.20 AS DOUBLE) * t.score + CAST(0.15 AS DOUBLE) * bonus, 6) AS score FROM b JOIN s USING (query, id) JOIN t USING (query, g)),
+  f AS (SELECT query, s.id, s.g, origin, round(CAST(0.65 AS DOUBLE) * s.score + CAST(0.20 AS DOUBLE) * t.score + CAST(0.15 AS DOUBLE) * bonus, 9) AS score FROM b JOIN s USING (query, id) JOIN t USING (query, g)),
   y AS (SELECT *, row_number() OVER (PARTITION BY query, g ORDER BY score DESC, id) AS in_group FROM f)
   SELECT query, id, CAST(g AS VARCHAR) AS "group", origin, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS place FROM y WHERE in_group <= 3 QUALIFY place <= 10""")
 def g4_neighbourhood(spark, sf_dir):
@@ -72,7 +72,7 @@ def _pairs(spark, sf_dir, window: int):
     SELECT conv_id, target, source, 'Cdep' FROM (SELECT * FROM f WHERE semantic >= 0.35 QUALIFY row_number() OVER (PARTITION BY conv_id, target ORDER BY semantic DESC, source) <= 128) UNION SELECT conv_id, target, source, 'Cdep' FROM f WHERE same_key),
   n AS (SELECT conv_id, target, source, string_agg(DISTINCT channel, ',' ORDER BY channel) AS channels FROM c GROUP BY ALL),
   z AS (SELECT n.*, semantic, CASE WHEN same_key THEN CAST(1 AS DOUBLE) ELSE task END AS task, gap, same_key FROM n JOIN f USING (conv_id, target, source)),
-  e AS (SELECT *, round(least(CAST(1 AS DOUBLE), CAST(0.5 AS DOUBLE) * semantic + CAST(0.3 AS DOUBLE) * task + CAST(0.2 AS DOUBLE) / (1 + gap) + CASE WHEN same_key THEN CAST(0.5 AS DOUBLE) ELSE 0 END), 6) AS fused FROM z)
+  e AS (SELECT *, round(least(CAST(1 AS DOUBLE), CAST(0.5 AS DOUBLE) * semantic + CAST(0.3 AS DOUBLE) * task + CAST(0.2 AS DOUBLE) / (1 + gap) + CASE WHEN same_key THEN CAST(0.5 AS DOUBLE) ELSE 0 END), 9) AS fused FROM z)
   SELECT conv_id, target, source, channels, fused, CAST(row_number() OVER (PARTITION BY conv_id, target ORDER BY fused DESC, semantic DESC, task DESC, gap, source) AS INTEGER) AS rank FROM e QUALIFY rank <= 192""")
 def h4_union_ranking(spark, sf_dir):
     pairs = _pairs(spark, sf_dir, 8)
@@ -95,8 +95,8 @@ def i7_state_view(spark, sf_dir):
     last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", "turn").alias("seen"))
     rows = turns.join(last, "conv_id").where("turn < last").withColumn("entities", F.slice(F.array_sort(terms(F.col("text"), 6)), 1, 3))
     hit = F.exists("entities", lambda x: F.contains("seen", x))
-    overlap = H.bigram_overlap(H.bigrams(F.col("text")), H.bigrams(F.col("seen")))
-    return H.state_view(rows, "conv_id", "turn", hit, overlap, F.col("role") == "user", F.length("text") % 3, F.col("turn"), F.size(tokens(F.col("text"))), 120, 4)
+    rows = rows.withColumn("b1", H.bigrams(F.col("text"))).withColumn("b2", H.bigrams(F.col("seen")))
+    return H.state_view(rows, "conv_id", "turn", hit, H.bigram_overlap(F.col("b1"), F.col("b2")), F.col("role") == "user", F.length("text") % 3, F.col("turn"), F.size(tokens(F.col("text"))), 120, 4)
 
 
 _SQUEEZED = r"trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\r]+', ' ', 'g'))"
@@ -123,15 +123,15 @@ def f11_dependency_recall(spark, sf_dir):
 
 
 def _wanted(spark, sf_dir):
-    """What a conversation's later turns should cover: rare words of its first turn as scope, the first two words of its second as anchor."""
+    """What a conversation's later turns should cover: three words of its first turn as scope, the first two words of its second as anchor."""
     turns = _TURNS(spark, sf_dir)
-    first = turns.where("turn = 0").select("conv_id", F.posexplode(F.slice(F.array_sort(terms(F.col("text"), 5)), 1, 3)).alias("n", "item")).withColumn("kind", F.lit("scope"))
+    first = turns.where("turn = 0").select("conv_id", F.posexplode(F.slice(F.array_sort(terms(F.col("text"))), 1, 3)).alias("n", "item")).withColumn("kind", F.lit("scope"))
     head = F.array_join(F.slice(F.split(squeezed(F.col("text")), " "), 1, 2), " ")
     anchor = turns.where("turn = 1").select("conv_id", F.lit(9).alias("n"), head.alias("item"), F.lit("anchor").alias("kind"))
     return first.unionByName(anchor), turns.where("turn > 1").select("conv_id", F.col("turn").alias("node"), "text")
 
 
-_WANTED = f"""w AS (SELECT conv_id, unnest(range(0, len(i))) AS n, unnest(i) AS item, 'scope' AS kind FROM (SELECT conv_id, list_sort({_terms_sql('text', 5)})[1:3] AS i FROM conversations WHERE turn = 0) UNION ALL
+_WANTED = f"""w AS (SELECT conv_id, unnest(range(0, len(i))) AS n, unnest(i) AS item, 'scope' AS kind FROM (SELECT conv_id, list_sort({_terms_sql('text', 2)})[1:3] AS i FROM conversations WHERE turn = 0) UNION ALL
     SELECT conv_id, 9, {_HEAD.format(_SQUEEZED, 2)}, 'anchor' FROM conversations WHERE turn = 1),
   t AS (SELECT conv_id, turn, role, ' ' || {_SQUEEZED} || ' ' AS s FROM conversations),
   l AS (SELECT w.conv_id, CAST(n AS INTEGER) AS n, kind, item, count(turn) AS hits FROM w LEFT JOIN t ON t.conv_id = w.conv_id AND turn > 1 AND item <> '' AND contains(s, ' ' || item || ' ') GROUP BY ALL)"""
@@ -152,13 +152,13 @@ def g18_coverage_status(spark, sf_dir):
     return H.coverage_status(H.coverage(wanted, texts, "conv_id"), needed, "conv_id")
 
 
-@_query(f"""WITH {_WANTED}, o AS (SELECT l.conv_id, CASE WHEN kind = 'anchor' THEN 'second' ELSE 'first' END AS option, hits, count(turn) FILTER (role = 'assistant') AS acted FROM l LEFT JOIN t ON t.conv_id = l.conv_id AND turn > 1 AND item <> '' AND contains(s, ' ' || item || ' ') GROUP BY l.conv_id, n, kind, item, hits),
+@_query(f"""WITH {_WANTED}, o AS (SELECT l.conv_id, 'option' || n AS option, hits, count(turn) FILTER (role = 'assistant') AS acted FROM l LEFT JOIN t ON t.conv_id = l.conv_id AND turn > 1 AND item <> '' AND contains(s, ' ' || item || ' ') GROUP BY l.conv_id, n, kind, item, hits),
   e AS (SELECT conv_id, option, sum(acted) AS n_actions FROM o GROUP BY ALL HAVING bool_and(hits > 0))
   SELECT conv_id, min(option) AS option, CAST(min(n_actions) AS BIGINT) AS n_actions FROM e x WHERE n_actions = (SELECT min(n_actions) FROM e y WHERE y.conv_id = x.conv_id) AND (SELECT count(*) FROM e y WHERE y.conv_id = x.conv_id) >= 2 GROUP BY conv_id HAVING count(*) = 1""")
 def g18_least_acted(spark, sf_dir):
     wanted, texts = _wanted(spark, sf_dir)
     acting = texts.join(_TURNS(spark, sf_dir).where("role = 'assistant'").select("conv_id", F.col("turn").alias("node")), ["conv_id", "node"], "left_semi")
-    option = F.when(F.col("kind") == "anchor", "second").otherwise("first").alias("option")
+    option = F.concat(F.lit("option"), "n").alias("option")
     hits = lambda seen: H.coverage(wanted, seen, "conv_id").select("conv_id", option, "item", "hits")
     return H.least_acted_option(hits(texts), hits(acting), "conv_id")
 
