@@ -63,3 +63,21 @@ def closed_from_one(ledger: DataFrame, owner: str, step: str) -> DataFrame:
     """owner, n, first, last, closed: whether the steps are exactly 1 to n, each once or more."""
     out = ledger.groupBy(owner).agg(F.count("*").alias("n"), F.min(step).alias("first"), F.max(step).alias("last"), F.count_distinct(step).alias("d"))
     return out.select(owner, "n", "first", "last", ((F.col("first") == 1) & (F.col("last") == F.col("d"))).alias("closed"))
+
+
+def provenance(units: DataFrame, known: DataFrame, group: str, at: str, most_direct: int, most_transitive: int) -> DataFrame:
+    """group, at, kind, n_sources, verified, no_future of every unit (group, at, direct, cited: array of places).
+
+    Of the cited places the latest `most_direct` (direct units) or `most_transitive` count. kind: unsourced, direct or transitive;
+    verified: there is a source and all are known (group, source); no_future: none is at or after the unit. Null citations are none.
+    """
+    cited = F.filter(F.coalesce("cited", F.array().cast(dict(units.dtypes)["cited"])), lambda x: x.isNotNull())
+    most = F.when(F.coalesce("direct", F.lit(False)), most_direct).otherwise(most_transitive)
+    kept = F.array_distinct(F.slice(F.sort_array(cited, asc=False), F.lit(1), most))
+    kind = F.when(F.size(cited) == 0, "unsourced").when(F.coalesce("direct", F.lit(False)), "direct").otherwise("transitive")
+    rows = units.select(group, at, kind.alias("kind"), kept.alias("kept"))
+    each = rows.select(group, at, F.explode("kept").alias("source")).join(known.distinct().withColumn("there", F.lit(1)), [group, "source"], "left")
+    checked = each.groupBy(group, at).agg(F.count("*").alias("n_sources"), F.count("there").alias("n_known"), F.max("source").alias("latest"))
+    out = rows.join(checked, [group, at], "left")
+    verified = F.coalesce(F.col("n_sources") == F.col("n_known"), F.lit(False))
+    return out.select(group, at, "kind", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), verified.alias("verified"), F.coalesce(F.col("latest") < F.col(at), F.lit(True)).alias("no_future"))

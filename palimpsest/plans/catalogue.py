@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import adapters, hybrid, packs, relations, scores, search, walks  # noqa: F401
+from . import adapters, evidence, hybrid, packs, relations, scores, search, walks  # noqa: F401
 from .registry import FLAGSHIP, QUERIES, SQL
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from palimpsest.operators import segments, state
+from palimpsest.operators import search, segments, state
 from palimpsest.sources import records
+from palimpsest.streaming import memory
 from palimpsest.streaming.registry import stream_versions
 
 from .conftest import SF
@@ -34,3 +35,20 @@ def test_windows_of_edge_texts(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, "a"), (4, "a b c"), (5, "a b c d")], "doc_id long, text string")
     rows = segments.token_windows(docs, 3).orderBy("doc_id", "start").collect()
     assert [(r["doc_id"], r["start"], r["text"]) for r in rows] == [(3, 0, "a"), (4, 0, "a b c"), (5, 0, "a b c"), (5, 3, "d")]
+
+
+def test_stream_memory_finds_what_came_before(spark, tmp_path):
+    turns = records.table(spark, SF, "conversations").where("conv_id < 12").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    for i in range(3):
+        turns.where(F.col("id") % 3 == i).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    path = str(tmp_path / "memory")
+    embed = lambda c: search.hashed_bigrams(c, 32)
+    for run in ("c", "again"):  # another checkpoint folder repeats the batches
+        source = spark.readStream.schema(turns.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = memory.observed(source, "id", "text", embed, path).option("checkpointLocation", str(tmp_path / run)).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    held = memory.memory(spark, path)
+    assert sorted((r["id"], r["text"]) for r in held.select("id", "text").collect()) == sorted((r["id"], r["text"] or "") for r in turns.collect())
+    rows, direct = (search.vectors(x, "id", "vec") for x in (held, turns.withColumn("vec", embed(F.col("text")))))
+    asked = lambda x: sorted(map(tuple, search.nearest(x.where("id % 100 = 2"), x, 3, "earlier").collect()))
+    assert asked(rows) == asked(direct) != []
