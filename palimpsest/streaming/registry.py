@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 
@@ -13,10 +14,11 @@ from ..shipping import ship
 def stream_versions(events: DataFrame, keys: list[str], order: str, value: str, value_type: str = "double") -> DataFrame:
     """keys, version, order, value, prior: as `operators.state.versions`, for a streaming frame whose batches come in order.
 
-    Rows of one batch are taken in order; the state of a key is its version and the order of its last write.
+    Rows of one batch are taken in order; the state of a key is its version and the order of its last write. A row that comes in a later
+    batch than rows of a greater order is the next version all the same. Rows with a null order take no part.
     """
     ship(events.sparkSession)
-    rows = events.select(*keys, order, value)
+    rows = events.where(F.col(order).isNotNull()).select(*keys, order, value)
     types = dict(rows.dtypes)
     head = ", ".join(f"{k} {types[k]}" for k in keys)
 

@@ -52,3 +52,13 @@ def test_stream_memory_finds_what_came_before(spark, tmp_path):
     rows, direct = (search.vectors(x, "id", "vec") for x in (held, turns.withColumn("vec", embed(F.col("text")))))
     asked = lambda x: sorted(map(tuple, search.nearest(x.where("id % 100 = 2"), x, 3, "earlier").collect()))
     assert asked(rows) == asked(direct) != []
+
+
+def test_stream_takes_late_rows_and_leaves_out_null_orders(spark, tmp_path):
+    batches = [[("k", 5, 1.0), ("k", None, 2.0)], [("k", 3, 3.0), ("k", 4, None)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "key string, at long, value double").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    source = spark.readStream.schema("key string, at long, value double").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = stream_versions(source, ["key"], "at", "value").writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    assert sorted((r["version"], r["at"], r["prior"]) for r in spark.table("late").collect()) == [(1, 5, None), (2, 3, 5), (3, 4, 3)]
