@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, language_id, language_model, merkle, near_dedup, pieces, quality, substring_dedup, suffix_array, token_count, topk, toxicity
+from . import collocations, decontaminate, language_id, language_model, merkle, near_dedup, pieces, quality, substring_dedup, suffix_array, token_count, topk, toxicity
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -18,7 +18,8 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_suffix_array_dedup": suffix_array.op11_suffix_array_dedup,
+    "op12_collocations": collocations.op12_collocations,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
-SQL = topk.SQL | decontaminate.SQL | near_dedup.SQL | substring_dedup.SQL | suffix_array.SQL | merkle.SQL
+SQL = topk.SQL | decontaminate.SQL | near_dedup.SQL | substring_dedup.SQL | suffix_array.SQL | collocations.SQL | merkle.SQL
