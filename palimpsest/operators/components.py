@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(rows: DataFrame) -> DataFrame:
-    """The rows written as a table below the session's checkpoint folder and read back; in local mode a temporary folder stands in."""
-    spark = rows.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+from .tables import written as _written
 
 
 def capped_components(edges: DataFrame, most: int) -> DataFrame:

@@ -167,6 +167,18 @@ def l5_sign_flips(spark, sf_dir):
     return A.sign_flip_test(rows, "k", "d")
 
 
+_SIGNED = "CASE WHEN (CAST('0x' || substr(md5(concat_ws(':', 17, k, r // 128)), CAST(r % 128 // 4 + 1 AS INTEGER), 1) AS INTEGER) >> CAST(3 - r % 4 AS INTEGER)) % 2 = 1 THEN -v ELSE v END"
+
+
+@_query(f"""WITH d AS (SELECT doc_id AS k, round((doc_id % 7 - 3) * (quality + 0.1), 9) AS d FROM labels WHERE quality IS NOT NULL), x AS (SELECT k, d, CAST(round(d * 1e9) AS BIGINT) AS v FROM d), r AS (SELECT unnest(range(4096)) AS r),
+  n AS (SELECT count(*) AS n, round(avg(d), 9) AS mean, sum(v) AS obs FROM x), s AS (SELECT r, sum({_SIGNED}) AS s FROM x, r GROUP BY r)
+  SELECT n, mean, round(avg(CASE WHEN abs(s) >= abs(obs) THEN 1.0 ELSE 0.0 END), 9) AS p FROM s, n GROUP BY n, mean""")
+def l5_sampled_flips(spark, sf_dir):
+    """A pair for each labelled document: far more than the exact test takes."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", ((F.col("doc_id") % 7 - 3) * (F.col("quality") + 0.1)).alias("d"))
+    return A.sign_flip_test(rows, "doc_id", "d")
+
+
 _ACTIVITY = """x AS (SELECT *, count(*) OVER w AS refs, max(event_id) OVER (PARTITION BY user_id) - event_id AS age FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   s AS (SELECT user_id, event_id, (0.45 * CASE WHEN event_type = 'error' THEN 1 ELSE 0 END + 0.30 * least(1.0, log2(1 + refs) / 3) + 0.25 * least(5, abs(value) / 20) / 5) * pow(2.0, -(age / 1000.0) / 40) AS score FROM x)"""
 
