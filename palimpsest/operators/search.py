@@ -7,6 +7,8 @@ Repeated ids are rows of their own; a query never finds rows of its own id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,10 +38,10 @@ def _tile(k: int, rule: str, places: int):
             score = np.round(np.stack(q["vec"].to_numpy()) @ np.stack(r["vec"].to_numpy()).T, places) + 0.0
             ids, of = r["id"].to_numpy(), q["id"].to_numpy()
             allowed = ids[None, :] != of[:, None]
-            if rule == "earlier":
+            if rule in ("earlier", "same-earlier"):
                 allowed &= ids[None, :] < of[:, None]
-            elif rule in ("same", "other"):
-                allowed &= (r["group"].to_numpy()[None, :] == q["group"].to_numpy()[:, None]) == (rule == "same")
+            if rule in ("same", "same-earlier", "other"):
+                allowed &= (r["group"].to_numpy()[None, :] == q["group"].to_numpy()[:, None]) == (rule != "other")
             for i in range(len(q)):
                 at = np.flatnonzero(allowed[i])
                 at = at[np.argsort(-score[i, at], kind="stable")][:k]
@@ -53,10 +55,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, rule: str = "any", plac
     """query, id, score, rank: the k rows of highest cosine (rounded to `places`), ties to the smaller id.
 
     queries and rows are frames as `vectors` makes them. rule: any; same or other (group; null is no group's name); earlier (only rows of a
-    smaller id). For same, tiles are cut inside groups: small groups share one, a large group has several.
+    smaller id); same-earlier (both). For same, tiles are cut inside groups: small groups share one, a large group has several.
     """
     block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
-    if rule == "same":
+    if rule in ("same", "same-earlier"):
         sized = rows.groupBy("group").agg(F.count("*").alias("n")).where("group is not null")
         asked = queries.groupBy("group").agg(F.count("*").alias("m"))
         bins = F.lit(-(-max(1, rows.count()) // TILE_QUERIES))
@@ -105,14 +107,17 @@ def centroids(rows: DataFrame) -> DataFrame:
     return vectors(mean.withColumn("id", F.col("group").cast("long")), "id", "v", "group")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often and in whatever lambda it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hashed_bigrams(text: Column, dims: int = 128) -> Column:
-    """array<float>: how many character bigrams fall into each bucket of crc32 modulo `dims`. Null and short texts: zeros."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    starts = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    at = F.transform(starts, lambda i: F.pmod(F.crc32(F.encode(F.substring(t, i, F.lit(2)), "UTF-8")), F.lit(dims)))
-    sorted_at = F.array_sort(at)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(sorted_at, lambda x: x == d)).cast("float"))
+    """array<float>: how many character bigrams fall into each bucket of crc32 modulo `dims`. Null and short texts: zeros. The work is linear in the text."""
+    bucket = lambda a, b: F.pmod(F.crc32(F.encode(F.concat(a, b), "UTF-8")), F.lit(dims))
+    pairs = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), bucket)
+    counts = lambda at: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(at, lambda x: x == d)).cast("float"))
+    return _once(F.split(F.coalesce(text, F.lit("")), ""), lambda chars: _once(pairs(chars), counts))
 
 
 def scored_pairs(pairs: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
