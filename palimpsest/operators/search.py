@@ -101,10 +101,12 @@ def undirected(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def centroids(rows: DataFrame) -> DataFrame:
-    """id (the group as a number), vec, group: normalised mean vectors of groups, summed by dimension with partial aggregation."""
+    """id, vec, group: normalised mean vectors of groups, summed by dimension with partial aggregation. id is the group as a number where all names are numbers, else a hash of the name."""
     each = rows.select("group", F.posexplode("vec").alias("d", "x")).groupBy("group", "d").agg(F.avg("x").alias("x"))
     mean = each.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
-    return vectors(mean.withColumn("id", F.col("group").cast("long")), "id", "v", "group")
+    number = F.col("group").try_cast("long")
+    named = mean.agg(F.count_if(F.col("group").isNotNull() & number.isNull())).first()[0]
+    return vectors(mean.withColumn("id", F.xxhash64("group") if named else number), "id", "v", "group")
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import adapters, attribution, evidence, grounding, hybrid, memories, packs, relations, scores, search, trees, walks  # noqa: F401
+from . import adapters, attribution, evidence, grounding, hybrid, levels, memories, packs, relations, scores, search, trees, walks  # noqa: F401
 from .registry import FLAGSHIP, QUERIES, SQL
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]
