@@ -34,11 +34,11 @@ from .substring_dedup import _anchors, _batch, _runs
 
 SIZE = 50
 #: Bytes of an anchor's run in each round; of a shard's references; of the streams of one salt; windows of an owner's part.
-RUNS, SHARD_BYTES, STREAM_BYTES, PART_WINDOWS = (16, 40, 50), 1 << 19, 1 << 22, 1 << 19
+RUNS, SHARD_BYTES, STREAM_BYTES, PART_WINDOWS = (24, 50), 1 << 19, 1 << 22, 1 << 19
 #: Every STEP-th window of a stream is looked up first, and matches are extended from there.
 STEP = 16
-#: Windows of a text that are worked on at once.
-BLOCK = 1 << 22
+#: Bytes of texts that are worked on at once: arrays of eight times as many stay in a core's cache.
+BLOCK = 1 << 18
 #: No UTF-8 text has this byte: it ends each reference.
 END = b"\xff"
 MADE = ("rid", "spans", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
@@ -164,23 +164,37 @@ class Shard:
         return starts, hit
 
 
-def _window_anchors(text: bytes, size: int, run: int) -> np.ndarray:
-    """The anchor of the window at each byte that has one."""
-    if len(text) < size:
-        return np.empty(0, U64)
-    words = mix(eights(text, "<"))
-    n = len(text) - run + 1
-    grams = np.zeros(n, U64)
-    for offset in (*range(0, run - 8, 8), run - 8):
+def _blocks(texts: list[bytes], size: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """The texts in blocks of about BLOCK bytes: numbers, places and bytes. A longer text is cut into pieces that share size - 1 bytes with the next, so each window is in one."""
+    block: tuple[list, list, list] = ([], [], [])
+    held = 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - size + 1), BLOCK):
+            piece = text[at : at + BLOCK + size - 1]
+            for part, value in zip(block, (i, at, piece), strict=True):
+                part.append(value)
+            held += len(piece)
+            if held >= BLOCK:
+                yield block
+                block, held = ([], [], []), 0
+    if block[0]:
+        yield block
+
+
+def _window_anchors(pieces: list[bytes], size: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of all windows of the pieces, one piece after the other, and how many windows each piece has."""
+    each = np.array([len(p) for p in pieces], np.int64)
+    n = np.maximum(each - size + 1, 0)
+    if not n.any():
+        return np.empty(0, U64), n
+    words = eights(b"".join(pieces), "<")
+    grams = words[: len(words) - run].copy()
+    for offset in (*range(8, run - 8, 8), run - 8)[: (run - 1) // 8]:
         grams *= U64(0xD6E8FEB86659FD93)
-        grams += words[offset : offset + n]
-    return _anchors(mix(grams), size, run)
-
-
-def _blocks(text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
-    """Pieces of a text that share size - 1 bytes with the next, so that each window is in one; a very long text is then worked on in bounded memory."""
-    for at in range(0, max(1, len(text) - size + 1), BLOCK):
-        yield at, text[at : at + BLOCK + size - 1]
+        grams += words[offset : offset + len(grams)]
+    anchors = _anchors(mix(grams), size, run)
+    room = np.repeat(np.cumsum(each), each)[: len(anchors)] - np.arange(len(anchors))
+    return anchors[room >= size], n
 
 
 def _anchor_rows(size: int, run: int):
@@ -188,16 +202,21 @@ def _anchor_rows(size: int, run: int):
 
     def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts):
-            found, n = [np.empty(0, U64)], []
-            for text in part.column("text").to_pylist():
-                anchors = [_window_anchors(block, size, run) for _, block in _blocks(text, size)]
-                n.append(sum(map(len, anchors)))
-                found.append(np.unique(np.concatenate([a[np.flatnonzero(np.diff(a, prepend=~a[:1]))] for a in anchors])))
-            each = [len(f) for f in found[1:]]
-            columns = [pa.array(signed(np.concatenate(found)))]
-            columns += [pa.array(np.repeat(part.column(c).to_numpy(), each)) for c in ("key", "doc_id")]
-            columns.append(pa.array(np.repeat(1 + np.array(n, np.int64) // PART_WINDOWS, each).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "key", "doc_id", "parts"])
+            texts = part.column("text").to_pylist()
+            dealt = (1 + np.array([len(t) for t in texts], np.int64) // PART_WINDOWS).astype(np.int32)
+            ids = [part.column(c).to_numpy() for c in ("key", "doc_id")]
+            for numbers, _, pieces in _blocks(texts, size):
+                anchors, n = _window_anchors(pieces, size, run)
+                row = np.repeat(np.array(numbers), n)
+                if not len(row):
+                    continue
+                new = np.flatnonzero(np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1]))))
+                anchors, row = anchors[new], row[new]
+                order = np.lexsort((anchors, row))
+                anchors, row = anchors[order], row[order]
+                new = np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])))
+                anchors, row = anchors[new], row[new]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(anchors)), *[pa.array(x[row]) for x in ids], pa.array(dealt[row])], ["anchor", "key", "doc_id", "parts"])
 
     return emit
 
@@ -205,27 +224,31 @@ def _anchor_rows(size: int, run: int):
 def _stretches(size: int, run: int):
     """Rows (rid, doc_id, at, text, owners) to stretches: runs of windows with one owner and part."""
 
-    def of_block(mine: np.ndarray, known: np.ndarray, owner: np.ndarray, piece: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-        found, owner, piece = known[place] == mine, owner[place], piece[place]
-        turn = (found[1:] != found[:-1]) | (found[1:] & ((owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1])))
-        edge = np.concatenate(([0], np.flatnonzero(turn) + 1, [len(mine)]))
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if s < e and found[s]:
-                yield s, e, int(owner[s]), int(piece[s])
-
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts):
-            rows: list[tuple] = []
-            ids = (part.column(c).to_pylist() for c in ("rid", "doc_id", "at", "text"))
-            for rid, doc, at, text, owners in zip(*ids, part.column("owners"), strict=True):
-                known, owner, piece = (owners.values.field(k).to_numpy() for k in ("anchor", "owner", "part"))
-                order = np.argsort(known)
-                known, owner, piece = known[order], owner[order], piece[order]
-                for skip, block in _blocks(text, size):
-                    for s, e, to, which in of_block(signed(_window_anchors(block, size, run)), known, owner, piece):
-                        rows.append((to, which, to == doc, rid, doc, at + skip + s, e - s + size - 1, block[s : e + size - 1]))
-            yield _batch(rows, _STRETCH_ARROW)
+            rid, doc, at, texts = (part.column(c).to_pylist() for c in ("rid", "doc_id", "at", "text"))
+            lists = part.column("owners").flatten()  # an anchor has the same owner in all rows
+            known, first = np.unique(lists.field("anchor").to_numpy(), return_index=True)
+            owner, piece = (lists.field(k).to_numpy()[first] for k in ("owner", "part"))
+            for numbers, places, pieces in _blocks(texts, size):
+                anchors, n = _window_anchors(pieces, size, run)
+                if not len(anchors):
+                    continue
+                mine = signed(anchors)
+                where = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+                found = known[where] == mine
+                row = np.repeat(np.arange(len(n)), n)
+                to, which = owner[where], piece[where]
+                turn = (row[1:] != row[:-1]) | (found[1:] != found[:-1]) | (found[1:] & ((to[1:] != to[:-1]) | (which[1:] != which[:-1])))
+                start = np.concatenate(([0], np.flatnonzero(turn) + 1))
+                end = np.concatenate((start[1:], [len(mine)]))
+                start, end = start[found[start]], end[found[start]]
+                within = start - (np.cumsum(n) - n)[row[start]]
+                rows: list[tuple] = []
+                for r, s, long, o, w in zip(*(x.tolist() for x in (row[start], within, end - start + size - 1, to[start], which[start])), strict=True):
+                    i = numbers[r]
+                    rows.append((o, w, o == doc[i], rid[i], doc[i], at[i] + places[r] + s, long, pieces[r][s : s + long]))
+                yield _batch(rows, _STRETCH_ARROW)
 
     return cut
 
