@@ -3,7 +3,7 @@
 R(k) holds the occurrences of frequent phrases of k words: a place and the phrase that begins there, sorted by place. Places of one piece follow each other
 and a gap parts the pieces. The relation is kept in chunks of some CHUNK words of one language, one row each, written to the shared folder in every round:
 
-1. group-count: a chunk's different phrases with their counts are summed over all chunks; those below `least` go.
+1. group-count: a chunk's different phrases with their counts meet by phrase and are summed over all chunks; those below `least` go.
 2. semi-join: the frequent phrases' ids go back to the chunks that have them, once for each chunk and phrase, and R(k) keeps their occurrences.
 3. extend: two occurrences of R(k) at adjacent places are one of a phrase of k + 1 words (a merge join of R(k) with itself by piece and place).
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import batches, load, materialize, slices
 
-#: Words of a chunk; phrases of a language that one task ranks.
-CHUNK, RANKED = 1 << 19, 200_000
+#: Words of a chunk; phrases that one task ranks; bits of a phrase's number in its chunk, and of a chunk's in its partition.
+CHUNK, RANKED, NUMBER_BITS, CHUNK_BITS = 1 << 19, 16_000, 26, 16
 _CUT = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _FIRST = "chunk long, lang string, n long, occurs binary, words array<string>, counts array<int>"
 _NEXT = "chunk long, lang string, occurs binary, lefts array<long>, rights array<long>, counts array<int>"
@@ -64,7 +64,7 @@ class Chunk:
 def _of_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, text) to the first relation."""
     held: dict[str, Chunk] = {}
-    made = TaskContext.get().partitionId() << 32
+    made = TaskContext.get().partitionId() << CHUNK_BITS
 
     def out(langs: list[str]) -> pa.RecordBatch:
         nonlocal made
@@ -103,14 +103,21 @@ def _extended(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("chunk"), part.column("lang"), pa.array([grown.tobytes()]), *lists], ["chunk", "lang", "occurs", "lefts", "rights", "counts"])
 
 
-def _frequent(counted: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """keys, f, id of the phrases with at least `least` occurrences. counted: keys, count."""
-    return materialize(counted.groupBy(*keys).agg(F.sum("count").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id() + 1))
+def _counted(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """chunk, number, f, id of each chunk's phrases that have at least `least` occurrences in all chunks; keys only where the row is its phrase's first one (`first`).
+
+    rows: keys, chunk, number, count. One shuffle by phrase gives count and id: the first of the phrase's (chunk, number), which no other phrase has.
+    """
+    code = F.shiftleft("chunk", NUMBER_BITS) + F.col("number")
+    phrase = Window.partitionBy(*keys)
+    found = rows.withColumns({"f": F.sum("count").over(phrase), "id": F.min(code).over(phrase)}).where(F.col("f") >= least)
+    first = code == F.col("id")
+    return materialize(found.select("chunk", "number", "id", first.alias("first"), F.when(first, F.col("f")).alias("f"), *[F.when(first, F.col(k)).alias(k) for k in keys]))
 
 
-def _semi_joined(relation: DataFrame, rows: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
-    """chunk, lang, occurs, known. rows: keys, chunk, number."""
-    known = rows.join(frequent.select(*keys, "id"), keys).groupBy("chunk").agg(F.collect_list(F.struct("number", "id")).alias("known"))
+def _semi_joined(relation: DataFrame, counted: DataFrame) -> DataFrame:
+    """chunk, lang, occurs, known."""
+    known = counted.groupBy("chunk").agg(F.collect_list(F.struct("number", "id")).alias("known"))
     return batches(relation.select("chunk", "lang", "occurs").join(known, "chunk"), 8)
 
 
@@ -121,17 +128,15 @@ def phrases(docs: DataFrame, longest: int = 3, least: int = 10) -> tuple[list[Da
     relation = materialize(batches(texts).mapInArrow(_of_words, _FIRST))
     n = relation.groupBy("lang").agg(F.sum("n").alias("n"))
     rows = relation.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts"))).select("chunk", "lang", (F.col("pos") + 1).alias("number"), F.col("col.words").alias("word"), F.col("col.counts").alias("count"))
-    keys = ["lang", "word"]
-    frequent = _frequent(rows, keys, least)
-    found = [frequent.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
+    counted = _counted(rows, ["lang", "word"], least)
+    found = [counted.where("first").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), "f", F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
     for _ in range(1, longest):
-        relation = materialize(_semi_joined(relation, rows, frequent, keys).mapInArrow(_extended, _NEXT))
+        relation = materialize(_semi_joined(relation, counted).mapInArrow(_extended, _NEXT))
         rows = relation.select("chunk", F.posexplode(F.arrays_zip("lefts", "rights", "counts"))).select("chunk", (F.col("pos") + 1).alias("number"), F.col("col.lefts").alias("left"), F.col("col.rights").alias("right"), F.col("col.counts").alias("count"))
-        keys = ["left", "right"]
-        frequent = _frequent(rows, keys, least)
+        counted = _counted(rows, ["left", "right"], least)
         first = found[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("prefixes").alias("before"))
         last = found[-1].select(F.col("id").alias("right"), "tail", F.col("suffixes").alias("after"))
-        whole = frequent.join(first, "left").join(last, "right")
+        whole = counted.where("first").join(first, "left").join(last, "right")
         found.append(materialize(whole.select("id", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "tail", "f", F.concat("before", F.array("f")).alias("prefixes"), F.concat("after", F.array("f")).alias("suffixes"), "left", "right")))
     return found, n
 
@@ -161,10 +166,12 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
     scored = materialize(scored)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     salts = max(1, -(-scored.count() // RANKED))
-    # First within a salt, then among the salts' first rows: no task ranks a whole language.
-    partly = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
-    partly = partly.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = partly.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    ranked = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
+    while True:  # the first rows of eight salts meet in one: no task ranks a whole language
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+        if salts == 1:
+            break
+        salts, ranked = -(-salts // 8), ranked.withColumn("salt", F.floor(F.col("salt") / 8))
     return ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
