@@ -27,3 +27,19 @@ def terms(text: Column, longer_than: int = 2) -> Column:
 def squeezed(text: Column) -> Column:
     """Lower-cased, with white space as single blanks."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r]+", " "))
+
+
+#: Scripts that put no blanks between words.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+_RUN = rf"([{_UNSPACED}]+|(?:[^\P{{L}}{_UNSPACED}]|\p{{N}}|_)+)"
+
+
+def script_terms(text: Column) -> Column:
+    """Lower-cased words of scripts with blanks, and the characters and pairs of neighbouring characters of runs of Han, Kana and Hangul; repeated ones stay."""
+
+    def grown(run: Column) -> Column:
+        chars = F.split(run, "")
+        pairs = F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda a, b: F.concat(a, b))
+        return F.when(run.rlike(f"^[{_UNSPACED}]"), F.concat(chars, pairs)).otherwise(F.array(run))
+
+    return F.flatten(F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_RUN), F.lit(1)), grown))

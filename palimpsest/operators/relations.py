@@ -127,6 +127,25 @@ def related_pairs(pairs: DataFrame, entities: DataFrame, salient: DataFrame, lea
     return both.select("a", "b", "score", relation.alias("relation"), "n_entities", "n_terms").where("relation is not null")
 
 
+def narrative_pairs(pairs: DataFrame, events: DataFrame, entities: DataFrame, salient: DataFrame, most: int = 3) -> DataFrame:
+    """group, a, b, score, n_entities, n_terms: pairs (a, b, score) of events of one group that depend on each other across scenes.
+
+    events: id, group, place, scene. A pair is more than one place apart and in two scenes; it shares an entity at 0.58 and a salient term (or 0.70 without one), or two salient terms at
+    0.66. Of these the strongest are kept while both ends have fewer than `most`; ties go to the smaller a, then b. Pairs with unknown events take no part.
+    """
+    side = lambda s: events.select(F.col("id").alias(s), F.col("group").alias(f"g_{s}"), F.col("place").alias(f"p_{s}"), F.col("scene").alias(f"s_{s}"))
+    apart = pairs.join(side("a"), "a").join(side("b"), "b").where("g_a = g_b AND s_a <> s_b AND abs(p_a - p_b) > 1")
+    listed = lambda rows, c, name: rows.groupBy("id").agg(F.collect_set(c).alias(name))
+    known = listed(entities, "alias", "entities").join(listed(salient, "term", "terms"), "id", "full_outer")
+    of = lambda s: known.select(F.col("id").alias(s), F.col("entities").alias(f"e_{s}"), F.col("terms").alias(f"t_{s}"))
+    both = apart.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    shared = lambda x: F.greatest(F.coalesce(F.size(F.array_intersect(f"{x}_a", f"{x}_b")), F.lit(0)), F.lit(0))
+    both = both.select(F.col("g_a").alias("group"), "a", "b", "score", shared("e").alias("n_entities"), shared("t").alias("n_terms"))
+    entity = (F.col("n_entities") > 0) & (F.col("score") >= 0.58) & ((F.col("n_terms") > 0) | (F.col("score") >= 0.70))
+    both = both.where(entity | ((F.col("n_terms") >= 2) & (F.col("score") >= 0.66)))
+    return both.join(capped_degree(both, "group", most).select("a", "b"), ["a", "b"], "left_semi")
+
+
 def capped_degree(edges: DataFrame, group: str, most: int) -> DataFrame:
     """group, a, b, score of the edges that are kept: inside a group strongest first, while both ends have fewer than `most`.
 

@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import script_terms
 from .retrieval import contained_in
+from .tables import numbered, written
 
 TILE_QUERIES, TILE_ROWS = 1024, 8192
 
@@ -139,24 +140,52 @@ def phrase_matches(phrases: DataFrame, docs: DataFrame) -> DataFrame:
     return found.join(phrases.distinct(), "query")
 
 
-def channel_candidates(rows: DataFrame, group: str, order: str, key: str, text: str, window: int, near: int, least: float) -> DataFrame:
+def term_vectors(texts: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """id, term, share: each text's term counts (`script_terms`) over its norm, one row a term."""
+    counts = texts.select(F.col(id_col).alias("id"), F.explode(script_terms(text)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+    norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return counts.join(norms, "id").select("id", "term", (F.col("n") / F.col("norm")).alias("share"))
+
+
+def sparse_cosine(pairs: DataFrame, texts: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """a, b, cosine (6 places) of the term counts of each pair (a, b) of texts; texts without terms have cosine 0. Only the pairs' terms meet.
+
+    Ids are unique; a pair with an unknown or null id has cosine 0, repeated pairs count once.
+    """
+    asked = pairs.select("a", "b").distinct()
+    vectors = written(term_vectors(texts, id_col, text))
+    left = asked.join(vectors.select(F.col("id").alias("a"), "term", F.col("share").alias("x")), "a")
+    dots = left.join(vectors.select(F.col("id").alias("b"), "term", F.col("share").alias("y")), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    met = asked.join(dots.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "dot"), F.col("a").eqNullSafe(F.col("_a")) & F.col("b").eqNullSafe(F.col("_b")), "left")
+    return met.select("a", "b", F.round(F.coalesce("dot", F.lit(0.0)), 6).alias("cosine"))
+
+
+def channel_candidates(rows: DataFrame, group: str, order: str, key: str, text: str, window: int, near: int, least: float, path: Column | None = None, depth: int = 0) -> DataFrame:
     """group, target, source, structural, semantic, referenced, cosine, rank: for each row the candidates among the `window` rows before it.
 
-    structural: at most `near` places before; semantic: cosine of word counts at least `least`; referenced: same key. Rows in none of the
-    channels are left out. Ranked by cosine, the later source first. The work is rows x window, however large a group is.
+    structural: at most `near` places before and, with a path, the first `depth` parts of both paths (cut at . / and \\) alike; semantic: cosine of term counts
+    (`script_terms`) at least `least`; referenced: same key. Rows in none of the channels are left out. Ranked by cosine, the later source first. Rows meet by cells of
+    `window` places, and terms by cell and term, so no group is held by a task and the work is rows x window. Rows without group take no part.
     """
-    w = words(F.col(text))
-    counts = F.transform(F.array_distinct(w), lambda t: F.struct(t.alias("t"), F.size(F.filter(w, lambda x: x == t)).cast("double").alias("n")))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x["n"] * x["n"]))
-    mine = rows.select(group, F.col(order).alias("target"), F.col(key).alias("k"), F.map_from_entries(counts).alias("c"), norm(counts).alias("norm"))
-    before = Window.partitionBy(group).orderBy("target").rowsBetween(-window, -1)
-    prior = F.collect_list(F.struct(F.col("target").alias("source"), F.col("k").alias("k2"), F.col("c").alias("c2"), F.col("norm").alias("norm2"))).over(before)
-    place = F.row_number().over(Window.partitionBy(group).orderBy("target"))
-    each = mine.withColumn("prior", prior).withColumn("p", place).where(F.size("prior") > 0)
-    each = each.select(group, "target", "k", "c", "norm", F.size("prior").alias("m"), F.posexplode("prior").alias("i", "x"))
-    dot = F.aggregate(F.map_entries("c"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("x.c2", e["key"]), F.lit(0.0)))
-    cosine = F.round(F.coalesce(dot / F.nullif(F.col("norm") * F.col("x.norm2"), F.lit(0.0)), F.lit(0.0)), 6)
-    out = each.select(group, "target", F.col("x.source").alias("source"), (F.col("m") - F.col("i") <= near).alias("structural"), (F.col("k") == F.col("x.k2")).alias("referenced"), cosine.alias("cosine"))
+    parts = F.filter(F.split(F.coalesce(path, F.lit("")), r"[./\\\\]+"), lambda p: p != "") if path is not None else F.array().cast("array<string>")
+    mine = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(key).alias("k"), F.col(text).alias("t"), parts.alias("path"))
+    placed = numbered(mine, ["g", "o"], "p").withColumn("cell", F.floor(F.col("p") / window))
+    placed = written(placed)
+    terms = written(term_vectors(placed, "p", F.col("t")).join(placed.select(F.col("p").alias("id"), "g", "cell"), "id"))
+
+    def meet(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+        """Pairs of rows (p, x...) with the rows (q, y...) at most `window` places before them in the same group."""
+        after = right.withColumn("cell", F.explode(F.array("cell", F.col("cell") + 1)))
+        return left.join(after, ["g", "cell", *on]).where((F.col("q") < F.col("p")) & (F.col("q") >= F.col("p") - window))
+
+    dots = meet(terms.select("g", "cell", "term", F.col("id").alias("p"), F.col("share").alias("x")), terms.select("g", "cell", "term", F.col("id").alias("q"), F.col("share").alias("y")), "term")
+    dots = dots.groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    pairs = meet(placed.select("g", "cell", "p", F.col("o").alias("target"), "k", "path"), placed.select("g", "cell", F.col("p").alias("q"), F.col("o").alias("source"), F.col("k").alias("k2"), F.col("path").alias("path2")))
+    close = F.col("p") - F.col("q") <= near
+    if path is not None and depth:
+        close = close & (F.size("path") >= depth) & (F.slice("path", 1, depth) == F.slice("path2", 1, depth))
+    out = pairs.join(dots, ["p", "q"], "left").withColumn("cosine", F.round(F.coalesce("dot", F.lit(0.0)), 6))
+    out = out.select(F.col("g").alias(group), "target", "source", close.alias("structural"), (F.col("k") == F.col("k2")).alias("referenced"), "cosine")
     out = out.withColumn("semantic", F.col("cosine") >= least).where("structural or semantic or referenced")
     rank = F.row_number().over(Window.partitionBy(group, "target").orderBy(F.desc("cosine"), F.desc("source")))
     return out.withColumn("rank", rank)

@@ -5,24 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
 
-def mainline_order(nodes: DataFrame, links: DataFrame, id_col: str, longest: int) -> DataFrame:
-    """id, head, place: each node's place (from 0) on the chain of successor links that reaches it, by pointer doubling.
 
-    links: (source, target), one successor a node; of several the largest target counts. Chains of up to `longest` nodes take log2(longest)
-    joins. Nodes on a cycle have no head: head and place are null.
+def heads(before: DataFrame) -> DataFrame:
+    """node, head, dist of every row (node, prior) with one prior a node at most: the node that the priors lead to, and how many steps away it is. A node on or behind a cycle has null for both.
+
+    Pointer doubling: a round joins only what has not arrived, and its rows are written, so the plan does not grow. A round that brings no node further
+    ends the walk; there are as many as the logarithm of the longest chain.
+    """
+    now = written(before.select("node", F.coalesce("prior", "node").alias("head"), F.col("prior").isNotNull().cast("long").alias("dist"), F.col("prior").isNull().alias("done")))
+    left = now.where("not done").count()
+    while left:
+        ahead = now.select(F.col("node").alias("_node"), F.col("head").alias("_head"), F.col("dist").alias("_dist"), F.col("done").alias("_done"))
+        moved = now.where("not done").join(ahead, F.col("head") == F.col("_node"), "left")
+        moved = moved.select("node", F.coalesce("_head", "head").alias("head"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.coalesce("_done", F.lit(True)).alias("done"))
+        now = written(now.where("done").union(moved))
+        rest = now.where("not done").count()
+        if rest == left:  # what is left never arrives
+            break
+        left = rest
+    return now.select("node", F.when(F.col("done"), F.col("head")).alias("head"), F.when(F.col("done"), F.col("dist")).alias("dist"))
+
+
+def mainline_order(nodes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """id, head, place: each node's place (from 0) on the chain of successor links that reaches it.
+
+    links: (source, target), one successor a node; of several the largest target counts, and of several sources the largest. Nodes on a cycle have no head: head and place are null.
+    A link from a node that is not listed starts a chain there.
     """
     before = links.groupBy("source").agg(F.max("target").alias("target")).groupBy(F.col("target").alias("node")).agg(F.max("source").alias("prior"))
-    now = nodes.select(F.col(id_col).alias("node")).join(before, "node", "left")
-    now = now.select("node", F.coalesce("prior", "node").alias("head"), F.col("prior").isNotNull().cast("long").alias("dist"))
-    reach = 1
-    while reach < longest:
-        ahead = now.select(F.col("node").alias("head"), F.col("head").alias("head2"), F.col("dist").alias("dist2"))
-        now = now.join(ahead, "head").select("node", F.col("head2").alias("head"), (F.col("dist") + F.col("dist2")).alias("dist"))
-        reach *= 2
-    starts = now.select(F.col("node").alias("head"), F.lit(True).alias("is_head"), F.col("dist").alias("d0")).where("d0 = 0")
-    out = now.select("node", "head", "dist").join(starts.drop("d0"), "head", "left")
-    return out.select(F.col("node").alias(id_col), F.when(F.col("is_head"), F.col("head")).alias("head"), F.when(F.col("is_head"), F.col("dist")).alias("place"))
+    found = heads(nodes.select(F.col(id_col).alias("node")).join(before, "node", "left"))
+    return found.select(F.col("node").alias(id_col), "head", F.col("dist").alias("place"))
 
 
 def leaves(edges: DataFrame, depth: int) -> DataFrame:
@@ -53,19 +67,25 @@ def readiness(deps: DataFrame, status: DataFrame) -> DataFrame:
     return out.withColumn("ready", (F.col("n_waiting") == 0) & (F.col("n_blocked") == 0))
 
 
-def blocked(deps: DataFrame, dropped: DataFrame, rounds: int) -> DataFrame:
-    """node: all nodes that are dropped or that a chain of at most 2 ** rounds dependencies (target, source) ties to a dropped one.
+def blocked(deps: DataFrame, dropped: DataFrame) -> DataFrame:
+    """node: all nodes that are dropped or that a chain of dependencies (target, source) of any length ties to a dropped one.
 
-    Reachability grows by squaring the dependency relation, so `rounds` joins do; each node is kept once.
+    Runs of nodes with a single dependency are first led to where they start (`heads`), in a logarithmic number of rounds. Then the dropped starts spread to the nodes with several
+    dependencies, a round for each such node in a row. Rows with nulls take no part.
     """
-    reach = deps.select("target", "source").distinct()
-    out = dropped.select("node").distinct()
-    for _ in range(rounds):
-        hit = reach.join(out.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node"))
-        out = out.union(hit).distinct()
-        further = reach.select(F.col("target").alias("source"), F.col("source").alias("beyond"))
-        reach = reach.join(further, "source").select("target", F.col("beyond").alias("source")).distinct()
-    return out
+    deps = written(deps.select("target", "source").dropna().distinct())
+    gone = written(dropped.select("node").dropna().distinct())
+    single = deps.groupBy("target").agg(F.count("*").alias("n"), F.max("source").alias("prior")).where("n = 1").select(F.col("target").alias("node"), "prior")
+    single = single.join(gone, "node", "left_anti")
+    nodes = deps.select(F.col("target").alias("node")).union(deps.select("source")).union(gone).distinct()
+    start = written(heads(nodes.join(single, "node", "left")).where("head is not null").select("node", "head"))
+    several = written(deps.join(single.select(F.col("node").alias("target")), "target", "left_anti").join(start.withColumnRenamed("node", "source"), "source").select("target", "head").distinct())
+    frontier = out = gone
+    while not frontier.isEmpty():
+        hit = several.join(frontier.withColumnRenamed("node", "head"), "head", "left_semi").select(F.col("target").alias("node")).distinct()
+        frontier = written(hit.join(out, "node", "left_anti"))
+        out = written(out.union(frontier))
+    return start.join(out.withColumnRenamed("node", "head"), "head", "left_semi").select("node").union(out).distinct()
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:

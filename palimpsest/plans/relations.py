@@ -42,8 +42,50 @@ def e17_relations(spark, sf_dir):
     return L.related_pairs(pairs, L.aliases(docs, "id", "text"), G.salient_terms(docs, "id", "text"))
 
 
+_LETTERS = """v AS (SELECT doc_id AS id, CAST(doc_id // 8 AS VARCHAR) AS g, list_transform(range(97, 123), lambda c: CAST(length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), chr(CAST(c AS INTEGER)), '')) AS DOUBLE)) AS e FROM documents), u AS (SELECT id, g, e, sqrt(list_inner_product(e, e)) AS n FROM v)"""
+
+
+def _letters(spark, sf_dir):
+    """Documents as vectors of their letters' counts, eight in a row a group."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(chr(c)), F.lit("")))).cast("double") for c in range(97, 123)])
+    return S.vectors(_DOCS(spark, sf_dir).select("doc_id", counts.alias("e"), F.floor(F.col("doc_id") / 8).alias("g")), "doc_id", "e", "g")
+
+
+@_query(SQL["e17_relations"].replace(_VECTORS, _LETTERS))
+def e17_text_relations(spark, sf_dir):
+    docs, rows = _DOCS(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), _letters(spark, sf_dir)
+    return L.related_pairs(S.undirected(S.nearest(rows, rows, 8), 0.43), L.aliases(docs, "id", "text"), G.salient_terms(docs, "id", "text"))
+
+
+_NARRATIVE = SQL["e17_relations"].split("  SELECT a, b, score, CASE")[0].replace(_VECTORS, _LETTERS).replace("ON a.id <> b.id)", "ON a.id <> b.id AND a.g = b.g)").replace("WHERE rank <= 8 AND score >= 0.43", "WHERE score >= 0.43").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@_query(f"""{_NARRATIVE}, q AS (SELECT a // 8 AS g, a, b, score, n_entities, n_terms FROM z WHERE abs(a % 8 - b % 8) > 1 AND a % 8 // 3 <> b % 8 // 3 AND ((n_entities > 0 AND score >= 0.58 AND (n_terms > 0 OR score >= 0.70)) OR (n_terms >= 2 AND score >= 0.66))),
+  o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, a, b) AS i FROM q),
+  f AS (SELECT g, a, b, i, true AS kept, [a, b] AS ends FROM o WHERE i = 1 UNION ALL
+    SELECT o.g, o.a, o.b, o.i, len(list_filter(f.ends, lambda x: x = o.a)) < 3 AND len(list_filter(f.ends, lambda x: x = o.b)) < 3,
+      CASE WHEN len(list_filter(f.ends, lambda x: x = o.a)) < 3 AND len(list_filter(f.ends, lambda x: x = o.b)) < 3 THEN list_concat(f.ends, [o.a, o.b]) ELSE f.ends END FROM f JOIN o ON o.g = f.g AND o.i = f.i + 1)
+  SELECT CAST(o.g AS VARCHAR) AS "group", o.a, o.b, o.score, o.n_entities, o.n_terms FROM o JOIN f ON f.g = o.g AND f.i = o.i WHERE kept""")
+def e17_narrative(spark, sf_dir):
+    """Eight documents in a row as events of one group, three a scene."""
+    docs, rows = _DOCS(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), _letters(spark, sf_dir)
+    pairs = S.undirected(S.nearest(rows, rows, 7, "same"), 0.43)
+    events = rows.select("id", "group", (F.col("id") % 8).alias("place"), F.floor(F.col("id") % 8 / 3).alias("scene"))
+    return L.narrative_pairs(pairs, events, L.aliases(docs, "id", "text"), G.salient_terms(docs, "id", "text"))
+
+
+#: Sixteen vectors in a row are a document.
+_BY_DOCUMENT = _VECTORS.replace("CAST(label AS VARCHAR)", "CAST(vec_id // 16 AS VARCHAR)")
+
+
+def _documents(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return S.vectors(rows.select("vec_id", "embedding", F.floor(F.col("vec_id") / 16).alias("g")), "vec_id", "embedding", "g")
+
+
 def _segments_sql(most: int, least: int, similarity: float) -> str:
-    return f"""WITH RECURSIVE {_VECTORS}, o AS (SELECT id, g, row_number() OVER (PARTITION BY g ORDER BY id) AS p, list_transform(e, lambda x: coalesce(x / nullif(n, 0), 0)) AS e FROM u),
+    return f"""WITH RECURSIVE {_BY_DOCUMENT}, o AS (SELECT id, g, row_number() OVER (PARTITION BY g ORDER BY id) AS p, list_transform(e, lambda x: coalesce(x / nullif(n, 0), 0)) AS e FROM u),
   s AS (SELECT g, id, p, 0 AS segment, 1 AS size, e AS total FROM o WHERE p = 1 UNION ALL
     SELECT g, id, p, segment + CAST(cut AS INTEGER), CASE WHEN cut THEN 1 ELSE size + 1 END, CASE WHEN cut THEN e ELSE list_transform(list_zip(total, e), lambda z: z[1] + z[2]) END
     FROM (SELECT o.g, o.id, o.p, o.e, s.segment, s.size, s.total, s.size >= {most} OR (s.size >= {least} AND round(coalesce(list_inner_product(o.e, s.total) / nullif(sqrt(list_inner_product(s.total, s.total)), 0), 0), 9) < {similarity}) AS cut
@@ -55,12 +97,17 @@ def _segments_sql(most: int, least: int, similarity: float) -> str:
 
 @_query(_segments_sql(4, 2, 0.38))
 def d6_topic_segments(spark, sf_dir):
-    return L.segments(S.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"), 4, 2, 0.38, True)
+    return L.segments(_documents(spark, sf_dir), 4, 2, 0.38, True)
 
 
 @_query(_segments_sql(3, 1, 0.40).split(",\n  c AS")[0] + ' SELECT g AS "group", id, segment FROM s')
 def d6_event_segments(spark, sf_dir):
-    return L.segments(S.vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label"), 3, 1, 0.40, False)
+    return L.segments(_documents(spark, sf_dir), 3, 1, 0.40, False)
+
+
+@_query(_segments_sql(3, 2, 0.42))
+def d6_scene_segments(spark, sf_dir):
+    return L.segments(_documents(spark, sf_dir), 3, 2, 0.42, True)
 
 
 @_plain

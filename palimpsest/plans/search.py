@@ -149,3 +149,16 @@ def g8_query_profile(spark, sf_dir):
   FROM x WHERE structural OR cosine >= 0.18 OR referenced""")
 def h1_three_channels(spark, sf_dir):
     return S.channel_candidates(_TURNS(spark, sf_dir), "conv_id", "turn", "role", "text", 8, 2, 0.18)
+
+
+@_query(f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Hangul}}]+|(?:[^\\P{{L}}\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Hangul}}]|\\p{{N}}|_)+') AS w FROM conversations),
+  g AS (SELECT conv_id, turn, unnest(flatten(list_transform(w, lambda r: CASE WHEN regexp_matches(r, '^[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}\\p{{Hangul}}]') THEN list_concat(list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1)), list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) ELSE [r] END))) AS term FROM t),
+  c AS (SELECT conv_id, turn, term, count(*) AS n FROM g GROUP BY ALL), m AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS norm FROM c GROUP BY ALL),
+  d AS (SELECT a.conv_id, a.turn AS t1, b.turn AS t2, sum(a.n * b.n) AS dot FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.term = b.term AND a.turn < b.turn GROUP BY ALL)
+  SELECT a.conv_id * 1000 + a.turn AS a, b.conv_id * 1000 + b.turn AS b, round(coalesce(dot / (x.norm * y.norm), 0), 6) AS cosine FROM (SELECT DISTINCT conv_id, turn FROM conversations) a JOIN (SELECT DISTINCT conv_id, turn FROM conversations) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+    LEFT JOIN d ON d.conv_id = a.conv_id AND t1 = a.turn AND t2 = b.turn LEFT JOIN m x ON x.conv_id = a.conv_id AND x.turn = a.turn LEFT JOIN m y ON y.conv_id = b.conv_id AND y.turn = b.turn""")
+def h2_sparse_cosine(spark, sf_dir):
+    """Each turn with the next one."""
+    turns = _TURNS(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    pairs = turns.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).join(turns.select(F.col("id").alias("b")), "b", "left_semi")
+    return S.sparse_cosine(pairs, turns, "id", F.col("text"))

@@ -77,8 +77,7 @@ _CHAIN = """o AS (SELECT o_orderkey, row_number() OVER w - 1 AS place, first_val
 def f2_mainline_order(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").where("o_orderdate is not null")
     links = G.dated_chain(orders, "o_custkey", "o_orderdate", "o_orderkey").select("source", "target")
-    longest = orders.groupBy("o_custkey").count().agg(F.max("count")).first()[0] or 1
-    return W.mainline_order(orders.select("o_orderkey"), links, "o_orderkey", longest)
+    return W.mainline_order(orders.select("o_orderkey"), links, "o_orderkey")
 
 
 @_query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
@@ -119,8 +118,7 @@ def f7_readiness(spark, sf_dir):
   SELECT conv_id, CAST(count(*) FILTER (blocked) AS BIGINT) AS n_dropped, CASE WHEN bool_and(blocked) THEN 'Dropped' WHEN bool_and(blocked OR status = 'Done') THEN 'Done' ELSE 'Active' END AS stage FROM b GROUP BY conv_id""")
 def f8_blocked_rollup(spark, sf_dir):
     steps, deps = _steps(spark, sf_dir)
-    longest = steps.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
-    gone = W.blocked(deps.where("hard"), steps.where("status = 'Dropped'"), max(1, longest.bit_length()))
+    gone = W.blocked(deps.where("hard"), steps.where("status = 'Dropped'"))
     t = steps.join(gone.withColumn("gone", F.lit(True)), "node", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     stage = F.when(F.bool_and("gone"), "Dropped").when(F.bool_and(F.col("gone") | (F.col("status") == "Done")), "Done").otherwise("Active")
     return t.groupBy("conv_id").agg(F.count(F.when(F.col("gone"), 1)).alias("n_dropped"), stage.alias("stage"))

@@ -153,13 +153,13 @@ def test_mcnemar_of_large_counts(spark):
 def test_chains_cycles_and_readiness(spark):
     nodes = spark.createDataFrame([(i,) for i in range(1, 9)], "id long")
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 6), (6, 5), (7, 8), (7, 8)], "source long, target long")
-    got = {r["id"]: (r["head"], r["place"]) for r in walks.mainline_order(nodes, links, "id", 8).collect()}
+    got = {r["id"]: (r["head"], r["place"]) for r in walks.mainline_order(nodes, links, "id").collect()}
     assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 5: (None, None), 6: (None, None), 7: (7, 0), 8: (7, 1)}
     deps = spark.createDataFrame([(2, 1, True), (3, 2, True), (3, 9, False), (4, 9, True)], "target long, source long, hard boolean")
     status = spark.createDataFrame([(1, "Done"), (2, "Dropped")], "node long, status string")
     assert rows_of(walks.readiness(deps, status), "target", "n_satisfied", "n_waiting", "n_blocked", "ready") == [(2, 1, 0, 0, True), (3, 0, 0, 1, False), (4, 0, 1, 0, False)]
     chain = spark.createDataFrame([(i + 1, i) for i in range(20)], "target long, source long")
-    assert walks.blocked(chain, spark.createDataFrame([(4,)], "node long"), 5).count() == 17
+    assert walks.blocked(chain, spark.createDataFrame([(4,)], "node long")).count() == 17
 
 
 def test_bootstrap_bounds(spark):
