@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, batches, documents, load, materialize, mix, slices
 
+#: Values of counts up to which their codes have 16 bits.
+NARROW = 1 << 16
 TOP, SHARD_TOKENS, FOLD_ROWS, STEPS, CLASSES, MERGE_AT = 1 << 20, 1_200_000, 12, 15, 48, 600_000
 END = U64(0x5DEECE66D1234567)
 _LEVELS = np.unique(np.round(2.0 ** np.arange(0, 44, 0.5))).astype(np.int64)
@@ -112,17 +114,10 @@ def _look(top: dict, words: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == words, at, -1)
 
 
-def _near(c: np.ndarray, exact: bool) -> np.ndarray:
-    """The counts, or where they have too many values for codes of 16 bits, those nearest at 1024 steps an octave."""
-    return c if exact else np.where(c > 0, np.round(2.0 ** (np.round(np.log2(np.maximum(c, 1)) * 1024) / 1024)), 0).astype(np.int64)
-
-
 def _codes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of some counts, 0 first, and each count's place among them."""
+    """The values of some counts, 0 first, and each count's place among them: 16 bits wide, or 32 where there are more values."""
     values = np.unique(np.append(c, 0))
-    exact = len(values) <= 1 << 16
-    values = np.unique(_near(values, exact))
-    return values, np.searchsorted(values, _near(c, exact)).astype(np.uint16)
+    return values, np.searchsorted(values, c).astype(np.uint16 if len(values) <= NARROW else np.uint32)
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -215,7 +210,7 @@ def _emit(shared, buckets: int):
             key, row = key[first], row[first]
             deleted = fold[doc[first]] == 2
             at = (doc[first] | (fold[doc[first]].astype(np.int64) << FOLD_ROWS) | (hot[first].astype(np.int64) << 15)).astype(np.uint16)
-            code, less = (np.append(top[x], np.uint16(0))[row] for x in ("code", "kept_code"))
+            code, less = (np.append(top[x], top[x].dtype.type(0))[row] for x in ("code", "kept_code"))
             n = n.astype(np.uint8)
             for i, o in _split(shard[first]):
                 out.append((0, i, base, key[o].tobytes(), at[o].tobytes(), n[o].tobytes(), code[o].tobytes(), less[o[deleted[o]]].tobytes()))
@@ -281,13 +276,13 @@ def _reduce(shared, buckets: int):
     def bigrams(g: pd.DataFrame, top: dict, weights: np.ndarray | None) -> pd.DataFrame:
         rare, g = g[g["base"] < 0], g[g["base"] >= 0]
         if not len(g):
-            return dealt(0, np.empty(0, np.int64), score=np.empty(0, np.float32)) if weights is not None else pd.DataFrame({"b": [], "cells": [], "sums": []})
+            return dealt(0, np.empty(0, np.int64), score=np.empty(0)) if weights is not None else pd.DataFrame({"b": [], "cells": [], "sums": []})
         key = np.concatenate([np.frombuffer(x, U64) for x in g["keys"]])
         at = np.concatenate([np.frombuffer(x, np.uint16) for x in g["at"]])
         n = np.concatenate([np.frombuffer(x, np.uint8) for x in g["n"]]).astype(np.float64)
-        code = np.concatenate([np.frombuffer(x, np.uint16) for x in g["code"]])
-        less = np.zeros(len(key), np.uint16)
-        less[(at >> FOLD_ROWS) & 3 == 2] = np.concatenate([np.frombuffer(x, np.uint16) for x in g["more"]])
+        code = np.concatenate([np.frombuffer(x, top["code"].dtype) for x in g["code"]])
+        less = np.zeros(len(key), code.dtype)
+        less[(at >> FOLD_ROWS) & 3 == 2] = np.concatenate([np.frombuffer(x, code.dtype) for x in g["more"]])
         base = np.repeat(g["base"].to_numpy(), [len(x) // 8 for x in g["keys"]])
         order = np.argsort(key)
         key, at, n, code, less, base = key[order], at[order], n[order], code[order], less[order], base[order]
@@ -320,7 +315,7 @@ def _reduce(shared, buckets: int):
         value = np.log10(w[:, 0] * share(kept + deleted, of_all) + w[:, 1] * p1 + w[:, 2] * top["uniform"])
         each = np.repeat(value, np.diff(np.append(first, len(key)))) * n
         rows, inverse = np.unique(base + (at & 0xFFF), return_inverse=True)
-        scored = dealt(0, rows, score=np.bincount(inverse, weights=each).astype(np.float32))
+        scored = dealt(0, rows, score=np.bincount(inverse, weights=each))
         # what the texts lack: words outside the broadcast ones
         of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
         on = np.flatnonzero(outside[of])
@@ -354,7 +349,7 @@ def _gather(g: pd.DataFrame) -> pd.DataFrame:
     rows = of(own, "rows", np.int64)
     order = np.argsort(rows)
     sums = {"known": of(own, "known", np.int64).astype(float), "base": of(own, "base", np.float64), "score": np.zeros(len(rows))}
-    for kind, column, dtype in ((1, "known", np.int64), (1, "base", np.float64), (0, "score", np.float32)):
+    for kind, column, dtype in ((1, "known", np.int64), (1, "base", np.float64), (0, "score", np.float64)):
         more = g[g["kind"] == kind]
         sums[column] += np.bincount(order[np.searchsorted(rows[order], of(more, "rows", np.int64))], weights=of(more, column, dtype), minlength=len(rows))
     ids = pd.array(of(own, "ids", np.int64), dtype="Int64")
