@@ -4,7 +4,7 @@ A word's input joins an embedding of its hash with the mean embedding of its byt
 of known words score too. A text is cut into overlapping windows of 32 words (every 24th word starts one, the last ends
 at the text's end), all of which are scored; the text's score is that of its worst window, calibrated on training texts.
 
-Training is the only bounded part: at most `LABELLED` labelled rows of each class, the first by a hash of doc_id, and of these texts up to `MOST_BYTES`.
+Training is the only bounded part: at most `LABELLED` labelled rows of each class, the first by a hash of doc_id, and of these texts up to `MOST_BYTES` each and `SAMPLE_BYTES` in all.
 Labels mark whole texts, so the network learns from the window of each toxic text that looks worst: at first by the odds of its
 words and byte 5-grams, later by its own score.
 
@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, batches, documents, load, mix, slices
 
-LABELLED, MOST_BYTES = 1500, 200_000
+#: Labelled ids of a class, bytes of a text and of all texts of a class that the network is fitted on.
+LABELLED, MOST_BYTES, SAMPLE_BYTES = 1500, 200_000, 24_000_000
 LONG, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM = 32, 24, 8, 8, 12
 WORD_ROWS, CHAR_ROWS, EPOCHS, STEPS, BATCH, RATE, ODDS_ROWS = 4096, 8192, 9, 400, 128, 0.01, 1 << 18
 
@@ -252,13 +253,19 @@ def text_scores(p: dict, texts: list) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(p["scale"].astype(float) * top + float(p["shift"]), -30, 30)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels: of each class the first `most` labelled ids by their hash; their texts of up to MOST_BYTES bytes."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+    """Texts and 0/1 labels: of each class the first `most` labelled ids by their hash, with their texts of up to MOST_BYTES bytes, while a class has at most `most_bytes` of them.
+
+    An id with several labels counts as toxic if one of them says so; of its texts the smallest counts. The driver gets these texts alone.
+    """
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [r for y in (0, 1) for r in marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")  # 2 * most rows at most
-    found = documents(docs).where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).collect()
-    found.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
+    usable = documents(docs).where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(chosen), "doc_id")
+    one = usable.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    found = one.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).drop("so_far").collect()
+    found.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     return [r["text"] for r in found], np.array([r["toxic"] for r in found], np.int64)
 
 
