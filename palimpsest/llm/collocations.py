@@ -118,7 +118,7 @@ def _counted(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
 def _semi_joined(relation: DataFrame, counted: DataFrame) -> DataFrame:
     """chunk, lang, occurs, known."""
     known = counted.groupBy("chunk").agg(F.collect_list(F.struct("number", "id")).alias("known"))
-    return batches(relation.select("chunk", "lang", "occurs").join(known, "chunk"), 8)
+    return batches(relation.select("chunk", "lang", "occurs").join(known, "chunk"), 2)
 
 
 def phrases(docs: DataFrame, longest: int = 3, least: int = 10) -> tuple[list[DataFrame], DataFrame]:
