@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import ahocorasick
@@ -12,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed, terms
+from .tables import written
 
-#: Terms of queries that one pass over the documents looks for.
-BLOCK_TERMS = 100_000
+#: Terms of queries that one pass over the documents looks for; hits that a task holds before it keeps the best.
+BLOCK_TERMS, HELD = 100_000, 500_000
 
 
 def _pooled_terms(queries: DataFrame, q_id: str, text: str) -> DataFrame:
@@ -30,50 +30,67 @@ def _blocks(weighted: DataFrame) -> Iterator[list]:
         yield weighted.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i).collect()
 
 
-def _best_of_partition(block: list, k: int, whole: bool):
-    """A function over batches (doc, body) that keeps each query's k documents of highest summed term weight, ties to the smaller doc."""
-    ids = sorted({r["query"] for r in block})
-    place = {q: i for i, q in enumerate(ids)}
-    of_term: dict = {}
-    for r in block:
-        of_term.setdefault(r["term"], []).append((place[r["query"]], r["weight"]))
-    words = sorted(of_term)
-    columns = [np.array([i for i, _ in of_term[w]]) for w in words]
-    weights = [np.array([x for _, x in of_term[w]], dtype=float) for w in words]
+class _Best:
+    """The k highest scores of each query, ties to the smaller doc. What comes is held until there is HELD of it, then cut down to the best."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.held = k, [], 0
+
+    def add(self, queries: np.ndarray, doc, scores: np.ndarray) -> None:
+        self.parts.append((queries, np.full(len(queries), doc, dtype=object if isinstance(doc, str) else None), scores))
+        self.held += len(queries)
+        if self.held > HELD:
+            self.parts = [self.best()]
+            self.held = len(self.parts[0][0])
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        queries, docs, scores = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((np.unique(docs, return_inverse=True)[1], -scores, queries))
+        queries, docs, scores = queries[order], docs[order], scores[order]
+        first = np.concatenate(([True], queries[1:] != queries[:-1]))
+        place = np.arange(len(queries)) - np.maximum.accumulate(np.where(first, np.arange(len(queries)), 0))
+        return queries[place < self.k], docs[place < self.k], scores[place < self.k]
+
+
+def _best_of_partition(shared, k: int, whole: bool):
+    """A function over batches (doc, body) that keeps each query's k documents of highest summed term weight. Its work and memory follow the hits, not documents x queries."""
 
     def scan(batches):
-        number = {w: i for i, w in enumerate(words)}
+        ids: dict = {}
+        of_term: dict = {}
+        for query, term, weight in shared.value:
+            of_term.setdefault(term, []).append((ids.setdefault(query, len(ids)), weight))
+        lists = [(np.array([i for i, _ in x]), np.array([w for _, w in x], dtype=float)) for x in of_term.values()]
+        number = {w: i for i, w in enumerate(of_term)}
         automaton = ahocorasick.Automaton()
         for w, i in number.items():
             automaton.add_word(w, i)
         automaton.make_automaton()
-        best: list = [[] for _ in ids]
+        best = _Best(k)
         for batch in batches:
-            scores = np.zeros((len(batch), len(ids)))
-            for row, body in enumerate(batch["body"]):
+            for doc, body in zip(batch["doc"].tolist(), batch["body"], strict=True):
                 found = {number[w] for w in body if w in number} if whole else {i for _, i in automaton.iter(body)}
                 if found:
                     at = sorted(found)
-                    scores[row] = np.bincount(np.concatenate([columns[i] for i in at]), np.concatenate([weights[i] for i in at]), len(ids))
-            scores, docs = np.round(scores, 9), batch["doc"].tolist()
-            for i in np.flatnonzero(scores.any(axis=0)):
-                rows = np.flatnonzero(scores[:, i])
-                if len(best[i]) == k:
-                    rows = rows[-scores[rows, i] <= best[i][-1][0]]
-                best[i] = heapq.nsmallest(k, best[i] + [(-scores[r, i], docs[r]) for r in rows])
-        out = [(ids[i], doc, -score) for i, top in enumerate(best) for score, doc in top]
-        yield pd.DataFrame(out, columns=["query", "doc", "score"])
+                    queries, inverse = np.unique(np.concatenate([lists[i][0] for i in at]), return_inverse=True)
+                    best.add(queries, doc, np.round(np.bincount(inverse, np.concatenate([lists[i][1] for i in at])), 9))
+        names = list(ids)
+        queries, docs, scores = best.best()
+        yield pd.DataFrame({"query": [names[i] for i in queries], "doc": docs, "score": scores})
 
     return scan
 
 
 def _lexical(weighted: DataFrame, docs: DataFrame, d_id: str, body: Column, k: int, whole: bool) -> DataFrame:
-    """query, doc, score, rank. Documents are read once for each block of queries; a task sends k rows of a query, not one for each document."""
+    """query, doc, score, rank. Documents are read once for each block of queries; a task sends k rows of a query, not one for each document. Only hits of a positive weight count."""
     bodies = docs.where(F.col(d_id).isNotNull()).select(F.col(d_id).alias("doc"), body.alias("body"))
     schema = f"query {dict(weighted.dtypes)['query']}, doc {dict(bodies.dtypes)['doc']}, score double"
-    found = docs.sparkSession.createDataFrame([], schema)
+    found, weighted = docs.sparkSession.createDataFrame([], schema), written(weighted)
     for block in _blocks(weighted):
-        found = found.union(bodies.mapInPandas(_best_of_partition(block, k, whole), schema))
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block])
+        found = found.union(bodies.mapInPandas(_best_of_partition(shared, k, whole), schema))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import script_terms
-from palimpsest.operators import answers, search, walks
+from palimpsest.operators import answers, retrieval, search, walks
 from palimpsest.plans import catalogue
 from tests.conftest import SF
 
@@ -140,3 +140,34 @@ def test_centroids_of_named_groups(spark):
     got = {r["group"]: r["vec"] for r in search.centroids(rows).collect()}
     assert got == {"src": pytest.approx([2**-0.5] * 2), "7": pytest.approx([1.0, 0.0])}
     assert {r["id"] for r in search.centroids(rows.where("id = 3")).collect()} == {7}
+
+
+def test_lexical_search_in_small_pieces(spark, monkeypatch):
+    """Blocks of queries and cuts of the held hits change nothing; names and numbers both serve as ids."""
+    rng = random.Random(6)
+    words = [f"w{i:03d}x" for i in range(60)]
+    queries = [(i, " ".join(rng.choices(words, k=rng.randrange(4)))) for i in range(70)] + [(3, "w001x"), (None, "w002x"), (71, None)]
+    docs = [(f"d{i:02d}", " ".join(rng.choices(words, k=12))) for i in range(50)] + [("d03", "w001x w002x"), (None, "w003x"), ("e", None)]
+    asked = spark.createDataFrame(queries, "q long, text string")
+    have = spark.createDataFrame(docs, "d string, text string").repartition(3)
+    pooled = collections.defaultdict(set)
+    for q, t in queries:
+        pooled[q] |= set((t or "").split())
+    want = set()
+    for q, terms_ in pooled.items():
+        hits = sorted((-n, d) for d, t in docs if d is not None and q is not None and (n := sum(w in (t or "") for w in terms_)))[:4]
+        want |= {(q, d, -n) for n, d in hits}
+    for block, held in ((100_000, 500_000), (30, 10)):
+        monkeypatch.setattr(retrieval, "BLOCK_TERMS", block)
+        monkeypatch.setattr(retrieval, "HELD", held)
+        got = {(r["query"], r["doc"], r["hits"]) for r in retrieval.term_hits(asked, have, "q", "d", "text", 4).collect()}
+        assert got == want
+
+
+def test_fifty_thousand_queries(spark):
+    asked = spark.range(50_000).select(F.col("id"), F.format_string("term%d", F.col("id")).alias("text"))
+    docs = spark.range(400).select(F.col("id").alias("d"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.format_string("term%d", F.col("id") * 7 + i)), " ").alias("text"))
+    start = time.time()
+    found = retrieval.idf_routing(asked, docs, "id", "d", "text", 3)
+    assert found.agg(F.count_distinct("query")).first()[0] == 399 * 7 + 20
+    assert time.time() - start < 90
