@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,3 +134,29 @@ def deltas(rows: DataFrame, run: str, method: str, value: str, baseline: str) ->
     means = rows.groupBy(run, method).agg(F.avg(value).alias("_mean"))
     base = means.where(F.col(method) == baseline).select(run, F.col("_mean").alias("_base"))
     return means.join(base, run, "left").select(run, method, F.round("_mean", 6).alias("mean"), F.round(F.col("_mean") - F.col("_base"), 6).alias("delta"))
+
+
+def reliability(pairs: DataFrame, by: str, first: str, second: str, samples: int = 10_000, seed: int = 20260801) -> DataFrame:
+    """by, n, only_first, only_second, delta (mean of first less second), low, high: the 95 % interval of delta over resampled pairs.
+
+    A group's pairs are added up to three counts first (only first, only second, alike), and a replicate is one multinomial draw of them: its cost does not grow with the pairs. The draws of
+    a group rest on the seed and the group's name alone, not on partitioning. Bounds are at 0-based rank int(0.025 B) and int(0.975 B). Pairs with a null on either side are left out; a null group is a group.
+    """
+    both = pairs.where(F.col(first).isNotNull() & F.col(second).isNotNull())
+    only = lambda x, y: F.sum(((F.col(x) == 1) & (F.col(y) == 0)).cast("long"))
+    counts = both.groupBy(F.col(by).alias("by")).agg(F.count("*").alias("n"), only(first, second).alias("only_first"), only(second, first).alias("only_second"))
+    kind = dict(counts.dtypes)["by"]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for by, n, a, b in zip(batch["by"], batch["n"], batch["only_first"], batch["only_second"], strict=True):
+                name = "-" if pd.isna(by) else f"={by}"
+                rng = np.random.default_rng([seed, zlib.crc32(name.encode())])
+                drawn = rng.multinomial(n, [a / n, b / n, (n - a - b) / n], samples)
+                deltas = np.sort((drawn[:, 0] - drawn[:, 1]) / n)
+                rows.append((by, n, a, b, round((a - b) / n, 9), round(float(deltas[int(0.025 * samples)]), 9), round(float(deltas[int(0.975 * samples)]), 9)))
+            yield pd.DataFrame(rows, columns=["by", "n", "only_first", "only_second", "delta", "low", "high"])
+
+    found = counts.mapInPandas(draw, f"by {kind}, n long, only_first long, only_second long, delta double, low double, high double")
+    return found.withColumnRenamed("by", by)

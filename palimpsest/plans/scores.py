@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..operators import answers as A
 from ..operators import audits as U
+from ..operators import scoring as K
 from ..operators import state as N
 from ..sources.records import table
 from .registry import _DOCS, _EVENTS, _TURNS, _WORD, _pairs, _plain, _query
@@ -248,3 +249,10 @@ def n6_rolling_summaries(spark, sf_dir):
     summary = F.trim(F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^.!?\n]*", 0))
     rows = _TURNS(spark, sf_dir).select("conv_id", "turn", F.floor(F.col("turn") / 4).alias("volume"), summary.alias("summary"))
     return N.rolling_summaries(rows, "conv_id", "turn", "volume", "summary", 8)
+
+
+@_plain
+def l7_reliability(spark, sf_dir):
+    """Quality against toxicity labels by language."""
+    rows = _DOCS(spark, sf_dir).select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    return K.reliability(rows, "lang", "quality", "toxic")

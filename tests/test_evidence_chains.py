@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ import pytest
 from palimpsest.operators import answers as N
 from palimpsest.operators import attribution as A
 from palimpsest.operators import grounding as G
+from palimpsest.operators import scoring as K
 
 HOOKS = "hook long, plant int, trigger int, window_start int, window_end int, last int, scoring array<int>, route string, gold boolean, seeds array<string>, attrs array<string>"
 CHAINS = "hook long, predicate string, provenance string, disclosed boolean, laundered boolean, conflict boolean, used boolean"
@@ -118,3 +120,19 @@ def test_sampled_flips_are_near_the_exact_test(spark):
     frame = spark.createDataFrame([(i, x) for i, x in enumerate([1.0, -0.5, 2.0, 0.25, -1.5, 0.75, 3.0, 1.25, -0.25, 0.5, 1.0, -2.0, 0.1, 0.9])], "k long, d double")
     exact, sampled = (N.sign_flip_test(frame, "k", "d", most).first()["p"] for most in (14, 3))
     assert abs(exact - sampled) < 4 * (exact * (1 - exact) / 4096) ** 0.5
+
+
+def test_reliability_restated(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(2), rng.choice([0, 1, 1])) for _ in range(300)] + [("c", 1, 1), ("a", None, 1), ("b", 0, None), ("d", None, None)]
+    frame = spark.createDataFrame(rows, "g string, x int, y int")
+    got = {r["g"]: tuple(r)[1:] for r in K.reliability(frame.repartition(4), "g", "x", "y", 400, 5).collect()}
+    want = {}
+    for g in ("a", "b", None, "c"):
+        own = [(x, y) for h, x, y in rows if h == g and None not in (x, y)]
+        n, a, b = len(own), own.count((1, 0)), own.count((0, 1))
+        drawn = np.random.default_rng([5, zlib.crc32(b"-" if g is None else f"={g}".encode())]).multinomial(n, [a / n, b / n, (n - a - b) / n], 400)
+        deltas = sorted(((drawn[:, 0] - drawn[:, 1]) / n).tolist())
+        want[g] = (n, a, b, *(pytest.approx(v, abs=1e-9) for v in ((a - b) / n, deltas[10], deltas[390])))
+    assert got == want
+    assert want["c"][3:] == (0.0, 0.0, 0.0) and K.reliability(frame.limit(0), "g", "x", "y").count() == 0

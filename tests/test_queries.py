@@ -12,7 +12,7 @@ def test_query(same, name):
 
 
 #: These are held against brute force in test_operators.py, test_rewrites.py , test_trees.py, test_levels.py and test_resumption.py.
-WITHOUT_SQL = {"a7_wide_matrix", "e18_capped_edges", "e9_topic_edges", "g9_edge_routed", "g10_schema_contexts", "g10_schema_retrieval", "g11_cluster_tree", "g11_collapsed_tree", "e19_capped_components", "g22_hashed_bigrams", "k1_best_of_answers", "k5_order_accuracy", "o3_vector_contexts"}
+WITHOUT_SQL = {"a7_wide_matrix", "e18_capped_edges", "e9_topic_edges", "g9_edge_routed", "g10_schema_contexts", "g10_schema_retrieval", "g11_cluster_tree", "g11_collapsed_tree", "e19_capped_components", "g22_hashed_bigrams", "k1_best_of_answers", "k5_order_accuracy", "l7_reliability", "o3_vector_contexts"}
 
 
 def test_all_have_sql():
