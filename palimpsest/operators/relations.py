@@ -220,3 +220,14 @@ def checked_decisions(candidates: DataFrame, decisions: DataFrame, keys: list[st
         .otherwise("accepted")
     )
     return rows.select(*pair, verdict.alias("verdict")).where("verdict is not null")
+
+
+def accepted_edges(verdicts: DataFrame, decisions: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, source, edge_type, relation, confidence of accepted decisions that are no edge yet: each becomes one once.
+
+    verdicts: as `checked_decisions` gives them; decisions: keys, source, kind, confidence; edges: keys, source of the edges that are there.
+    """
+    pair = [*keys, "source"]
+    accepted = verdicts.where("verdict = 'accepted'").select(*pair)
+    fresh = decisions.join(accepted, pair, "left_semi").join(edges.select(*pair), pair, "left_anti")
+    return fresh.select(*pair, F.lit("DEPENDENCY").alias("edge_type"), F.col("kind").alias("relation"), "confidence")
