@@ -81,3 +81,21 @@ def provenance(units: DataFrame, known: DataFrame, group: str, at: str, most_dir
     out = rows.join(checked, [group, at], "left")
     verified = F.coalesce(F.col("n_sources") == F.col("n_known"), F.lit(False))
     return out.select(group, at, "kind", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), verified.alias("verified"), F.coalesce(F.col("latest") < F.col(at), F.lit(True)).alias("no_future"))
+
+
+def record_check(texts: DataFrame, records: DataFrame, id_col: str, text: str, least: int, most: int) -> DataFrame:
+    """id, n_chars, digest, verdict: what each text's length and sha256 are, against what its record (id, n_chars, digest) states.
+
+    Verdicts, the first that applies: no_text, missing (no record), repeated (several), length, digest, band (not `least` to `most` characters),
+    ok. A null text counts as empty; a record's null differs from any value; of repeated texts each is held against the record.
+    """
+    n, digest = F.length(F.coalesce(text, F.lit(""))), F.sha2(F.coalesce(text, F.lit("")), 256)
+    now = texts.select(id_col, n.cast("long").alias("n_chars"), digest.alias("digest"))
+    stated = records.groupBy(id_col).agg(F.count("*").alias("_records"), F.min("n_chars").alias("_n"), F.min("digest").alias("_d"))
+    both = now.join(stated, id_col, "full_outer")
+    verdict = (
+        F.when(F.col("digest").isNull(), "no_text").when(F.col("_records").isNull(), "missing").when(F.col("_records") > 1, "repeated")
+        .when(~F.col("n_chars").eqNullSafe(F.col("_n")), "length").when(~F.col("digest").eqNullSafe(F.col("_d")), "digest")
+        .when(~F.col("n_chars").between(least, most), "band").otherwise("ok")
+    )
+    return both.select(id_col, "n_chars", "digest", verdict.alias("verdict"))

@@ -154,3 +154,28 @@ def rollup(rows: DataFrame, group: str, id_col: str, title: str, most: int) -> D
     ordered = F.array_sort(F.collect_list(F.struct("at", title)))
     named = titles.groupBy(group).agg(F.array_join(F.transform(ordered, lambda s: s[title]), ",").alias(f"{title}s"))
     return sizes.join(named, group)
+
+
+_SIDES = [("INCLUSION", "child", "parent"), ("MAINLINE", "next", "previous"), ("DEPENDENCY", "dependent", "dependency")]
+
+
+def related(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, relation, other, level: all of a node's children, parents, neighbours on the main line and dependencies, with the other node's level, as rows.
+
+    nodes (node, level), edges (source, target, edge_type): both ends of each edge in one pass; repeated edges count once, other types and rows with nulls not at all. An unlisted node has no level.
+    """
+    pair = lambda n, r, o: F.struct(F.col(n).alias("node"), F.lit(r).alias("relation"), F.col(o).alias("other"))
+    both = None
+    for kind, ahead, behind in _SIDES:
+        two = F.when(F.col("edge_type") == kind, F.array(pair("source", ahead, "target"), pair("target", behind, "source")))
+        both = two if both is None else F.coalesce(both, two)
+    ends = edges.dropna(subset=["source", "target"]).select(F.explode(both).alias("x")).select("x.*").distinct()
+    return ends.join(nodes.groupBy(F.col("node").alias("other")).agg(F.min("level").alias("level")), "other", "left").select("node", "relation", "other", "level")
+
+
+def graph_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind (level, edge_type, relation), name, n: counts of nodes by level, and of edges by type and by relation; an edge without relation counts under its type in lower case."""
+    relation = F.coalesce("relation", F.lower("edge_type"))
+    pairs = F.array(F.struct(F.lit("edge_type").alias("kind"), F.col("edge_type").alias("name")), F.struct(F.lit("relation").alias("kind"), relation.alias("name")))
+    counted = edges.select(F.inline(pairs)).groupBy("kind", "name").agg(F.count("*").alias("n"))
+    return counted.unionByName(nodes.groupBy(F.lit("level").alias("kind"), F.col("level").alias("name")).agg(F.count("*").alias("n")))

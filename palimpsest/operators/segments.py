@@ -24,12 +24,26 @@ def token_windows(docs: DataFrame, size: int, overlap: int = 0, *, id_col: str =
 def char_windows(messages: DataFrame, size: int, overlap: int, *, group: str, order: str, text: Column) -> DataFrame:
     """group, window, start, body: fixed character windows over each group's ordered, newline-joined texts.
 
-    The stride is size - overlap; a final remainder no longer than the overlap is dropped unless it is the only window.
+    The stride is size - overlap; a final remainder no longer than the overlap is dropped unless it is the only window. Null texts are left out with their newline.
+
+    No group's text is put together: each text knows its place by a running sum, is cut at multiples of the stride in one pass, and its cuts go to the windows that cover them.
     """
-    joined = messages.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("x")))), lambda s: s["x"]), "\n").alias("body"))
-    n = F.length("body")
-    starts = joined.where(n > 0).select(group, "body", F.posexplode(F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).alias("window", "start"))
-    return starts.where((F.col("window") == 0) | (n - F.col("start") > overlap)).select(group, "window", "start", F.substring("body", F.col("start") + 1, F.lit(size)).alias("body"))
+    stride = size - overlap
+    texts = messages.select(group, F.col(order).alias("_o"), text.alias("_t")).where("_t is not null")
+    w = Window.partitionBy(group).orderBy("_o", "_t")
+    piece = F.when(F.row_number().over(w) == 1, F.col("_t")).otherwise(F.concat(F.lit("\n"), "_t"))
+    placed = texts.select(group, "_o", "_t", piece.alias("_piece"))
+    before = F.coalesce(F.sum(F.length("_piece").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.select(group, "_piece", before.alias("_at")).withColumn("_room", (F.lit(stride) - F.col("_at") % stride).cast("int"))
+    rest = F.regexp_extract_all(F.substring("_piece", F.col("_room") + 1, F.length("_piece")), F.lit(f"(?s)(.{{1,{stride}}})"), F.lit(1))
+    cut = placed.select(group, "_at", F.posexplode(F.concat(F.array(F.substring("_piece", F.lit(1), F.col("_room"))), rest)).alias("_i", "_x")).where("_x <> ''")
+    cell = (F.floor(F.col("_at") / stride) + F.col("_i")).cast("long")
+    cut = cut.select(group, F.when(F.col("_i") == 0, F.col("_at")).otherwise(cell * stride).alias("_at"), "_x", cell.alias("_cell"))
+    first = F.greatest(F.lit(0).cast("long"), F.col("_cell") - (-(-size // stride) - 1))
+    parts = cut.select(group, F.struct("_at", "_x").alias("_p"), F.explode(F.sequence(first, F.col("_cell"))).alias("_w"))
+    bodies = parts.groupBy(group, "_w").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["_x"]), "").alias("_b"))  # one window's characters
+    out = bodies.select(group, F.col("_w").cast("int").alias("window"), (F.col("_w") * stride).cast("int").alias("start"), F.substring("_b", F.lit(1), F.lit(size)).alias("body"))
+    return out.where((F.col("window") == 0) | (F.length("body") > overlap))
 
 
 def session_blocks(messages: DataFrame, group: str, order: str, speaker: str, text: str) -> DataFrame:
@@ -99,3 +113,10 @@ def split_at_marker(text: Column, marker: str) -> tuple[Column, Column]:
     at = F.locate(marker, text)
     head = F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
     return head, F.when(at > 0, F.substring(text, at + len(marker), F.length(text))).otherwise(F.lit(""))
+
+
+def marked_units(rows: DataFrame, id_col: str, text: str, pattern: str) -> DataFrame:
+    """id, place, body: each unit from a line that starts with the pattern up to the next one, trimmed; what comes before the first is no unit. Null and unmarked texts give no row."""
+    parts = F.split(F.col(text), f"(?dm)(?=^(?:{pattern}))")
+    marked = F.filter(parts, lambda x: x.rlike(f"^(?:{pattern})"))
+    return rows.select(id_col, F.posexplode(marked).alias("place", "_x")).select(id_col, "place", F.trim(F.col("_x"), F.lit(" \n\t\r")).alias("body"))

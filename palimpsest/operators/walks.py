@@ -117,3 +117,15 @@ def running_ids(nodes: DataFrame, graph: str, level: str, order: str, prefix: st
     """graph, level, order, node_id: ids that count up within a graph and level, as in L2_Step7."""
     n = F.row_number().over(Window.partitionBy(graph, level).orderBy(order))
     return nodes.select(graph, level, order, F.concat(F.col(level), F.lit(f"_{prefix}"), n.cast("string")).alias("node_id"))
+
+
+def nearest_ancestors(edges: DataFrame, levels: DataFrame, level: str, depth: int) -> DataFrame:
+    """node, ancestor, steps: the nearest ancestor of that level within `depth` steps, of equally near ones the smallest; edges (parent, child), levels (node, level). Nodes without one give no row."""
+    wanted = levels.where(F.col("level") == level).select(F.col("node").alias("at")).distinct()
+    up = edges.select(F.col("child").alias("at"), F.col("parent").alias("above")).dropna().distinct()
+    frontier = up.select(F.col("at").alias("node"), F.col("above").alias("at"), F.lit(1).alias("steps"))
+    hits = frontier.join(wanted, "at", "left_semi")
+    for step in range(2, depth + 1):
+        frontier = frontier.join(wanted, "at", "left_anti").join(up, "at").select("node", F.col("above").alias("at"), F.lit(step).alias("steps")).distinct()
+        hits = hits.unionByName(frontier.join(wanted, "at", "left_semi"))
+    return hits.groupBy("node").agg(F.min(F.struct("steps", "at")).alias("x")).select("node", F.col("x.at").alias("ancestor"), F.col("x.steps").alias("steps"))
