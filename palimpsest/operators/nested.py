@@ -119,8 +119,10 @@ def evidence(rows: DataFrame, id_col: str, sessions: str, session_ids: str, answ
     holds = lambda t: (F.col("_answer") != "") & F.contains(F.lower(t["m"]["content"]), F.col("_answer"))
     named = F.filter("_turns", lambda t: F.coalesce(F.array_contains("_named", F.try_element_at("_ids", t["session"])), F.lit(False)))
     said = said.withColumn("_near", named).withColumn("_hits", F.filter("_near", holds))
-    with_hits = F.transform("_hits", lambda t: t["session"])
-    of_session = F.filter("_near", lambda t: holds(t) | ~F.array_contains(with_hits, t["session"]))
+    # zipped, so that the sessions with hits are worked out once
+    with_hits = F.array_repeat(F.array_distinct(F.transform("_hits", lambda t: t["session"])), F.size("_near"))
+    kept = F.zip_with("_near", with_hits, lambda t, s: F.when(holds(t) | ~F.array_contains(s, t["session"]), t))
+    of_session = F.array_compact(kept)
     texts = lambda ts: F.array_distinct(F.transform(ts, lambda t: t["m"]["content"]))
     tiers = [
         ("explicit", F.when(F.col("_explicit").isNotNull(), F.array("_explicit")).otherwise(none)),

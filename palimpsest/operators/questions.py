@@ -50,19 +50,21 @@ def dates(text: Column) -> Column:
     inherited = F.when(F.size(years) == 1, F.try_element_at(years, F.lit(1)))
     part = lambda x, i: F.lpad(F.split_part(x, F.lit("-"), F.lit(i)), 2, "0")
 
-    def of(x: Column) -> Column:
+    def of(x: Column, given: Column) -> Column:
         month = F.floor((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(x, 1, 3))) + 2) / 3)
-        named = F.concat_ws("-", F.coalesce(F.nullif(year(x), F.lit("")), inherited, F.lit("none")), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(x, r"\s(\d{1,2})", 1), 2, "0"))
+        named = F.concat_ws("-", F.coalesce(F.nullif(year(x), F.lit("")), given, F.lit("none")), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(x, r"\s(\d{1,2})", 1), 2, "0"))
         plain = F.concat_ws("-", F.split_part(x, F.lit("-"), F.lit(1)), part(x, 2), part(x, 3))
         return F.when(x.rlike(r"^\d"), plain).otherwise(named).try_cast("date")
 
-    return F.array_distinct(F.array_compact(F.transform(found, of)))
+    # zipped, so that no lambda works out the found dates again for each of them
+    return F.array_distinct(F.array_compact(F.zip_with(found, F.array_repeat(inherited, F.size(found)), of)))
 
 
-def _first_of_each(items: Column) -> Column:
-    """Items that differ but for case, the first of each."""
-    lower = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+def _first_of_each(items: Column, most: int) -> Column:
+    """Items that differ but for case, the first of each, up to `most` of them; one pass."""
+    start = F.array().cast(_NONE)
+    add = lambda kept, x: F.when((F.size(kept) < most) & ~F.exists(kept, lambda k: F.lower(k) == F.lower(x)), F.concat(kept, F.array(x))).otherwise(kept)
+    return F.aggregate(items, start, add)
 
 
 def _listed(text: Column) -> Column:
@@ -70,7 +72,7 @@ def _listed(text: Column) -> Column:
     cut = lambda x, pattern: F.regexp_replace(x, pattern, "")
     parts = F.split(cut(text, r"^[ .:;]+|[ .:;]+$"), r"(?i)\s*(?:/|,|\band\b|\bor\b)\s*")
     clean = F.transform(parts, lambda x: F.trim(cut(cut(F.trim(x), r"(?i)^(?:the|these|those|following)\s+"), r"(?i)\s+(?:grid\s+tables?|tables?|forms?|options?|items?)$")))
-    kept = _first_of_each(F.filter(clean, lambda x: F.length(x).between(2, 80)))
+    kept = _first_of_each(F.filter(clean, lambda x: F.length(x).between(2, 80)), 13)
     return F.when(F.size(kept).between(2, 12), kept).otherwise(F.array().cast(_NONE))
 
 
@@ -81,7 +83,7 @@ def scopes(text: Column) -> Column:
     dashed = F.filter(F.regexp_extract_all(text, F.lit(r"(?:--|—)\s*(.{3,200}?)\s*(?:--|—)"), F.lit(1)), lambda x: x.rlike(r"(?i)(?:/|,|\band\b|\bor\b)"))
     among = F.regexp_extract(text, r"(?i)\b(?:among|across)\s+(.{3,200}?)(?=,\s*(?:which|what|where|do|does|is|are)\b|\?)", 1)
     among = F.when((among != "") & ~F.contains(among, F.lit("(")), F.array(among)).otherwise(F.array().cast(_NONE))
-    return F.slice(_first_of_each(F.flatten(F.transform(squeezed(F.concat(bracket, dashed, among)), _listed))), 1, 12)
+    return _first_of_each(F.flatten(F.transform(squeezed(F.concat(bracket, dashed, among)), _listed)), 12)
 
 
 def option_labels(text: Column) -> Column:

@@ -40,3 +40,16 @@ def test_closed_world(spark):
     got = profiles(spark, "the last page", "is there no page", "compare (red/blue) to both sides", "say (red/blue)")
     assert [r["closed_world"] for r in got] == [True, True, True, False]
     assert profiles(spark, "x")[0].asDict().keys() == {"id", "operators", "relation", "dates", "quoted", "scopes", "options", "closed_world"}
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"(ab{i}/cd{i}) on March {i % 28 + 1} A. x" for i in range(n))
+        start = time.time()
+        assert len(profiles(spark, text)[0]["scopes"]) == 12
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(8000) < 20
