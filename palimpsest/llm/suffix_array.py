@@ -4,7 +4,10 @@ A suffix array of the whole corpus can't be built in one task, and comparing all
 So each stretch of text is routed to the one shard that can hold its match, and shards are merged there:
 
 1. Each window of 50 bytes has an anchor: the smallest hash among its runs of `run` bytes. Equal windows have equal anchors.
-   A grouped minimum gives every anchor's owner, the smallest doc_id that has it, and drops anchors of one document only.
+   Anchors are dealt over buckets and rows over groups; a task sends each bucket its anchors in packed, sorted lists. A bucket finds each
+   anchor's owner, the smallest doc_id that has it, drops anchors of one document only, and sends each group the owners of the anchors it has.
+   An anchor that more than one row of a task has is held once for the task; the groups that have it come in later lists, read one by one:
+   so the documents of an anchor that very many have are never held at once.
 2. Stretches of windows whose anchor the document owns are references; stretches owned by a smaller doc_id are streams.
    Both go to the owner's shard. The anchors of a very long owner are dealt over parts, and the streams of a hot shard over salts,
    for each of which the references are repeated.
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, batches, documents, load, materialize, mix, signed, slices
+from .common import U64, batches, documents, load, materialize, mix, slices
 from .substring_dedup import _anchors, _batch, _runs
 
 SIZE = 50
@@ -39,12 +42,19 @@ RUNS, SHARD_BYTES, STREAM_BYTES, PART_WINDOWS = (24, 50), 1 << 19, 1 << 22, 1 <<
 STEP = 16
 #: Bytes of texts that are worked on at once: arrays of eight times as many stay in a core's cache.
 BLOCK = 1 << 18
+#: Bytes of texts for each bucket of anchors and group of rows (about), and bits of the fewest buckets; anchors that a task holds before it sends them on.
+BUCKET_BYTES, LEAST_BITS, HELD = 1 << 21, 8, 1 << 20
 #: No UTF-8 text has this byte: it ends each reference.
 END = b"\xff"
 MADE = ("rid", "spans", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
 _IDS = [("rid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]
 _STRETCH_ARROW = pa.schema([("owner", pa.int64()), ("part", pa.int32()), ("reference", pa.bool_()), *_IDS])
 _STRETCH = "owner long, part int, reference boolean, rid long, doc_id long, start long, n long, bytes binary"
+#: Lists of anchors: the different ones of a task (with the smallest doc_id, how far the largest is from it, parts, and the group if one row has it, or -1);
+#: then (`second`) those of more rows, with each row's group. Lists of a group's anchors; then (`second`) its texts.
+_LISTS, _OWNED = ["bucket", "second", "anchors", "docs", "spread", "parts", "groups"], ["group", "second", "anchors", "owners", "parts"]
+_LISTS_SQL = "bucket int, second boolean, anchors binary, docs binary, spread binary, parts binary, groups binary"
+_OWNED_SQL = "group int, second boolean, anchors binary, owners binary, parts binary"
 _FOUND_ARROW = pa.schema([("matched", pa.bool_()), *_IDS])
 _FOUND = "matched boolean, rid long, doc_id long, start long, n long, bytes binary"
 
@@ -197,58 +207,185 @@ def _window_anchors(pieces: list[bytes], size: int, run: int) -> tuple[np.ndarra
     return anchors[room >= size], n
 
 
-def _anchor_rows(size: int, run: int):
-    """Rows (key, doc_id, text) to each row's different anchors, with the parts into which its windows would be dealt."""
+def _turns(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _packed(values: np.ndarray | None, edges: np.ndarray, n: int) -> pa.Array:
+    """n binary values: the bytes of values[edges[i]:edges[i + 1]], or nulls without values."""
+    if values is None:
+        return pa.nulls(n, pa.binary())
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _lists(number: np.ndarray, second: bool, names: list[str], **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each different number (they ascend), with its part of each column. names: those of the number, `second` and all columns."""
+    edges = np.append(_turns(number), len(number))
+    n = len(edges) - 1
+    return pa.RecordBatch.from_arrays([pa.array(number[edges[:-1]], pa.int32()), pa.array(np.full(n, second)), *[_packed(columns.get(c), edges, n) for c in names[2:]]], names)
+
+
+def _bucket(anchors: np.ndarray, bits: int) -> np.ndarray:
+    return ((anchors >> U64(1)) >> U64(63 - bits)).astype(np.int32)
+
+
+def _equal(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the different values begin, and how often each occurs."""
+    first = _turns(ordered)
+    return first, np.diff(np.append(first, len(ordered)))
+
+
+def _least(first: np.ndarray, anchors: np.ndarray, docs: np.ndarray, top: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different anchors, each with its smallest and largest doc_id and most parts."""
+    return anchors[first], np.minimum.reduceat(docs, first), np.maximum.reduceat(top, first), np.maximum.reduceat(parts, first)
+
+
+def _anchor_lists(size: int, run: int, bits: int):
+    """Rows (group, doc_id, text) to lists of their anchors for 1 << bits buckets, with the parts into which a row's windows would be dealt."""
+
+    def sent(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        anchors, docs, parts, groups = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(anchors)
+        anchors, docs, parts, groups = anchors[order], docs[order], parts[order], groups[order]
+        first, each = _equal(anchors)
+        known, low, top, parts = _least(first, anchors, docs, docs, parts)
+        yield _lists(_bucket(known, bits), False, _LISTS, anchors=known, docs=low, spread=top - low, parts=parts, groups=np.where(each == 1, groups[first], np.int32(-1)))
+        many = np.repeat(each > 1, each)
+        if many.any():
+            anchors = anchors[many]
+            yield _lists(_bucket(anchors, bits), True, _LISTS, anchors=anchors, groups=groups[many])
 
     def emit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n_held = 0
         for part in slices(parts):
             texts = part.column("text").to_pylist()
             dealt = (1 + np.array([len(t) for t in texts], np.int64) // PART_WINDOWS).astype(np.int32)
-            ids = [part.column(c).to_numpy() for c in ("key", "doc_id")]
+            docs, groups = (part.column(c).to_numpy() for c in ("doc_id", "group"))
             for numbers, _, pieces in _blocks(texts, size):
                 anchors, n = _window_anchors(pieces, size, run)
-                row = np.repeat(np.array(numbers), n)
-                if not len(row):
+                if not len(anchors):
                     continue
-                new = np.flatnonzero(np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1]))))
-                anchors, row = anchors[new], row[new]
-                order = np.lexsort((anchors, row))
-                anchors, row = anchors[order], row[order]
-                new = np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])))
-                anchors, row = anchors[new], row[new]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchors)), *[pa.array(x[row]) for x in ids], pa.array(dealt[row])], ["anchor", "key", "doc_id", "parts"])
+                row = np.repeat(np.array(numbers), n)
+                new = _turns(anchors, row)
+                row = row[new]
+                held.append((_spread(anchors[new]), docs[row], dealt[row], groups[row]))
+                n_held += len(row)
+                if n_held >= HELD:
+                    yield from sent(held)
+                    held, n_held = [], 0
+        if held:
+            yield from sent(held)
 
     return emit
 
 
+def _spread(anchors: np.ndarray) -> np.ndarray:
+    """A bijection: anchors are minima, so their high bits are mostly zeros; these are not."""
+    return anchors * U64(0x9E3779B97F4A7C15)
+
+
+def _owned(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of anchors, in the order of bucket and `second`, to lists of each group's anchors that different documents have."""
+
+    def resolved(lists: list[tuple]) -> tuple[tuple, tuple]:
+        """Of a bucket's anchors that different documents have: anchor, owner, part; and group, anchor, owner, part of those that came with a group."""
+        columns = [np.concatenate(c) for c in zip(*lists, strict=True)]
+        order = np.argsort(columns[0])
+        anchors, low, top, dealt, groups = (c[order] for c in columns)
+        first, each = _equal(anchors)
+        known, owner, top, dealt = _least(first, anchors, low, top, dealt)
+        shared = owner < top
+        piece = (mix(known) % dealt.astype(U64)).astype(np.int32)
+        alone = np.repeat(shared, each) & (groups >= 0)
+        place = np.repeat(np.arange(len(known)), each)[alone]
+        return (known[shared], owner[shared], piece[shared]), (groups[alone], known[place], owner[place], piece[place])
+
+    def sent(held: list[tuple]) -> pa.RecordBatch:
+        groups, anchors, owners, pieces = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((anchors, groups))
+        order = order[_turns(groups[order], anchors[order])]
+        return _lists(groups[order], False, _OWNED, anchors=anchors[order], owners=owners[order], parts=pieces[order])
+
+    at, lists, known, held, n_held = None, [], None, [], 0
+    for part in slices(parts, 2000):
+        for bucket, second, anchors, docs, spread, dealt, groups in zip(*(part.column(i).to_pylist() for i in range(7)), strict=True):
+            if lists and (bucket != at or second):
+                known, found = resolved(lists)
+                held.append(found)
+                n_held += len(found[0])
+                lists = []
+            at, anchors, groups = bucket, np.frombuffer(anchors, U64), np.frombuffer(groups, np.int32)
+            if not second:
+                low = np.frombuffer(docs, np.int64)
+                lists.append((anchors, low, low + np.frombuffer(spread, np.int64), np.frombuffer(dealt, np.int32), groups))
+            elif len(known[0]):
+                place = np.minimum(np.searchsorted(known[0], anchors), len(known[0]) - 1)
+                found = np.flatnonzero(known[0][place] == anchors)
+                place = place[found]
+                held.append((groups[found], anchors[found], known[1][place], known[2][place]))
+                n_held += len(found)
+            if n_held >= HELD:
+                yield sent(held)
+                held, n_held = [], 0
+    if lists:
+        held.append(resolved(lists)[1])
+        n_held += len(held[-1][0])
+    if n_held:
+        yield sent(held)
+
+
 def _stretches(size: int, run: int):
-    """Rows (rid, doc_id, at, text, owners) to stretches: runs of windows with one owner and part."""
+    """Rows (group, second, anchors, owners, parts, rid, doc_id, at, text), of each group the anchors first, then its texts, to stretches: runs of windows with one owner and part."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(parts):
-            rid, doc, at, texts = (part.column(c).to_pylist() for c in ("rid", "doc_id", "at", "text"))
-            lists = part.column("owners").flatten()  # an anchor has the same owner in all rows
-            known, first = np.unique(lists.field("anchor").to_numpy(), return_index=True)
-            owner, piece = (lists.field(k).to_numpy()[first] for k in ("owner", "part"))
-            for numbers, places, pieces in _blocks(texts, size):
-                anchors, n = _window_anchors(pieces, size, run)
-                if not len(anchors):
+        at_group, lists, known, owner, piece = None, [], np.empty(0, U64), None, None
+        for part in slices(parts, 2000):
+            group, second = part.column("group").to_numpy(), part.column("second").to_numpy(zero_copy_only=False)
+            edges = [*_turns(group, second).tolist(), len(group)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                rows = part.slice(a, b - a)
+                if group[a] != at_group:
+                    at_group, lists, known = group[a], [], np.empty(0, U64)
+                if not second[a]:
+                    lists += zip(*(rows.column(c).to_pylist() for c in ("anchors", "owners", "parts")), strict=True)
                     continue
-                mine = signed(anchors)
-                where = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                found = known[where] == mine
-                row = np.repeat(np.arange(len(n)), n)
-                to, which = owner[where], piece[where]
-                turn = (row[1:] != row[:-1]) | (found[1:] != found[:-1]) | (found[1:] & ((to[1:] != to[:-1]) | (which[1:] != which[:-1])))
-                start = np.concatenate(([0], np.flatnonzero(turn) + 1))
-                end = np.concatenate((start[1:], [len(mine)]))
-                start, end = start[found[start]], end[found[start]]
-                within = start - (np.cumsum(n) - n)[row[start]]
-                rows: list[tuple] = []
-                for r, s, long, o, w in zip(*(x.tolist() for x in (row[start], within, end - start + size - 1, to[start], which[start])), strict=True):
-                    i = numbers[r]
-                    rows.append((o, w, o == doc[i], rid[i], doc[i], at[i] + places[r] + s, long, pieces[r][s : s + long]))
-                yield _batch(rows, _STRETCH_ARROW)
+                if lists:
+                    known, owner, piece = (np.frombuffer(b"".join(c), kind) for c, kind in zip(zip(*lists, strict=True), (U64, np.int64, np.int32), strict=True))
+                    order = np.argsort(known)  # an anchor has the same owner in all lists
+                    known, owner, piece = known[order], owner[order], piece[order]
+                    lists = []
+                if len(known):
+                    yield from of_texts(rows, known, owner, piece)
+
+    def of_texts(part: pa.RecordBatch, known: np.ndarray, owner: np.ndarray, piece: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rid, doc, at, texts = (part.column(c).to_pylist() for c in ("rid", "doc_id", "at", "text"))
+        for numbers, places, pieces in _blocks(texts, size):
+            anchors, n = _window_anchors(pieces, size, run)
+            if not len(anchors):
+                continue
+            row = np.repeat(np.arange(len(n)), n)
+            start = _turns(anchors, row)
+            mine, row = _spread(anchors[start]), row[start]
+            where = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            found = known[where] == mine
+            to, which = np.where(found, owner[where], 0), np.where(found, piece[where], 0)
+            turn = _turns(row, found, to, which)
+            end = np.append(start[turn[1:]], len(anchors))
+            here = found[turn]
+            turn, end = turn[here], end[here]
+            start, row = start[turn], row[turn]
+            within = start - (np.cumsum(n) - n)[row]
+            rows: list[tuple] = []
+            for r, s, long, o, w in zip(*(x.tolist() for x in (row, within, end - start + size - 1, to[turn], which[turn])), strict=True):
+                i = numbers[r]
+                rows.append((o, w, o == doc[i], rid[i], doc[i], at[i] + places[r] + s, long, pieces[r][s : s + long]))
+            yield _batch(rows, _STRETCH_ARROW)
 
     return cut
 
@@ -299,15 +436,14 @@ def _streamed(stretches: DataFrame, size: int) -> DataFrame:
 
 def _searched(texts: DataFrame, size: int, run: int) -> DataFrame:
     """Steps 1 to 3 of the module over rows (rid, doc_id, at, text): text begins at byte `at` of the document."""
-    # Equal keys of different rows do no harm: an anchor's owner is looked up by the anchor.
-    texts = texts.withColumn("key", F.shiftrightunsigned(F.xxhash64("doc_id", "rid", "at"), 24))
-    anchors = batches(texts.select("key", "doc_id", "text")).mapInArrow(_anchor_rows(size, run), "anchor long, key long, doc_id long, parts int")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.max("parts").alias("parts"))
-    # Written first: both sides of the join are then plain shuffles, and an anchor that a third of all documents have is split.
-    shared = materialize(shared.where("owner < top").select("anchor", "owner", F.pmod(F.xxhash64("anchor"), F.col("parts")).cast("int").alias("part")))
-    owners = anchors.select("anchor", "key").join(shared, "anchor").groupBy("key").agg(F.collect_set(F.struct("anchor", "owner", "part")).alias("owners"))
-    with_owners = texts.join(owners, "key").select("rid", "doc_id", "at", "text", "owners")
-    return materialize(_streamed(materialize(batches(with_owners).mapInArrow(_stretches(size, run), _STRETCH)), size))
+    total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = max(LEAST_BITS, (int(total) // BUCKET_BYTES).bit_length())
+    texts = texts.withColumn("group", F.pmod(F.xxhash64("doc_id", "rid", "at"), F.lit(1 << bits)).cast("int"))
+    lists = batches(texts.select("group", "doc_id", "text")).mapInArrow(_anchor_lists(size, run, bits), _LISTS_SQL)
+    owned = lists.repartition("bucket").sortWithinPartitions("bucket", "second").mapInArrow(_owned, _OWNED_SQL)
+    both = owned.unionByName(texts.withColumn("second", F.lit(True)), allowMissingColumns=True)
+    cut = both.repartition("group").sortWithinPartitions("group", "second").mapInArrow(_stretches(size, run), _STRETCH)
+    return materialize(_streamed(materialize(cut), size))
 
 
 def repeated_bytes(docs: DataFrame, size: int = SIZE) -> DataFrame:

@@ -70,6 +70,35 @@ def test_suffix_array_dedup_of_overlapping_passages(spark, monkeypatch, size):
     assert digests(got) == brute_bytes(rows, size)
 
 
+@pytest.mark.parametrize("held", [1, 40, 1 << 20])
+def test_suffix_array_dedup_of_a_passage_that_most_documents_have(spark, monkeypatch, held):
+    """Anchors of many rows of a task, of one row of many tasks, and of one document only, in few buckets of many lists."""
+    for name, value in {"HELD": held, "LEAST_BITS": 2, "BLOCK": 200, "PART_WINDOWS": 150}.items():
+        monkeypatch.setattr(suffix_array, name, value)
+    rng = random.Random(held)
+    common, own = "the passage that very many of the documents have, word by word, ", [f"{rng.random()} {rng.random()} {rng.random()} " for _ in range(40)]
+    rows = [(d * (-1) ** d * 2**40, rng.choice(own) * (d % 3) + common * (d % 4 > 0) + rng.choice(own)) for d in range(120)]
+    rows += [(2**63 - 1, common * 3), (-(2**63), own[0] + common[:-9]), (None, common)]
+    got = suffix_array.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 50)
+    assert digests(got) == brute_bytes(rows, 50)
+
+
+def test_suffix_array_dedup_shuffles_packed_lists_of_anchors(spark):
+    """Rows that are shuffled one for each anchor cost more than all work on the texts."""
+    rng = random.Random(8)
+    rows = [(d, "".join(rng.choices("abcdefgh ", k=40000))) for d in range(20)]  # some 2,800 anchors each
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+
+    def shuffled():
+        jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = shuffled()
+    assert all(r["n_removed"] == 0 for r in suffix_array.without_repeats(docs).collect())
+    assert 0 < sum(n for stage, n in shuffled().items() if stage not in before) < 10_000
+
+
 def test_suffix_array_and_common_prefixes_are_those_of_sorting():
     rng = random.Random(4)
     for _ in range(40):
