@@ -27,6 +27,10 @@ RELATIONS = {
 _MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|sept|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
 _DATE = rf"(?i)\b(\d{{4}}-\d{{1,2}}-\d{{1,2}}|(?:{_MONTHS})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?)\b"
 _NONE = "array<string>"
+# White space, the ends of a word and any character of a line, all as RE2 and other engines have them. Java's own classes differ by release: VT, the line
+# separators and letters beyond ASCII.
+_S, _NOT_S, _OPEN, _CLOSE, _ANY = r"[\t\n\f\r ]", r"[^\t\n\f\r ]", "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])", r"[^\n]"
+_SEP = rf"/|,|{_OPEN}and{_CLOSE}|{_OPEN}or{_CLOSE}"
 
 
 def _has_any(padded: Column, words: list[str]) -> Column:
@@ -60,38 +64,58 @@ def dates(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.zip_with(found, F.array_repeat(inherited, F.size(found)), of)))
 
 
+def lowered(x: Column) -> Column:
+    """Lower case character by character: a capital sigma does not depend on its place, a dotted capital I gives one character."""
+    return F.lower(F.translate(x, "Σİ", "σi"))
+
+
+def squeezed(x: Column) -> Column:
+    return F.regexp_replace(x, f"{_S}+", " ")
+
+
+def trimmed(x: Column) -> Column:
+    """Without the blanks of any script at both ends."""
+    return F.regexp_replace(x, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def _first_of_each(items: Column, most: int) -> Column:
     """Items that differ but for case, the first of each, up to `most` of them; one pass."""
     start = F.array().cast(_NONE)
-    add = lambda kept, x: F.when((F.size(kept) < most) & ~F.exists(kept, lambda k: F.lower(k) == F.lower(x)), F.concat(kept, F.array(x))).otherwise(kept)
+    add = lambda kept, x: F.when((F.size(kept) < most) & ~F.exists(kept, lambda k: lowered(k) == lowered(x)), F.concat(kept, F.array(x))).otherwise(kept)
     return F.aggregate(items, start, add)
 
 
 def _listed(text: Column) -> Column:
     """The 2 to 12 items of a list with slashes, commas, `and` or `or`; else none."""
     cut = lambda x, pattern: F.regexp_replace(x, pattern, "")
-    parts = F.split(cut(text, r"^[ .:;]+|[ .:;]+$"), r"(?i)\s*(?:/|,|\band\b|\bor\b)\s*")
-    clean = F.transform(parts, lambda x: F.trim(cut(cut(F.trim(x), r"(?i)^(?:the|these|those|following)\s+"), r"(?i)\s+(?:grid\s+tables?|tables?|forms?|options?|items?)$")))
+    parts = F.split(cut(text, r"^[ .:;]+|[ .:;]+\z"), rf"(?i){_S}*(?:{_SEP}){_S}*")
+    clean = F.transform(parts, lambda x: trimmed(cut(cut(trimmed(x), rf"(?i)^(?:the|the[sſ]e|tho[sſ]e|following){_S}+"), rf"(?i){_S}+(?:grid{_S}+table[sſ]?|table[sſ]?|form[sſ]?|option[sſ]?|item[sſ]?)\z")))
     kept = _first_of_each(F.filter(clean, lambda x: F.length(x).between(2, 80)), 13)
     return F.when(F.size(kept).between(2, 12), kept).otherwise(F.array().cast(_NONE))
 
 
 def scopes(text: Column) -> Column:
     """Scopes that the text lists itself: in brackets with a slash or two commas, between double dashes, or after `among` or `across`; at most twelve, the first ones."""
-    squeezed = lambda xs: F.transform(xs, lambda x: F.regexp_replace(x, r"\s+", " "))
     bracket = F.filter(F.regexp_extract_all(text, F.lit(r"\(([^()\n]{3,240})\)"), F.lit(1)), lambda x: F.contains(x, F.lit("/")) | (F.size(F.split(x, ",")) > 2))
-    dashed = F.filter(F.regexp_extract_all(text, F.lit(r"(?:--|—)\s*(.{3,200}?)\s*(?:--|—)"), F.lit(1)), lambda x: x.rlike(r"(?i)(?:/|,|\band\b|\bor\b)"))
-    among = F.regexp_extract(text, r"(?i)\b(?:among|across)\s+(.{3,200}?)(?=,\s*(?:which|what|where|do|does|is|are)\b|\?)", 1)
+    dashed = F.filter(F.regexp_extract_all(text, F.lit(rf"(?:--|—){_S}*({_ANY}{{3,200}}?){_S}*(?:--|—)"), F.lit(1)), lambda x: x.rlike(rf"(?i)(?:{_SEP})"))
+    asked = "which|what|where|do|doe[sſ]|i[sſ]|are"
+    among = F.regexp_extract(text, rf"(?i){_OPEN}(?:among|acro[sſ][sſ]){_S}+({_ANY}{{3,200}}?)(?=,{_S}*(?:{asked}){_CLOSE}|\?)", 1)
     among = F.when((among != "") & ~F.contains(among, F.lit("(")), F.array(among)).otherwise(F.array().cast(_NONE))
-    return _first_of_each(F.flatten(F.transform(squeezed(F.concat(bracket, dashed, among)), _listed)), 12)
+    return _first_of_each(F.flatten(F.transform(F.concat(bracket, dashed, among), lambda x: _listed(squeezed(x)))), 12)
 
 
 def option_labels(text: Column) -> Column:
-    """Labels A. to H. of a multiple choice, in capitals, each once; none if there are fewer than two."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(?:^|\s)([A-H])\.(?=\s+\S)"), F.lit(1)), lambda x: F.upper(x))
+    """Labels A. to H. of a multiple choice, in capitals, each once; none if there are fewer than two. What stands between two labels is a text, not a label of its own."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)(?:^|{_S})([A-H])\.{_S}+{_NOT_S}"), F.lit(1)), lambda x: F.upper(x))
     return F.when(F.size(found) > 1, F.array_distinct(found)).otherwise(F.array().cast(_NONE))
 
 
+def straight_quoted(text: Column) -> Column:
+    """Names in straight quotes, lower-cased, each once; blank ones are one name."""
+    found = F.regexp_extract_all(text, F.lit(r'"([^"]+)"'), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: trimmed(squeezed(lowered(x)))))
+
+
 def quoted(text: Column) -> Column:
     """Names in straight or curly quotes or back ticks, lower-cased, each once."""
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (r'"([^"]+)"', r"`([^`]+)`", r"“([^”]+)”", r"‘([^’]+)’")])

@@ -53,3 +53,20 @@ def test_long_texts_take_linear_time(spark):
 
     seconds(10)
     assert seconds(8000) < 20
+
+
+def test_scopes_of_odd_texts_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from palimpsest.plans import registry
+
+    texts = [
+        "Is `x` or “y” \"Z  z\" \" \" ' ", "A. B. C. D. x", "A. B. one\nC. two", "-- red\rfox, blue -- (aa/b\x0bb/cc )", "among the caféand, bb or cc?", "acroſſ red, the  blue, which iſ", "(red /　blue/ Red)",
+        "(ΣΑΣ/σας/x y/İb/ib)", "(those\u0085aa/theſe bb/cc optionſ /dd items )", "éamong aa, bb?", "(aa/bb) café (cc /dd)", None, "", "(aa/bb)",
+    ]
+    rows = [(i if i < 13 else None, t, "en", "web") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = registry.QUERIES["g8_scopes"](spark, str(tmp_path)).select("doc_id", "scopes", "options", "n_quoted").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(con.execute(registry.SQL["g8_scopes"]).fetchall(), key=repr)
