@@ -1,24 +1,28 @@
-"""Exact vector search in tiles: query blocks against row blocks as matrix products, with the best k of each query kept in each tile.
+"""Exact vector search in blocks: a task holds a block of queries, blocks of rows stream past it as matrix products, and the best k of each query leave it.
 
-Neither side is broadcast or collected: only k rows of a query leave a tile. Vectors that are null, empty or hold null or non-finite
+Neither side is broadcast or collected, and no row is copied for the queries: the work is the square of the rows, disk and memory are not. Vectors that are null, empty or hold null or non-finite
 components, and rows without id, take no part; vectors of different lengths are not compared. A zero norm scores 0.
 Repeated ids are rows of their own; a query never finds rows of its own id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import RDD, TaskContext
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import script_terms
 from .retrieval import contained_in
 from .tables import numbered, written
 
-TILE_QUERIES, TILE_ROWS = 1024, 8192
+#: Rows of the smallest and largest blocks; bytes of a block; scores worked out at once; rows of small groups that are compared as one matrix.
+TILE_QUERIES, TILE_ROWS, BLOCK_BYTES, SCORES, TOGETHER = 1024, 8192, 4_000_000, 1 << 22, 512
 
 
 def vectors(rows: DataFrame, id_col: str, vec: str, group: str | None = None) -> DataFrame:
@@ -31,53 +35,225 @@ def vectors(rows: DataFrame, id_col: str, vec: str, group: str | None = None) ->
     return out.select(F.col(id_col).cast("long").alias("id"), unit.alias("vec"), (F.col(group) if group else F.lit(0)).cast("string").alias("group"))
 
 
-def _tile(k: int, rule: str, places: int):
-    def best(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query": [], "id": [], "score": []}).astype({"query": "int64", "id": "int64"})]
-        for d in sorted(set(queries["vec"].map(len)) & set(rows["vec"].map(len))):
-            q, r = queries[queries["vec"].map(len) == d], rows[rows["vec"].map(len) == d].sort_values("id", kind="stable")
-            score = np.round(np.stack(q["vec"].to_numpy()) @ np.stack(r["vec"].to_numpy()).T, places) + 0.0
-            ids, of = r["id"].to_numpy(), q["id"].to_numpy()
-            allowed = ids[None, :] != of[:, None]
-            if rule in ("earlier", "same-earlier"):
-                allowed &= ids[None, :] < of[:, None]
-            if rule in ("same", "same-earlier", "other"):
-                allowed &= (r["group"].to_numpy()[None, :] == q["group"].to_numpy()[:, None]) == (rule != "other")
-            for i in range(len(q)):
-                at = np.flatnonzero(allowed[i])
-                at = at[np.argsort(-score[i, at], kind="stable")][:k]
-                out.append(pd.DataFrame({"query": of[i], "id": ids[at], "score": score[i, at]}))
-        return pd.concat(out)
-
-    return best
+def _allowed(rule: str, of: np.ndarray, of_group: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Which rows a query may find; group -1 is no group."""
+    ok = ids != of
+    if rule in ("earlier", "same-earlier"):
+        ok &= ids < of
+    if rule in ("same", "same-earlier"):
+        ok &= (groups == of_group) & (groups >= 0)
+    if rule == "other":
+        ok &= (groups != of_group) & (groups >= 0) & (of_group >= 0)
+    return ok
+
+
+class _Best:
+    """The k best rows of each of some queries, whose rows come block by block. Scores are rounded only where they can still count; the work on others is one comparison."""
+
+    def __init__(self, k: int, rule: str, places: int, ids: np.ndarray, vecs: np.ndarray, groups: np.ndarray):
+        self.k, self.rule, self.places, self.of, self.vecs, self.groups = k, rule, places, ids, vecs, groups
+        self.ids, self.scores = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)
+
+    def add(self, ids: np.ndarray, vecs: np.ndarray, groups: np.ndarray) -> None:
+        step = max(1, min(len(self.of), SCORES // max(1, len(ids))))
+        for at in range(0, len(self.of), step):
+            self._add(slice(at, at + step), ids, vecs, groups)
+
+    def _add(self, part: slice, ids: np.ndarray, vecs: np.ndarray, groups: np.ndarray) -> None:
+        of, of_group, slack = self.of[part], self.groups[part], 10.0**-self.places
+        score = self.vecs[part] @ vecs.T
+        least = self.scores[part, -1] - slack
+        fresh = np.flatnonzero(np.isneginf(least))
+        if len(fresh) and len(ids) > self.k:  # these have fewer than k so far: what counts is at least the k-th best of this block
+            some = np.where(_allowed(self.rule, of[fresh, None], of_group[fresh, None], ids[None, :], groups[None, :]), score[fresh], -np.inf)
+            least[fresh] = np.partition(some, len(ids) - self.k, axis=1)[:, len(ids) - self.k] - slack
+        q, r = np.nonzero(score >= least[:, None])
+        ok = _allowed(self.rule, of[q], of_group[q], ids[r], groups[r])
+        q, r = q[ok], r[ok]
+        if len(q):
+            self._merge(part.start, q, ids[r], np.round(score[q, r], self.places) + 0.0)
+
+    def _merge(self, start: int, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        rows, q = np.unique(q, return_inverse=True)
+        rows = rows + start
+        q = np.concatenate([np.repeat(np.arange(len(rows)), self.k), q])
+        ids, scores = np.concatenate([self.ids[rows].ravel(), ids]), np.concatenate([self.scores[rows].ravel(), scores])
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = place < self.k
+        self.ids[rows], self.scores[rows] = ids[kept].reshape(-1, self.k), scores[kept].reshape(-1, self.k)
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, i = np.nonzero(~np.isneginf(self.scores))
+        return self.of[q], self.ids[q, i], self.scores[q, i]
+
+
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of the rows and their matrix, for each length of a batch's vectors."""
+    vec = batch.column("vec")
+    sizes, flat = vec.value_lengths().to_numpy(zero_copy_only=False), vec.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield at, flat[(ends[at] - d)[:, None] + np.arange(d)[None, :]] if len(at) < len(sizes) else flat.reshape(-1, d)
+
+
+_BLOCK = "part int, d int, ids binary, vecs binary, names array<string>, codes binary"
+
+
+def _packer(most: int, parts: int) -> Callable:
+    """A function over batches (id, vec, group) that puts rows of one length into blocks: at most `most` rows or about BLOCK_BYTES each, dealt over `parts`."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        made = TaskContext.get().partitionId() * 2654435761 % parts
+
+        def block(d: int, pieces: list) -> pa.RecordBatch:
+            nonlocal made
+            groups = pa.chunked_array([g for _, _, g in pieces]).combine_chunks().dictionary_encode()
+            codes = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+            made += 1
+            row = {"part": [made % parts], "d": [d], "ids": [np.concatenate([x for x, _, _ in pieces]).tobytes()], "vecs": [np.concatenate([x for _, x, _ in pieces]).tobytes()], "names": [groups.dictionary.to_pylist()], "codes": [codes.tobytes()]}
+            types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
+
+        for batch in batches:
+            ids, group = batch.column("id").to_numpy(zero_copy_only=False), batch.column("group")
+            for at, vecs in _matrices(batch):
+                d = vecs.shape[1]
+                rows = max(1, min(most, BLOCK_BYTES // (8 * d)))
+                while len(at):
+                    pieces = held.setdefault(d, [])
+                    room = rows - sum(len(x) for x, _, _ in pieces)
+                    pieces.append((ids[at[:room]], vecs[:room], group.take(pa.array(at[:room]))))
+                    if len(at) >= room:
+                        yield block(d, held.pop(d))
+                    at, vecs = at[room:], vecs[room:]
+        for d, pieces in held.items():
+            yield block(d, pieces)
+
+    return pack
+
+
+def _packed(rows: DataFrame, most: int, parts: int) -> RDD:
+    """Blocks of the rows, shuffled once; what reads them again reads the shuffle's files."""
+    return rows.select("id", "vec", "group").mapInArrow(_packer(most, parts), _BLOCK).repartitionById(parts, F.col("part")).rdd
+
+
+def _arrays(block: Row, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, vectors and groups of a block; number has the groups' numbers, which are common to all blocks that meet."""
+    ids = np.frombuffer(block["ids"], np.int64)
+    names = np.array([number.setdefault(name, len(number)) for name in block["names"]] + [-1], np.int64)
+    return ids, np.frombuffer(block["vecs"]).reshape(len(ids), block["d"]), names[np.frombuffer(block["codes"], np.int32)]
+
+
+def _by_streams(queries: DataFrame, rows: DataFrame, k: int, rule: str, places: int) -> DataFrame:
+    """Each task holds a block of queries and streams all blocks of rows past it: no row is copied for a query, a query's list leaves a task once.
+
+    Both sides are shuffled once, as blocks (one frame on both sides: once for both). Where the queries make few blocks the rows come in several streams, a list from each.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n = queries.count()
+    most = max(min(TILE_QUERIES, TILE_ROWS), min(TILE_ROWS, -(-n // (3 * cores))))
+    left = _packed(queries, most, max(1, -(-n // most)))
+    right = left if queries is rows else _packed(rows, TILE_ROWS, 3 * cores)
+    streams = max(1, min(right.getNumPartitions(), -(-2 * cores // left.getNumPartitions())))
+
+    def whole(blocks: Iterator[Row]) -> list:
+        held = list(blocks)
+        return [held] if held else []
+
+    def search(pairs: Iterator[tuple[list, Row]]) -> Iterator[tuple]:
+        best, number = None, {}
+        for mine, block in pairs:
+            if best is None:
+                best = {}
+                for d in {b["d"] for b in mine}:
+                    best[d] = _Best(k, rule, places, *(np.concatenate(x) for x in zip(*(_arrays(b, number) for b in mine if b["d"] == d), strict=True)))
+            if block["d"] in best and (rule not in ("same", "same-earlier") or not number.keys().isdisjoint(block["names"])):
+                best[block["d"]].add(*_arrays(block, number))
+        for one in (best or {}).values():
+            yield tuple(x.tobytes() for x in one.found())
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], t)) for c, t in (("query", np.int64), ("id", np.int64), ("score", np.float64))], names=["query", "id", "score"])
+
+    found = left.mapPartitions(whole).cartesian(right.coalesce(streams)).mapPartitions(search)
+    return rows.sparkSession.createDataFrame(found, "query binary, id binary, score binary", verifySchema=False).mapInArrow(lists, "query long, id long, score double")
+
+
+def _by_groups(queries: DataFrame, rows: DataFrame, salts: DataFrame | None, k: int, rule: str, places: int) -> DataFrame:
+    """Groups of at most TILE_ROWS rows, shuffled whole and each compared with itself. salts: group, n of groups of very many queries, which are dealt over n tasks, each with the group's rows."""
+    side = lambda of, kind: of.select("id", "vec", "group", F.lit(kind).alias("side"), F.lit(0).alias("salt")).where("group is not null")
+    if salts is not None:
+        n = F.coalesce("n", F.lit(1))
+        dealt = side(queries, 2).join(F.broadcast(salts), "group", "left").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), n).cast("int"))
+        copied = side(rows, 1).join(F.broadcast(salts), "group", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1)))
+        both = dealt.drop("n").unionByName(copied.drop("n"))
+    else:
+        both = side(rows, 3) if queries is rows else side(queries, 2).unionByName(side(rows, 1))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(batch: pa.RecordBatch, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ids, sides = batch.column("id").to_numpy(zero_copy_only=False), batch.column("side").to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
+            cuts = [0]
+            for end, after in zip(ends, [*ends[1:], ends[-1] + TOGETHER]):
+                if after - cuts[-1] > TOGETHER:
+                    cuts.append(end)
+            for at, vecs in _matrices(batch):
+                for low, high in zip(cuts, cuts[1:]):
+                    mine = slice(*np.searchsorted(at, [low, high]))
+                    here, x = at[mine], vecs[mine]
+                    q, r = (sides[here] & 2) > 0, (sides[here] & 1) > 0
+                    best = _Best(k, rule, places, ids[here][q], x[q], group[here][q])
+                    best.add(ids[here][r], x[r], group[here][r])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best.found()], names=["query", "id", "score"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            held = [x for x in (*held, batch) if x is not None and x.num_rows]
+            if not held:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key = pc.binary_join_element_wise(whole.column("group"), pc.cast(whole.column("salt"), pa.string()), "\n").dictionary_encode()
+            group = key.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            done = len(group) if batch is None else int(np.count_nonzero(group != group[-1]))  # the last group may go on
+            if done:
+                yield from lists(whole.slice(0, done), group[:done])
+            held = [whole.slice(done)]
+
+    return both.repartition("group", "salt").sortWithinPartitions("group", "salt").mapInArrow(search, "query long, id long, score double")
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, rule: str = "any", places: int = 6) -> DataFrame:
     """query, id, score, rank: the k rows of highest cosine (rounded to `places`), ties to the smaller id.
 
-    queries and rows are frames as `vectors` makes them. rule: any; same or other (group; null is no group's name); earlier (only rows of a
-    smaller id); same-earlier (both). For same, tiles are cut inside groups: small groups share one, a large group has several.
+    queries and rows are frames as `vectors` makes them. rule: any; same or other (group; null is no group's name, and such rows take no part); earlier (only rows of a
+    smaller id); same-earlier (both). For same, groups of up to TILE_ROWS rows are compared whole, larger ones in streams of blocks as for the other rules.
     """
-    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
     if rule in ("same", "same-earlier"):
-        sized = rows.groupBy("group").agg(F.count("*").alias("n")).where("group is not null")
-        asked = queries.groupBy("group").agg(F.count("*").alias("m"))
-        bins = F.lit(-(-max(1, rows.count()) // TILE_QUERIES))
-        small = (F.col("n") <= TILE_QUERIES) & (F.col("m") <= TILE_QUERIES)
-        home = F.when(small, F.pmod(F.xxhash64("group"), bins).cast("string")).otherwise(F.concat(F.lit("="), "group"))
-        blocks = lambda c, size: F.when(small, 1).otherwise(F.ceil(F.col(c) / size)).cast("int")
-        cut = sized.join(asked, "group").select("group", home.alias("home"), blocks("m", TILE_QUERIES).alias("n_q"), blocks("n", TILE_ROWS).alias("n_r"))
-        queries, rows = queries.join(cut, "group"), rows.join(cut, "group")
+        sizes = rows.groupBy("group").agg(F.count("*").alias("rows"))
+        if queries is rows:
+            sizes = sizes.withColumn("asked", F.col("rows"))
+        else:
+            sizes = sizes.join(queries.groupBy("group").agg(F.count("*").alias("asked")), "group")
+        big = written(sizes.where("group is not null").where((F.col("rows") > TILE_ROWS) | (F.col("asked") > TILE_ROWS)))
+        if big.isEmpty():
+            found = _by_groups(queries, rows, None, k, rule, places)
+        else:  # at most one name for each TILE_ROWS rows
+            large = F.broadcast(big.where(F.col("rows") > TILE_ROWS).select("group"))
+            part = lambda of, how: of.join(large, "group", how).select("id", "vec", "group")
+            some = part(rows, "left_semi").sortWithinPartitions("group")
+            asked = some if queries is rows else part(queries, "left_semi").sortWithinPartitions("group")
+            salts = big.where(F.col("rows") <= TILE_ROWS).select("group", F.ceil(F.col("asked") / TILE_ROWS).cast("int").alias("n"))
+            others = part(rows, "left_anti")
+            found = _by_streams(asked, some, k, rule, places).union(_by_groups(others if queries is rows else part(queries, "left_anti"), others, None if queries is rows else salts, k, rule, places))
     else:
-        n_q, n_r = -(-max(1, queries.count()) // TILE_QUERIES), -(-max(1, rows.count()) // TILE_ROWS)
-        cut = {"home": F.lit(""), "n_q": F.lit(n_q), "n_r": F.lit(n_r)}
-        queries, rows = queries.withColumns(cut), rows.withColumns(cut)
-    q = queries.withColumn("tile_q", block(F.col("n_q"), 1)).withColumn("tile_r", F.explode(F.sequence(F.lit(0), F.col("n_r") - 1)))
-    r = rows.withColumn("tile_r", block(F.col("n_r"), 2)).withColumn("tile_q", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)))
-    keys = ["home", "tile_q", "tile_r"]
-    cols = [F.col(c).alias(c) for c in [*keys, "id", "vec", "group"]]  # new names: both sides may be one frame
-    tiles = q.select(*cols).groupBy(*keys).cogroup(r.select(*cols).groupBy(*keys))
-    found = tiles.applyInPandas(_tile(k, rule, places), "query long, id long, score double")
+        found = _by_streams(queries, rows, k, rule, places)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
