@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .retrieval import contained_in
+from .tables import written
 
 # Words that name nothing, words skipped inside names, and the pattern of a proper name.
 STOP = (
@@ -105,7 +106,7 @@ def entity_aliases(text: Column) -> Column:
 def aliases(docs: DataFrame, id_col: str, text: str, share: float = 0.08, least_cap: int = 16) -> DataFrame:
     """id, alias, df: the aliases of each whole text that at most max(16, 8 %) of the documents have."""
     n = docs.agg(F.greatest(F.lit(least_cap), F.floor(F.count("*") * share)).alias("most"))
-    each = docs.select(id_col, F.explode(entity_aliases(F.col(text))).alias("alias"))
+    each = written(docs.select(id_col, F.explode(entity_aliases(F.col(text))).alias("alias")))  # the names are looked for once
     df = each.groupBy("alias").agg(F.count("*").alias("df")).crossJoin(n).where("df <= most").drop("most")  # one row on the right
     return each.join(df, "alias").select(id_col, "alias", "df")
 

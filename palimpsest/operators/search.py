@@ -27,11 +27,13 @@ TILE_QUERIES, TILE_ROWS, BLOCK_BYTES, SCORES, TOGETHER = 1024, 8192, 4_000_000,
 
 def vectors(rows: DataFrame, id_col: str, vec: str, group: str | None = None) -> DataFrame:
     """id, vec (unit length, as doubles), group."""
+    fine = lambda x: (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, c: s + c * c))
+    # the norm and the vector's own expression stand outside the lambda over the components
+    scaled = lambda x: F.zip_with(x, F.array_repeat(norm(x), F.size(x)), lambda c, n: F.coalesce(c / F.nullif(n, F.lit(0.0)), F.lit(0.0)))
     x = F.col(vec).cast("array<double>")
-    usable = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, c: s + c * c))
-    unit = F.transform(x, lambda c: F.coalesce(c / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
-    out = rows.where(F.col(id_col).isNotNull() & usable)
+    usable, unit = _once(x, fine), _once(x, scaled)
+    out = rows.where(F.col(id_col).isNotNull() & F.coalesce(usable, F.lit(False)))
     return out.select(F.col(id_col).cast("long").alias("id"), unit.alias("vec"), (F.col(group) if group else F.lit(0)).cast("string").alias("group"))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators import graphs as G
 from ..operators import relations as L
 from ..operators import search as S
+from ..operators.tables import written
 from ..sources.records import table
 from .registry import _DOCS, _WORD, SQL, _plain, _query, _terms_sql
 from .search import _COSINE, _VECTORS, h1_three_channels
@@ -47,14 +49,17 @@ _LETTERS = """v AS (SELECT doc_id AS id, CAST(doc_id // 8 AS VARCHAR) AS g, list
 
 def _letters(spark, sf_dir):
     """Documents as vectors of their letters' counts, eight in a row a group."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(chr(c)), F.lit("")))).cast("double") for c in range(97, 123)])
-    return S.vectors(_DOCS(spark, sf_dir).select("doc_id", counts.alias("e"), F.floor(F.col("doc_id") / 8).alias("g")), "doc_id", "e", "g")
+
+    @F.pandas_udf("array<double>")
+    def counts(lowered: pd.Series) -> pd.Series:
+        return lowered.map(lambda t: [float(t.count(chr(c))) for c in range(97, 123)])
+
+    return S.vectors(_DOCS(spark, sf_dir).select("doc_id", counts(F.lower(F.coalesce("text", F.lit("")))).alias("e"), F.floor(F.col("doc_id") / 8).alias("g")), "doc_id", "e", "g")
 
 
 @_query(SQL["e17_relations"].replace(_VECTORS, _LETTERS))
 def e17_text_relations(spark, sf_dir):
-    docs, rows = _DOCS(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), _letters(spark, sf_dir)
+    docs, rows = _DOCS(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), written(_letters(spark, sf_dir))
     return L.related_pairs(S.undirected(S.nearest(rows, rows, 8), 0.43), L.aliases(docs, "id", "text"), G.salient_terms(docs, "id", "text"))
 
 
@@ -69,7 +74,7 @@ _NARRATIVE = SQL["e17_relations"].split("  SELECT a, b, score, CASE")[0].replace
   SELECT CAST(o.g AS VARCHAR) AS "group", o.a, o.b, o.score, o.n_entities, o.n_terms FROM o JOIN f ON f.g = o.g AND f.i = o.i WHERE kept""")
 def e17_narrative(spark, sf_dir):
     """Eight documents in a row as events of one group, three a scene."""
-    docs, rows = _DOCS(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), _letters(spark, sf_dir)
+    docs, rows = _DOCS(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), written(_letters(spark, sf_dir))
     pairs = S.undirected(S.nearest(rows, rows, 7, "same"), 0.43)
     events = rows.select("id", "group", (F.col("id") % 8).alias("place"), F.floor(F.col("id") % 8 / 3).alias("scene"))
     return L.narrative_pairs(pairs, events, L.aliases(docs, "id", "text"), G.salient_terms(docs, "id", "text"))

@@ -48,3 +48,11 @@ def test_groups_of_all_sizes_and_repeated_ids_against_brute_force(spark, monkeyp
                 near = sorted((-round(float(a[1] @ b[1]), 6) + 0.0, b[0]) for a in mine if a[0] == q for b in unit if a[0] != b[0] and ok(a, b))[:4]
                 want += [(q, b, -s + 0.0, i + 1) for i, (s, b) in enumerate(near)]
             assert rows_of(search.nearest(queries, v, 4, rule), "query", "id", "score", "rank") == sorted(want, key=repr), rule
+
+
+def test_narrative_reads_the_texts_for_names_and_letters_once(spark):
+    from palimpsest.plans import catalogue
+    from tests.conftest import SF
+
+    plan = catalogue.QUERIES["e17_narrative"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("sf0.001/documents.parquet") <= 8  # four counts and four scans for terms; names and letters are tables by then
