@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from .tables import written
 
 
 def ordered_children(rows: DataFrame, parent: str, child: str, order: str) -> DataFrame:
@@ -34,7 +35,10 @@ def salient_terms(docs: DataFrame, id_col: str, text: str, most: int = 18, share
     """id, term, df, rank: the rarest terms of each text among those of more than one text and of at most max(12, 8 %) of all."""
     n = docs.agg(F.count("*").alias("n"))
     exploded = docs.select(id_col, F.explode(terms(F.col(text))).alias("term"))
-    df = exploded.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).where((F.col("df") > 1) & (F.col("df") <= F.greatest(F.lit(float(least_cap)), F.col("n") * share))).drop("n")  # one row on the right
+    counted = written(exploded.groupBy("term").agg(F.count("*").alias("df")).where("df > 1").crossJoin(n.select(F.greatest(F.lit(float(least_cap)), F.col("n") * share).alias("most"))))  # one row on the right
+    # Terms of more texts than that make most of the rows, but there are at most 1 / share times the terms of a mean text: these go before anything is shuffled.
+    exploded = exploded.join(F.broadcast(counted.where("df > most").select("term")), "term", "left_anti")
+    df = counted.where("df <= most").drop("most")
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy("df", "term"))
     return exploded.join(df, "term").withColumn("rank", rank).where(F.col("rank") <= most).select(id_col, "term", "df", "rank")
 
