@@ -56,3 +56,17 @@ def test_narrative_reads_the_texts_for_names_and_letters_once(spark):
 
     plan = catalogue.QUERIES["e17_narrative"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("sf0.001/documents.parquet") <= 8  # four counts and four scans for terms; names and letters are tables by then
+
+
+def test_bigrams_are_counted_once_not_for_each_bucket(spark):
+    import time
+    import zlib
+
+    texts = ["añ😀b", "", None, "aaa", "x"]
+    got = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", search.hashed_bigrams("t", 7).alias("v")).collect()
+    for i, v in got:
+        pairs = [a + b for a, b in zip(texts[i] or "", (texts[i] or "")[1:])]
+        assert v == [sum(zlib.crc32(p.encode()) % 7 == d for p in pairs) for d in range(7)]
+    start = time.time()
+    spark.range(1).selectExpr("repeat('abcdefgh', 500000) t").select(search.hashed_bigrams("t")[0]).collect()
+    assert time.time() - start < 8
